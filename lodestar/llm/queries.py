@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import decontaminate, quality_rules
+from lodestar.llm import bpe, decontaminate, knn_quality, line_dedup, oracles, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_near_line_dedup": oracles.LINE_DEDUP,
+    "op4_repetition_rules": oracles.REPETITION,
+    "op10_benchmark_windows": oracles.DECONTAMINATION,
+}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,3 +35,29 @@ def op4_repetition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_benchmark_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_near_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removed(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+
+
+@query
+def op8_neighbour_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return knn_quality.score(docs, knn_quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find(table(spark, sf_dir, "documents")))
