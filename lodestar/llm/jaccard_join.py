@@ -27,7 +27,7 @@ share an id give a row each.  Columns but the two named are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -116,8 +116,8 @@ def _signed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, sig bigint, keys array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(sig, n, elements) of the wanted (sig, id)."""
+def fetch(docs: DataFrame, wanted: DataFrame, make: Callable[[list[bytes | None]], list[tuple[int, np.ndarray]]], id_col: str, text_col: str) -> DataFrame:
+    """(sig, n, elements) of the wanted (sig, id); `make` gives the sets of some texts with their sigs."""
     ids = wanted.select(F.col("id").alias("_key")).distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
     rows = docs.join(ids, docs[id_col] == ids["_key"], "left_semi").select(F.col(text_col).alias("_text"))
@@ -125,11 +125,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int, id_col: str, text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in W.chunks(batch, "_text"):
-                sets = [x for x in shingles(texts, n) if len(x)]
-                yield pa.RecordBatch.from_pydict({"sig": pa.array([identity(x) for x in sets], pa.int64()), "n": pa.array([len(x) for x in sets], pa.int64()), "elements": pa.array([x.tobytes() for x in sets], pa.binary())})
+                sets = make(texts)
+                yield pa.RecordBatch.from_pydict({"sig": pa.array([k for k, _ in sets], pa.int64()), "n": pa.array([len(x) for _, x in sets], pa.int64()), "elements": pa.array([x.tobytes() for _, x in sets], pa.binary())})
 
     found = rows.mapInArrow(run, "sig bigint, n bigint, elements binary")
-    return found.join(wanted.select("sig"), "sig", "left_semi").dropDuplicates(["sig"])
+    return found.join(wanted.select("sig").distinct(), "sig", "left_semi").dropDuplicates(["sig"])
 
 
 class Tree:
@@ -235,16 +235,16 @@ def _forest(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("b1", "b2", "b3").applyInArrow(join, "a bigint, b bigint")
 
 
-def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, id_col: str, text_col: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(a, b): links between different sets, enough to connect all that are linked."""
-    emitted = signed.select("sig", F.explode("keys").alias("key"))
+def members_of(emitted: DataFrame) -> DataFrame:
+    """(key, lo, sig): of (key, sig) the keys that different sets share, with the least of them."""
     shared = emitted.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key", "lo")
-    members = saved(emitted.join(shared, "key").select("key", "lo", "sig").distinct(), "members")
-    first = members.groupBy("sig").agg(F.min("lo").alias("hub"))
-    ids = signed.groupBy("sig").agg(F.min("id").alias("id"))
-    sets = saved(_sets(docs, ids.join(first, "sig", "left_semi"), n, id_col, text_col), "sets")
+    return saved(emitted.join(shared, "key").select("key", "lo", "sig").distinct(), "members")
+
 
+def links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(a, b): links between different sets that share a key, enough to connect all that are linked."""
     # One block for each candidate.
+    first = members.groupBy("sig").agg(F.min("lo").alias("hub"))
     sized = first.join(sets.select("sig", "n"), "sig")
     parts = sized.groupBy("hub").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("parts"))
     spread = sized.join(parts, "hub").select("hub", "sig", F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int").alias("part")).filter("sig <> hub")
@@ -268,7 +268,11 @@ def links(docs: DataFrame, signed: DataFrame, n: int, percent: int, id_col: str,
 def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach, of every row."""
     signed = saved(_signed(docs, n, percent, id_col, text_col), "signed")
-    roots = components(links(docs, signed, n, percent, id_col, text_col)).withColumnRenamed("node", "sig")
+    members = members_of(signed.select("sig", F.explode("keys").alias("key")))
+    ids = signed.groupBy("sig").agg(F.min("id").alias("id"))
+    wanted = ids.join(members.select("sig").distinct(), "sig", "left_semi")
+    sets = saved(fetch(docs, wanted, lambda texts: [(identity(x), x) for x in shingles(texts, n) if len(x)], id_col, text_col), "sets")
+    roots = components(links(members, sets, percent)).withColumnRenamed("node", "sig")
     sets = signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"))
     rooted = sets.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, decontaminate, jaccard_join, knn_quality, line_dedup, oracles, pii, quality_rules
+from lodestar.llm import bpe, decontaminate, jaccard_join, knn_quality, line_dedup, oracles, paragraph_dedup, pii, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -66,3 +66,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op1_paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.spans(table(spark, sf_dir, "documents"))
