@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestar.llm import bpe, decontaminate, jaccard_join, knn_quality, line_dedup, oracles, paragraph_dedup, pii, quality_rules
+from lodestar.llm import bpe, decontaminate, html_wrappers, jaccard_join, knn_quality, line_dedup, oracles, paragraph_dedup, pii, quality_rules
+
+from lodestar.llm.storage import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
@@ -71,3 +73,9 @@ def op6_shingle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_dedup.spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_wrappers.extract(pages, saved(html_wrappers.wrappers(pages), "wrappers"))
