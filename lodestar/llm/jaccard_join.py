@@ -98,22 +98,72 @@ def keys(x: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def _signed(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, sig, keys) of every row; sig is null for an empty set."""
+def _of(texts: list[bytes | None], n: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The sets of some texts and their keys."""
+    sets = shingles(texts, n)
+    return sets, [keys(x, percent).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+
+
+def _keyed(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
+    """(key, sig) of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in W.chunks(batch, "_text"):
+                sets, each = _of(texts, n, percent)
+                sigs = np.array([identity(x) if len(x) else 0 for x in sets], dtype=np.int64)
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(each)), "sig": pa.array(np.repeat(sigs, [len(x) for x in each]))})
+
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key bigint, sig bigint")
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """(key, lo): of (key, sig) the keys that different sets have, with the least of them."""
+    return saved(keyed.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key", "lo"), "shared")
+
+
+class Sieve:
+    """Which keys may be shared: one bit for each of 2^26 hashes, 8 MB whatever the corpus.
+
+    It spares most keys the second shuffle.  When it fills up it lets more keys pass, which
+    the join with the shared keys then drops.
+    """
+
+    BITS = 1 << 26
+
+    def __init__(self, shared: DataFrame):
+        spot = F.pmod(F.col("key"), F.lit(self.BITS))
+        rows = shared.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
+        width = 4096
+        bits = np.zeros((self.BITS // (8 * width) + 2) * width, dtype=np.uint8)
+        for r in rows:
+            bits[r["bucket"] * width : (r["bucket"] + 1) * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
+        self.bits = bits
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        """Bucket and position are those of Spark's bitmap functions: position p > 0 is bit p - 1, from bucket 1 on."""
+        p = np.mod(keys, self.BITS)
+        bucket, at = np.where(p > 0, 1 + (p - 1) // 32768, 0), np.where(p > 0, (p - 1) % 32768, 0)
+        return (self.bits[bucket * 4096 + at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0
+
+
+def _signed(docs: DataFrame, sieve: Sieve, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n_shingles, sig, keys) of every row, with the keys that may be shared; sig is null for an empty set."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+    bits = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, texts in W.chunks(batch, "_text"):
-                sets = shingles(texts, n)
-                each = [keys(x, percent).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+                sets, each = _of(texts, n, percent)
+                each = [x[bits.value.passes(x)] for x in each]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id").slice(at, end - at), pa.array([len(x) for x in sets], pa.int64()), pa.array([identity(x) if len(x) else None for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))],
                     names=["id", "n_shingles", "sig", "keys"],
                 )
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, sig bigint, keys array<bigint>")
+    return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, sig bigint, keys array<bigint>"), "signed")
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, make: Callable[[list[bytes | None]], list[tuple[int, np.ndarray]]], id_col: str, text_col: str) -> DataFrame:
@@ -235,10 +285,9 @@ def _forest(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.groupBy("b1", "b2", "b3").applyInArrow(join, "a bigint, b bigint")
 
 
-def members_of(emitted: DataFrame) -> DataFrame:
-    """(key, lo, sig): of (key, sig) the keys that different sets share, with the least of them."""
-    shared = emitted.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key", "lo")
-    return saved(emitted.join(shared, "key").select("key", "lo", "sig").distinct(), "members")
+def members_of(signed: DataFrame, shared: DataFrame) -> DataFrame:
+    """(key, lo, sig): every set that has a shared key."""
+    return saved(signed.select("sig", F.explode("keys").alias("key")).join(shared, "key").select("key", "lo", "sig").distinct(), "members")
 
 
 def links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -267,8 +316,9 @@ def links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int =
 
 def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id): the smallest id that links reach, of every row."""
-    signed = saved(_signed(docs, n, percent, id_col, text_col), "signed")
-    members = members_of(signed.select("sig", F.explode("keys").alias("key")))
+    shared = shared_keys(_keyed(docs, n, percent, text_col))
+    signed = _signed(docs, Sieve(shared), n, percent, id_col, text_col)
+    members = members_of(signed, shared)
     ids = signed.groupBy("sig").agg(F.min("id").alias("id"))
     wanted = ids.join(members.select("sig").distinct(), "sig", "left_semi")
     sets = saved(fetch(docs, wanted, lambda texts: [(identity(x), x) for x in shingles(texts, n) if len(x)], id_col, text_col), "sets")

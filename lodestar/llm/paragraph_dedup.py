@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
-from lodestar.llm.jaccard_join import fetch, links, members_of
+from lodestar.llm.jaccard_join import Sieve, fetch, links, members_of, shared_keys
 from lodestar.llm.storage import saved
 
 SHINGLE = 5
@@ -97,10 +97,33 @@ def _sets(texts: list[bytes | None]) -> list[tuple[int, np.ndarray]]:
     return [(k, np.unique(x)) for k, x in zip(_names(w, starts, ends).tolist(), np.split(h, first[1:]))]
 
 
-def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, no, start, end, sig, keys) of every paragraph; start and end are word numbers."""
+def _bands(w: W.Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One row of band keys for each paragraph."""
+    h, first = _grams(w, starts, ends)
+    least = [np.minimum.reduceat(W.mix(h ^ seed), first) for seed in _SEEDS]
+    bands = [W.window_hash([np.full(len(starts), b, np.uint64), *least[b * ROWS : (b + 1) * ROWS]]) for b in range(BANDS)]
+    return np.stack(bands, axis=1).view(np.int64)
+
+
+def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, sig) of every paragraph's bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in W.chunks(batch, "_text"):
+                w = W.words(texts, W.LOWER)
+                starts, ends = paragraphs(w)
+                if len(starts):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(_bands(w, starts, ends).reshape(-1)), "sig": pa.array(np.repeat(_names(w, starts, ends), BANDS))})
+
+    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key bigint, sig bigint")
+
+
+def _signed(docs: DataFrame, sieve: Sieve, id_col: str, text_col: str) -> DataFrame:
+    """(id, no, start, end, sig, keys) of every paragraph, with the keys that may be shared; start and end are word numbers."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     kind = rows.schema["id"].dataType.simpleString()
+    bits = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,22 +132,22 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 starts, ends = paragraphs(w)
                 if not len(starts):
                     continue
-                h, first = _grams(w, starts, ends)
-                least = [np.minimum.reduceat(W.mix(h ^ seed), first) for seed in _SEEDS]
-                bands = [W.window_hash([np.full(len(starts), b, np.uint64), *least[b * ROWS : (b + 1) * ROWS]]) for b in range(BANDS)]
                 doc = np.searchsorted(w.first, starts, side="right") - 1
                 base = w.first[doc]
                 no = np.arange(len(doc)) - np.searchsorted(doc, doc)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(doc) + 1, BANDS, dtype=np.int32)), pa.array(np.stack(bands, axis=1).reshape(-1).view(np.int64)))
+                bands = _bands(w, starts, ends)
+                keep = bits.value.passes(bands)
+                offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[keep]))
                 ids = batch.column("id").slice(at, end - at).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(no, pa.int32()), pa.array(starts - base, pa.int32()), pa.array(ends - base, pa.int32()), pa.array(_names(w, starts, ends)), keys], names=["id", "no", "start", "end", "sig", "keys"])
 
-    return rows.mapInArrow(run, f"id {kind}, no int, start int, end int, sig bigint, keys array<bigint>")
+    return saved(rows.mapInArrow(run, f"id {kind}, no int, start int, end int, sig bigint, keys array<bigint>"), "paragraphs")
 
 
-def clusters(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def clusters(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(sig, root): the component of every paragraph that has a near copy."""
-    members = members_of(signed.select("sig", F.explode("keys").alias("key")))
+    members = members_of(signed, shared)
     wanted = signed.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("id"))
     sets = saved(fetch(docs, wanted, _sets, id_col, text_col), "sets")
     return components(links(members, sets, PERCENT)).withColumnRenamed("node", "sig")
@@ -133,8 +156,9 @@ def clusters(docs: DataFrame, signed: DataFrame, id_col: str = "doc_id", text_co
 def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, of_docs): every span to remove, as word numbers, with the
     ids of the documents whose paragraphs it copies."""
-    signed = saved(_signed(docs, id_col, text_col), "paragraphs")
-    roots = clusters(docs, signed, id_col, text_col)
+    shared = shared_keys(_keyed(docs, text_col))
+    signed = _signed(docs, Sieve(shared), id_col, text_col)
+    roots = clusters(docs, signed, shared, id_col, text_col)
     where = signed.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rooted = where.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = rooted.groupBy("root").agg(F.min("id").alias("of_doc"), F.sum("n").alias("n")).filter("n > 1")
