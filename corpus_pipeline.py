@@ -1,12 +1,16 @@
-"""A corpus pipeline: each stage is written as Parquet and read again by the next."""
+"""A corpus pipeline: each stage is written as Parquet and read again by the next.
 
-from __future__ import annotations
+Quality rules, line dedup, near duplicates, benchmark decontamination, BPE.  Every stage
+works on whole texts of all that its predecessor kept.
+"""
 
-import uuid
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import decontaminate, quality_rules
+from lodestar.llm import bpe, decontaminate, jaccard_join, line_dedup, quality_rules
+from lodestar.llm.storage import folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,24 +18,45 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.filter_documents(docs)
 
 
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand earlier in the corpus; those left without a word go."""
+    return line_dedup.clean(docs, length_col="n_chars" if "n_chars" in docs.columns else None)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return jaccard_join.one_of_each(docs, n=5, percent=80)
+
+
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage of the contract's weight."""
+    """Documents that are not contaminated with benchmark passages."""
     return decontaminate.clean_text(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-STAGES = [("quality_rules", quality), ("decontamination", decontaminated)]
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the text that decoding them gives."""
+    ids = bpe.encode(docs)
+    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", bpe.decode("ids").alias("decoded"))
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("line_dedup", lines),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("bpe", encoded),
+]
 
-#: BPE and link components have no SQL form; tests hold the pipeline against brute force.
+#: Components of links and BPE have no SQL form; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`, through Parquet in the shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    base = folder(spark, "pipeline")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
+        docs = spark.read.parquet(f"{base}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
