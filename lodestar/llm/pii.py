@@ -15,7 +15,6 @@ import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
