@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from lodestar.plans import evaluation, metering, relational, retrieval, telemetry, text  # noqa: E402, F401
+from lodestar.plans import evaluation, metering, relational, retrieval, streams, telemetry, text  # noqa: E402, F401

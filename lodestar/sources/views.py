@@ -25,6 +25,7 @@ class Views:
     """The views over one folder of tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark, self.dir = spark, sf_dir
 
     def table(self, name: str) -> DataFrame:
