@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import words as W
+from lodestar.llm.storage import free
 
 WINDOW = 13
 #: Most windows in one broadcast: about 100 bytes each.
@@ -157,13 +158,13 @@ def report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
 
 def clean_text(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", n: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
     """`docs` without contaminated documents, or (`remove="spans"`) with all hit spans cut out."""
-    cols = docs.columns
-    found = find(docs, benchmark, n, id_col, text_col, item_col).withColumn("_bad", is_contaminated())
+    key, hits = free(docs, "_key", "_hits")
+    found = find(docs, benchmark, n, id_col, text_col, item_col).withColumn(key, F.col(id_col))
     if remove == "documents":
-        bad = found.filter("_bad").select(F.col(id_col).alias("_key")).distinct()
-        return docs.join(bad, docs[id_col].eqNullSafe(bad["_key"]), "left_anti").select(cols)
-    spans = found.filter(F.size("hits") > 0).select(F.col(id_col).alias("_key"), F.col("hits").alias("_hits")).dropDuplicates(["_key"])
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["_key"]), "left")
+        bad = found.filter(is_contaminated()).select(key).distinct()
+        return docs.join(bad, docs[id_col].eqNullSafe(bad[key]), "left_anti")
+    spans = found.filter(F.size("hits") > 0).select(key, F.col("hits").alias(hits)).dropDuplicates([key])
+    joined = docs.join(spans, docs[id_col].eqNullSafe(spans[key]), "left")
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, hits: pa.Array) -> pa.Array:
@@ -175,7 +176,7 @@ def clean_text(docs: DataFrame, benchmark: DataFrame, remove: str = "documents",
             out.append(t)
         return pa.array([x if x is None else x.decode() for x in out], pa.string())
 
-    return joined.withColumn(text_col, cut(F.col(text_col), F.col("_hits"))).select(cols)
+    return joined.withColumn(text_col, cut(F.col(text_col), F.col(hits))).select(docs.columns)
 
 
 def digest(items: list[str]) -> str:

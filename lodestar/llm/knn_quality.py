@@ -128,8 +128,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     """Learns from the labelled rows outside fold 0; the driver gets `sample` vectors at most."""
     usable = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
     chosen = usable.select(F.col(id_col).alias("_key"), F.col(label_col).cast("int").alias("label")).orderBy(F.xxhash64("_key"), "_key", "label").limit(sample)
-    texts = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_key"]).filter(F.length(text_col) > 0)
-    got = _vectorised(texts, text_col).limit(2 * sample).collect()
+    texts = docs.select(F.col(id_col).alias("_key"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_key").filter(F.length("_text") > 0)
+    got = _vectorised(texts, "_text").limit(2 * sample).collect()
     x = np.array([np.frombuffer(r["x"], np.float16) for r in got], dtype=np.float32).reshape(len(got), BUCKETS)
     y = np.array([r["label"] for r in got], dtype=np.float32)
     order = np.lexsort([x @ np.linspace(1, 2, BUCKETS, dtype=np.float32), y])  # the same model whatever the order of rows

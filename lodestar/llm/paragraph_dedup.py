@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestar.llm import words as W
 from lodestar.llm.components import components
 from lodestar.llm.jaccard_join import Sieve, fetch, links, members_of, shared_keys
-from lodestar.llm.storage import saved
+from lodestar.llm.storage import free, saved
 
 SHINGLE = 5
 PERCENT = 80
@@ -174,7 +174,8 @@ def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", tex
 
 def clean(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the spans cut out of the text; other columns as they are."""
-    cut = spans(docs, min_span, id_col, text_col).groupBy(F.col(id_col).alias("_key")).agg(F.collect_list(F.struct("start", "end")).alias("_cut"))
+    key, cuts = free(docs, "_key", "_cut")
+    cut = spans(docs, min_span, id_col, text_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
 
     @F.arrow_udf("string")
     def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -187,4 +188,4 @@ def clean(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", tex
             out.append(t)
         return pa.array([x if x is None else x.decode() for x in out], pa.string())
 
-    return docs.join(cut, docs[id_col].eqNullSafe(cut["_key"]), "left").withColumn(text_col, without(F.col(text_col), F.col("_cut"))).select(docs.columns)
+    return docs.join(cut, docs[id_col].eqNullSafe(cut[key]), "left").withColumn(text_col, without(F.col(text_col), F.col(cuts))).select(docs.columns)
