@@ -29,9 +29,9 @@ def trend(v: Views) -> DataFrame:
     return logs.drain(logs.trend(_streamed(v).search_log(), "recorded_at", "took_ms"), "complete").withColumn("mean", F.round("mean", 6))
 
 
-@query("W18_stream_sliding_cost", sql("SELECT start, round(sum(cost), 6) AS cost FROM (SELECT cost, floor(epoch(called_at) / 3600)::BIGINT * 3600 - h * 3600 AS start FROM usage, (SELECT unnest(range(0, 24)) AS h) WHERE success) GROUP BY start"))
+@query("W18_stream_sliding_cost", sql("SELECT start, round(sum(cost), 9) AS cost FROM (SELECT cost, floor(epoch(called_at) / 3600)::BIGINT * 3600 - h * 3600 AS start FROM usage, (SELECT unnest(range(0, 24)) AS h) WHERE success) GROUP BY start"))
 def sliding(v: Views) -> DataFrame:
-    return logs.drain(logs.sliding_cost(_streamed(v).usage()), "complete").withColumn("cost", F.round("cost", 6))
+    return logs.drain(logs.sliding_cost(_streamed(v).usage()), "complete").withColumn("cost", F.round("cost", 9))
 
 
 @query("B11_stream_job_states", sql("SELECT doc_id, arg_max(status, (queued_at, job_id)) AS status, count(*) AS n FROM jobs GROUP BY doc_id"))

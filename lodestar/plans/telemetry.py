@@ -89,13 +89,13 @@ def a25(v: Views) -> DataFrame:
     return v.search_log().agg(F.round(F.avg(telemetry.is_success().cast("double")), 4).alias("success_rate"), F.avg("took_ms").cast("int").alias("avg_ms"))
 
 
-@query("A26_costs", sql(f"""SELECT round(sum(cost) FILTER (success), 6) AS total, round(coalesce(sum(cost) FILTER (success AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR), 0), 6) AS last_24h,
+@query("A26_costs", sql(f"""SELECT round(sum(cost) FILTER (success), 9) AS total, round(coalesce(sum(cost) FILTER (success AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR), 0), 9) AS last_24h,
   count(*) FILTER (success AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS calls_30d FROM usage"""))
 def a26(v: Views) -> DataFrame:
     since = lambda h: F.col("success") & (F.col("called_at") >= F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(hours=F.lit(h)))
     return v.usage().agg(
-        F.round(F.sum(F.when(F.col("success"), F.col("cost"))), 6).alias("total"),
-        F.round(F.coalesce(F.sum(F.when(since(24), F.col("cost"))), F.lit(0.0)), 6).alias("last_24h"),
+        F.round(F.sum(F.when(F.col("success"), F.col("cost"))), 9).alias("total"),
+        F.round(F.coalesce(F.sum(F.when(since(24), F.col("cost"))), F.lit(0.0)), 9).alias("last_24h"),
         F.count_if(since(720)).alias("calls_30d"),
     )
 

@@ -15,7 +15,7 @@ def plain(v):
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
     if isinstance(v, (int, float, np.integer, np.floating)):
-        return round(float(v), 6)
+        return round(float(v), 9)
     return str(v)
 
 
