@@ -6,14 +6,15 @@ inserted or removed turns one into the other (a word edit distance of one).  A l
 removed when an equal or near line stands earlier, by (id, line number).  Lines under
 `min_chars` code points are left alone: they are too short to tell a copy.
 
-How it runs.  Equal lines fold into one row each, the earliest, with combining before
-the shuffle, so a line that a third of all documents share costs one row for each task.
-Two lines one edit apart share their first or their last half; lines that share no half
-with another line leave there (halves are only hashed and counted).  The others emit
-all variants with up to one word deleted as hashed keys.  For each key the earliest
-full line, the earliest line with a deletion, and the earliest for each deleted place
-are aggregated, so a group of any size gives one row and no pairs.  What those rows
-claim is then verified on the words of both lines.
+How it runs.  One scan writes a narrow table of all lines: their place, 128 bits that
+stand for them, and four hashed halves.  Two lines one edit apart share their first or
+their last half; halves are counted, with combining before the shuffle, and lines that
+share none with another line leave there.  The texts of the others are fetched from
+their earliest places, and these lines emit all variants with up to one word deleted, in
+the half that is not shared, as hashed keys.  For each key the earliest full line, the
+earliest line with a deletion, and the earliest for each deleted place are aggregated, so
+a group of any size gives one row and no pairs.  What those rows claim is then verified
+on the words of both lines.
 
 Null texts have no lines; null ids and repeated ids: rows that share an id count as one
 document (its lines are numbered alike).  Blank lines are never removed.  Columns other
@@ -25,8 +26,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestar.llm.storage import free, saved
+
 MIN_CHARS = 16
 MIN_WORDS = 10
+#: Most lines whose places are broadcast to fetch their texts (about 40 MB); more are joined by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
@@ -36,43 +41,60 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_c
     return rows.select("doc", "line", body.alias("body")).filter(F.char_length("body") >= min_chars)
 
 
-def _key(body: Column) -> list[Column]:
-    """128 bits that stand for a line."""
-    return [F.xxhash64(body).alias("h1"), F.xxhash64(F.lit(7), body).alias("h2")]
+def _size(body: str) -> Column:
+    """The number of words."""
+    return F.char_length(body) - F.char_length(F.replace(F.col(body), F.lit(" "), F.lit(""))) + 1
 
 
-def earliest(found: DataFrame) -> DataFrame:
-    """(h1, h2, doc, line, body): one row for each distinct line, where it first stands."""
-    at = F.min(F.struct("doc", "line", "body")).alias("at")
-    return found.groupBy(*_key(F.col("body"))).agg(at).select("h1", "h2", "at.doc", "at.line", "at.body")
+def _first(body: str, k: Column) -> Column:
+    return F.call_function("substring_index", F.col(body), F.lit(" "), k)
 
 
-def _halves(words: Column) -> Column:
-    """Hashed halves that two lines one edit apart must share, under the smaller size."""
+def _halves(body: str, n: Column) -> Column:
+    """(side, key) of the halves that two lines one edit apart must share, under the smaller size."""
 
     def both(size: Column) -> list[Column]:
         half = (size / 2).cast("int")
         return [
-            F.xxhash64(size, F.lit("left"), F.slice(words, F.lit(1), half)),
-            F.xxhash64(size, F.lit("right"), F.slice(words, -(size - half), size - half)),
+            F.struct(F.lit(0).alias("side"), F.xxhash64(size, F.lit("left"), _first(body, half)).alias("key")),
+            F.struct(F.lit(1).alias("side"), F.xxhash64(size, F.lit("right"), _first(body, half - size)).alias("key")),
         ]
 
-    n = F.size(words)
     return F.array(*both(n), *both(n - 1))
 
 
-def near(distinct: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(h1, h2, near): distinct lines with the earliest place (doc, line) of an earlier near line."""
-    worded = distinct.withColumn("words", F.split("body", " ", -1)).filter(F.size("words") >= min_words)
-    halves = worded.select("h1", "h2", F.explode(_halves(F.col("words"))).alias("half"))
-    shared = halves.groupBy("half").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("half")
-    maybe = halves.join(shared, "half", "left_semi").groupBy("h1", "h2").agg(F.lit(1).alias("_one")).select("h1", "h2")
+def hashed(found: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, line, h1, h2, halves) of every line; halves only from `min_words` words on."""
+    sized = found.withColumn("n", _size("body"))
+    halves = F.when(F.col("n") >= min_words, _halves("body", F.col("n")))
+    return saved(sized.select("doc", "line", F.xxhash64("body").alias("h1"), F.xxhash64(F.lit(7), "body").alias("h2"), halves.alias("halves")), "lines")
+
 
-    at = F.struct("doc", "line")
-    n = F.size("words")
-    without = lambda i: F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, n))
-    keys = F.concat(F.array(F.struct(F.lit(0).alias("cut"), F.xxhash64("words").alias("key"))), F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("cut"), F.xxhash64(without(i)).alias("key"))))
-    variants = worded.join(maybe, ["h1", "h2"], "left_semi").select("h1", "h2", "doc", "line", F.explode(keys).alias("v")).select("h1", "h2", "doc", "line", "v.cut", "v.key")
+def earliest(known: DataFrame) -> DataFrame:
+    """(h1, h2, first): where each distinct line first stands."""
+    return known.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"))
+
+
+def near(found: DataFrame, known: DataFrame, first: DataFrame) -> DataFrame:
+    """(h1, h2, near): distinct lines with the earliest place (doc, line) of an earlier near line."""
+    halves = known.filter("halves IS NOT NULL").select("h1", "h2", F.explode("halves").alias("x")).select("h1", "h2", "x.side", "x.key")
+    shared = halves.groupBy("key").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).filter("lo < hi").select("key")
+    maybe = halves.join(shared, "key", "left_semi").groupBy("h1", "h2").agg(F.min("side").alias("lo"), F.max("side").alias("hi"))
+    wanted = saved(maybe.join(first, ["h1", "h2"]).select("h1", "h2", "first.doc", "first.line", "lo", "hi"), "wanted")
+    few = wanted.count() <= MAX_BROADCAST
+    wanted = wanted.withColumnsRenamed({"doc": "d", "line": "l"})
+    bodies = found.join(F.broadcast(wanted) if few else wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("line") == F.col("l"))).drop("d", "l")
+    worded = saved(bodies.withColumn("n", _size("body")).dropDuplicates(["h1", "h2"]), "bodies")
+
+    # Cuts in the half that is not shared; 0 is the full line.
+    at, half = F.struct("doc", "line", "h1", "h2"), ((F.col("n") - 1) / 2).cast("int")
+    begin, end = F.when(F.col("lo") == 0, F.when(F.col("hi") == 1, 1).otherwise(half + 1)).otherwise(1), F.when(F.col("hi") == 1, F.when(F.col("lo") == 0, F.col("n")).otherwise(half + 1)).otherwise(F.col("n"))
+    cuts = worded.withColumn("cut", F.explode(F.concat(F.array(F.lit(0)), F.sequence(begin, end))))
+    cut, n = F.col("cut"), F.col("n")
+    before = F.when(cut == 1, "").otherwise(F.concat(_first("body", cut - 1), F.lit(" ")))
+    after = F.when(cut == n, "").otherwise(F.concat(_first("body", cut - n), F.lit(" ")))
+    key = F.xxhash64(F.when(cut == 0, F.concat("body", F.lit(" "))).otherwise(F.concat(before, after)))
+    variants = cuts.select("h1", "h2", "doc", "line", "cut", key.alias("key"))
 
     # Lines with the same word cut out (replacement), and a full line against a cut one.
     by_cut = variants.groupBy("key", "cut").agg(F.min(at).alias("first"), F.max(at).alias("last"))
@@ -85,31 +107,31 @@ def near(distinct: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     claim = F.when(F.col("cut") == 0, F.col("part")).otherwise(F.least("full", F.element_at("same", F.col("cut"))))
     claims = variants.join(useful, "key").select("h1", "h2", at.alias("own"), claim.alias("near")).filter(F.col("near") < F.col("own"))
     claims = claims.groupBy("h1", "h2").agg(F.min("near").alias("near"))
-    return _verified(claims, worded)
+    return _verified(claims, worded.select("h1", "h2", F.split("body", " ", -1).alias("words")))
 
 
 def _verified(claims: DataFrame, worded: DataFrame) -> DataFrame:
     """The claims whose two lines are one word edit apart."""
     mine = worded.select("h1", "h2", F.col("words").alias("a"))
-    theirs = worded.select(F.struct("doc", "line").alias("near"), F.col("words").alias("b"))
-    both = claims.join(mine, ["h1", "h2"]).join(theirs, "near")
+    theirs = worded.select(F.col("h1").alias("n1"), F.col("h2").alias("n2"), F.col("words").alias("b"))
+    both = claims.join(mine, ["h1", "h2"]).withColumn("n1", F.col("near.h1")).withColumn("n2", F.col("near.h2")).join(theirs, ["n1", "n2"])
     short, long = [F.when(F.size("a") <= F.size("b"), F.col(x)).otherwise(F.col(y)) for x, y in (("a", "b"), ("b", "a"))]
     both = both.withColumn("s", short).withColumn("l", long)
     size, more = F.size("s"), F.size("l") - F.size("s")
     differs = F.filter(F.sequence(F.lit(1), size), lambda i: ~F.get("s", i - 1).eqNullSafe(F.get("l", i - 1)))
     split = F.coalesce(F.get(differs, F.lit(0)), size + 1)
     rest = F.slice("s", split + F.when(more == 0, 1).otherwise(0), F.size("s")) == F.slice("l", split + 1, F.size("l"))
-    return both.filter((more <= 1) & rest).select("h1", "h2", "near")
+    return both.filter((more <= 1) & rest).select("h1", "h2", F.struct("near.doc", "near.line").alias("near"))
 
 
 def removed(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, line, of_doc, of_line, edits): every line that goes, with the earliest equal
     (edits 0) or else near (edits 1) line before it."""
     found = lines(docs, id_col, text_col, min_chars)
-    distinct = earliest(found)
-    known = distinct.join(near(distinct, min_words), ["h1", "h2"], "left").select("h1", "h2", F.struct("doc", "line").alias("first"), "near")
     own = F.struct("doc", "line")
-    rows = found.select("doc", "line", *_key(F.col("body"))).join(known, ["h1", "h2"])
+    known = hashed(found, min_words)
+    first = earliest(known)
+    rows = known.drop("halves").join(first.join(near(found, known, first), ["h1", "h2"], "left"), ["h1", "h2"])
     return rows.filter((F.col("first") < own) | F.col("near").isNotNull()).select(
         F.col("doc").alias(id_col),
         "line",
@@ -121,13 +143,13 @@ def removed(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WO
 def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """`docs` without the removed lines.  A document that loses all its lines that hold a
     word goes; the others keep their rows.  `length_col` is set to the new length."""
-    cols = docs.columns
-    gone = removed(docs, min_chars, min_words, id_col, text_col).groupBy(F.col(id_col).alias("_key")).agg(F.collect_set("line").alias("_gone"))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["_key"]), "left")
-    left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
-    out = joined.withColumn("_text", text).filter(F.col("_gone").isNull() | (F.trim(F.col("_text"), F.lit(" \t\r\n")) != ""))
-    out = out.withColumn(text_col, F.col("_text"))
+    key, lost, kept = free(docs, "_key", "_gone", "_kept")
+    gone = removed(docs, min_chars, min_words, id_col, text_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(lost))
+    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
+    left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(lost, i))
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
+    out = joined.withColumn(kept, text).filter(F.col(lost).isNull() | (F.trim(F.col(kept), F.lit(" \t\r\n")) != ""))
+    out = out.withColumn(text_col, F.col(kept))
     if length_col:
         out = out.withColumn(length_col, F.char_length(text_col).cast(docs.schema[length_col].dataType))
-    return out.select(cols)
+    return out.select(docs.columns)
