@@ -44,7 +44,7 @@ def _repetition() -> str:
         which = "n > 1" if n == 3 else "k > 1"
         parts.append(f"c{n} AS (SELECT doc_id, count(*) AS words, sum(c) AS chars FROM w SEMI JOIN (SELECT doc_id, unnest(range(i, i + {n})) AS i FROM r{n} WHERE {which}) x ON w.doc_id = x.doc_id AND w.i = x.i GROUP BY doc_id)")
     joins = " ".join(f"LEFT JOIN {t}{n} ON {t}{n}.doc_id = d.doc_id" for t, ns in (("t", _TOP), ("c", [3, *_REP])) for n in ns)
-    broken = ["CASE WHEN 100 * coalesce(dup, 0) > 30 * coalesce(lines, 0) THEN 'dup_lines' END", "CASE WHEN 100 * coalesce(dup_chars, 0) > 20 * coalesce(line_chars, 0) THEN 'dup_line_chars' END", "CASE WHEN 100 * n_symbols > 50 * n_words THEN 'symbols' END"]
+    broken = ["CASE WHEN 100 * coalesce(dup, 0) > 30 * coalesce(lines, 0) THEN 'dup_lines' END", "CASE WHEN 100 * coalesce(dup_chars, 0) > 20 * coalesce(line_chars, 0) THEN 'dup_line_chars' END", "CASE WHEN 100 * n_symbols > 20 * n_words THEN 'symbols' END"]
     broken += [f"CASE WHEN 100 * coalesce(top_{n}, 0) > {p} * word_chars THEN 'top_{n}' END" for n, p in _TOP.items()]
     broken += [f"CASE WHEN 100 * coalesce(c{n}.chars, 0) > {p} * word_chars THEN 'rep_{n}' END" for n, p in _REP.items()]
     return rf"""

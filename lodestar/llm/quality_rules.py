@@ -32,7 +32,7 @@ class Rules:
     max_repeat_words_pct: int = 50
     max_dup_lines_pct: int = 30
     max_dup_line_chars_pct: int = 20
-    max_symbols_pct_of_words: int = 50
+    max_symbols_pct_of_words: int = 20
 
 
 _COLUMNS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "line_chars", "dup_line_chars", "n_repeat_words"]
