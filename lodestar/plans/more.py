@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
@@ -218,3 +218,76 @@ def c14(v: Views) -> DataFrame:
 def w7(v: Views) -> DataFrame:
     packed = F.array_sort(F.collect_list(F.struct((-F.char_length("text")).alias("s"), "chunk_idx")))
     return v.chunks().groupBy("doc_id").agg(F.array_join(F.transform(packed, lambda x: x.chunk_idx.cast("string")), ",").alias("by_size"))
+
+
+@query("C1_C2_pruned_scan", sql("SELECT doc_id, lang FROM documents"))
+def c1(v: Views) -> DataFrame:
+    return v.table("documents").select("doc_id", "lang")
+
+
+@query("C17_safe_urls", sql("SELECT page_id, regexp_matches(url, '^https?://[^/]+') AND NOT regexp_matches(url, '^https?://(localhost|10[.]|127[.]|192[.]168[.])') AS safe FROM pages"))
+def c17(v: Views) -> DataFrame:
+    from lodestar.sources.files import is_safe_url
+
+    return v.table("pages").select("page_id", is_safe_url(F.col("url")).alias("safe"))
+
+
+@query("C25_mail_to_owner", sql("SELECT e.event_id, c.c_name AS owner FROM events e JOIN customer c ON c.c_custkey = e.user_id AND c.c_custkey % 7 <> 0"))
+def c25(v: Views) -> DataFrame:
+    tokens = v.table("customer").filter("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("user_id"), F.col("c_name").alias("owner"))
+    return v.table("events").join(tokens, "user_id").select("event_id", "owner")
+
+
+@query("J16_embedded_join", sql("SELECT c.chunk_id, d.title FROM chunks c JOIN docs d USING (doc_id) WHERE d.user_id = 'src2'"))
+def j16(v: Views) -> DataFrame:
+    return v.chunks().join(v.docs().filter("user_id = 'src2'").select("doc_id", "title"), "doc_id").select("chunk_id", "title")
+
+
+@query("L9_group_order", sql("SELECT mode, hit, row_number() OVER (ORDER BY hit DESC, mode) AS place FROM (SELECT mode, round(avg(CASE WHEN fused > 50 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit FROM search_log GROUP BY mode)"))
+def l9(v: Views) -> DataFrame:
+    rates = v.search_log().groupBy("mode").agg(F.round(F.avg((F.col("fused") > 50).cast("double")), 6).alias("hit"))
+    return rates.withColumn("place", F.row_number().over(Window.orderBy(F.desc("hit"), "mode")))  # three rows
+
+
+@query("R4_sparse_fallback", sql("SELECT query_id, chunk_id, round(1.0::DOUBLE / (60 + rank), 9) AS score FROM sparse", _HITS))
+def r4(v: Views) -> DataFrame:
+    from lodestar.plans.retrieval import sparse_hits
+
+    return sparse_hits(v).select("query_id", "chunk_id", F.round(1.0 / (retrieval.RRF_K + F.col("rank")), 9).alias("score"))
+
+
+@query("R9_R10_toc_guard", sql("SELECT chunk_id, CASE WHEN chunk_idx % 3 = 0 AND chunk_idx % 2 = 0 THEN 0.3::DOUBLE ELSE 1.0 END AS score FROM chunks"))
+def r9(v: Views) -> DataFrame:
+    head = F.when(F.col("chunk_idx") % 3 == 0, F.lit("목차 ")).otherwise(F.lit("본문 "))
+    section = F.when(F.col("chunk_idx") % 2 == 0, F.lit("(vision) p.1")).otherwise(F.lit("p.1"))
+    return v.chunks().select("chunk_id", retrieval.toc_guard(F.lit(1.0), F.concat(head, F.lit("x")), section, F.lit("질문")).alias("score"))
+
+
+@query("M10_grounding", sql("SELECT a.doc_id, round(max(list_cosine_similarity(a.vec, b.vec)), 6) AS grounding FROM vecs a JOIN vecs b ON b.doc_id IN (a.doc_id - 1, a.doc_id + 1) GROUP BY a.doc_id"))
+def m10(v: Views) -> DataFrame:
+    lines = v.vecs().select(F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("doc_id"), F.col("vec").alias("line"))
+    return v.vecs().join(lines, "doc_id").groupBy("doc_id").agg(F.round(F.max(retrieval.cosine("vec", "line")), 6).alias("grounding"))
+
+
+@query("T9_chunk_records", sql("SELECT chunk_id, chunk_idx > 0 AS overlaps, length(text) AS range_end FROM chunks"))
+def t9(v: Views) -> DataFrame:
+    return v.chunks().select("chunk_id", (F.col("chunk_idx") > 0).alias("overlaps"), F.char_length("text").alias("range_end"))
+
+
+@query("T20_synonym_candidates", sql("SELECT chunk_id, array_to_string(list_filter(['ing', 'ou', 'zz'], lambda k: contains(text, k)), ',') AS found FROM chunks"))
+def t20(v: Views) -> DataFrame:
+    keys = F.array(F.lit("ing"), F.lit("ou"), F.lit("zz"))
+    return v.chunks().select("chunk_id", F.array_join(F.slice(F.filter(keys, lambda k: F.contains(F.col("text"), k)), 1, 5), ",").alias("found"))
+
+
+@query("Q14_parsed_entities", sql("SELECT doc_id, lang AS topic, 2 AS n FROM documents"))
+def q14(v: Views) -> DataFrame:
+    answer = F.concat(F.lit('{"topic": "'), "lang", F.lit('", "entities": ["a", "b"]}'))
+    parsed = F.from_json(answer, "topic string, entities array<string>").alias("x")
+    return v.table("documents").select("doc_id", parsed).select("doc_id", "x.topic", F.size("x.entities").alias("n"))
+
+
+@query("T8_composed_captions", sql("SELECT chunk_id, sha256(CASE WHEN chunk_idx % 4 = 0 THEN text || chr(10) || chr(10) || 'caption' ELSE text END) AS sha FROM chunks"))
+def t8(v: Views) -> DataFrame:
+    caption = F.when(F.col("chunk_idx") % 4 == 0, F.lit("caption"))
+    return v.chunks().select("chunk_id", F.sha2(F.concat_ws("\n\n", "text", caption).cast("binary"), 256).alias("sha"))
