@@ -4,11 +4,12 @@ A text's set is its distinct `n`-word shingles (after lower-casing A-Z); with fe
 words the whole sequence is the one shingle; null and empty texts have no set and link
 with nothing.  Two texts link when 100 * |intersection| >= percent * |union|.
 
-Blocks.  A linked pair of sizes up to u differs in d(u) elements at most, so of d + 1
-slices of the hash range at least one holds the same elements in both.  Every set emits
-the hash of each slice's elements under its own size class and the next one; linked
-sets share such a key.  Keys are aggregated to their least and greatest set, with
-combining before the shuffle, so copies and hot keys cost a row for each task.
+Blocks.  A linked pair of sizes up to u differs in d(u) elements at most, so of 1.25 d
+slices of the hash range a quarter of d or more hold the same elements in both.  Every set
+emits the hash of each slice's elements under its own size class and the next one.  Keys
+are aggregated to their least and greatest set, with combining before the shuffle, so
+copies and hot keys cost a row for each task.  Sets that share fewer keys with all others
+together than a link needs with one leave there.
 
 Trees.  The sets of a block, in the one global order of their hashes, go into a prefix
 tree.  A set is matched against all members at once: partial overlaps are shared along
@@ -19,7 +20,8 @@ of a spanning forest, so a group of any size gives a row for each member and no
 Two rounds.  In the first every candidate goes to one block, that of its least key
 partner; large blocks are split, each part with that partner.  Their components are
 found.  In the second, the keys whose members are not yet in one component go through
-trees with all their members, large ones as all pairs of parts.  So no link is lost.
+trees with all their members, keys of the same least member together, large blocks as all
+pairs of parts.  So no link is lost.
 
 Equal sets count once.  Shingles and sets are told apart by 64-bit hashes.  Rows that
 share an id give a row each.  Columns but the two named are not read.
@@ -37,12 +39,12 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
-from lodestar.llm.storage import saved
+from lodestar.llm.storage import free, saved
 
 SHINGLE = 3
 PERCENT = 90
 #: Bytes of sets in one tree.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Most candidate ids that are broadcast, 8 bytes each; more are joined by a shuffle.
 MAX_BROADCAST = 500_000
 
@@ -72,35 +74,41 @@ def _limits(percent: int) -> list[int]:
     return out
 
 
-def keys(x: np.ndarray, percent: int) -> np.ndarray:
-    """The slice keys of a set, under its own size class and the next."""
+def keys(x: np.ndarray, percent: int) -> list[tuple[int, np.ndarray]]:
+    """The slice keys of a set under its own size class and the next: (need, keys) of each.
+
+    There are a quarter more slices than a linked pair can differ in, so linked sets share
+    `need` keys or more under a class that both sign.
+    """
     limits = _limits(percent)
     own = int(np.searchsorted(limits, len(x), side="right")) - 1
     mixed, top, out = W.mix(x), x >> np.uint64(32), []
     for scheme in (own, own + 1):
         most = limits[scheme + 1] - 1
         differ = 2 * most * (100 - percent) // (100 + percent)
-        if not differ:
-            continue  # at this size linked sets are equal
-        spare = 1 + differ // 64  # slices with one element or none are left out where that many more are cut
-        cut = differ + 1 + spare
+        if not differ:  # at this size linked sets are equal
+            out.append((1, np.zeros(0, np.uint64)))
+            continue
+        cut = differ + 1 + (differ + 1) // 4
         piece = (top * np.uint64(cut)) >> np.uint64(32)
         size = np.bincount(piece.astype(np.int64), minlength=cut)
         full = np.flatnonzero(size > 0)
         total = np.zeros(cut, dtype=np.uint64)
         total[full] = np.add.reduceat(mixed, np.cumsum(size)[full] - size[full])
-        keep = size > 1
-        if cut - keep.sum() > spare:
-            keep[:] = True
         tag = np.arange(cut, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((scheme + 1) * 0xD1342543DE82EF95 % (1 << 64)) + size.astype(np.uint64)
-        out.append(W.mix(W.mix(total) + tag)[keep])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        signed = W.mix(W.mix(total) + tag)
+        need = cut - differ - (cut - len(full))
+        out.append((need, signed[full]) if need > 0 else (cut - differ, signed))  # empty slices count only where they must
+    return out
+
 
+_NONE = [(1, np.zeros(0, np.uint64))] * 2
 
-def _of(texts: list[bytes | None], n: int, percent: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+
+def _of(texts: list[bytes | None], n: int, percent: int) -> tuple[list[np.ndarray], list[list[tuple[int, np.ndarray]]]]:
     """The sets of some texts and their keys."""
     sets = shingles(texts, n)
-    return sets, [keys(x, percent).view(np.int64) if len(x) else np.zeros(0, np.int64) for x in sets]
+    return sets, [keys(x, percent) if len(x) else _NONE for x in sets]
 
 
 def _keyed(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
@@ -111,7 +119,8 @@ def _keyed(docs: DataFrame, n: int, percent: int, text_col: str) -> DataFrame:
             for _, _, texts in W.chunks(batch, "_text"):
                 sets, each = _of(texts, n, percent)
                 sigs = np.array([identity(x) if len(x) else 0 for x in sets], dtype=np.int64)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(each)), "sig": pa.array(np.repeat(sigs, [len(x) for x in each]))})
+                flat = [k for signed in each for _, k in signed]
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(flat).view(np.int64)), "sig": pa.array(np.repeat(np.repeat(sigs, 2), [len(k) for k in flat]))})
 
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key bigint, sig bigint")
 
@@ -147,7 +156,8 @@ class Sieve:
 
 
 def _signed(docs: DataFrame, sieve: Sieve, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, sig, keys) of every row, with the keys that may be shared; sig is null for an empty set."""
+    """(id, n_shingles, sig, need0, keys0, need1, keys1) of every row, with the keys that may
+    be shared; sig is null for an empty set."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     bits = docs.sparkSession.sparkContext.broadcast(sieve)
 
@@ -155,21 +165,38 @@ def _signed(docs: DataFrame, sieve: Sieve, n: int, percent: int, id_col: str, te
         for batch in batches:
             for at, end, texts in W.chunks(batch, "_text"):
                 sets, each = _of(texts, n, percent)
-                each = [x[bits.value.passes(x)] for x in each]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("id").slice(at, end - at), pa.array([len(x) for x in sets], pa.int64()), pa.array([identity(x) if len(x) else None for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(each)))],
-                    names=["id", "n_shingles", "sig", "keys"],
-                )
+                out = [batch.column("id").slice(at, end - at), pa.array([len(x) for x in sets], pa.int64()), pa.array([identity(x) if len(x) else None for x in sets], pa.int64())]
+                for scheme in (0, 1):
+                    kept = [k.view(np.int64) for k in (signed[scheme][1] for signed in each)]
+                    kept = [k[bits.value.passes(k)] for k in kept]
+                    offsets = np.concatenate([[0], np.cumsum([len(k) for k in kept])]).astype(np.int32)
+                    out += [pa.array([signed[scheme][0] for signed in each], pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(kept)))]
+                yield pa.RecordBatch.from_arrays(out, names=["id", "n_shingles", "sig", "need0", "keys0", "need1", "keys1"])
+
+    return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, sig bigint, need0 int, keys0 array<bigint>, need1 int, keys1 array<bigint>"), "signed")
+
+
+def _strong(signed: DataFrame, shared: DataFrame, rounds: int = 2) -> DataFrame:
+    """(key, lo, sig): the shared keys of the sets that share as many under one class as a link needs.
 
-    return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_shingles bigint, sig bigint, keys array<bigint>"), "signed")
+    A set left out has no link, so its keys are shared by fewer of the others, who may then
+    leave too: each round counts anew.  More rounds cost time and never change the links.
+    """
+    each = [signed.select("sig", F.lit(s).alias("scheme"), F.col(f"need{s}").alias("need"), F.explode(f"keys{s}").alias("key")) for s in (0, 1)]
+    held = saved(each[0].union(each[1]).join(shared.select("key"), "key").distinct(), "members")
+    for _ in range(rounds):
+        strong = held.groupBy("sig", "scheme").agg(F.count("*").alias("n"), F.max("need").alias("need")).filter("n >= need").select("sig", "scheme")
+        held = held.join(strong, ["sig", "scheme"], "left_semi")
+        again = held.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key", "lo")
+        held = saved(held.drop("lo").join(again, "key"), "members")
+    return held.select("key", "lo", "sig").distinct()
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, make: Callable[[list[bytes | None]], list[tuple[int, np.ndarray]]], id_col: str, text_col: str) -> DataFrame:
     """(sig, n, elements) of the wanted (sig, id); `make` gives the sets of some texts with their sigs."""
     ids = wanted.select(F.col("id").alias("_key")).distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST else ids
-    rows = docs.join(ids, docs[id_col] == ids["_key"], "left_semi").select(F.col(text_col).alias("_text"))
+    rows = docs.join(ids, docs[id_col].eqNullSafe(ids["_key"]), "left_semi").select(F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,11 +209,16 @@ def fetch(docs: DataFrame, wanted: DataFrame, make: Callable[[list[bytes | None]
 
 
 class Tree:
-    """A prefix tree of sorted sets; `link` finds partners of a set and then adds it."""
+    """A prefix tree of sets over a numbered alphabet; `link` finds partners of a set and then adds it.
+
+    Elements that only one set of the block has can be in no overlap: they are not in the
+    tree, but count in the sizes.  Runs of elements are bit masks, so an overlap is the
+    number of bits that two masks share.
+    """
 
     def __init__(self, percent: int):
-        self.percent, self.root = percent, _Node(np.zeros(0, np.uint64))
-        self.sets: list[np.ndarray] = []
+        self.percent, self.root = percent, _Node(np.zeros(0, np.int64))
+        self.sizes: list[int] = []
         self.up: list[int] = []
         self.edges: list[tuple[int, int]] = []
 
@@ -200,74 +232,100 @@ class Tree:
         """The least overlap with which sets of these sizes link."""
         return -(-self.percent * (x + y) // (100 + self.percent))
 
-    def link(self, x: np.ndarray, same_as: int | None = None) -> None:
-        """`same_as`: a member known to be in the set's component already."""
-        me = len(self.sets)
-        self.sets.append(x)
+    def link(self, x: np.ndarray, size: int, same_as: int | None = None) -> None:
+        """x: the sorted numbers of the set's elements; size: with those outside the alphabet;
+        same_as: a member known to be in the set's component already."""
+        me, mask = len(self.sizes), _mask(x)
+        self.sizes.append(size)
         self.up.append(me if same_as is None else self.find(same_as))
+        least, most = -(-size * self.percent // 100), size * 100 // self.percent
         stack = [(self.root, 0, 0)]
         while stack:
             node, matched, depth = stack.pop()
-            if node.one is not None and self.find(node.one) == self.find(me):
+            if node.one is not None and node.one >= 0 and self.find(node.one) == self.find(me):
+                continue
+            if node.low > most or node.high < least:
                 continue
-            if len(node.edge):
-                if node.low * 100 > len(x) * 100 * 100 // self.percent or node.high * 100 < len(x) * self.percent:
-                    continue
-                spot = np.searchsorted(x, node.edge)
-                matched += int((x[np.minimum(spot, len(x) - 1)] == node.edge).sum())
+            if node.mask:
+                matched += (mask & node.mask).bit_count()
                 depth += len(node.edge)
-                passed = int(spot[-1])
-                if depth - matched > node.high - self.need(len(x), node.high) or passed - matched > len(x) - self.need(len(x), node.low):
-                    continue
+            if depth - matched + node.alone > node.high - self.need(size, node.high):
+                continue  # too few elements are left in all of the subtree
             for j in node.ends:
-                if self.find(j) != self.find(me) and matched >= self.need(len(x), len(self.sets[j])):
+                if matched >= self.need(size, self.sizes[j]) and self.find(j) != self.find(me):
                     self.edges.append((me, j))
                     self.up[self.find(j)] = self.find(me)
             stack += [(k, matched, depth) for k in node.next.values()]
-        self._add(me, x)
+        self._add(me, x, size)
 
-    def _add(self, me: int, x: np.ndarray) -> None:
+    def _add(self, me: int, x: np.ndarray, size: int) -> None:
         node, at = self.root, 0
-        node.take(self, me, len(x))
+        node.take(self, me, size, len(x))
         while at < len(x):
             first = int(x[at])
             child = node.next.get(first)
             if child is None:
                 child = node.next[first] = _Node(x[at:])
-                child.take(self, me, len(x))
+                child.take(self, me, size, len(x))
                 child.ends.append(me)
                 return
-            size = min(len(child.edge), len(x) - at)
-            differ = np.flatnonzero(child.edge[:size] != x[at : at + size])
-            same = int(differ[0]) if len(differ) else size
+            n = min(len(child.edge), len(x) - at)
+            differ = np.flatnonzero(child.edge[:n] != x[at : at + n])
+            same = int(differ[0]) if len(differ) else n
             if same < len(child.edge):
                 upper = _Node(child.edge[:same])
-                upper.low, upper.high, upper.one = child.low, child.high, child.one
+                upper.low, upper.high, upper.alone, upper.one = child.low, child.high, child.alone, child.one
                 child.edge = child.edge[same:]
+                child.mask = _mask(child.edge)
                 upper.next[int(child.edge[0])] = child
                 node.next[first] = child = upper
-            child.take(self, me, len(x))
+            child.take(self, me, size, len(x))
             node, at = child, at + same
         node.ends.append(me)
 
 
+def _mask(x: np.ndarray) -> int:
+    """The numbers as bits."""
+    if not len(x):
+        return 0
+    base = int(x[0])
+    bits = np.zeros(int(x[-1]) - base + 1, dtype=np.uint8)
+    bits[x - base] = 1
+    return int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little") << base
+
+
 class _Node:
-    """A run of elements, what follows it, the sets that end here, and the sizes below."""
+    """A run of elements, what follows it, the sets that end here, and of the sets below the
+    sizes, the fewest elements outside the alphabet, and a member if all are linked."""
 
-    __slots__ = ("edge", "next", "ends", "low", "high", "one")
+    __slots__ = ("edge", "mask", "next", "ends", "low", "high", "alone", "one")
 
     def __init__(self, edge: np.ndarray):
-        self.edge, self.next, self.ends = edge, {}, []
-        self.low, self.high, self.one = 1 << 60, 0, -1
+        self.edge, self.mask, self.next, self.ends = edge, _mask(edge), {}, []
+        self.low, self.high, self.alone, self.one = 1 << 60, 0, 1 << 60, -1
 
-    def take(self, tree: Tree, me: int, size: int) -> None:
-        self.low, self.high = min(self.low, size), max(self.high, size)
+    def take(self, tree: Tree, me: int, size: int, inside: int) -> None:
+        self.low, self.high, self.alone = min(self.low, size), max(self.high, size), min(self.alone, size - inside)
         if self.one == -1:
             self.one = me
         elif self.one is not None and tree.find(self.one) != tree.find(me):
             self.one = None  # more than one component below
 
 
+def forest(sets: list[np.ndarray], roots: list, percent: int) -> list[tuple[int, int]]:
+    """Links (i, j) between sorted sets, enough to connect all that are linked; sets of one root are connected already."""
+    every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+    alphabet, at, count = np.unique(every, return_inverse=True, return_counts=True)
+    number = np.cumsum(count > 1) - 1
+    tree, seen, first = Tree(percent), {}, 0
+    for i, x in enumerate(sets):
+        own = at[first : first + len(x)]
+        first += len(x)
+        tree.link(number[own[count[own] > 1]], len(x), seen.get(roots[i]))
+        seen.setdefault(roots[i], i)
+    return tree.edges
+
+
 def _forest(blocks: DataFrame, percent: int) -> DataFrame:
     """(a, b): links found in each block of (block, sig, root, elements)."""
 
@@ -275,11 +333,8 @@ def _forest(blocks: DataFrame, percent: int) -> DataFrame:
         sigs, roots = block.column("sig").to_pylist(), block.column("root").to_pylist()
         data = block.column("elements").to_pylist()
         order = sorted(range(len(sigs)), key=lambda i: (roots[i], len(data[i]), sigs[i]))
-        tree, seen = Tree(percent), {}
-        for k, i in enumerate(order):
-            tree.link(np.frombuffer(data[i], np.uint64), seen.get(roots[i]))
-            seen.setdefault(roots[i], k)
-        return pa.table({"a": pa.array([sigs[order[i]] for i, _ in tree.edges], pa.int64()), "b": pa.array([sigs[order[j]] for _, j in tree.edges], pa.int64())})
+        edges = forest([np.frombuffer(data[i], np.uint64) for i in order], [roots[i] for i in order], percent)
+        return pa.table({"a": pa.array([sigs[order[i]] for i, _ in edges], pa.int64()), "b": pa.array([sigs[order[j]] for _, j in edges], pa.int64())})
 
     return blocks.groupBy("b1", "b2", "b3").applyInArrow(join, "a bigint, b bigint")
 
@@ -301,14 +356,15 @@ def links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int =
     found = saved(_forest(one, percent), "links")
     known = components(found)
 
-    # Keys whose members are still apart, equal groups of members once.
+    # Keys whose members are still apart, put together by their least member: a set goes
+    # there once, however many keys it shares with that member.
     rooted = members.select("key", "sig").join(known.withColumnRenamed("node", "sig"), "sig", "left").select("key", "sig", F.coalesce("root", "sig").alias("root"))
-    groups = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("sig").cast("decimal(38,0)")).alias("mark")).filter("lo < hi")
-    apart = groups.groupBy("n", "mark").agg(F.min("key").alias("key")).select("key")
-    left = saved(rooted.join(apart, "key", "left_semi").join(sets.select("sig", "n"), "sig"), "apart")
-    parts = left.groupBy("key").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("parts"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("sig").alias("owner")).filter("lo < hi").select("key", "owner")
+    left = rooted.join(apart, "key").select("owner", "sig", "root").distinct()
+    left = saved(left.join(sets.select("sig", "n"), "sig"), "apart")
+    parts = left.groupBy("owner").agg(F.ceil(F.sum(F.col("n") * 8) / block_bytes).cast("int").alias("parts"))
     own = F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")
-    pairs = left.join(parts, "key").withColumn("own", own).select("key", "sig", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    pairs = left.join(parts, "owner").withColumn("own", own).select(F.col("owner").alias("key"), "sig", "root", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     two = pairs.join(sets, "sig").select(F.col("key").alias("b1"), F.least("own", "other").alias("b2"), F.greatest("own", "other").alias("b3"), "sig", "root", "elements")
     return found.union(saved(_forest(two, percent), "links"))
 
@@ -317,7 +373,7 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
     """(id, n_shingles, component_id): the smallest id that links reach, of every row."""
     shared = shared_keys(_keyed(docs, n, percent, text_col))
     signed = _signed(docs, Sieve(shared), n, percent, id_col, text_col)
-    members = members_of(signed, shared)
+    members = _strong(signed, shared)
     ids = signed.groupBy("sig").agg(F.min("id").alias("id"))
     wanted = ids.join(members.select("sig").distinct(), "sig", "left_semi")
     sets = saved(fetch(docs, wanted, lambda texts: [(identity(x), x) for x in shingles(texts, n) if len(x)], id_col, text_col), "sets")
@@ -333,7 +389,10 @@ def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: s
 def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each class: that of the smallest id.  Of rows that share an id, one stays."""
     found = saved(classes(docs, n, percent, id_col, text_col), "classes")
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_key")).agg(F.count("*").alias("_rows"))
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay["_key"]))
-    single = out.filter("_rows = 1").select(docs.columns)
-    return single.unionByName(out.filter("_rows > 1").select(docs.columns).dropDuplicates([id_col]))
+    key, n_rows = free(docs, "_key", "_rows")
+    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(n_rows))
+    if not stay.filter(F.col(n_rows) > 1).head(1):
+        return docs.join(stay, docs[id_col].eqNullSafe(stay[key]), "left_semi")
+    out = docs.join(stay, docs[id_col].eqNullSafe(stay[key]))
+    single = out.filter(F.col(n_rows) == 1).select(docs.columns)
+    return single.unionByName(out.filter(F.col(n_rows) > 1).select(docs.columns).dropDuplicates([id_col]))

@@ -93,11 +93,34 @@ def test_jaccard_random_sizes():
         x, y = (np.array(sorted(s), dtype=np.uint64) for s in (a, b))
         for percent in (80, 90):
             if 100 * len(a & b) >= percent * len(a | b) and a != b:
-                assert np.intersect1d(jaccard_join.keys(x, percent), jaccard_join.keys(y, percent)).size
-                tree = jaccard_join.Tree(percent)
-                tree.link(x)
-                tree.link(y)
-                assert tree.edges == [(1, 0)]
+                mine, theirs = jaccard_join.keys(x, percent), jaccard_join.keys(y, percent)
+                assert any(np.intersect1d(k, o).size >= max(m, p) for m, k in mine for p, o in theirs)
+                assert jaccard_join.forest([x, y], [0, 1], percent) == [(1, 0)]
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_forest_connects_what_all_pairs_connect(percent):
+    import numpy as np
+
+    rng = random.Random(percent)
+    base = [rng.getrandbits(64) for _ in range(80)]
+    sets = []
+    for _ in range(150):
+        s = set(rng.sample(base, len(base) - rng.randint(0, 12))) | {rng.getrandbits(64) for _ in range(rng.randint(0, 8))}
+        sets.append(frozenset(s))
+    want = linked(sets, percent)
+    up = list(range(len(sets)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for a, b in jaccard_join.forest([np.array(sorted(s), dtype=np.uint64) for s in sets], list(range(len(sets))), percent):
+        assert 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    assert [find(i) for i in range(len(sets))] == want
 
 
 def test_one_of_each_keeps_columns(spark):
