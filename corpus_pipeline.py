@@ -35,8 +35,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the text that decoding them gives."""
-    ids = bpe.encode(docs)
-    return ids.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", bpe.decode("ids").alias("decoded"))
+    return bpe.encode(docs, decoded="decoded").select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded")
 
 
 STAGES = [

@@ -51,7 +51,7 @@ def op5_two_tier_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents")))
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), decoded="decoded"))
 
 
 @query

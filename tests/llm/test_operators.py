@@ -230,7 +230,7 @@ def test_bpe_is_the_librarys(spark):
     d = docs(spark, texts)
     counts = {r["doc_id"]: r for r in bpe.token_counts(d).collect()}
     encoded = {r["doc_id"]: r for r in bpe.encode(d).withColumn("text", bpe.decode("ids")).collect()}
-    digest = {r["doc_id"]: r for r in bpe.digests(bpe.encode(d)).collect()}
+    digest = {r["doc_id"]: r for r in bpe.digests(bpe.encode(d, decoded="decoded")).collect()}
     for i, t in enumerate(texts):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         back = tok.decode(ids, skip_special_tokens=False)
@@ -240,6 +240,15 @@ def test_bpe_is_the_librarys(spark):
         assert digest[i]["decoded_sha256"] == hashlib.sha256(back.encode()).hexdigest()
 
 
+def test_decode_of_nulls_and_unknown_ids(spark):
+    tok = bpe.library()
+    known = tok.encode("some words here").ids
+    lists = [known, None, [], [known[0], 10_000_000, -1, None, known[1]], [10_000_000]]
+    d = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "doc_id int, ids array<int>").repartition(1)
+    got = {r["doc_id"]: r["text"] for r in d.withColumn("text", bpe.decode("ids")).collect()}
+    assert got == {0: tok.decode(known, skip_special_tokens=False), 1: None, 2: "", 3: tok.decode(known[:2], skip_special_tokens=False), 4: ""}
+
+
 def test_trie_traversal_is_plain_merging():
     m = bpe.merges()
     rng = random.Random(6)
