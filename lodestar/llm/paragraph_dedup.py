@@ -10,9 +10,9 @@ A pair at similarity 0.8 shares a band with a probability of 1 - (1 - 0.8^2)^5 =
 Equal paragraphs fold into one first; paragraphs that share a band go through blocks
 whose trees verify the exact Jaccard similarity (no pairs are emitted, see
 `jaccard_join.links`), and the verified links give components.  Of each component the
-earliest occurrence stays, by (id, place); every other one is a copy.  Copies in a row
-make a span; spans of `min_span` words or more are removed, shorter ones are common
-phrases and stay.
+earliest occurrence stays, by (id, place); every other one is a copy.  Copies that touch
+make a span, and no other word is in it; spans of `min_span` words or more are removed,
+shorter ones are common phrases and stay.
 
 Null and empty texts have no paragraphs.  Rows that share an id count as one document.
 """
@@ -166,8 +166,11 @@ def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", tex
     # The earliest paragraph of the earliest document stays.
     home = copies.filter("id = of_doc").groupBy("root").agg(F.min("no").alias("home"))
     copies = copies.join(home, "root").filter("NOT (id = of_doc AND no = home)")
-    run = F.col("no") - F.row_number().over(Window.partitionBy("id").orderBy("no", "start"))
-    merged = copies.withColumn("run", run).groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("of_doc")).alias("of_docs"))
+    every = copies.select("id", "start", "end", "of_doc")
+    place = Window.partitionBy("id").orderBy("start", "end")
+    reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
+    run = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
+    merged = every.withColumn("reach", reach).withColumn("run", run).groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("of_doc")).alias("of_docs"))
     out = merged.withColumn("n_words", F.col("end") - F.col("start")).filter(F.col("n_words") >= min_span)
     return out.select(F.col("id").alias(id_col), "start", "end", "n_words", "of_docs")
 

@@ -313,6 +313,18 @@ def test_long_paragraphs_are_cut_by_their_words_alone():
     assert len(cuts[0] & cuts[1]) >= len(cuts[0]) - 3 > 5
 
 
+def test_words_between_copies_stay(spark):
+    rng = random.Random(22)
+    lines = ["the first line that both of them have here", "the last line that both of them have too"]
+    middle = ["\n".join(" ".join(f"{c}{i}x{j}" for j in range(7)) for i in range(50)) for c in "ab"]
+    texts = ["\n".join([lines[0], m, lines[1]]) for m in middle]
+    assert paragraph_dedup.spans(docs(spark, texts)).count() == 0
+    passages = [words(rng, 30) + "." for _ in range(2)]
+    texts = ["\n".join([passages[0], m, passages[1]]) for m in middle]
+    left = {r["doc_id"]: r["text"] for r in paragraph_dedup.clean(docs(spark, texts)).collect()}
+    assert left[0] == texts[0] and left[1].strip() == middle[1]
+
+
 def test_wrappers(spark):
     page = '<!DOCTYPE html><html><head><title>t</title><script>var a="</p>";</script><style>p{{}}</style></head><body><nav><ul>{nav}</ul></nav><!-- c --><div class="cookie-notice">ok?</div><div class="ad">buy</div><article><h1>T&amp;{i}</h1>{ps}<form>f</form></article><div id="comments">c{i}</div><aside>s</aside><footer>&copy; x</footer></body></html>'
     pages = [(i, "http://h.example/a", page.format(i=i, nav="<li><a>m</a></li>" * (1 + i % 3), ps="".join(f"<p>par  {j}<br>of <b>p{i}</b>x" for j in range(i)))) for i in range(6)]
