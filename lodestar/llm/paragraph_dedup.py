@@ -1,18 +1,26 @@
-"""Operator 1: substring dedup by MinHash banding of paragraphs.
+"""Operator 1: substring dedup by MinHash banding of paragraphs, and of word windows.
 
-Texts become paragraphs of their words (A-Z lower-cased): a paragraph ends with a
-sentence or a line, and one over `MAX_WORDS` words is cut where the hash of a word is
-the least of its neighbourhood.  All cuts depend on nearby words alone, so a passage is
-cut alike wherever it stands.  Paragraphs under `MIN_WORDS` words take no part.
+Near copies.  Texts become paragraphs of their words (A-Z lower-cased): a paragraph ends
+with a sentence or a line, and one over `MAX_WORDS` words is cut where the hash of a word
+is the least of its neighbourhood.  Paragraphs under `MIN_WORDS` words take no part here.
 
 MinHash signatures over five-word shingles are cut into `BANDS` bands of `ROWS` values.
 A pair at similarity 0.8 shares a band with a probability of 1 - (1 - 0.8^2)^5 = 0.994.
 Equal paragraphs fold into one first; paragraphs that share a band go through blocks
 whose trees verify the exact Jaccard similarity (no pairs are emitted, see
 `jaccard_join.links`), and the verified links give components.  Of each component the
-earliest occurrence stays, by (id, place); every other one is a copy.  Copies that touch
-make a span, and no other word is in it; spans of `min_span` words or more are removed,
-shorter ones are common phrases and stay.
+earliest occurrence stays, by (id, place); every other one is a copy.
+
+Equal words.  Of every `NEAR_GRAMS` windows of `GRAM` words in a row the one with the least
+hash is an anchor, so equal runs of `MIN_SPAN` words or more share one, whatever sentences
+and lines they stand in.  An anchor found before, by (id, place), is a copy that grows word
+by word to both sides against the earliest place; where it differs from that, it goes on
+against the earliest of the places that have the next word too, until no place is left.
+So it ends at the edge of the longest equal run: within an equal run the next anchor or
+the edge is at most `REACH` words away.
+
+Copies that overlap or touch make a span, and no other word is in it; spans of `min_span`
+words or more are removed, shorter ones are common phrases and stay.
 
 Null and empty texts have no paragraphs.  Rows that share an id count as one document.
 """
@@ -25,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
@@ -36,6 +45,11 @@ PERCENT = 80
 BANDS, ROWS = 5, 2
 MIN_WORDS, MAX_WORDS, NEAR = 8, 48, 12
 MIN_SPAN = 24
+GRAM = 8
+#: Equal runs of GRAM + NEAR_GRAMS - 1 = MIN_SPAN words share an anchor.
+NEAR_GRAMS = MIN_SPAN - GRAM + 1
+#: Words beside an anchor that it may grow by.
+REACH = NEAR_GRAMS - 1
 
 _SEEDS = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOPS = np.isin(np.arange(256), list(b".!?"))
@@ -104,25 +118,115 @@ def _bands(w: W.Words, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.stack(bands, axis=1).view(np.int64)
 
 
+def anchors(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word number and hash of the anchors: the least of any NEAR_GRAMS windows in a row of one text."""
+    n = len(w.hashes) - MIN_SPAN + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = W.window_hash([w.hashes[j : len(w.hashes) - GRAM + 1 + j] for j in range(GRAM)])
+    whole = np.arange(n) + MIN_SPAN <= np.repeat(w.first[1:], w.count)[:n]
+    least = np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, NEAR_GRAMS).argmin(axis=1)
+    at = np.unique(least[whole])
+    return at, h[at].view(np.int64)
+
+
 def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, sig) of every paragraph's bands."""
+    """(key, sig) of every paragraph's bands, and of every anchor with a number of its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rng = np.random.default_rng()
         for batch in batches:
             for _, _, texts in W.chunks(batch, "_text"):
                 w = W.words(texts, W.LOWER)
                 starts, ends = paragraphs(w)
                 if len(starts):
                     yield pa.RecordBatch.from_pydict({"key": pa.array(_bands(w, starts, ends).reshape(-1)), "sig": pa.array(np.repeat(_names(w, starts, ends), BANDS))})
+                _, key = anchors(w)
+                if len(key):
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key), "sig": pa.array(rng.integers(-(1 << 63), 1 << 63, len(key)))})
 
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key bigint, sig bigint")
 
 
-def _signed(docs: DataFrame, sieve: Sieve, id_col: str, text_col: str) -> DataFrame:
+def _fixed(x: np.ndarray) -> pa.Array:
+    """The rows of x as binary values."""
+    x = np.ascontiguousarray(x)
+    offsets = np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(x.tobytes())])
+
+
+def _beside(w: W.Words, at: np.ndarray, step: int) -> np.ndarray:
+    """The hashes of the REACH words after (step 1) or before (-1) each anchor, outwards; 0 outside of the text."""
+    doc = np.searchsorted(w.first, at, side="right") - 1
+    first = at + GRAM if step > 0 else at - 1
+    place = first[:, None] + step * np.arange(REACH)
+    inside = (place >= w.first[doc][:, None]) & (place < w.first[doc + 1][:, None])
+    short = (w.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    return short[np.where(inside, place, 0)] * inside.astype(np.uint32)
+
+
+def _placed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
+    """(id, at, key, before, after) of every anchor that may be shared, with the words beside it."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for begin, end, texts in W.chunks(batch, "_text"):
+                w = W.words(texts, W.LOWER)
+                at, key = anchors(w)
+                keep = sieve.value.passes(key)
+                at, key = at[keep], key[keep]
+                if not len(at):
+                    continue
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                ids = batch.column("id").slice(begin, end - begin).take(pa.array(doc))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(at - w.first[doc], pa.int32()), pa.array(key), _fixed(_beside(w, at, -1)), _fixed(_beside(w, at, 1))], names=["id", "at", "key", "before", "after"])
+
+    return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at int, key bigint, before binary, after binary"), "anchors")
+
+
+@F.arrow_udf(IntegerType())
+def _equal(a: pa.Array, b: pa.Array) -> pa.Array:
+    """How many words are equal from the anchor on."""
+    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, REACH) for v in (a, b))
+    same = (x == y) & (x != 0)
+    return pa.array(np.where(same.all(axis=1), REACH, same.argmin(axis=1)), pa.int32())
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """Rows of a key that others have too, but the earliest, with that one as `home`."""
+    words = [c for c in ("before", "after", "words") if c in rows.columns]
+    home = rows.groupBy("key").agg(F.min(F.struct("id", "at", *words)).alias("home"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(home, "key").filter("NOT (id <=> home.id AND at = home.at)")
+
+
+def equal_runs(placed: DataFrame) -> DataFrame:
+    """(id, start, end, of_doc): the words that an earlier place has too, around every anchor."""
+    apart = f"NOT (id <=> of_doc AND at - of_at < {MIN_SPAN})"  # a copy does not overlap its source
+    seen = _later(placed).select("id", "at", "key", "before", "after", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("before", "home.before").alias("left"), _equal("after", "home.after").alias("right"))
+    seen = saved(seen, "grown")
+    out = [seen.filter(apart).selectExpr("id", "at - left AS start", f"at + {GRAM} + right AS end", "of_doc")]
+    side = [seen.select("id", "at", F.xxhash64("key", F.lit(i)).alias("key"), F.col(words).alias("words"), F.col(n).alias("n")) for i, (words, n) in enumerate((("before", "left"), ("after", "right")))]
+    # Each side by itself; the key tells the side and the words so far.
+    rest, step = side[0].withColumn("side", F.lit(-1)).union(side[1].withColumn("side", F.lit(1))), 0
+    while step < REACH:
+        word = F.expr("substring(words, 4 * n + 1, 4)")
+        rest = rest.filter((F.col("n") < REACH) & (word != F.lit(b"\0\0\0\0"))).select("id", "at", F.xxhash64("key", "n", word).alias("key"), "words", "side")
+        found = _later(rest).select("id", "at", "key", "words", "side", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("words", "home.words").alias("n"))
+        found = saved(found, "grown")
+        if not found.head(1):
+            break
+        out.append(found.filter(apart).selectExpr("id", "IF(side < 0, at - n, at) AS start", f"at + {GRAM} + IF(side > 0, n, 0) AS end", "of_doc"))
+        rest, step = found.select("id", "at", "key", "words", "n", "side"), step + 1
+    for more in out[1:]:
+        out[0] = out[0].union(more)
+    return out[0]
+
+
+def _signed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
     """(id, no, start, end, sig, keys) of every paragraph, with the keys that may be shared; start and end are word numbers."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
     kind = rows.schema["id"].dataType.simpleString()
-    bits = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +239,7 @@ def _signed(docs: DataFrame, sieve: Sieve, id_col: str, text_col: str) -> DataFr
                 base = w.first[doc]
                 no = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 bands = _bands(w, starts, ends)
-                keep = bits.value.passes(bands)
+                keep = sieve.value.passes(bands)
                 offsets = np.concatenate([[0], np.cumsum(keep.sum(axis=1))]).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[keep]))
                 ids = batch.column("id").slice(at, end - at).take(pa.array(doc))
@@ -154,9 +258,11 @@ def clusters(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: str
 
 def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, start, end, n_words, of_docs): every span to remove, as word numbers, with the
-    ids of the documents whose paragraphs it copies."""
+    ids of the documents that it copies."""
     shared = shared_keys(_keyed(docs, text_col))
-    signed = _signed(docs, Sieve(shared), id_col, text_col)
+    sieve = docs.sparkSession.sparkContext.broadcast(Sieve(shared))
+    signed = _signed(docs, sieve, id_col, text_col)
+    equal = equal_runs(_placed(docs, sieve, id_col, text_col))
     roots = clusters(docs, signed, shared, id_col, text_col)
     where = signed.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rooted = where.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
@@ -166,7 +272,7 @@ def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", tex
     # The earliest paragraph of the earliest document stays.
     home = copies.filter("id = of_doc").groupBy("root").agg(F.min("no").alias("home"))
     copies = copies.join(home, "root").filter("NOT (id = of_doc AND no = home)")
-    every = copies.select("id", "start", "end", "of_doc")
+    every = copies.select("id", "start", "end", "of_doc").union(equal)
     place = Window.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))

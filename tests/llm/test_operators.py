@@ -313,6 +313,38 @@ def test_long_paragraphs_are_cut_by_their_words_alone():
     assert len(cuts[0] & cuts[1]) >= len(cuts[0]) - 3 > 5
 
 
+def test_equal_runs_are_found_wherever_they_stand(spark):
+    rng = random.Random(21)
+    fresh = iter(range(10**6))
+
+    def unique(n):
+        return [f"u{next(fresh)}" for _ in range(n)]
+
+    def marked(words, every):
+        return " ".join(w + ("." if every and rng.random() < 1 / every else "") for w in words)
+
+    texts, at = [], {}
+    for n, every in ((24, 0), (51, 0), (51, 5), (51, 12), (60, 9), (80, 15), (80, 3)) * 4:
+        passage = marked(unique(n), every)
+        for copy in (0, 1):
+            lead = rng.randint(0, 90)
+            if copy:
+                at[len(texts)] = (lead, lead + n, [len(texts) - 1])
+            texts.append(" ".join([marked(unique(lead), 8), passage, marked(unique(rng.randint(0, 90)), 8)]).strip())
+    # Documents 1 and 2 share a passage around a phrase that document 0 has alone.
+    phrase, more = unique(40), len(texts)
+    texts += [" ".join(unique(30) + phrase[12:24] + unique(30)), *[" ".join(unique(20) + phrase + unique(20)) for _ in range(2)]]
+    at[more + 2] = (20, 60, None)
+    got = {r["doc_id"]: r for r in paragraph_dedup.spans(docs(spark, texts)).collect()}
+    assert set(got) == set(at)
+    for i, (start, end, of) in at.items():
+        r = got[i]
+        # A sentence at an edge may be a near copy with a few foreign words at 0.8.
+        assert r["start"] <= start and end <= r["end"] and r["n_words"] <= end - start + 12
+        assert of is None or r["of_docs"] == of
+    assert sum((r["start"], r["end"]) == at[i][:2] for i, r in got.items()) >= len(at) - 2
+
+
 def test_words_between_copies_stay(spark):
     rng = random.Random(22)
     lines = ["the first line that both of them have here", "the last line that both of them have too"]
