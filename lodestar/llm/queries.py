@@ -19,7 +19,6 @@ ORACLES: dict[str, str] = {
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

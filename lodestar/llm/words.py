@@ -118,6 +118,16 @@ class Words:
         at = np.flatnonzero(np.arange(len(total)) + n <= left)
         return at, total[at]
 
+    def rolling(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(n, word index, hash) of the windows of n = 1, 2, .. `longest` words within one text;
+        each length takes in one more word of the sum that the length before it left."""
+        left = np.repeat(self.first[1:], self.count)
+        total = np.zeros(len(self.hashes), dtype=np.uint64)
+        for n in range(1, longest + 1):
+            total = _taken(total[: max(0, len(self.hashes) - n + 1)], self.hashes[n - 1 :])
+            at = np.flatnonzero(np.arange(len(total)) + n <= left[: len(total)])
+            yield n, at, mix(total[at] + np.uint64(n))
+
     def sums(self, values: np.ndarray) -> np.ndarray:
         """Sum per text of a value for each word."""
         total = np.concatenate([[0], np.cumsum(values)])
@@ -128,11 +138,17 @@ def window_hash(parts: list[np.ndarray]) -> np.ndarray:
     """One hash from the hashes of n successive words; the order counts."""
     total = np.zeros(len(parts[0]), dtype=np.uint64)
     for part in parts:
-        total = (total ^ part) * np.uint64(0x9E3779B97F4A7C15)
-        total ^= total >> np.uint64(29)
+        total = _taken(total, part)
     return mix(total + np.uint64(len(parts)))
 
 
+def _taken(total: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """A running hash with one more word in it."""
+    total = (total ^ part) * np.uint64(0x9E3779B97F4A7C15)
+    total ^= total >> np.uint64(29)
+    return total
+
+
 def words(texts: list[bytes | None], fold: np.ndarray) -> Words:
     """Splits texts; a null counts as an empty text."""
     texts = [x or b"" for x in texts]
@@ -160,13 +176,13 @@ def chunks(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> Iterato
 
 def row_counts(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each element, how often its key occurs and how often it occurred before."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys, kind="stable").astype(np.int32)
     ordered = keys[order]
     new = np.ones(len(keys), dtype=bool)
     new[1:] = ordered[1:] != ordered[:-1]
     at = np.flatnonzero(new)
     size = np.diff(np.append(at, len(keys)))
-    count, before = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+    count, before = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
     count[order] = np.repeat(size, size)
-    before[order] = np.arange(len(keys)) - np.repeat(at, size)
+    before[order] = np.arange(len(keys), dtype=np.int32) - np.repeat(at.astype(np.int32), size)
     return count, before

@@ -250,7 +250,7 @@ def test_decode_of_nulls_and_unknown_ids(spark):
 
 
 def test_trie_traversal_is_plain_merging():
-    m = bpe.merges()
+    m = bpe.Merges()
     rng = random.Random(6)
     pieces = {"".join(rng.choice("abcdefghinorst") for _ in range(rng.randint(1, 14))) for _ in range(2000)}
     got = m.encode(pieces)
