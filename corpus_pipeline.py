@@ -53,7 +53,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to `documents`, through Parquet in the shared checkpoint folder."""
     base = folder(spark, "pipeline")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
