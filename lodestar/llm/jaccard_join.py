@@ -23,8 +23,10 @@ found.  In the second, the keys whose members are not yet in one component go th
 trees with all their members, keys of the same least member together, large blocks as all
 pairs of parts.  So no link is lost.
 
-Equal sets count once.  Shingles and sets are told apart by 64-bit hashes.  Rows that
-share an id give a row each.  Columns but the two named are not read.
+Equal sets count once, so ties and repeated rows cost nothing more.  Shingles and sets are
+told apart by 64-bit hashes.  Texts of any length are read whole; an empty table gives no
+rows.  Rows that share an id, or have none, give a row each in `classes`; `one_of_each`
+tells them apart by a hash of the text.  Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -39,14 +41,15 @@ from pyspark.sql import functions as F
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
-from lodestar.llm.storage import free, saved
+from lodestar.llm.sieve import Sieve
+from lodestar.llm.storage import finished, free, keyed, saved
 
 SHINGLE = 3
 PERCENT = 90
 #: Bytes of sets in one tree.
 BLOCK_BYTES = 2 << 20
-#: Most candidate ids that are broadcast, 8 bytes each; more are joined by a shuffle.
-MAX_BROADCAST = 500_000
+#: Most candidate rows whose ids are broadcast (about 20 MB); more are joined by a shuffle.
+MAX_BROADCAST = 300_000
 
 
 def shingles(texts: list[bytes | None], n: int) -> list[np.ndarray]:
@@ -130,31 +133,6 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
     return saved(keyed.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi")).filter("lo < hi").select("key", "lo"), "shared")
 
 
-class Sieve:
-    """Which keys may be shared: one bit for each of 2^26 hashes, 8 MB whatever the corpus.
-
-    It spares most keys the second shuffle.  When it fills up it lets more keys pass, which
-    the join with the shared keys then drops.
-    """
-
-    BITS = 1 << 26
-
-    def __init__(self, shared: DataFrame):
-        spot = F.pmod(F.col("key"), F.lit(self.BITS))
-        rows = shared.groupBy(F.bitmap_bucket_number(spot).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("bits")).collect()
-        width = 4096
-        bits = np.zeros((self.BITS // (8 * width) + 2) * width, dtype=np.uint8)
-        for r in rows:
-            bits[r["bucket"] * width : (r["bucket"] + 1) * width] |= np.frombuffer(bytes(r["bits"]), np.uint8)
-        self.bits = bits
-
-    def passes(self, keys: np.ndarray) -> np.ndarray:
-        """Bucket and position are those of Spark's bitmap functions: position p > 0 is bit p - 1, from bucket 1 on."""
-        p = np.mod(keys, self.BITS)
-        bucket, at = np.where(p > 0, 1 + (p - 1) // 32768, 0), np.where(p > 0, (p - 1) % 32768, 0)
-        return (self.bits[bucket * 4096 + at // 8] >> (at % 8).astype(np.uint8)) & 1 > 0
-
-
 def _signed(docs: DataFrame, sieve: Sieve, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n_shingles, sig, need0, keys0, need1, keys1) of every row, with the keys that may
     be shared; sig is null for an empty set."""
@@ -369,30 +347,45 @@ def links(members: DataFrame, sets: DataFrame, percent: int, block_bytes: int =
     return found.union(saved(_forest(two, percent), "links"))
 
 
-def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id): the smallest id that links reach, of every row."""
-    shared = shared_keys(_keyed(docs, n, percent, text_col))
-    signed = _signed(docs, Sieve(shared), n, percent, id_col, text_col)
+def _rooted(docs: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the rows of `keyed`: (id, n_shingles, sig) of each, and (sig, root) of every set."""
+    shared = shared_keys(_keyed(docs, n, percent, "_text"))
+    signed = _signed(docs, Sieve(shared), n, percent, "_doc", "_text")
     members = _strong(signed, shared)
-    ids = signed.groupBy("sig").agg(F.min("id").alias("id"))
-    wanted = ids.join(members.select("sig").distinct(), "sig", "left_semi")
-    sets = saved(fetch(docs, wanted, lambda texts: [(identity(x), x) for x in shingles(texts, n) if len(x)], id_col, text_col), "sets")
+    wanted = signed.groupBy("sig").agg(F.min("id").alias("id")).join(members.select("sig").distinct(), "sig", "left_semi")
+    sets = saved(fetch(docs, wanted, lambda texts: [(identity(x), x) for x in shingles(texts, n) if len(x)], "_doc", "_text"), "sets")
     roots = components(links(members, sets, percent)).withColumnRenamed("node", "sig")
-    sets = signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"))
-    rooted = sets.join(roots, "sig", "left").select("sig", F.coalesce("root", "sig").alias("root"), "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = rooted.join(least, "root").select("sig", "component_id")
-    out = signed.select("id", "n_shingles", "sig").join(known, "sig", "left")
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    every = signed.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct(F.col("id.id").isNull().alias("none"), "id")).alias("x")).select("sig", F.col("x.id").alias("least")).join(roots, "sig", "left")
+    every = every.select("sig", F.coalesce("root", "sig").alias("root"), "least")
+    least = every.groupBy("root").agg(F.min(F.struct(F.col("least.id").isNull().alias("none"), "least")).alias("x"))
+    return signed.select("id", "n_shingles", "sig"), saved(every.select("sig", "root").join(least, "root").select("sig", F.col("x.least").alias("least")), "classes")
+
+
+@finished("classes")
+def classes(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id): the smallest id that links reach, of every row."""
+    rows, least = _rooted(keyed(docs, id_col, text_col), n, percent)
+    out = rows.join(least, "sig", "left")
+    return out.select(F.col("id.id").alias(id_col), "n_shingles", F.when(F.col("least").isNull(), F.col("id.id")).otherwise(F.col("least.id")).alias("component_id"))
+
+
+@finished("copies")
+def _copies(docs: DataFrame, n: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, stays): rows that go, and of the rows that stay those which stand there more than once."""
+    rows, least = _rooted(keyed(docs, id_col, text_col), n, percent)
+    each = rows.filter("sig IS NOT NULL").groupBy("id", "sig").agg(F.count("*").alias("n")).join(least, "sig")
+    stays = F.col("id") == F.col("least")
+    return each.filter(~stays | (F.col("n") > 1)).select("id", stays.alias("stays"))
 
 
 def one_of_each(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each class: that of the smallest id.  Of rows that share an id, one stays."""
-    found = saved(classes(docs, n, percent, id_col, text_col), "classes")
-    key, n_rows = free(docs, "_key", "_rows")
-    stay = found.filter(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(key)).agg(F.count("*").alias(n_rows))
-    if not stay.filter(F.col(n_rows) > 1).head(1):
-        return docs.join(stay, docs[id_col].eqNullSafe(stay[key]), "left_semi")
-    out = docs.join(stay, docs[id_col].eqNullSafe(stay[key]))
-    single = out.filter(F.col(n_rows) == 1).select(docs.columns)
-    return single.unionByName(out.filter(F.col(n_rows) > 1).select(docs.columns).dropDuplicates([id_col]))
+    """`docs` with one row of each class: that of the smallest id, and of the smallest hash of
+    its text where ids are equal or null.  Texts without words are in no class and all stay."""
+    key, own, stays = free(docs, "_key", "_own", "_stays")
+    found = _copies(docs, n, percent, id_col, text_col).select(F.col("id").alias(key), F.col("stays").alias(stays))
+    rows = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    out = rows.join(found, F.col(own) == F.col(key), "left")
+    single = out.filter(F.col(stays).isNull()).select(docs.columns)
+    if found.filter(stays).head(1):
+        return single.unionByName(out.filter(stays).dropDuplicates([own]).select(docs.columns))
+    return single

@@ -16,9 +16,11 @@ earliest line with a deletion, and the earliest for each deleted place are aggre
 a group of any size gives one row and no pairs.  What those rows claim is then verified
 on the words of both lines.
 
-Null texts have no lines; null ids and repeated ids: rows that share an id count as one
-document (its lines are numbered alike).  Blank lines are never removed.  Columns other
-than the two named travel along untouched in `clean`.
+Null and empty texts have no lines, an empty table gives no rows.  Rows that share an id,
+or have none, are told apart by a hash of their text and come in the order of that hash;
+rows equal in both are one document, so all of them stay or go alike.  Blank lines are
+never removed, very long lines are compared whole.  Columns other than the two named
+travel along untouched in `clean`, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,17 +28,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.llm.storage import free, saved
+from lodestar.llm.storage import finished, free, keyed, saved
 
 MIN_CHARS = 16
 MIN_WORDS = 10
 #: Most lines whose places are broadcast to fetch their texts (about 40 MB); more are joined by a shuffle.
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 400_000
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, line, body): every trimmed line long enough to count; line numbers start at 0."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("line", "raw"))
+    """(doc, line, body): every trimmed line long enough to count; line numbers start at 0.
+    `doc` is the id beside a hash of the text."""
+    rows = keyed(docs, id_col, text_col).select(F.col("_doc").alias("doc"), F.posexplode(F.split(F.col("_text"), "\n", -1)).alias("line", "raw"))
     body = F.trim(F.col("raw"), F.lit(" \t\r"))
     return rows.select("doc", "line", body.alias("body")).filter(F.char_length("body") >= min_chars)
 
@@ -124,28 +127,36 @@ def _verified(claims: DataFrame, worded: DataFrame) -> DataFrame:
     return both.filter((more <= 1) & rest).select("h1", "h2", F.struct("near.doc", "near.line").alias("near"))
 
 
-def removed(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, line, of_doc, of_line, edits): every line that goes, with the earliest equal
-    (edits 0) or else near (edits 1) line before it."""
+@finished("removed-lines")
+def _removed(docs: DataFrame, min_chars: int, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line, of, edits) as in `removed`, with places instead of ids."""
     found = lines(docs, id_col, text_col, min_chars)
     own = F.struct("doc", "line")
     known = hashed(found, min_words)
     first = earliest(known)
-    rows = known.drop("halves").join(first.join(near(found, known, first), ["h1", "h2"], "left"), ["h1", "h2"])
-    return rows.filter((F.col("first") < own) | F.col("near").isNotNull()).select(
-        F.col("doc").alias(id_col),
-        "line",
-        F.when(F.col("first") < own, F.col("first")).otherwise(F.col("near")).alias("of"),
-        F.when(F.col("first") < own, 0).otherwise(1).alias("edits"),
-    ).select(id_col, "line", F.col("of.doc").alias("of_doc"), F.col("of.line").alias("of_line"), "edits")
+    near_lines = near(found, known, first)
+    # Only lines that have a copy go back to all places: a narrow table, so a hot line's places can be split.
+    again = known.groupBy("h1", "h2").agg(F.min(own).alias("first"), F.count("*").alias("n")).join(near_lines, ["h1", "h2"], "left")
+    again = saved(again.filter((F.col("n") > 1) | F.col("near").isNotNull()).drop("n"), "again")
+    rows = known.drop("halves").join(again, ["h1", "h2"]).filter((F.col("first") < own) | F.col("near").isNotNull())
+    same = F.col("first") < own
+    return rows.select("doc", "line", F.when(same, F.col("first")).otherwise(F.col("near")).alias("of"), F.when(same, 0).otherwise(1).alias("edits"))
+
+
+def removed(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, of_doc, of_line, edits): every line that goes, with the earliest equal
+    (edits 0) or else near (edits 1) line before it."""
+    out = _removed(docs, min_chars, min_words, id_col, text_col)
+    return out.select(F.col("doc.id").alias(id_col), "line", F.col("of.doc.id").alias("of_doc"), F.col("of.line").alias("of_line"), "edits")
 
 
 def clean(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
     """`docs` without the removed lines.  A document that loses all its lines that hold a
     word goes; the others keep their rows.  `length_col` is set to the new length."""
-    key, lost, kept = free(docs, "_key", "_gone", "_kept")
-    gone = removed(docs, min_chars, min_words, id_col, text_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line").alias(lost))
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone[key]), "left")
+    key, own, lost, kept = free(docs, "_key", "_own", "_gone", "_kept")
+    gone = _removed(docs, min_chars, min_words, id_col, text_col).groupBy(F.col("doc").alias(key)).agg(F.collect_set("line").alias(lost))
+    rows = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    joined = rows.join(gone, F.col(own) == F.col(key), "left")
     left = F.filter(F.split(text_col, "\n", -1), lambda x, i: ~F.array_contains(lost, i))
     text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))
     out = joined.withColumn(kept, text).filter(F.col(lost).isNull() | (F.trim(F.col(kept), F.lit(" \t\r\n")) != ""))

@@ -22,7 +22,10 @@ the edge is at most `REACH` words away.
 Copies that overlap or touch make a span, and no other word is in it; spans of `min_span`
 words or more are removed, shorter ones are common phrases and stay.
 
-Null and empty texts have no paragraphs.  Rows that share an id count as one document.
+Null and empty texts have no paragraphs, an empty table gives no rows; texts of any length
+are read whole.  Rows that share an id, or have none, are told apart by a hash of their
+text and come in the order of that hash; rows equal in both are one document, which is no
+copy of itself.  Other columns are not read, whatever their names, and stay in `clean`.
 """
 
 from __future__ import annotations
@@ -37,8 +40,9 @@ from pyspark.sql.types import IntegerType
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
-from lodestar.llm.jaccard_join import Sieve, fetch, links, members_of, shared_keys
-from lodestar.llm.storage import free, saved
+from lodestar.llm.jaccard_join import fetch, links, members_of, shared_keys
+from lodestar.llm.sieve import Sieve
+from lodestar.llm.storage import finished, free, keyed, saved
 
 SHINGLE = 5
 PERCENT = 80
@@ -256,9 +260,10 @@ def clusters(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: str
     return components(links(members, sets, PERCENT)).withColumnRenamed("node", "sig")
 
 
-def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, start, end, n_words, of_docs): every span to remove, as word numbers, with the
-    ids of the documents that it copies."""
+@finished("spans")
+def _spans(docs: DataFrame, min_span: int, id_col: str, text_col: str) -> DataFrame:
+    """(doc, start, end, n_words, of_docs) as in `spans`, with the rows' keys instead of ids."""
+    docs, id_col, text_col = keyed(docs, id_col, text_col), "_doc", "_text"
     shared = shared_keys(_keyed(docs, text_col))
     sieve = docs.sparkSession.sparkContext.broadcast(Sieve(shared))
     signed = _signed(docs, sieve, id_col, text_col)
@@ -278,13 +283,20 @@ def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", tex
     run = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))
     merged = every.withColumn("reach", reach).withColumn("run", run).groupBy("id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("of_doc")).alias("of_docs"))
     out = merged.withColumn("n_words", F.col("end") - F.col("start")).filter(F.col("n_words") >= min_span)
-    return out.select(F.col("id").alias(id_col), "start", "end", "n_words", "of_docs")
+    return out.select(F.col("id").alias("doc"), "start", "end", "n_words", "of_docs")
+
+
+def spans(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, start, end, n_words, of_docs): every span to remove, as word numbers, with the
+    ids of the documents that it copies."""
+    out = _spans(docs, min_span, id_col, text_col)
+    return out.select(F.col("doc.id").alias(id_col), "start", "end", "n_words", F.array_sort(F.array_distinct("of_docs.id")).alias("of_docs"))
 
 
 def clean(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with the spans cut out of the text; other columns as they are."""
-    key, cuts = free(docs, "_key", "_cut")
-    cut = spans(docs, min_span, id_col, text_col).groupBy(F.col(id_col).alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
+    key, own, cuts = free(docs, "_key", "_own", "_cut")
+    cut = _spans(docs, min_span, id_col, text_col).groupBy(F.col("doc").alias(key)).agg(F.collect_list(F.struct("start", "end")).alias(cuts))
 
     @F.arrow_udf("string")
     def without(text: pa.Array, cuts: pa.Array) -> pa.Array:
@@ -297,4 +309,6 @@ def clean(docs: DataFrame, min_span: int = MIN_SPAN, id_col: str = "doc_id", tex
             out.append(t)
         return pa.array([x if x is None else x.decode() for x in out], pa.string())
 
-    return docs.join(cut, docs[id_col].eqNullSafe(cut[key]), "left").withColumn(text_col, without(F.col(text_col), F.col(cuts))).select(docs.columns)
+    rows = docs.withColumn(own, F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")))
+    joined = rows.join(cut, F.col(own) == F.col(key), "left")
+    return joined.withColumn(text_col, without(F.col(text_col), F.col(cuts))).select(docs.columns)

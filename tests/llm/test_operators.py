@@ -130,6 +130,37 @@ def test_one_of_each_keeps_columns(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [3, 9]
 
 
+#: Rows with equal and null ids: each text is clean or not by itself.
+IDS = [None, None, None, 4, 4, 4, 4, None, 4]
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    texts = ["a b c d e f", "g h i j k l", "a b c d e f", "m n o p q r", "a b c d e f", "m n o p q r", "", None, ""]
+    out = jaccard_join.one_of_each(docs(spark, texts, IDS))
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect()) == [(0, ""), (0, "g h i j k l"), (4, ""), (4, ""), (4, "a b c d e f"), (4, "m n o p q r")]
+    assert jaccard_join.one_of_each(docs(spark, []) if texts == [] else docs(spark, texts, IDS).limit(0)).count() == 0
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    long = [f"line {i} of these documents is long enough to be looked at once more" for i in range(4)]
+    texts = [f"{long[0]}\nown words", f"{long[0]}\nother words", f"{long[1]}\n{long[2]}", f"{long[3].replace('line', 'row')}\nlast", None]
+    out = line_dedup.clean(docs(spark, texts, [None, None, 7, 7, 7]), min_words=99)
+    left = sorted(r["text"] or "" for r in out.collect())
+    assert len(left) == 5 and sum(long[0] in t for t in left) == 1 and texts[2] in left and texts[3] in left
+
+
+def test_spans_of_rows_that_share_an_id(spark):
+    rng = random.Random(31)
+    passages = [" ".join(f"p{i}x{j}" for j in range(40)) for i in range(2)]
+    fresh = lambda i, n: " ".join(f"f{i}x{j}" for j in range(n))
+    texts = [f"{passages[0]} {fresh(0, 30)} {passages[1]}", f"{fresh(1, 5)} {passages[0]}", f"{passages[1]}", fresh(2, 90), fresh(2, 90), None, ""]
+    rng.shuffle(texts)
+    out = paragraph_dedup.clean(docs(spark, texts, [1] * 4 + [None] * 3))
+    left = [" ".join((r["text"] or "").split()) for r in out.collect()]
+    assert len(left) == 7 and all(sum(p in t for t in left) == 1 for p in passages)
+    assert all(any(f in t for t in left) for f in (fresh(0, 30), fresh(1, 5), fresh(2, 90)))
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)] + [(None, 1), (7, 7)]
@@ -184,7 +215,7 @@ def test_quality_rules(spark):
 
 
 @pytest.mark.parametrize("most", [500_000, 20])
-def test_decontamination(spark, most):
+def test_decontamination_counts(spark, most):
     rng = random.Random(2)
     items = [words(rng, 30), words(rng, 13), "Only Three words", None, "", words(rng, 14)]
     texts = [*AWKWARD, words(rng, 40) + " " + items[0] + " " + words(rng, 20), items[1].upper(), "has only, three WORDS in it", words(rng, 300) + " " + items[5], " ".join(items[0].split()[:12])]
@@ -219,6 +250,25 @@ def test_decontamination_cuts_spans_and_keeps_columns(spark):
     assert decontaminate.clean_text(d, bench.filter("item_id < 0")).count() == 3
 
 
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_decontamination_of_rows_that_share_an_id(spark, most):
+    rng = random.Random(12)
+    items = [" ".join(f"q{i}x{j}" for j in range(16)) for i in range(3)] + ["two words"]
+    lead = [" ".join(f"l{i}x{j}" for j in range(20)) for i in range(len(IDS))]
+    texts = [f"{x} {items[i]}, {items[(i + 1) % 3]}" if i < 3 else x for i, x in enumerate(lead)]
+    texts[4], texts[5], texts[8] = f"é Two, WORDS {lead[4]}", None, texts[0]
+    rng.shuffle(texts)
+    d, bench = docs(spark, texts, IDS), spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = sorted((t is not None and ("q" in t or "WORDS" in t), t or "") for t in texts)
+    got = decontaminate.find(d.withColumn("doc_id", F.col("text")), bench, max_windows=most).collect()
+    assert sorted((r["n_hit"] > 0, r["doc_id"] or "") for r in got) == want
+    kept = decontaminate.clean_text(d, bench, max_windows=most)
+    assert kept.columns == d.columns and sorted(r["text"] or "" for r in kept.collect()) == [t for bad, t in want if not bad]
+    cut = decontaminate.clean_text(d, bench, remove="spans", max_windows=most).collect()
+    assert len(cut) == len(texts) and not any("q" in (r["text"] or "") or "WORDS" in (r["text"] or "") for r in cut)
+    assert decontaminate.find(d.limit(0), bench, max_windows=most).count() == 0
+
+
 TEXTS = [*AWKWARD, "It's <|endoftext|> HERE<|startoftext|> <|STARTOFTEXT|>", "ΣΑΣ ǅ ẞ İ ﬁ ½ ² é Ⱥ", "naïve “quotes” 12345 ...!!! don't we'll"]
 
 
