@@ -5,8 +5,11 @@ confirm them, and context words nearby move the score.  Spans of the four base k
 stay whatever their score; spans of the added kinds need `min_score`.  Offsets are
 code points, the end is exclusive.
 
-Null and empty texts have no spans.  Rows are scanned one by one, whole, in one
-narrow pass; repeated ids give a row each and other columns are not read.
+Null and empty texts have no spans, an empty table gives no rows.  Rows are scanned one by
+one, whole, in one narrow pass, in a time that grows with the length of the text: no
+pattern starts anew inside a run that it has seen.  Spans of different kinds may overlap
+and all stand in the result; of one kind they do not.  Repeated rows and ids give a row
+each; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +30,14 @@ MIN_SCORE = 0.6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match starts where a run of digits does: from within the run the same would follow.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])(?:\([0-9]{2,5}\) ?|[0-9]{2,5}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-]*[0-9])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[a-f0-9]{32,64}|[A-Z]{4}[A-Z0-9]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9_])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_])(?:[a-f0-9]{32,64}|[A-F0-9]{32,64}|[A-Z]{4}[A-Z0-9]{16}|(?:sk|pk|ghp|xox[bp])[-_][A-Za-z0-9_-]{16,})(?![A-Za-z0-9_])")
 _CONTEXT = {
     "email": re.compile(r"(?i)e-?mail|contact|write|@"),
     "ip": re.compile(r"(?i)\bip\b|address|host|server"),
@@ -84,16 +88,27 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+# The length of an IBAN by country, as the public registry lists it.
+IBAN_LENGTHS = {
+    x[:2]: int(x[2:])
+    for x in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 "
+        "HR21 HU28 IE22 IL23 IS26 IT27 JO30 KW30 KZ20 LB28 LI21 LT20 LU20 LV21 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 "
+        "RO24 RS22 SA24 SE24 SI19 SK24 SM27 TN24 TR26 UA29 VG24 XK20"
+    ).split()
+}
+
+
 def ibans(text: str) -> Iterator[tuple[int, int]]:
-    """IBANs: the longest run of 15 characters or more that passes mod-97."""
+    """IBANs that have their country's length and pass mod-97; of other countries, whole runs that pass."""
     for m in _IBAN.finditer(text):
-        s = m[0]
-        for end in range(len(s), 14, -1):
-            plain = s[:end].replace(" ", "")
-            if len(plain) < 15:
-                break
-            if s[end - 1] != " " and len(plain) <= 34 and mod97(plain) and (end == len(s) or s[end] == " "):
-                yield m.start(), m.start() + end
+        s, seen = m[0], 0
+        size = IBAN_LENGTHS.get(s[:2], len(s.replace(" ", "")))
+        for end, c in enumerate(s, 1):
+            seen += c != " "
+            if seen == size:
+                if (end == len(s) or s[end] == " ") and mod97(s[:end].replace(" ", "")):
+                    yield m.start(), m.start() + end
                 break
 
 
@@ -147,7 +162,8 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts and digests of what `find` gave."""
     of = lambda k: F.size(F.filter("spans", lambda s: s.kind == k)).cast("bigint")
     base = F.filter("spans", lambda s: s.kind.isin(*BASE))
-    return found.select(id_col, *[of(k).alias(f"n_{k}") for k in BASE], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    counts = [[of(k).alias(f"n_{k}") for k in kinds] for kinds in (BASE, ADDED)]
+    return found.select(id_col, *counts[0], F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.size("spans").cast("bigint").alias("n_spans"), *counts[1])
 
 
 def masked(text: str, found: Column | str = "spans") -> Column:
