@@ -11,12 +11,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
 #: Bytes of query vectors in one broadcast block.
 QUERY_BYTES = 32 << 20
+#: Most (query, term) rows that are broadcast: about 50 MB.
+MAX_ASKED = 1_000_000
+#: Rows that a task scores at once against 200 queries.
+ROWS = 2000
 # One-letter particles that end a Korean word, and the trailing signs dropped with them.
 PARTICLES = "는은가을를도만에의"
 SIGNS = "?!.,;:"
@@ -30,6 +35,34 @@ def cosine(a: str | Column, b: str | Column, null_policy: float | None = None) -
     return F.when((F.size(a) == F.size(b)) & (size > 0), dot(a, b) / size).otherwise(F.lit(null_policy))
 
 
+class _Top:
+    """The k best (greatest score, least id) of each of n queries so far, in a task."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.floor = k, np.full(n, -np.inf)
+        self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), None
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, above: float = -np.inf) -> None:
+        """scores: a row for each id, a column for each query; only those greater than `above` count."""
+        floor = self.floor
+        if len(ids) > self.k:
+            floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        row, query = np.nonzero((scores >= floor) & (scores > above))
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[row, query]])
+        every = ids[row] if self.id is None else np.concatenate([self.id, ids[row]])
+        order = np.lexsort((every, -score, query))
+        query = query[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        keep = place < self.k
+        self.query, self.score, self.id = query[keep], score[order][keep], every[order][keep]
+        last = place[keep] == self.k - 1
+        self.floor[self.query[last]] = self.score[last]
+
+    def batch(self, names: pa.Array, ids: pa.DataType, kind: pa.DataType, score: str) -> pa.RecordBatch:
+        found = pa.array([] if self.id is None else self.id, ids)
+        return pa.RecordBatch.from_arrays([names.take(pa.array(self.query)), found, pa.array(self.score).cast(kind)], names=["query_id", "id", score])
+
+
 def dense(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "vec") -> DataFrame:
     """(query_id, id, sim, rank): the k nearest by exact cosine, of every query.
 
@@ -42,43 +75,37 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id
     sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
     blocks = max(1, -(-(sizes["n"] or 0) * (sizes["d"] or 1) * 8 // QUERY_BYTES))
     rows = chunks.filter(F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, sim double"
     found = None
     for b in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("vec").cast("array<double>").alias("vec")).collect()
-        if not part:
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.col("vec").cast("array<double>").alias("vec")).toArrow().combine_chunks()
+        if not part.num_rows:
             continue
-        shared = spark.sparkContext.broadcast(([r["query_id"] for r in part], np.array([r["vec"] for r in part])))
+        vecs = np.stack(part.column("vec").to_numpy())
+        shared = spark.sparkContext.broadcast((part.column("query_id").combine_chunks(), vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)))
 
-        def best(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, q = shared.value
-            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            top: pd.DataFrame | None = None
+            top, kind = _Top(len(names), k), None
             for batch in batches:
-                x = np.stack(batch["vec"].to_numpy())
-                size = np.linalg.norm(x, axis=1)
-                ids = batch["id"].to_numpy()[size > 0]
-                sim = np.round((x[size > 0] / size[size > 0][:, None]) @ q.T, 9)
-                keep = np.argsort(-sim, axis=0, kind="stable")[:k] if len(ids) <= k else _best(sim, ids, k)
-                new = pd.DataFrame({"query_id": np.repeat(names, keep.shape[0]), "id": ids[keep].T.reshape(-1), "sim": np.take_along_axis(sim, keep, axis=0).T.reshape(-1)})
-                top = new if top is None else pd.concat([top, new])
-                top = top.sort_values(["query_id", "sim", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if top is not None:
-                yield top
-
-        kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema['id'].dataType.simpleString()}, sim double"
-        local = rows.mapInPandas(best, kinds)
+                kind = batch.column("id").type
+                for at in range(0, batch.num_rows, ROWS):
+                    block = batch.slice(at, ROWS)
+                    x = np.stack(block.column("vec").to_numpy(zero_copy_only=False))
+                    size = np.linalg.norm(x, axis=1)
+                    ids = block.column("id").to_numpy(zero_copy_only=False)[size > 0]
+                    top.add(np.round((x[size > 0] / size[size > 0][:, None]) @ q.T, 9), ids)
+            if kind is not None:
+                yield top.batch(names, kind, pa.float64(), "sim")
+
+        local = rows.mapInArrow(best, kinds)
         found = local if found is None else found.unionByName(local)
     if found is None:
-        return spark.createDataFrame([], "query_id bigint, id bigint, sim double, rank int")
+        return spark.createDataFrame([], f"query_id bigint, {id_col} bigint, sim double, rank int")
     w = Window.partitionBy("query_id").orderBy(F.desc("sim"), "id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
-def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Indices of the k best of each column, ties by id."""
-    return np.stack([np.lexsort((ids, -sim[:, j]))[:k] for j in range(sim.shape[1])], axis=1)
-
-
 def terms(text: str | Column) -> Column:
     """Lower-cased words of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -93,26 +120,64 @@ def or_terms(query: str | Column) -> Column:
     return F.filter(cut, lambda t: t != "")
 
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id") -> DataFrame:
-    """(term, id, tf): the inverted index; store it bucketed by term to spare its shuffle."""
-    return chunks.select(id_col, F.explode(terms("text")).alias("term")).groupBy("term", id_col).agg(F.count("*").alias("tf"))
-
-
 def sparse(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", mode: str = "or") -> DataFrame:
     """(query_id, id, score, rank): chunks by occurrences of the query's terms; `and` asks for all of them.
 
-    The query terms are few next to the corpus: the index is filtered to them before any
-    shuffle when their broadcast is small enough for Spark, and joined by term otherwise.
+    Up to MAX_ASKED query terms are broadcast, and every task counts them in its chunks and
+    keeps its own k best for each query, so k rows for each query and task are shuffled,
+    however common a term is.  More are joined by term.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    tokens = chunks.select(id_col, F.explode(terms("text")).alias("term"))
-    hits = tokens.join(asked, "term").groupBy("query_id", id_col).agg(F.count("*").alias("score"), F.count_distinct("term").alias("found")) if mode == "and" else tokens.join(asked, "term").groupBy("query_id", id_col).agg(F.count("*").alias("score"))
-    if mode == "and":
-        hits = hits.join(asked.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").filter("found = wanted").drop("found", "wanted")
+    few = asked.limit(MAX_ASKED + 1).toArrow()
+    hits = _scored(chunks, few, queries.schema["query_id"].dataType.simpleString(), k, id_col, mode == "and") if few.num_rows <= MAX_ASKED else _joined(chunks, asked, id_col, mode == "and")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _joined(chunks: DataFrame, asked: DataFrame, id_col: str, every: bool) -> DataFrame:
+    """(query_id, id, score) of all hits, by a join of terms."""
+    tf = chunks.select(id_col, F.explode(terms("text")).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    hits = tf.join(asked, "term").groupBy("query_id", id_col).agg(F.sum("tf").alias("score"), F.count("*").alias("found"))
+    if every:
+        hits = hits.join(asked.groupBy("query_id").agg(F.count("*").alias("wanted")), "query_id").filter("found = wanted")
+    return hits.select("query_id", id_col, "score")
+
+
+def _scored(chunks: DataFrame, asked: pa.Table, kind: str, k: int, id_col: str, every: bool) -> DataFrame:
+    """(query_id, id, score): each task's k best of every query."""
+    names, terms_of = asked.column("query_id").combine_chunks().dictionary_encode(), asked.column("term").combine_chunks().dictionary_encode()
+    order = np.argsort(terms_of.indices.to_numpy(), kind="stable")
+    query, term = names.indices.to_numpy()[order].astype(np.int64), terms_of.indices.to_numpy()[order]
+    first = np.searchsorted(term, np.arange(len(terms_of.dictionary) + 1))
+    shared = chunks.sparkSession.sparkContext.broadcast((names.dictionary, terms_of.dictionary, query, first))
+    rows = chunks.select(F.col(id_col).alias("id"), terms("text").alias("terms"))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, known, query, first = shared.value
+        top, kind, n, wanted = _Top(len(names), k), None, len(names), np.bincount(query, minlength=len(names))
+        for batch in batches:
+            kind = batch.column("id").type
+            for at in range(0, batch.num_rows, max(1, ROWS * 200 // max(n, 1))):
+                block = batch.slice(at, max(1, ROWS * 200 // max(n, 1)))
+                lists, size = block.column("terms"), block.num_rows
+                spot = pa.compute.index_in(lists.flatten(), value_set=known)
+                row = np.repeat(np.arange(size), pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))
+                hit = spot.is_valid().to_numpy(zero_copy_only=False)
+                pair, tf = np.unique(row[hit] * len(known) + spot.drop_null().to_numpy(), return_counts=True)
+                row, spot = pair // max(len(known), 1), pair % max(len(known), 1)
+                each = first[spot + 1] - first[spot]
+                to = np.repeat(row * n, each) + query[np.arange(each.sum()) + np.repeat(first[spot] - (np.cumsum(each) - each), each)]
+                score = np.bincount(to, weights=np.repeat(tf, each), minlength=size * n).reshape(size, n)
+                if every:
+                    score[np.bincount(to, minlength=size * n).reshape(size, n) < wanted] = 0
+                top.add(score, block.column("id").to_numpy(zero_copy_only=False), above=0)
+        if kind is not None:
+            yield top.batch(names, kind, pa.int64(), "score")
+
+    kinds = f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, score bigint"
+    return rows.mapInArrow(best, kinds).withColumnRenamed("id", id_col)
+
+
 def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, rrf, dense_rank, sparse_rank, rank): reciprocal rank fusion of both lists."""
     both = dense_hits.select("query_id", id_col, F.col("rank").alias("dense_rank")).unionByName(sparse_hits.select("query_id", id_col, F.col("rank").alias("sparse_rank")), allowMissingColumns=True)
@@ -206,11 +271,6 @@ def rerank(hits: DataFrame, scores: DataFrame, cap: int = 20, id_col: str = "chu
     return hits.join(s, ["query_id", id_col], "left").withColumn("rrf", F.when(F.col("rank") <= cap, F.coalesce("_s", "rrf")).otherwise(F.col("rrf"))).drop("_s")
 
 
-def rerank_key(query: Column, ids: Column) -> Column:
-    """The reranker cache's key: the query in small letters and a hash of its sorted ids."""
-    return F.concat_ws("|", F.lower(query), F.left(F.sha1(F.array_join(F.array_sort(ids.cast("array<string>")), "\n")), F.lit(16)))
-
-
 def snippet(text: Column, query: Column, around: int = 240) -> tuple[Column, Column]:
     """The text around the first literal hit, with ellipses, and all hits inside it as [start, end]."""
     at = F.position(F.lower(query), F.lower(text)) - 1
