@@ -23,6 +23,12 @@ def nfc(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFC", x) for x in text.to_pylist()], pa.string())
 
 
+@F.arrow_udf(StringType())
+def nfd(text: pa.Array) -> pa.Array:
+    """Unicode decomposed form."""
+    return pa.array([None if x is None else unicodedata.normalize("NFD", x) for x in text.to_pylist()], pa.string())
+
+
 @F.arrow_udf(DoubleType())
 def name_ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     """Sequence-matcher ratio of two names in small letters."""
@@ -100,13 +106,14 @@ def cards(text: Column) -> Column:
 
 # Entity patterns, in order of kind.
 DATES = [r"\d{4}\s*년\s*\d{1,2}\s*월(?:\s*\d{1,2}\s*일)?", r"(?<!\d)\d{4}[.\-/]\s*\d{1,2}[.\-/]\s*\d{1,2}(?!\d)", r"(?<!\d)\d{4}[.\-]\s*\d{1,2}(?!\d)"]
-AMOUNTS = [r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*원", r"\b\d{1,4}(?:\.\d+)?\s*(?:만|억|조|천)\s*원", r"\$\d{1,3}(?:,\d{3})*(?:\.\d+)?\b", r"₩\d{1,3}(?:,\d{3})*(?:\.\d+)?\b"]
+AMOUNTS = [r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*원\b", r"\b\d{1,4}(?:\.\d+)?\s*(?:만|억|조|천)\s*원\b", r"\$\d{1,3}(?:,\d{3})*(?:\.\d+)?\b", r"₩\d{1,3}(?:,\d{3})*(?:\.\d+)?\b"]
 PERCENTS = [r"\b\d{1,3}(?:\.\d+)?\s*%"]
 IDENTIFIERS = [r"\bISSN\s+\d{4}-\d{3}[\dXx]\b", r"\bISBN\s+[\d\-Xx]{10,17}\b", r"제\s*\d+\s*호"]
 
 
 def _entities(text: Column, patterns: list[str]) -> Column:
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in patterns]))
+    # (?U): letters of every script are word characters, so that a particle after a sum is no word boundary
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(text, F.lit(f"(?U){p}"), F.lit(0)) for p in patterns]))
 
 
 def entities(text: Column) -> Column:

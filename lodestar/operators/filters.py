@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,24 @@ def stale_jobs(jobs: DataFrame, as_of: str, hours: int) -> DataFrame:
 def fail_stale(jobs: DataFrame, as_of: str, hours: int) -> DataFrame:
     """The jobs with stale ones marked failed; the condition is part of the update, so it can be repeated."""
     return jobs.withColumn("status", F.when(_is_stale(as_of, hours), "failed").otherwise(F.col("status")))
+
+
+def by_plan(docs: DataFrame, plans: DataFrame, k: int) -> DataFrame:
+    """(ask_id, doc_id, place): of each plan (ask_id, start, end, tags, title) the newest k documents
+    that have all its tags, a date in its range and its title in their title.
+
+    Plans with a tag meet documents by it, those with a date by the day; only plans that name
+    nothing but a title, which are a table of queries, are held against all documents.
+    """
+    d = docs.select("doc_id", "created_at", F.col("tags").alias("_tags"), F.lower("title").alias("_title"))
+    tagged, dated = F.size("tags") > 0, F.col("start").isNotNull()
+    by_tag = plans.filter(tagged).withColumn("_on", F.get("tags", F.lit(0))).join(d.withColumn("_on", F.explode(F.array_distinct("_tags"))), "_on")
+    days = F.sequence("start", F.date_sub("end", 1))
+    by_day = plans.filter(~tagged & dated).withColumn("_on", F.explode(days)).join(d.withColumn("_on", F.to_date("created_at")), "_on")
+    rest = plans.filter(~tagged & ~dated)
+    by_title = d.join(rest, F.contains(d["_title"], F.lower(rest["title"])))
+    fits = (F.size(F.array_except("tags", "_tags")) == 0) & (~dated | ((F.col("created_at") >= F.col("start").cast("timestamp")) & (F.col("created_at") < F.col("end").cast("timestamp")))) & (F.col("title").isNull() | F.contains(F.col("_title"), F.lower("title")))
+    columns = [*plans.columns, *d.columns]
+    both = by_tag.select(columns).unionByName(by_day.select(columns)).unionByName(by_title.select(columns)).filter(fits)
+    w = Window.partitionBy("ask_id").orderBy(F.desc("created_at"), "doc_id")
+    return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("ask_id", "doc_id", "place")

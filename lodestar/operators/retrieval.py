@@ -188,6 +188,12 @@ def fuse(dense_hits: DataFrame, sparse_hits: DataFrame, k: int, id_col: str = "c
     return fused.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def pool(hits: DataFrame, wanted: Column, k: int) -> DataFrame:
+    """The first k wanted hits of each query, in the order of their rank, as `place`."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    return hits.filter(wanted).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
 def merge_pools(pools: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     """(query_id, id, score): of (query_id, pool, rank, id) the sum of 1 / (k + rank); a pool's rank starts at 1."""
     return pools.groupBy("query_id", id_col).agg(F.sum(F.lit(1.0) / (RRF_K + F.col("rank"))).alias("score"), F.min_by("pool", F.struct("pool", "rank")).alias("first_pool"))

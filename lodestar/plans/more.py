@@ -68,12 +68,6 @@ def r20(v: Views) -> DataFrame:
     return v.chunks().select("chunk_id", F.sha2(F.concat_ws("\n", F.lit("q"), F.when(F.col("text").rlike(r"\n$"), F.col("text")).otherwise(T.without_synonym_marker(marked))).cast("binary"), 256).alias("hyde"))
 
 
-@query("R24_fast_path", sql("SELECT doc_id FROM docs WHERE deleted_at IS NULL AND list_has_all(tags, ['fr']) AND created_at >= TIMESTAMP '2024-01-02' AND created_at < TIMESTAMP '2024-01-20' ORDER BY created_at DESC, doc_id LIMIT 20"))
-def r24(v: Views) -> DataFrame:
-    found = filters.tenant(v.docs(), None).filter(filters.has_all("tags", ["fr"]) & filters.between_half_open("created_at", "2024-01-02", "2024-01-20"))
-    return found.orderBy(F.desc("created_at"), "doc_id").limit(20).select("doc_id")
-
-
 @query("T14_backfill", sql("SELECT doc_id, 'new' AS flag FROM docs WHERE doc_id % 4 = 0"))
 def t14(v: Views) -> DataFrame:
     old = v.docs().select("doc_id", F.when(F.col("doc_id") % 2 == 0, "old").alias("flag"))

@@ -132,36 +132,6 @@ def q1(v: Views) -> DataFrame:
     return v.docs().select("doc_id", F.sha2(T.nfc(F.col("text")).cast("binary"), 256).alias("sha"))
 
 
-@query("Q2_Q5_signals", sql("SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN contains(q, 'vs') THEN 'T2_compare' END, CASE WHEN length(q) >= 40 OR len(string_split(q, ' ')) >= 12 THEN 'T5_long_query' END], lambda x: x IS NOT NULL), ',') AS fired FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS q FROM conversations WHERE role = 'user')".replace("\\\\", "\\")))
-def q2(v: Views) -> DataFrame:
-    return v.table("conversations").filter("role = 'user'").select("conv_id", "turn", F.array_join(Q.signals(F.col("text")), ",").alias("fired"))
-
-
-@query("Q6_A23_query_labels", sql(r"SELECT label, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(trim(text), '\d+(\.\d+)?\s*(kg|km|cm|%|m)') THEN 'numeric_lookup' ELSE 'exact_fact' END AS label FROM conversations WHERE role = 'user' AND trim(text) <> '') GROUP BY label"))
-def q6(v: Views) -> DataFrame:
-    asked = v.table("conversations").filter((F.col("role") == "user") & (F.trim("text") != ""))
-    return asked.groupBy(Q.label(F.col("text")).alias("label")).agg(F.count("*").alias("n"))
-
-
-@query("Q8_hashtags", sql(r"SELECT doc_id, array_to_string(list_distinct(regexp_extract_all(text, '#([A-Za-z0-9가-힣_\-]+)', 1)), ',') AS tags FROM (SELECT doc_id, '#' || source || ' #' || lang || ' #' || lang AS text FROM documents WHERE lang < source)"))
-def q8(v: Views) -> DataFrame:
-    asked = v.table("documents").filter("lang < source").select("doc_id", F.concat(F.lit("#"), "source", F.lit(" #"), "lang", F.lit(" #"), "lang").alias("text"))
-    return asked.select("doc_id", F.array_join(F.array_sort(Q.tags(F.col("text"))), ",").alias("tags"))
-
-
-@query("Q7_dates", sql("SELECT doc_id, strftime(d, '%Y-%m-%d') AS first, strftime(d + INTERVAL 1 DAY, '%Y-%m-%d') AS last FROM (SELECT doc_id, try_cast('2024-' || lpad((doc_id % 14)::VARCHAR, 2, '0') || '-' || lpad((doc_id % 31 + 1)::VARCHAR, 2, '0') AS DATE) AS d FROM docs)"))
-def q7(v: Views) -> DataFrame:
-    asked = F.concat(F.lit("files of 2024."), (F.col("doc_id") % 14).cast("string"), F.lit("."), (F.col("doc_id") % 31 + 1).cast("string"))
-    found = v.docs().select("doc_id", Q.date_range(asked, "2024-01-31").alias("r"))
-    return found.select("doc_id", F.col("r.start").cast("string").alias("first"), F.col("r.end").cast("string").alias("last"))
-
-
-@query("Q10_A24_comment_labels", sql("SELECT label, count(*) AS n FROM (SELECT CASE WHEN contains(lower(comment), 'chunk') THEN 'search_issue' ELSE 'other' END AS label FROM feedback WHERE trim(coalesce(comment, '')) <> '') GROUP BY label"))
-def q10(v: Views) -> DataFrame:
-    said = v.feedback().filter(F.trim(F.coalesce("comment", F.lit(""))) != "")
-    return said.groupBy(Q.comment_label(F.col("comment")).alias("label")).agg(F.count("*").alias("n"))
-
-
 @query("Q12_Q13_sub_queries", sql("SELECT doc_id, CASE WHEN doc_id % 7 BETWEEN 2 AND 5 THEN doc_id % 7 ELSE 0 END AS n FROM docs"))
 def q12(v: Views) -> DataFrame:
     items = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.col("doc_id") % 7).cast("int"))), lambda i: F.concat(F.lit("q"), i.cast("string")))

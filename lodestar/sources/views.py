@@ -15,6 +15,19 @@ DOC_TYPES = ["pdf", "hwp", "hwpx", "docx", "pptx", "image", "url", "txt", "md"]
 MODES = ["hybrid", "dense", "sparse"]
 STAGES = ["extract", "chunk", "chunk_filter", "content_gate", "tag_summarize", "load", "embed", "doc_embed", "dedup"]
 CHUNK_CHARS = 800
+#: Queries and comments that reach every branch of the rules of query understanding.
+ASKS = [
+    "자료랑 규정 문서", "이력서와 계약서 A", "매뉴얼들 중에서 찾기", "A안과 B안 차이", "가격 비교", "ISO vs KS", "다르게 적힌 부분", "왜 늦었나", "지연 이유",
+    "바뀐 규정", "변경 내역", "그때 본 표", "어디였더라 그 파일", "사과과 배랑 귤랑 감", "2024년 1월 3일 회의록", "2024-01-05 보고서 보여줘", "2024년 1월", "어제 받은 문서",
+    "#en 문서", "#fr", "#en #src1 어떻게 계산", "프로젝트 X 기획서를 찾아줘", "결론", "구조도 그림", "별표 목록", "지원금 얼마", "3 개월 이내", "몇 명", "핵심 요약",
+    "기억나 그 사진", "개인정보 처리", "색상 선택", "시트 종류", "하나 둘 셋 넷 다섯 여섯 문서", "지난주 #src2", "2024-13-45 파일",
+    "아주 긴 질문으로서 여러 낱말을 하나씩 이어서 적어 마흔 글자를 넘기고 끝내 뭐였지 하고 다시 묻는 글", "한 두 세 네 다 여 일 여 아 열 십 백 천", "", "   ",
+]
+COMMENTS = ["출처가 이상함", "근거 없음", "검색이 안 됨", "chunk 가 다름", "답변이 틀린 것", "환각 같음", "좋아요", "", "  ", None]
+
+
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else f"'{value}'"
 
 
 def _pick(values: list[str], index) -> F.Column:
@@ -111,6 +124,16 @@ class Views:
         created = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00").cast("timestamp")) + F.col("doc_id") * 3600)
         return labels.join(comments, labels["doc_id"] == comments["conv_id"], "left").select("doc_id", created.alias("created_at"), (F.col("quality") == 1).alias("helpful"), "comment")
 
+    def asks(self) -> DataFrame:
+        """(ask_id, text, source, negative): one query for each document; `source` is what its document says."""
+        i = F.col("doc_id")
+        source = F.when(i % 3 == 0, "비식별화 규정").when(i % 3 == 1, "컬러와 가죽")
+        return self.table("documents").select(i.alias("ask_id"), _pick(ASKS, i).alias("text"), source.alias("source"), (i % 37 == 0).alias("negative"))
+
+    def comments(self) -> DataFrame:
+        """(doc_id, helpful, comment) of every judged document."""
+        return self.table("labels").select("doc_id", (F.col("quality") == 1).alias("helpful"), _pick(COMMENTS, F.col("doc_id")).alias("comment"))
+
     def subscriptions(self) -> DataFrame:
         c = self.table("customer")
         plan = _pick(["free", "starter", "pro"], F.col("c_custkey"))
@@ -120,8 +143,13 @@ class Views:
 
 
 #: The same views for DuckDB.
-SQL = """
-docs AS (
+SQL = f"""
+asks AS (
+  SELECT doc_id AS ask_id, [{', '.join(map(_text, ASKS))}][(doc_id % {len(ASKS)} + 1)::INT] AS text,
+    CASE doc_id % 3 WHEN 0 THEN '비식별화 규정' WHEN 1 THEN '컬러와 가죽' END AS source, doc_id % 37 = 0 AS negative FROM documents
+), comments AS (
+  SELECT doc_id, quality = 1 AS helpful, [{', '.join(map(_text, COMMENTS))}][(doc_id % {len(COMMENTS)} + 1)::INT] AS comment FROM labels
+), docs AS (
   SELECT doc_id, source AS user_id, lang || '_' || source || '_' || doc_id AS title,
     ['pdf','hwp','hwpx','docx','pptx','image','url','txt','md'][(doc_id % 9 + 1)::INT] AS doc_type, [lang, source] AS tags,
     TIMESTAMP '2024-01-01' + to_hours(doc_id::INT) AS created_at,
