@@ -141,9 +141,26 @@ def without_synonym_marker(text: Column) -> Column:
     return F.regexp_replace(text, r"\n*\[검색어:[^\]]*\]\s*$", "")
 
 
+# How headings read, and page headers and numbers that are none.
+HEADING_RATIO, HEADING_CHARS = 1.15, 80
+HEADING = (
+    r"^("
+    r"제\s*\d+\s*[조항장절편관]|부칙|별표\s*\d*|별첨\s*\d*"
+    r"|【[^】]{1,30}】|\[[^\]]{1,30}\]"
+    r"|Chapter\s*\d*|Section\s*\d*"
+    r"|\d+(?:\.\d+){0,3}\.?\s+[A-Z][A-Za-z]*"
+    r"|(?:Abstract|Introduction|Background|Related\s+Work|Methodology|Methods?"
+    r"|Experiments?|Evaluation|Results?|Findings?|Discussion|Conclusions?"
+    r"|References|Bibliography|Acknowledg(?:e?)ments?|Appendix(?:\s+[A-Z])?)"
+    r")([\s(].*)?$"
+)
+PAGE_HEADER = r"(?i)^(arXiv:\s*\d+\.\d+(v\d+)?(\s*\[[A-Za-z\-\.]+\])?(\s+.+)?|\d{1,4}|Page\s*\d+|-\s*\d+\s*-)\s*$"
+
+
 def heading(text: Column, size: Column, median: Column) -> Column:
-    """A line of 80 characters at most, set 1.15 times the page's median or larger, or numbered like a heading."""
-    return (F.char_length(text) <= 80) & ((size >= 1.15 * median) | text.rlike(r"^(제\s*\d+\s*[장절조]|\d+(\.\d+)*\.?\s+\S|[IVX]+\.\s)"))
+    """No page header or number, and set 1.15 times the page's median or larger, or a short line that reads like a heading."""
+    short = F.char_length(text) <= HEADING_CHARS
+    return ~(short & text.rlike(PAGE_HEADER)) & (((median > 0) & (size >= HEADING_RATIO * median)) | (short & text.rlike(HEADING)))
 
 
 _OPEN = [("“", "”"), ("‘", "’"), ("(", ")"), ("[", "]"), ("{", "}"), ("「", "」"), ("『", "』")]

@@ -22,10 +22,11 @@ def marked(chunks: DataFrame) -> DataFrame:
 
 
 def rollup(marked_chunks: DataFrame) -> DataFrame:
-    """(total, filtered, breakdown): a JSON object of counts by reason."""
+    """(total, filtered, warning, breakdown): counts by reason, and whether more than 5 % are left out."""
     by = marked_chunks.groupBy("reason").agg(F.count("*").alias("n"))
-    pairs = F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("reason", "n"))))
-    return by.agg(F.sum("n").alias("total"), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("filtered"), F.to_json(F.map_from_entries(pairs)).alias("breakdown"))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.concat_ws("=", "reason", F.col("n").cast("string")))))
+    out = by.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.when(F.col("reason").isNotNull(), F.col("n"))), F.lit(0)).alias("filtered"), F.array_join(pairs, ",").alias("breakdown"))
+    return out.select("total", "filtered", F.coalesce(F.col("filtered") / F.nullif("total", F.lit(0)) > 0.05, F.lit(False)).alias("warning"), "breakdown")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
@@ -89,6 +90,9 @@ def exact_duplicates(docs: DataFrame, owner: str = "user_id") -> DataFrame:
     return keyed.join(first, [owner, "_sha"]).filter("doc_id <> duplicate_of").select(owner, "doc_id", "duplicate_of")
 
 
-def gate(marked_docs: DataFrame) -> DataFrame:
-    """(doc_id, has_pii, has_watermark, hits) over (doc_id, pii, hits) of chunks."""
-    return marked_docs.groupBy("doc_id").agg(F.bool_or(F.col("pii")).alias("has_pii"), F.bool_or(F.size("hits") > 0).alias("has_watermark"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"))
+def gate(marked_chunks: DataFrame, image_kinds: DataFrame) -> DataFrame:
+    """(doc_id, has_pii, has_watermark, hits, third_party) over (doc_id, pii, hits) of chunks and (doc_id, image_kind)."""
+    told = marked_chunks.groupBy("doc_id").agg(F.bool_or("pii").alias("has_pii"), F.bool_or(F.size("hits") > 0).alias("has_watermark"))
+    hits = marked_chunks.select("doc_id", F.explode("hits").alias("hit")).groupBy("doc_id").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    every = told.join(hits, "doc_id", "left").join(image_kinds, "doc_id", "left")
+    return every.select("doc_id", "has_pii", "has_watermark", F.coalesce("hits", F.array().cast("array<string>")).alias("hits"), F.coalesce(F.col("image_kind") == "메신저대화", F.lit(False)).alias("third_party"))

@@ -12,7 +12,7 @@ STAGE_FALLBACK_MS = {"extract": 120000, "chunk": 2000, "chunk_filter": 1000, "co
 
 def token_cost(usage: DataFrame, prices: DataFrame, default: tuple[float, float]) -> DataFrame:
     """Adds cost: tokens times the model's price for a million, the default price for an unknown model, six places."""
-    p = F.broadcast(prices.select("model", F.col("price_in").alias("_in"), F.col("price_out").alias("_out")))
+    p = prices.select("model", F.col("price_in").alias("_in"), F.col("price_out").alias("_out"))
     cost = (F.col("tokens_in") * F.coalesce("_in", F.lit(default[0])) + F.col("tokens_out") * F.coalesce("_out", F.lit(default[1]))) / 1e6
     return usage.join(p, "model", "left").withColumn("cost", F.round(cost, 6)).drop("_in", "_out")
 
@@ -51,7 +51,7 @@ def budget_estimate(avg_cost: Column, avg_pages: Column, rows: Column, docs: Col
 def rate_verdicts(events: DataFrame, user: str, at: str, key: str, abuse_cap: int, plans: DataFrame) -> DataFrame:
     """Each event's number on its UTC day, and 402 above the plan's limit, else 429 above the abuse cap, else 200."""
     w = Window.partitionBy(user, F.to_date(at)).orderBy(at, key)
-    out = events.withColumn("n", F.row_number().over(w)).join(F.broadcast(plans), "plan", "left")
+    out = events.withColumn("n", F.row_number().over(w)).join(plans, "plan", "left")
     return out.withColumn("code", F.when(F.col("n") > F.col("plan_limit"), 402).when(F.col("n") > abuse_cap, 429).otherwise(200))
 
 
@@ -82,14 +82,29 @@ def fold_jobs(log: DataFrame) -> DataFrame:
     return log.groupBy("doc_id").agg(F.max_by("status", F.struct("queued_at", "job_id")).alias("status"), F.max("queued_at").alias("queued_at"), F.count("*").alias("n"))
 
 
-def eta(running: DataFrame, medians: DataFrame, stages: list[str]) -> DataFrame:
-    """(id, stage, eta_ms): the sum of medians (fallbacks where unknown) of a job's stage and those after it."""
-    spark = running.sparkSession
+def eta(jobs: DataFrame, medians: DataFrame, stages: list[str], page_ms: float | None = None) -> DataFrame:
+    """Jobs (status, stage, current, total, unit) with eta_ms, what is left of their stage and of those after it.
+
+    A stage takes its median, a fixed fallback where that is unknown.  Of the current stage the
+    share that its progress leaves counts; pages still to extract count 1.2 times `page_ms` each
+    instead.  Queued jobs and those without a known stage have all stages before them; ended jobs
+    have none, and without any median there is no estimate.
+    """
+    spark = jobs.sparkSession
     table = spark.createDataFrame([(s, i, STAGE_FALLBACK_MS[s]) for i, s in enumerate(stages)], "stage string, at int, fallback int")
-    known = table.join(medians, "stage", "left").withColumn("ms", F.coalesce("median_ms", F.col("fallback").cast("double")))
-    left = F.sum("ms").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("at")))
-    remaining = known.select("stage", left.alias("eta_ms"))  # nine rows
-    return running.join(F.broadcast(remaining), "stage")
+    known = table.join(medians, "stage", "left").select("at", "stage", F.coalesce("median_ms", F.col("fallback").cast("double")).alias("ms"), F.col("median_ms").isNotNull().alias("real"))
+    # Nine rows become one: the durations in order.
+    one = known.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stage", "ms"))), lambda x: x.stage).alias("_stages"), F.transform(F.array_sort(F.collect_list(F.struct("at", "stage", "ms"))), lambda x: x.ms).alias("_ms"), F.bool_or("real").alias("_any"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    at = F.when(F.col("status") == "queued", 0).otherwise(F.array_position("_stages", F.col("stage")))
+    own = F.get("_ms", (at - 1).cast("int"))
+    left = own * (1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("current") / F.col("total"))))
+    pages = F.greatest(F.lit(0), F.col("total") - F.col("current")) * F.lit(page_ms).cast("double") * 1.2
+    now = F.when((F.col("stage") == "extract") & (F.col("unit") == "pages") & (F.col("total") > 0) & pages.isNotNull(), pages).when(F.col("total") > 0, left).otherwise(own)
+    later = total(F.slice("_ms", (at + 1).cast("int"), F.lit(len(stages))))
+    value = F.when(F.coalesce(at, F.lit(0)) == 0, total(F.col("_ms"))).otherwise(F.floor(now) + later)
+    out = jobs.crossJoin(F.broadcast(one)).withColumn("eta_ms", F.when(F.col("_any") & F.col("status").isin("queued", "running"), value))
+    return out.drop("_stages", "_ms", "_any")
 
 
 def source_type(value: Column, known: list[str], other: str) -> Column:

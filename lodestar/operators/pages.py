@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# The triggers and weights of the page score.
-TRIGGERS = {"density": 0.5, "table_like": 0.5, "image_area": 0.3, "text_quality": 0.4, "caption": 0.2}
-WEIGHTS = {"density": 0.3, "table_like": 0.25, "image_area": 0.2, "text_quality": 0.15, "caption": 0.1}
+# The triggers and weights of the page score; bad text is 1 less the text quality.
+TRIGGERS = {"density": 0.5, "table_like": 0.5, "image_area": 0.3, "text_quality": 0.6, "caption": 0.2}
+WEIGHTS = {"density": 0.3, "table_like": 0.25, "image_area": 0.2, "text_quality": 0.1, "caption": 0.15}
 
 
 def clamped(x: Column) -> Column:
@@ -33,7 +33,7 @@ def text_quality(text: Column) -> Column:
 
 def is_multi_column(line: Column) -> Column:
     """A line that parts into three cells or more by wide gaps."""
-    return F.size(F.split(F.trim(line), r"\s{3,}|\t")) >= 3
+    return F.size(F.split(F.trim(line), r"\s{2,}|\t")) >= 3
 
 
 def is_caption(line: Column) -> Column:
@@ -61,7 +61,7 @@ def expanded(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """(query_id, terms): the query's words with their synonyms, both ways, each once."""
     both = synonyms.select(F.lower("a").alias("w"), F.col("b").alias("s")).unionByName(synonyms.select(F.lower("b").alias("w"), F.col("a").alias("s")))
     words = queries.select("query_id", F.posexplode(F.split(F.trim("text"), r"\s+")).alias("at", "word"))
-    more = words.join(F.broadcast(both), F.lower("word") == F.col("w")).select("query_id", "at", F.lit(1).alias("kind"), F.col("s").alias("word"))
+    more = words.join(both, F.lower("word") == F.col("w")).select("query_id", "at", F.lit(1).alias("kind"), F.col("s").alias("word"))
     every = words.select("query_id", "at", F.lit(0).alias("kind"), "word").unionByName(more)
     first = every.groupBy("query_id", F.lower("word").alias("k")).agg(F.min(F.struct("at", "kind", "word")).alias("x"))
     return first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x.word).alias("terms"))
@@ -82,10 +82,46 @@ def parsed_judgement(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(last, ["query_id", "idx"], "left").withColumn("score", clamped(F.coalesce("score", F.lit(0.0))))
 
 
+def quotas(counts: DataFrame, stratum: str, size: int) -> DataFrame:
+    """(stratum, quota) over (stratum, n): each stratum's share of `size`, rounded half to even, at least one.
+
+    Where the shares do not add up to `size`, the largest strata give or take one, as far as
+    they can.  A row for each stratum, so the window over them is small.
+    """
+    every = Window.partitionBy(F.lit(0))
+    q = counts.withColumn("q", F.greatest(F.lit(1), F.bround(F.lit(size) * F.col("n") / F.sum("n").over(every)).cast("int")))
+    q = q.withColumn("over", F.sum("q").over(every) - size).withColumn("can", F.when(F.col("over") > 0, F.col("q") > 1).otherwise(F.col("q") < F.col("n")))
+    place = F.sum(F.col("can").cast("int")).over(every.orderBy(F.desc("n"), stratum).rowsBetween(Window.unboundedPreceding, 0))
+    step = F.when(F.col("can") & (place <= F.abs("over")), F.signum("over")).otherwise(0).cast("int")
+    return q.select(stratum, (F.col("q") - step).alias("quota"))
+
+
 def stratified(rows: DataFrame, stratum: str, order: Column, size: int) -> DataFrame:
-    """About `size` rows: each stratum's share, at least one, in a fixed order."""
-    counts = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
-    total = rows.agg(F.count("*").alias("_t"))
-    quota = counts.crossJoin(F.broadcast(total)).select(stratum, F.greatest(F.lit(1), F.floor(F.col("_n") * size / F.col("_t"))).alias("_q"))
+    """`size` rows by the quotas of their strata, in a fixed order within each; all rows where there are no more."""
+    counts = rows.groupBy(stratum).agg(F.count("*").alias("n"))
+    every = counts.agg((F.sum("n") <= size).alias("_all"))
     k = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
-    return rows.withColumn("_k", k).join(F.broadcast(quota), stratum).filter("_k <= _q").drop("_k", "_q")
+    dealt = rows.withColumn("_k", k).join(quotas(counts, stratum, size), stratum).crossJoin(F.broadcast(every))
+    return dealt.filter("_all OR _k <= quota").select(rows.columns)
+
+
+def signals(lines: DataFrame) -> DataFrame:
+    """(chunk_id, table_like, caption): shares of a chunk's lines that look like rows of a table, and like captions."""
+    share = lambda c: F.avg(F.col(c).cast("double"))
+    told = lines.select("chunk_id", is_multi_column(F.col("line")).alias("t"), is_caption(F.col("line")).alias("c"))
+    return told.groupBy("chunk_id").agg(share("t").alias("table_like"), share("c").alias("caption"))
+
+
+def last_evaluation(asked: DataFrame, cache: DataFrame) -> DataFrame:
+    """Asked rows (query, doc_id) with the latest cached row of the same query and document; a null document is one of its own."""
+    rest = [c for c in cache.columns if c not in ("query", "doc_id")]
+    last = cache.groupBy("query", "doc_id").agg(F.max_by(F.struct(*rest), "created_at").alias("_r")).withColumnsRenamed({"query": "_q", "doc_id": "_d"})
+    found = asked.join(last, (F.col("query") == F.col("_q")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left")
+    return found.select(*asked.columns, *[F.col("_r")[c].alias(c) for c in rest])
+
+
+def gate(numbers: DataFrame, drift_pct: float, baseline: float, most_drop: float) -> DataFrame:
+    """`numbers` (before, after, null_vectors, recall) with the first gate that fails, null where all pass."""
+    drift = F.abs(F.col("after") - F.col("before")) / F.greatest(F.col("before"), F.lit(1)) * 100
+    reason = F.when(drift > drift_pct, "chunks").when(F.col("null_vectors") > 0, "null_vectors").when(baseline - F.col("recall") > most_drop, "recall")
+    return numbers.withColumn("failed", reason)

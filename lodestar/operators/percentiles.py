@@ -1,33 +1,52 @@
 """The four percentile rules, by name.
 
-`nearest` and `rounded` take an element: the values are counted first, with combining
-before the shuffle, and a running sum over distinct values finds the place.  `linear`
-interpolates; `continuous` is the same rule in SQL's words.
+`nearest` and `rounded` take an element: equal values are counted first, with combining
+before the shuffle; counts of BINS equal ranges of a group tell which range holds a place,
+and only the values in that range are put in order.  `linear` interpolates; `continuous` is
+the same rule in SQL's words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _element(rows: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+#: Ranges of a group's values that are counted before any value is ranked.
+BINS = 1024
+
+
+def _element(rows: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """One row for each group: n and, for each name, the value at a 0-based place that depends on n."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    upto = counts.withColumn("_upto", F.sum("_c").over(group.orderBy(value))).withColumn("n", F.sum("_c").over(group))
-    at = [F.min(F.when(F.col("_upto") > place, F.col(value))).alias(name) for name, place in places.items()]
-    return upto.groupBy(*by).agg(F.first("n").alias("n"), *at)
+    key = [F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"_{c}") for c in by] or [F.lit("").alias("_")]
+    names = [f"_{c}" for c in by] or ["_"]
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c")).select("*", *key)
+    span = counts.groupBy(*names).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("_c").alias("n"))
+    share = F.coalesce((F.col(value) - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0)), F.lit(0.0))
+    binned = counts.join(span, names).withColumn("_bin", F.least(F.floor(share * BINS), F.lit(BINS - 1)))
+    bins = binned.groupBy(*names, "_bin").agg(F.sum("_c").alias("_in"), F.first("n").alias("n"))
+    upto = F.sum("_in").over(Window.partitionBy(*names).orderBy("_bin"))
+    held = bins.withColumn("_before", upto - F.col("_in"))
+    holds = [((place(F.col("n")) >= F.col("_before")) & (place(F.col("n")) < F.col("_before") + F.col("_in"))).alias(f"_has_{name}") for name, place in places.items()]
+    held = held.select(*names, "_bin", "_before", *holds).filter(reduce(or_, [F.col(f"_has_{name}") for name in places]))
+    within = Window.partitionBy(*names, "_bin").orderBy(value)
+    ranked = binned.join(held, [*names, "_bin"]).withColumn("_upto", F.col("_before") + F.sum("_c").over(within))
+    at = [F.min(F.when(F.col(f"_has_{name}") & (F.col("_upto") > place(F.col("n"))), F.col(value))).alias(name) for name, place in places.items()]
+    return ranked.groupBy(*by).agg(F.first("n").alias("n"), *at)
 
 
 def nearest(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> DataFrame:
     """sorted[floor(q * (n - 1))] for each named q."""
-    return _element(rows, by, value, {k: F.floor(F.lit(q) * (F.col("n") - 1)) for k, q in quantiles.items()})
+    return _element(rows, by, value, {k: lambda n, q=q: F.floor(F.lit(q) * (n - 1)) for k, q in quantiles.items()})
 
 
 def rounded(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> DataFrame:
     """sorted[round(q * (n - 1))], halves to even, for each named q."""
-    return _element(rows, by, value, {k: F.bround(F.lit(q) * (F.col("n") - 1)) for k, q in quantiles.items()})
+    return _element(rows, by, value, {k: lambda n, q=q: F.bround(F.lit(q) * (n - 1)) for k, q in quantiles.items()})
 
 
 def linear(value: str, q: float) -> Column:

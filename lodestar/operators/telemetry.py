@@ -99,3 +99,21 @@ def stage_medians(logs: DataFrame, last: int = 500, least: int = 3) -> DataFrame
     """(stage, n, median_ms) of the latest succeeded logs with a duration, where there are enough."""
     some = logs.filter((F.col("status") == "succeeded") & (F.col("duration_ms") > 0)).orderBy(F.desc("log_id")).limit(last)
     return some.groupBy("stage").agg(F.count("*").alias("n"), F.median("duration_ms").alias("median_ms")).filter(F.col("n") >= least)
+
+
+def budget_sample(usage: DataFrame) -> DataFrame:
+    """One row of ten measures over (success, cost, doc_id, page): costs of successful calls, and distinct pages of documents that have any."""
+    ok, cost = F.col("success"), F.when(F.col("success"), F.col("cost"))
+    pages = usage.filter(ok & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count_distinct("page").cast("double").alias("p")).filter("p > 0")
+    pages = pages.agg(F.round(F.avg("p"), 6).alias("avg_pages"), F.round(F.median("p"), 6).alias("median_pages"))
+    calls = usage.agg(
+        F.count(cost).alias("sample_rows"),
+        F.count_if(ok).alias("success_rows"),
+        F.count_if(~ok).alias("failed_rows"),
+        F.count_distinct(F.when(ok, F.col("doc_id"))).alias("unique_docs"),
+        F.count_if(ok & F.col("doc_id").isNull()).alias("null_doc_rows"),
+        F.round(F.avg(cost), 8).alias("avg_cost"),
+        F.round(F.median(cost), 8).alias("median_cost"),
+        F.round(F.max(cost), 8).alias("max_cost"),
+    )
+    return calls.crossJoin(pages)  # one row each

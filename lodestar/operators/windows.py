@@ -34,30 +34,40 @@ def adjacent_boost(rows: DataFrame, by: str, index: str, score: str, factor: flo
     return rows.join(near, [by, index], "left").withColumn(score, F.greatest(F.col(score), F.coalesce(F.col("_near") * factor, F.lit(0.0)))).drop("_near")
 
 
-def round_robin(rows: DataFrame, by: str, order: list[Column], place: str = "place") -> DataFrame:
-    """Groups interleaved: all first rows, then all second rows; within a round by group.
+#: Ranges that `numbered` parts the rows into.
+RANGES = 256
 
-    The place is a global number, so this is for a result list and not for a corpus.
-    """
-    ranked = rows.withColumn("_k", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return ranked.withColumn(place, F.row_number().over(Window.orderBy("_k", by))).drop("_k")
 
+def _ranged(rows: DataFrame, order: str) -> DataFrame:
+    """Rows with `_b`, the range of a numeric key that they are in.  The bounds are one row of
+    approximate quantiles, computed once and the same wherever they are used."""
+    at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    bounds = rows.agg(F.percentile_approx(order, at).alias("_bounds"))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col(order)))).drop("_bounds")
 
-def even_stride(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at even steps in order of a key, without a global sort in one task.
 
-    Rows are numbered by range: counts of sorted partitions give each its offset.
-    """
-    parts = rows.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
-    ranked = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1)
-    sizes = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    wanted = {int(total / n * g + total / (2 * n)) for g in range(n)}
-    picks = [(p, i - before[p]) for i in wanted for p in sizes if before[p] <= i < before[p] + sizes[p]]
-    spark = rows.sparkSession
-    return ranked.join(F.broadcast(spark.createDataFrame(picks, "_part int, _i int")), ["_part", "_i"]).drop("_part", "_i")
+def numbered(rows: DataFrame, order: str, name: str, first: str | None = None) -> DataFrame:
+    """Rows numbered from 0 by `first` and a numeric key, with `_total`, without a sort in one task:
+    a range's number of rows gives the next one its offset, and rows are sorted within a range."""
+    own = [c for c in (first, "_b") if c]
+    parts = _ranged(rows, order)
+    sizes = parts.groupBy(*own).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(F.lit(0)).orderBy(*own)  # a row for each range
+    before = sizes.select(*own, (F.sum("_n").over(w) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy(F.lit(0))).alias("_total"))
+    place = F.row_number().over(Window.partitionBy(*own).orderBy(order)) - 1
+    return parts.withColumn("_k", place).join(before, own).withColumn(name, F.col("_before") + F.col("_k")).drop("_b", "_k", "_before")
+
+
+def round_robin(rows: DataFrame, by: str, order: list[Column], place: str = "place") -> DataFrame:
+    """Groups (of a numeric key) interleaved: all first rows, then all second rows; within a round by group."""
+    ranked = rows.withColumn("_round", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+    return numbered(ranked, by, place, "_round").withColumn(place, F.col(place) + 1).drop("_round", "_total")
+
+
+def even_stride(rows: DataFrame, order: str, n: int) -> DataFrame:
+    """n rows at even steps in order of a numeric key."""
+    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.floor(F.col("_total") / n * g + F.col("_total") / (2 * n)))
+    return numbered(rows, order, "_i").filter(F.array_contains(steps, F.col("_i"))).select(rows.columns)
 
 
 def sliding_sum(rows: DataFrame, by: str, at: str, value: str, seconds: int, name: str) -> DataFrame:

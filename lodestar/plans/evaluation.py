@@ -127,13 +127,13 @@ def n16(v: Views) -> DataFrame:
     return spine.join(v.docs(), "doc_type", "left").groupBy("doc_type").agg(F.count("doc_id").alias("n"))
 
 
-@query("N17_N21_gates", sql("SELECT user_id, CASE WHEN d >= 2 THEN 'ok' WHEN d >= -5 THEN 'minor' ELSE 'regression' END AS verdict FROM (SELECT user_id, count(*) FILTER (scan) - count(*) FILTER (failed) * 4 AS d FROM docs GROUP BY user_id)"))
+@query("N21_verdict_bands", sql("SELECT user_id, CASE WHEN d >= 2 THEN 'ok' WHEN d >= -5 THEN 'minor' ELSE 'regression' END AS verdict FROM (SELECT user_id, count(*) FILTER (scan) - count(*) FILTER (failed) * 4 AS d FROM docs GROUP BY user_id)"))
 def n21(v: Views) -> DataFrame:
     rows = v.docs().groupBy("user_id").agg((F.count_if("scan") - F.count_if("failed") * 4).alias("d"))
     return rows.select("user_id", metrics.verdict(F.col("d")).alias("verdict"))
 
 
-@query("N18_N24_cache_misses", sql("SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, page FROM chunks) WHERE (doc_id, page) NOT IN (SELECT doc_id, page FROM chunks WHERE doc_id % 2 = 0)"))
+@query("N18_cache_misses", sql("SELECT count(*) AS n FROM (SELECT DISTINCT doc_id, page FROM chunks) WHERE (doc_id, page) NOT IN (SELECT doc_id, page FROM chunks WHERE doc_id % 2 = 0)"))
 def n18(v: Views) -> DataFrame:
     pages = v.chunks().select("doc_id", "page").distinct()
     return pages.join(pages.filter("doc_id % 2 = 0"), ["doc_id", "page"], "left_anti").agg(F.count("*").alias("n"))

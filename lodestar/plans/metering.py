@@ -83,12 +83,23 @@ def b11(v: Views) -> DataFrame:
 _FALLBACK = "(SELECT unnest(['extract','chunk','chunk_filter','content_gate','tag_summarize','load','embed','doc_embed','dedup']) AS stage, unnest(range(0, 9)) AS at, unnest([120000, 2000, 1000, 500, 5000, 2000, 35000, 1500, 500]) AS fb)"
 
 
-@query("B13_eta", sql(f"""SELECT log_id, eta_ms FROM (SELECT log_id, stage FROM stage_logs WHERE status = 'skipped') JOIN (
-  SELECT s.stage, sum(coalesce(m.median_ms, s.fb)) OVER (ORDER BY s.at DESC) AS eta_ms FROM {_FALLBACK} s LEFT JOIN (
-    SELECT stage, median(duration_ms) AS median_ms FROM (SELECT * FROM stage_logs WHERE status = 'succeeded' AND duration_ms > 0 ORDER BY log_id DESC LIMIT 500) GROUP BY stage HAVING count(*) >= 3) m USING (stage)) USING (stage)"""))
+@query("B13_eta", sql(f"""SELECT log_id, CASE WHEN status IN ('queued', 'running') THEN CASE WHEN status = 'queued' OR pos IS NULL THEN (SELECT sum(ms) FROM st) ELSE floor(CASE WHEN stage = 'extract' AND total > 0 THEN (total - cur) * 2500.0::DOUBLE * 1.2 WHEN total > 0 THEN ms * (1 - greatest(0, least(1, cur / total::DOUBLE))) ELSE ms END) + coalesce((SELECT sum(x.ms) FROM st x WHERE x.pos > j.pos), 0) END END AS eta_ms
+  FROM (SELECT l.*, st.pos, st.ms FROM (SELECT log_id, stage, ['queued', 'running', 'completed'][(log_id % 3 + 1)::INT] AS status, CASE WHEN log_id % 4 > 0 THEN log_id % 7 END AS cur, CASE WHEN log_id % 4 > 0 THEN (log_id % 4) * 3 - 3 END AS total FROM (SELECT log_id, CASE WHEN log_id % 11 > 0 THEN stage END AS stage FROM stage_logs)) l LEFT JOIN st ON st.stage = l.stage) j""",
+  f"""st AS (SELECT s.stage, s.at AS pos, coalesce(m.median_ms, s.fb)::DOUBLE AS ms FROM {_FALLBACK} s LEFT JOIN (
+    SELECT stage, median(duration_ms) AS median_ms FROM (SELECT * FROM stage_logs WHERE status = 'succeeded' AND duration_ms > 0 ORDER BY log_id DESC LIMIT 500) GROUP BY stage HAVING count(*) >= 3) m USING (stage))"""))
 def b13(v: Views) -> DataFrame:
+    """Every stage log as a job: queued, running with and without progress and stage, and ended."""
+    i, logs = F.col("log_id"), v.stage_logs()
+    status = F.get(F.array(F.lit("queued"), F.lit("running"), F.lit("completed")), (i % 3).cast("int"))
+    jobs = logs.select("log_id", F.when(i % 11 > 0, F.col("stage")).alias("stage"), status.alias("status"), F.when(i % 4 > 0, i % 7).alias("current"), F.when(i % 4 > 0, i % 4 * 3 - 3).alias("total"), F.lit("pages").alias("unit"))
+    return metering.eta(jobs, telemetry.stage_medians(logs), STAGES, 2500.0).select("log_id", "eta_ms")
+
+
+@query("B13_eta_without_baseline", sql("SELECT log_id, NULL::DOUBLE AS eta_ms FROM stage_logs WHERE status = 'skipped'"))
+def b13b(v: Views) -> DataFrame:
     logs = v.stage_logs()
-    return metering.eta(logs.filter("status = 'skipped'").select("log_id", "stage"), telemetry.stage_medians(logs), STAGES).select("log_id", "eta_ms")
+    jobs = logs.filter("status = 'skipped'").select("log_id", "stage", F.lit("running").alias("status"), F.lit(None).cast("bigint").alias("current"), F.lit(None).cast("bigint").alias("total"), F.lit(None).cast("string").alias("unit"))
+    return metering.eta(jobs, telemetry.stage_medians(logs.filter("false")), STAGES).select("log_id", "eta_ms")
 
 
 @query("B15_B16_coercions", sql("SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN event_type ELSE 'unknown' END AS source_type, left(props, 5) AS error FROM events"))

@@ -80,12 +80,47 @@ def t25(v: Views) -> DataFrame:
     return v.chunks().join(v.vecs().filter("vec IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select("chunk_id")
 
 
-@query("T28_N22_page_scores", sql(r"""SELECT chunk_id, round(0.3 * a + 0.25 * b + 0.2 * c + 0.15 * d + 0.1 * e, 6) AS score, a >= 0.5 OR b >= 0.5 OR c >= 0.3 OR d >= 0.4 OR e >= 0.2 AS needed FROM (
-  SELECT chunk_id, 1 - length(text) / 800.0::DOUBLE AS a, (chunk_idx % 10) / 10.0::DOUBLE AS b, (chunk_idx % 5) / 20.0::DOUBLE AS c, (chunk_idx % 3) / 10.0::DOUBLE AS d, 0.0::DOUBLE AS e FROM chunks)"""))
+_PAGES = r"""lines AS (SELECT chunk_id, unnest(string_split(t, chr(10))) AS line FROM (SELECT chunk_id, text || CASE WHEN chunk_idx % 4 = 0 THEN chr(10) || '표 3 요약' ELSE '' END || CASE WHEN chunk_idx % 3 = 0 THEN chr(10) || 'a  b   c' ELSE '' END AS t FROM chunks)),
+told AS (SELECT chunk_id, avg(CASE WHEN len(string_split_regex(trim(line), '\s{2,}|\t')) >= 3 THEN 1.0::DOUBLE ELSE 0 END) AS tab, avg(CASE WHEN length(line) <= 80 AND regexp_matches(line, '(?i)^\s*(그림|표|figure|fig\.|table)\s*\d+') THEN 1.0::DOUBLE ELSE 0 END) AS cap FROM lines GROUP BY chunk_id),
+sig AS (SELECT chunk_id, 1 - length(text) / 800.0::DOUBLE AS density, tab, (chunk_idx % 5) / 10.0::DOUBLE AS image, 1 - coalesce(length(regexp_replace(text, '[^\p{L}\p{N}.,;:!?''"()\[\]%&+\-/]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(text, '\s', '', 'g')), 0), 0) AS bad, cap FROM chunks JOIN told USING (chunk_id))"""
+
+
+def _page_signals(v: Views) -> DataFrame:
+    """Signals of every chunk as of a page; the area of pictures, which texts do not tell, by the chunk's number."""
+    i = F.col("chunk_idx")
+    text = F.concat("text", F.when(i % 4 == 0, "\n표 3 요약").otherwise(""), F.when(i % 3 == 0, "\na  b   c").otherwise(""))
+    told = pages.signals(v.chunks().select("chunk_id", F.explode(F.split(text, "\n", -1)).alias("line")))
+    return v.chunks().join(told, "chunk_id").select("chunk_id", (1 - F.char_length("text") / 800).alias("density"), "table_like", ((i % 5) / 10).alias("image"), (1 - pages.text_quality(F.col("text"))).alias("bad"), "caption")
+
+
+@query("T28_page_need", sql("SELECT chunk_id, round(0.3 * density + 0.25 * tab + 0.2 * image + 0.1 * bad + 0.15 * cap, 6) AS score, density >= 0.5 OR tab >= 0.5 OR image >= 0.3 OR bad >= 0.6 OR cap >= 0.2 AS needed FROM sig", _PAGES))
 def t28(v: Views) -> DataFrame:
+    score, needed = pages.need_score(*map(F.col, ("density", "table_like", "image", "bad", "caption")))
+    return _page_signals(v).select("chunk_id", F.round(score, 6).alias("score"), needed)
+
+
+@query("N22_equal_weights", sql("SELECT chunk_id, round((density + tab + image) / 3, 6) AS score FROM sig", _PAGES))
+def n22(v: Views) -> DataFrame:
+    three = [pages.clamped(F.col(c)) for c in ("density", "table_like", "image")]
+    return _page_signals(v).select("chunk_id", F.round((three[0] + three[1] + three[2]) / 3, 6).alias("score"))
+
+
+@query("T30_line_tests", sql(r"SELECT chunk_id, count(*) FILTER (len(string_split_regex(trim(line), '\s{2,}|\t')) >= 3) AS columns, count(*) FILTER (length(line) <= 80 AND regexp_matches(line, '(?i)^\s*(그림|표|figure|fig\.|table)\s*\d+')) AS captions FROM lines GROUP BY chunk_id", _PAGES))
+def t30(v: Views) -> DataFrame:
     i = F.col("chunk_idx")
-    score, needed = pages.need_score(1 - F.char_length("text") / 800, (i % 10) / 10, (i % 5) / 20, (i % 3) / 10, F.lit(0.0))
-    return v.chunks().select("chunk_id", F.round(score, 6).alias("score"), needed)
+    text = F.concat("text", F.when(i % 4 == 0, "\n표 3 요약").otherwise(""), F.when(i % 3 == 0, "\na  b   c").otherwise(""))
+    lines = v.chunks().select("chunk_id", F.explode(F.split(text, "\n", -1)).alias("line"))
+    return lines.groupBy("chunk_id").agg(F.count_if(pages.is_multi_column(F.col("line"))).alias("columns"), F.count_if(pages.is_caption(F.col("line"))).alias("captions"))
+
+
+@query("T22_dedup_tiers")
+def t22(v: Views) -> DataFrame:
+    """The most similar other document of an owner, its tier by similarity and by likeness of names."""
+    rows = v.vecs().join(v.docs().select("doc_id", "user_id", "title"), "doc_id")
+    near = retrieval.near_duplicates(rows, "user_id")
+    names = v.docs().select("doc_id", "title")
+    both = near.join(names.withColumnsRenamed({"doc_id": "id", "title": "a"}), "id").join(names.withColumnsRenamed({"doc_id": "of", "title": "b"}), "of")
+    return both.select("id", "of", "sim", retrieval.dedup_tier(F.col("sim"), T.name_ratio(F.col("a"), F.col("b"))).alias("tier"))
 
 
 @query("T29_column_clusters", sql("SELECT page, count(*) FILTER (new) AS columns FROM (SELECT page, coalesce(x - lag(x) OVER (PARTITION BY page ORDER BY x) > 4, true) AS new FROM (SELECT DISTINCT doc_id % 50 AS page, (doc_id * 37 % 200)::DOUBLE AS x FROM docs)) GROUP BY page"))
@@ -129,12 +164,32 @@ def m14(v: Views) -> DataFrame:
     return v.chunks().groupBy("doc_id").agg(F.bool_or(F.contains("text", F.lit("the the"))).alias("marked"))
 
 
-@query("M15_N20_stratified", sql("SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 10007, doc_id) AS k FROM documents) JOIN (SELECT lang, greatest(1, floor(count(*) * 50 / (SELECT count(*) FROM documents)::DOUBLE)) AS q FROM documents GROUP BY lang) USING (lang) WHERE k <= q"))
+@query("M15_N20_stratified", sql("""SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 10007, doc_id) AS k FROM documents) JOIN (
+  SELECT lang, q - CASE WHEN can AND place <= abs(over) THEN sign(over) ELSE 0 END AS quota FROM (SELECT *, sum(can::INT) OVER (ORDER BY n DESC, lang) AS place FROM (SELECT *, CASE WHEN over > 0 THEN q > 1 ELSE q < n END AS can FROM (
+    SELECT *, (sum(q) OVER () - 50)::INT AS over FROM (SELECT lang, count(*) AS n, greatest(1, round_even(50 * count(*) / (SELECT count(*) FROM documents)::DOUBLE, 0)::INT) AS q FROM documents GROUP BY lang))))) USING (lang) WHERE k <= quota"""))
 def m15(v: Views) -> DataFrame:
     order = F.struct(F.col("doc_id") * 7919 % 10007, F.col("doc_id"))
     return pages.stratified(v.table("documents").select("doc_id", "lang"), "lang", order, 50).select("doc_id")
 
 
+@query("N24_last_evaluation", sql("""SELECT a.doc_id AS ask, c.score FROM (SELECT doc_id, lang AS query, CASE WHEN doc_id % 3 > 0 THEN source END AS doc FROM documents) a
+  LEFT JOIN (SELECT lang AS query, CASE WHEN doc_id % 2 = 0 THEN source END AS doc, arg_max(n_chars, doc_id) AS score FROM documents WHERE doc_id % 5 < 3 AND lang <> 'es' GROUP BY 1, 2) c ON c.query = a.query AND c.doc IS NOT DISTINCT FROM a.doc"""))
+def n24(v: Views) -> DataFrame:
+    """Every document asks for the last evaluation of its language, of its source or of none."""
+    d = v.table("documents")
+    asked = d.select(F.col("doc_id").alias("ask"), F.col("lang").alias("query"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("doc_id"))
+    kept = d.filter("doc_id % 5 < 3 AND lang <> 'es'")
+    cache = kept.select(F.col("lang").alias("query"), F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("doc_id"), F.col("doc_id").alias("created_at"), F.col("n_chars").alias("score"))
+    return pages.last_evaluation(asked, cache).select("ask", "score")
+
+
+@query("N17_reingest_gate", sql("SELECT source, CASE WHEN abs(after - before) / greatest(before, 1)::DOUBLE * 100 > 5 THEN 'chunks' WHEN nulls > 0 THEN 'null_vectors' WHEN 0.6::DOUBLE - recall > 0.1 THEN 'recall' END AS failed FROM (SELECT source, count(*) AS before, count(*) FILTER (doc_id % 17 <> 0 OR source > 'src5') AS after, count(*) FILTER (doc_id % 13 = 0 AND source < 'src3') AS nulls, avg(CASE WHEN n_chars % 2 = 0 THEN 1.0::DOUBLE ELSE 0 END) AS recall FROM documents GROUP BY source)"))
+def n17(v: Views) -> DataFrame:
+    d = v.table("documents")
+    numbers = d.groupBy("source").agg(F.count("*").alias("before"), F.count_if((F.col("doc_id") % 17 != 0) | (F.col("source") > "src5")).alias("after"), F.count_if((F.col("doc_id") % 13 == 0) & (F.col("source") < "src3")).alias("null_vectors"), F.avg((F.col("n_chars") % 2 == 0).cast("double")).alias("recall"))
+    return pages.gate(numbers, 5.0, 0.6, 0.1).select("source", "failed")
+
+
 @query("M19_determinism", sql("SELECT round(min(list_cosine_similarity(vec, vec)), 6) AS least, count(*) AS n FROM vecs"))
 def m19(v: Views) -> DataFrame:
     return v.vecs().agg(F.round(F.min(retrieval.cosine("vec", "vec")), 6).alias("least"), F.count("*").alias("n"))

@@ -157,10 +157,16 @@ def a5(v: Views) -> DataFrame:
     return filters.tenant(v.docs(), None).groupBy("doc_type").agg(F.count("*").alias("n"))
 
 
-@query("A6_counters", sql("SELECT count(*) FILTER (failed) AS failed, count(*) FILTER (created_at >= TIMESTAMP '2024-01-24') AS added_last_7d, count(*) FILTER (scan) AS scanned FROM docs WHERE deleted_at IS NULL"))
+@query("A6_counters", sql("SELECT count(*) FILTER (failed) AS extract_skipped, count(*) FILTER (created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-02-01') AS added_this_month, count(*) FILTER (created_at >= TIMESTAMP '2024-01-24') AS added_last_7d FROM docs WHERE deleted_at IS NULL"))
 def a6(v: Views) -> DataFrame:
+    now = F.lit("2024-01-31").cast("timestamp")
+    month = F.date_trunc("month", now)
     d = filters.tenant(v.docs(), None)
-    return d.agg(F.count_if("failed").alias("failed"), F.count_if(F.col("created_at") >= F.lit("2024-01-24").cast("timestamp")).alias("added_last_7d"), F.count_if("scan").alias("scanned"))
+    return d.agg(
+        F.count_if("failed").alias("extract_skipped"),
+        F.count_if((F.col("created_at") >= month) & (F.col("created_at") < month + F.make_ym_interval(months=F.lit(1)))).alias("added_this_month"),
+        F.count_if(F.col("created_at") >= now - F.make_dt_interval(days=F.lit(7))).alias("added_last_7d"),
+    )
 
 
 @query("A7_A8_tag_top10", sql("SELECT tag, n FROM (SELECT unnest(tags) AS tag, count(*) AS n FROM docs WHERE deleted_at IS NULL GROUP BY 1) ORDER BY n DESC, tag LIMIT 10"))
@@ -204,9 +210,9 @@ def w13(v: Views) -> DataFrame:
     return v.chunks().groupBy("doc_id").agg((F.max("chunk_idx") + 1).alias("next_idx"))
 
 
-@query("W14_round_robin", sql("SELECT chunk_id, row_number() OVER (ORDER BY k, doc_id) AS place FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, chunk_id) AS k FROM chunks WHERE doc_id < 5)"))
+@query("W14_round_robin", sql("SELECT chunk_id, row_number() OVER (ORDER BY k, doc_id) AS place FROM (SELECT doc_id, chunk_id, row_number() OVER (PARTITION BY doc_id ORDER BY length(text) DESC, chunk_id) AS k FROM chunks)"))
 def w14(v: Views) -> DataFrame:
-    c = v.chunks().filter("doc_id < 5").withColumn("size", F.char_length("text"))
+    c = v.chunks().select("doc_id", "chunk_id", F.char_length("text").alias("size"))
     return windows.round_robin(c, "doc_id", [F.desc("size"), F.asc("chunk_id")]).select("chunk_id", "place")
 
 

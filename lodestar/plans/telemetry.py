@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,23 +92,39 @@ def a25(v: Views) -> DataFrame:
     return v.search_log().agg(F.round(F.avg(telemetry.is_success().cast("double")), 4).alias("success_rate"), F.avg("took_ms").cast("int").alias("avg_ms"))
 
 
-@query("A26_costs", sql(f"""SELECT round(sum(cost) FILTER (success), 9) AS total, round(coalesce(sum(cost) FILTER (success AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR), 0), 9) AS last_24h,
-  count(*) FILTER (success AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS calls_30d FROM usage"""))
+_USED = "used AS (SELECT *, success AND event_id % 10 > 0 AS paid FROM usage)"
+
+
+@query("A26_costs", sql(f"""SELECT round(sum(cost) FILTER (paid), 9) AS total, round(coalesce(sum(cost) FILTER (paid AND called_at::DATE = DATE '2024-01-30'), 0), 9) AS day, round(coalesce(sum(cost) FILTER (paid AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 24 HOUR), 0), 9) AS last_24h,
+  round(coalesce(sum(cost) FILTER (paid AND called_at >= TIMESTAMP '2024-01-01'), 0), 9) AS month, count(*) FILTER (success AND called_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY) AS calls_30d FROM used""", _USED))
 def a26(v: Views) -> DataFrame:
-    since = lambda h: F.col("success") & (F.col("called_at") >= F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(hours=F.lit(h)))
-    return v.usage().agg(
-        F.round(F.sum(F.when(F.col("success"), F.col("cost"))), 9).alias("total"),
-        F.round(F.coalesce(F.sum(F.when(since(24), F.col("cost"))), F.lit(0.0)), 9).alias("last_24h"),
-        F.count_if(since(720)).alias("calls_30d"),
+    """Costs come as text; one in ten is no number and is left out of the sums."""
+    now, cost = F.lit(AS_OF).cast("timestamp"), F.when(F.col("event_id") % 10 > 0, F.col("cost").cast("string")).otherwise("n/a")
+    rows = v.usage().withColumn("cost", cost.try_cast("double"))
+    paid = lambda *c: F.round(F.coalesce(F.sum(F.when(reduce(and_, c, F.col("success")), F.col("cost"))), F.lit(0.0)), 9)
+    since = lambda **x: F.col("called_at") >= now - F.make_dt_interval(**{k: F.lit(n) for k, n in x.items()})
+    return rows.agg(
+        paid().alias("total"),
+        paid(F.to_date("called_at") == F.lit("2024-01-30").cast("date")).alias("day"),
+        paid(since(hours=24)).alias("last_24h"),
+        paid(F.col("called_at") >= F.date_trunc("month", now)).alias("month"),
+        F.count_if(F.col("success") & since(days=30)).alias("calls_30d"),
     )
 
 
-@query("A27_budget_sample", sql("""SELECT count(*) AS n, count(DISTINCT doc_id) AS docs, round(avg(cost), 8) AS avg_cost, round(median(cost), 8) AS median_cost, round(max(cost), 8) AS max_cost,
-  (SELECT round(avg(p), 6) FROM (SELECT count(DISTINCT page)::DOUBLE AS p FROM usage WHERE success GROUP BY doc_id)) AS avg_pages FROM usage WHERE success"""))
+@query("A26_cost_by_document", sql("SELECT doc_id, round(sum(cost), 9) AS cost FROM used WHERE paid GROUP BY doc_id", _USED))
+def a26b(v: Views) -> DataFrame:
+    return v.usage().filter("success AND event_id % 10 > 0").groupBy("doc_id").agg(F.round(F.sum("cost"), 9).alias("cost"))
+
+
+@query("A27_budget_sample", sql("""SELECT count(c) FILTER (success) AS sample_rows, count(*) FILTER (success) AS success_rows, count(*) FILTER (NOT success) AS failed_rows, count(DISTINCT d) FILTER (success) AS unique_docs, count(*) FILTER (success AND d IS NULL) AS null_doc_rows,
+  round(avg(c) FILTER (success), 8) AS avg_cost, round(median(c) FILTER (success), 8) AS median_cost, round(max(c) FILTER (success), 8) AS max_cost,
+  (SELECT round(avg(p), 6) FROM pages) AS avg_pages, (SELECT round(median(p), 6) FROM pages) AS median_pages FROM used""",
+  "used AS (SELECT success, CASE WHEN event_id % 10 > 0 THEN cost END AS c, CASE WHEN event_id % 7 > 0 THEN doc_id END AS d, CASE WHEN event_id % 3 > 0 THEN page END AS page FROM usage)", "pages AS (SELECT count(DISTINCT page)::DOUBLE AS p FROM used WHERE success AND d IS NOT NULL GROUP BY d HAVING count(DISTINCT page) > 0)"))
 def a27(v: Views) -> DataFrame:
-    ok = v.usage().filter("success")
-    pages = ok.groupBy("doc_id").agg(F.count_distinct("page").cast("double").alias("p")).agg(F.round(F.avg("p"), 6).alias("avg_pages"))
-    return ok.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"), F.round(F.avg("cost"), 8).alias("avg_cost"), F.round(F.median("cost"), 8).alias("median_cost"), F.round(F.max("cost"), 8).alias("max_cost")).crossJoin(pages)
+    i = F.col("event_id")
+    used = v.usage().select("success", F.when(i % 10 > 0, F.col("cost")).alias("cost"), F.when(i % 7 > 0, F.col("doc_id")).alias("doc_id"), F.when(i % 3 > 0, F.col("page")).alias("page"))
+    return telemetry.budget_sample(used)
 
 
 @query("A36_rollup_by_doc", sql("SELECT user_key, round(avg(CASE WHEN success THEN 0.0::DOUBLE ELSE 1 END), 6) AS skip_rate, count(*) AS n FROM usage GROUP BY ROLLUP (user_key)"))
