@@ -204,6 +204,14 @@ def sub_queries(answer: Column) -> Column:
     return F.when(F.size(kept).between(2, 5), kept).otherwise(F.array().cast("array<string>"))
 
 
+def named_entities(answer: Column) -> Column:
+    """The strings of a JSON answer's `entities`, fenced or not, trimmed, each once; empty where there is no such list."""
+    body = F.regexp_replace(F.regexp_replace(answer, r"^\s*```(json)?", ""), r"```\s*$", "")
+    found = F.from_json(body, "entities array<string>")["entities"]
+    kept = F.filter(F.transform(found, lambda x: F.trim(x)), lambda x: x != "")
+    return F.array_distinct(F.coalesce(kept, F.array().cast("array<string>")))
+
+
 def hashed(query: Column, enabled: bool = True) -> Column:
     """The query, or its sha256 where queries are private."""
     return F.sha2(query.cast("binary"), 256) if enabled else query

@@ -136,6 +136,33 @@ def is_scan(text: Column) -> Column:
     return F.char_length(F.trim(F.coalesce(text, F.lit("")), F.lit(" \t\r\n"))) <= 50
 
 
+def composed(text: Column, caption: Column, page: Column | None = None) -> Column:
+    """The text with its caption after it, or with a page in front of it, cut to 200 characters; a null caption adds nothing."""
+    if page is None:
+        return F.concat_ws("\n\n", text, caption)
+    return F.concat_ws("\n\n", F.concat(F.lit("[p."), page.cast("string"), F.lit("] "), F.left(caption, F.lit(200))), text)
+
+
+def synonym_words(text: Column, pairs: list[tuple[str, str]], most: int = 5) -> Column:
+    """The words, in order of their keys, whose key the text has and that it lacks itself."""
+    table = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(w).alias("word")) for k, w in sorted(pairs)])
+    return F.slice(F.transform(F.filter(table, lambda p: F.contains(text, p.key) & ~F.contains(text, p.word)), lambda p: p.word), 1, most)
+
+
+def with_synonym_marker(text: Column, words: Column) -> Column:
+    """The text with a search-word marker at its end where there are words."""
+    return F.when(F.size(words) > 0, F.concat(text, F.lit("\n\n[검색어: "), F.array_join(words, ", "), F.lit("]"))).otherwise(text)
+
+
+def article_blocks(html: Column) -> Column:
+    """The texts of the blocks of a page's article element, without markup; empty without one."""
+    body = F.regexp_extract(html, r"(?s)<article[^>]*>(.*?)</article>", 1)
+    parts = F.split(body, r"</?(?:p|h[1-6]|li|ul|ol|blockquote)\b[^>]*>")
+    bare = F.transform(parts, lambda x: F.regexp_replace(x, r"<[^>]*>", " "))
+    plain = lambda x: F.replace(F.replace(F.replace(x, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    return F.filter(F.transform(bare, lambda x: F.trim(F.regexp_replace(plain(x), r"\s+", " "))), lambda x: x != "")
+
+
 def without_synonym_marker(text: Column) -> Column:
     """Without the search-word marker at the end."""
     return F.regexp_replace(text, r"\n*\[검색어:[^\]]*\]\s*$", "")

@@ -46,6 +46,13 @@ def summary(rows: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame
     return rows.groupingSets(sets, *groups).agg(F.grouping_id().cast("int").alias("level"), *aggs)
 
 
+def ablation(runs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(mode, n, top1, top3, avg_ms) over runs (mode, query_id, rank, item, took_ms): shares of queries with a labelled item at the top."""
+    hits = graded(runs, labels).groupBy("mode", "query_id").agg(F.min(F.when(F.col("grade") > 0, F.col("rank"))).alias("best"), F.first("took_ms").alias("took_ms"))
+    share = lambda k: F.round(F.avg((F.coalesce("best", F.lit(k + 1)) <= k).cast("double")), 6)
+    return hits.groupBy("mode").agg(F.count("*").alias("n"), share(1).alias("top1"), share(3).alias("top3"), F.round(F.avg("took_ms"), 6).alias("avg_ms"))
+
+
 def spread(rows: DataFrame, by: str, metric: str) -> DataFrame:
     """Mean, population deviation, least and greatest of each group."""
     m = F.col(metric)

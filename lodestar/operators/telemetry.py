@@ -101,6 +101,13 @@ def stage_medians(logs: DataFrame, last: int = 500, least: int = 3) -> DataFrame
     return some.groupBy("stage").agg(F.count("*").alias("n"), F.median("duration_ms").alias("median_ms")).filter(F.col("n") >= least)
 
 
+def stage_durations(log: DataFrame) -> DataFrame:
+    """(job_id, stage, status, duration_ms) of rows (job_id, stage, status, at): from the start of a stage to its end; open ones are running."""
+    started, ended = F.col("status") == "started", F.col("status") != "started"
+    pairs = log.groupBy("job_id", "stage").agg(F.min(F.when(started, F.col("at"))).alias("a"), F.max_by(F.when(ended, F.col("status")), F.when(ended, F.col("at"))).alias("s"), F.max(F.when(ended, F.col("at"))).alias("b"))
+    return pairs.select("job_id", "stage", F.coalesce("s", F.lit("running")).alias("status"), (F.col("b") - F.col("a")).alias("duration_ms"))
+
+
 def budget_sample(usage: DataFrame) -> DataFrame:
     """One row of ten measures over (success, cost, doc_id, page): costs of successful calls, and distinct pages of documents that have any."""
     ok, cost = F.col("success"), F.when(F.col("success"), F.col("cost"))

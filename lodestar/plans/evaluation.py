@@ -71,9 +71,12 @@ def m7(v: Views) -> DataFrame:
     return q.select("query_id", F.when(F.col("n").isNull(), 1.0).otherwise(F.coalesce("hit", F.lit(0)) / F.col("n")).alias("recall"), F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("precision"))
 
 
-@query("M11_zero_for_missing_document", sql("SELECT round(avg(CASE WHEN item >= 150 THEN 0.0::DOUBLE ELSE grade END), 6) AS mean, count(*) AS n FROM lab", _EVAL))
+@query("M11_zero_for_missing_document", sql("SELECT round(avg(CASE WHEN d.doc_id IS NULL THEN 0.0::DOUBLE ELSE grade END), 6) AS mean, count(*) AS n, count(*) FILTER (d.doc_id IS NULL) AS missing FROM lab LEFT JOIN (SELECT doc_id FROM docs WHERE deleted_at IS NULL AND NOT failed) d ON d.doc_id = item", _EVAL))
 def m11(v: Views) -> DataFrame:
-    return labels(v).agg(F.round(F.avg(F.when(F.col("item") >= 150, 0.0).otherwise(F.col("grade"))), 6).alias("mean"), F.count("*").alias("n"))
+    """Labels of documents that are gone or failed count 0."""
+    known = v.docs().filter("deleted_at IS NULL AND NOT failed").select(F.col("doc_id").alias("item"), F.lit(True).alias("known"))
+    rows = labels(v).join(known, "item", "left")
+    return rows.agg(F.round(F.avg(F.when(F.col("known"), F.col("grade")).otherwise(0.0)), 6).alias("mean"), F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("missing"))
 
 
 @query("M13_must_include", sql("SELECT doc_id, len(list_filter(['the', 'and', 'ing'], lambda t: contains(text, t))) AS hits FROM docs"))
@@ -87,9 +90,13 @@ def m16(v: Views) -> DataFrame:
     return v.usage().select("event_id", (running > 0.5).alias("stop"), (running > 0.4).alias("alert"))
 
 
-@query("M17_ablation_by_mode", sql("SELECT mode, round(avg(took_ms), 6) AS avg_ms, round(avg(CASE WHEN fused > 0 THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM search_log GROUP BY mode"))
+@query("M17_ablation_by_mode", sql("SELECT mode, count(*) AS n, round(avg(CASE WHEN top1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN top3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top3, round(avg(took_ms), 6) AS avg_ms FROM (SELECT mode, query_id, any_value(took_ms) AS took_ms, bool_or(rank = 1 AND hit) AS top1, bool_or(rank <= 3 AND hit) AS top3 FROM (SELECT p.*, ['hybrid', 'dense', 'sparse'][m + 1] AS mode, query_id % 50 + 10.0::DOUBLE * m AS took_ms, EXISTS (SELECT 1 FROM lab WHERE lab.query_id = p.query_id AND lab.item = (p.item + 13 * m) % 200) AS hit FROM preds p, (SELECT unnest([0, 1, 2]) AS m)) GROUP BY 1, 2) GROUP BY mode", _EVAL))
 def m17(v: Views) -> DataFrame:
-    return v.search_log().groupBy("mode").agg(F.round(F.avg("took_ms"), 6).alias("avg_ms"), F.round(F.avg((F.col("fused") > 0).cast("double")), 6).alias("hit_rate"))
+    """Each mode ranks the documents by a step of its own."""
+    m = F.col("m")
+    runs = predictions(v).withColumn("m", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    runs = runs.select(F.get(F.array(F.lit("hybrid"), F.lit("dense"), F.lit("sparse")), m).alias("mode"), "query_id", "rank", ((F.col("item") + 13 * m) % 200).alias("item"), (F.col("query_id") % 50 + 10.0 * m).alias("took_ms"))
+    return metrics.ablation(runs, labels(v))
 
 
 @query("N2_select_and_cap", sql("SELECT query_id, array_to_string(list_sort(list(item)), ',') AS items FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item) AS k FROM (SELECT query_id, item, (item % 10) / 10.0::DOUBLE AS s FROM preds) WHERE s >= 0.5) WHERE k <= 3 GROUP BY query_id", _EVAL))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import queries as Q
 from lodestar.functions import text as T
-from lodestar.operators import filters, pages, retrieval
+from lodestar.operators import filters, pages, retrieval, telemetry
 from lodestar.plans.catalog import query
-from lodestar.plans.evaluation import _EVAL, predictions
 from lodestar.plans.retrieval import _HITS, hybrid, hydrated
 from lodestar.sources.views import Views, sql
 
@@ -159,9 +159,22 @@ def m12(v: Views) -> DataFrame:
     return retrieval.dense(v.vecs(), v.queries(), 5, "doc_id").select("query_id", "doc_id", ((F.col("sim") >= 0.25) | (F.col("rank") == 1)).alias("relevant"))
 
 
-@query("M14_caption_dependence", sql("SELECT doc_id, bool_or(contains(text, 'the the')) AS marked FROM chunks GROUP BY doc_id"))
+_CAPTIONED = r"""capt AS (SELECT c.*, CASE WHEN chunk_idx % 4 = 0 THEN text || chr(10) || chr(10) || '[표] Table ' || (page + 2) || ' caption of ' || left(text, 20) ELSE text END AS whole FROM chunks c)"""
+
+
+def _captioned(v: Views) -> DataFrame:
+    """Chunks whose text has a caption at its end, one in four."""
+    caption = F.concat(F.lit("[표] Table "), (F.col("page") + 2).cast("string"), F.lit(" caption of "), F.left("text", F.lit(20)))
+    return v.chunks().withColumn("whole", T.composed(F.col("text"), F.when(F.col("chunk_idx") % 4 == 0, caption)))
+
+
+@query("M14_caption_dependence", sql("SELECT g.query_id, g.query_id % 7 = 0 OR bool_or(contains(whole, '[표]')) AS marked FROM (SELECT item_id AS query_id, unnest([item_id * 3 % 180, item_id * 5 % 180]) AS doc_id, item_id % 5 AS chunk_idx FROM benchmark) g JOIN capt USING (doc_id, chunk_idx) GROUP BY g.query_id", _CAPTIONED))
 def m14(v: Views) -> DataFrame:
-    return v.chunks().groupBy("doc_id").agg(F.bool_or(F.contains("text", F.lit("the the"))).alias("marked"))
+    """Queries whose kind needs captions, or one of whose relevant chunks has one."""
+    q = F.col("item_id")
+    relevant = v.table("benchmark").select(q.alias("query_id"), F.explode(F.array(q * 3 % 180, q * 5 % 180)).alias("doc_id"), (q % 5).alias("chunk_idx"))
+    rows = relevant.join(_captioned(v), ["doc_id", "chunk_idx"])
+    return rows.groupBy("query_id").agg(((F.col("query_id") % 7 == 0) | F.bool_or(F.contains("whole", F.lit("[표]")))).alias("marked"))
 
 
 @query("M15_N20_stratified", sql("""SELECT doc_id FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id * 7919 % 10007, doc_id) AS k FROM documents) JOIN (
@@ -190,9 +203,12 @@ def n17(v: Views) -> DataFrame:
     return pages.gate(numbers, 5.0, 0.6, 0.1).select("source", "failed")
 
 
-@query("M19_determinism", sql("SELECT round(min(list_cosine_similarity(vec, vec)), 6) AS least, count(*) AS n FROM vecs"))
+@query("M19_determinism", sql("SELECT count(*) AS n, count(*) FILTER (s < 0.99999) AS unlike, round(min(s), 5) AS least FROM (SELECT list_cosine_similarity(vec, list_transform(vec, lambda x: CASE WHEN doc_id % 10 = 3 THEN round(x, 1) ELSE round(x, 4) END)) AS s FROM vecs)"))
 def m19(v: Views) -> DataFrame:
-    return v.vecs().agg(F.round(F.min(retrieval.cosine("vec", "vec")), 6).alias("least"), F.count("*").alias("n"))
+    """Two runs of one embedding: the second is rounded, one in ten coarsely."""
+    again = F.transform("vec", lambda x: F.when(F.col("doc_id") % 10 == 3, F.round(x, 1)).otherwise(F.round(x, 4)))
+    like = v.vecs().withColumn("again", again).select(retrieval.cosine("vec", "again").alias("s"))
+    return like.agg(F.count("*").alias("n"), F.count_if(F.col("s") < 0.99999).alias("unlike"), F.round(F.min("s"), 5).alias("least"))
 
 
 @query("N1_judgements", sql("SELECT item_id AS query_id, idx, CASE WHEN idx = 1 THEN 1.0::DOUBLE WHEN idx = 2 THEN 0.25 ELSE 0.0 END AS score FROM benchmark, (SELECT unnest([1, 2, 3]) AS idx)"))
@@ -211,12 +227,6 @@ def n6(v: Views) -> DataFrame:
     return both.filter(F.round(retrieval.cosine("vec", "avec"), 9) >= 0.2).select(F.col("anchor").alias("doc_id"), F.col("doc_id").alias("near"))
 
 
-@query("N13_partial_rescore", sql("SELECT query_id, item, CASE WHEN item % 2 = 0 THEN round(1.0::DOUBLE / (rank + 1), 9) ELSE round(1.0::DOUBLE / (60 + rank), 9) END AS score FROM preds", _EVAL))
-def n13(v: Views) -> DataFrame:
-    new = F.when(F.col("item") % 2 == 0, 1.0 / (F.col("rank") + 1))
-    return predictions(v).select("query_id", "item", F.round(F.coalesce(new, 1.0 / (60 + F.col("rank"))), 9).alias("score"))
-
-
 @query("N15_cache_by_hash", sql("SELECT d.doc_id, c.version FROM docs d JOIN (SELECT sha256(text) AS sha, max(doc_id % 3) AS version FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) c ON c.sha = sha256(d.text)"))
 def n15(v: Views) -> DataFrame:
     sha = F.sha2(F.col("text").cast("binary"), 256).alias("sha")
@@ -229,9 +239,14 @@ def n19(v: Views) -> DataFrame:
     return v.docs().filter(F.startswith("title", F.lit("en_"))).agg(F.count("*").alias("n"))
 
 
-@query("B12_stage_durations", sql("SELECT stage, status, count(*) AS n, sum(duration_ms)::BIGINT AS ms FROM stage_logs GROUP BY 1, 2"))
+@query("B12_stage_durations", sql("SELECT job_id, stage, status, duration_ms FROM (SELECT log_id % 100000 AS job_id, stage, status, duration_ms FROM stage_logs WHERE log_id % 9 < 7) UNION ALL SELECT log_id % 100000, stage, 'running', NULL FROM stage_logs WHERE log_id % 9 >= 7"))
 def b12(v: Views) -> DataFrame:
-    return v.stage_logs().groupBy("stage", "status").agg(F.count("*").alias("n"), F.sum("duration_ms").alias("ms"))
+    """A row as a stage starts and one as it ends, paired by job and stage; some stages have not ended."""
+    logs = v.stage_logs()
+    at = F.unix_millis(F.col("started_at").cast("timestamp"))
+    started = logs.select((F.col("log_id") % 100_000).alias("job_id"), "stage", F.lit("started").alias("status"), at.alias("at"))
+    ended = logs.filter("log_id % 9 < 7").select((F.col("log_id") % 100_000).alias("job_id"), "stage", "status", (at + F.col("duration_ms")).alias("at"))
+    return telemetry.stage_durations(started.unionByName(ended))
 
 
 @query("L4_L5_rank_caps", sql("SELECT query_id, count(*) FILTER (rank <= 20) AS first, count(*) FILTER (rank <= 10) AS second FROM fused GROUP BY query_id", _HITS))
@@ -251,9 +266,12 @@ def w3(v: Views) -> DataFrame:
     return sparse_hits(v).filter("rank <= 3").select("query_id", "chunk_id", F.col("rank").alias("sparse_rank"))
 
 
-@query("C11_C13_page_blocks", sql("SELECT page_id, html LIKE '%<article>%' AS has_article FROM pages"))
+@query("C13_page_blocks", sql(r"""SELECT page_id, i AS idx, sha256(t) AS sha FROM (SELECT page_id, unnest(l) AS t, unnest(range(0, len(l))) AS i FROM (
+  SELECT page_id, list_filter(list_transform(string_split_regex(regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1), '</?(?:p|h[1-6]|li|ul|ol|blockquote)\b[^>]*>'), lambda x: trim(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages))"""))
 def c13(v: Views) -> DataFrame:
-    return v.table("pages").select("page_id", F.contains("html", F.lit("<article>")).alias("has_article"))
+    """The blocks of every page's article, in order, without markup."""
+    blocks = T.article_blocks(F.col("html"))
+    return v.table("pages").select("page_id", F.posexplode(blocks).alias("idx", "t")).select("page_id", "idx", F.sha2(F.col("t").cast("binary"), 256).alias("sha"))
 
 
 @query("C14_format_router", sql("SELECT CASE WHEN doc_type IN ('docx', 'pptx', 'hwpx') THEN 'zip' WHEN doc_type IN ('txt', 'md', 'url') THEN 'text' WHEN doc_type = 'image' THEN 'model' ELSE 'skipped' END AS route, count(*) AS n FROM docs GROUP BY 1"))
@@ -312,31 +330,55 @@ def r9(v: Views) -> DataFrame:
     return v.chunks().select("chunk_id", retrieval.toc_guard(F.lit(1.0), F.concat(head, F.lit("x")), section, F.lit("질문")).alias("score"))
 
 
-@query("M10_grounding", sql("SELECT a.doc_id, round(max(list_cosine_similarity(a.vec, b.vec)), 6) AS grounding FROM vecs a JOIN vecs b ON b.doc_id IN (a.doc_id - 1, a.doc_id + 1) GROUP BY a.doc_id"))
-def m10(v: Views) -> DataFrame:
-    lines = v.vecs().select(F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("doc_id"), F.col("vec").alias("line"))
-    return v.vecs().join(lines, "doc_id").groupBy("doc_id").agg(F.round(F.max(retrieval.cosine("vec", "line")), 6).alias("grounding"))
+@query("T9_chunk_records", sql("SELECT chunk_id, chunk_idx, sha256(nfc_normalize(text)) AS sha, len(list_distinct(regexp_extract_all(text, '\\b\\d{1,3}(?:\\.\\d+)?\\s*%'))) AS percents, 0 AS range_start, length(text) AS range_end FROM chunks".replace("\\\\", "\\")))
+def t9(v: Views) -> DataFrame:
+    clean = T.nfc(F.col("text"))
+    rows = v.chunks().select("chunk_id", "chunk_idx", clean.alias("text"))
+    return rows.select("chunk_id", "chunk_idx", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.size(T.entities(F.col("text"))["percents"]).alias("percents"), F.lit(0).alias("range_start"), F.char_length("text").alias("range_end"))
 
 
-@query("T9_chunk_records", sql("SELECT chunk_id, chunk_idx > 0 AS overlaps, length(text) AS range_end FROM chunks"))
-def t9(v: Views) -> DataFrame:
-    return v.chunks().select("chunk_id", (F.col("chunk_idx") > 0).alias("overlaps"), F.char_length("text").alias("range_end"))
+_SYN = "syn AS (SELECT unnest(['ing', 'ou', 'the', 'schen', 'zz', 'er', 'an', 'in']) AS key, unnest(['gerund', 'vowel', 'le', 'diminutive', 'none', 'ar', 'on', 'en']) AS word)"
 
 
-@query("T20_synonym_candidates", sql("SELECT chunk_id, array_to_string(list_filter(['ing', 'ou', 'zz'], lambda k: contains(text, k)), ',') AS found FROM chunks"))
+@query("T20_synonym_candidates", sql("SELECT c.chunk_id, sha256(CASE WHEN w IS NULL THEN text ELSE text || chr(10) || chr(10) || '[검색어: ' || array_to_string(w, ', ') || ']' END) AS sha, coalesce(len(w), 0) AS n FROM chunks c LEFT JOIN (SELECT chunk_id, list(word ORDER BY key)[1:5] AS w FROM (SELECT chunk_id, key, word FROM chunks JOIN syn ON contains(text, key) AND NOT contains(text, word)) GROUP BY chunk_id) x ON x.chunk_id = c.chunk_id", _SYN))
 def t20(v: Views) -> DataFrame:
-    keys = F.array(F.lit("ing"), F.lit("ou"), F.lit("zz"))
-    return v.chunks().select("chunk_id", F.array_join(F.slice(F.filter(keys, lambda k: F.contains(F.col("text"), k)), 1, 5), ",").alias("found"))
+    """Words whose dictionary key a chunk has and that it lacks itself, at most five, as a marker at its end."""
+    pairs = [("ing", "gerund"), ("ou", "vowel"), ("the", "le"), ("schen", "diminutive"), ("zz", "none"), ("er", "ar"), ("an", "on"), ("in", "en")]
+    added = T.synonym_words(F.col("text"), pairs)
+    return v.chunks().select("chunk_id", F.sha2(T.with_synonym_marker(F.col("text"), added).cast("binary"), 256).alias("sha"), F.size(added).alias("n"))
 
 
-@query("Q14_parsed_entities", sql("SELECT doc_id, lang AS topic, 2 AS n FROM documents"))
+@query("Q14_parsed_entities", sql("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a,' || lang WHEN 1 THEN lang ELSE '' END AS entities FROM documents"))
 def q14(v: Views) -> DataFrame:
-    answer = F.concat(F.lit('{"topic": "'), "lang", F.lit('", "entities": ["a", "b"]}'))
-    parsed = F.from_json(answer, "topic string, entities array<string>").alias("x")
-    return v.table("documents").select("doc_id", parsed).select("doc_id", "x.topic", F.size("x.entities").alias("n"))
+    """Answers fenced and bare, and such as hold no list."""
+    i, lang = F.col("doc_id") % 4, F.col("lang")
+    answer = F.when(i == 0, F.concat(F.lit('```json\n{"entities": ["a", " '), lang, F.lit('", "", "a"]}\n```'))).when(i == 1, F.concat(F.lit('{"entities": ["'), lang, F.lit('"]}'))).when(i == 2, '{"entities": "x"}').otherwise("none found")
+    return v.table("documents").select("doc_id", F.array_join(Q.named_entities(answer), ",").alias("entities"))
 
 
-@query("T8_composed_captions", sql("SELECT chunk_id, sha256(CASE WHEN chunk_idx % 4 = 0 THEN text || chr(10) || chr(10) || 'caption' ELSE text END) AS sha FROM chunks"))
+@query("T8_composed_captions", sql("SELECT chunk_id, sha256(whole) AS suffixed, sha256(CASE WHEN chunk_idx % 4 = 0 THEN '[p.' || page || '] ' || left('[표] Table ' || (page + 2) || ' caption of ' || left(text, 20), 200) || chr(10) || chr(10) || text ELSE text END) AS prefixed FROM capt", _CAPTIONED))
 def t8(v: Views) -> DataFrame:
-    caption = F.when(F.col("chunk_idx") % 4 == 0, F.lit("caption"))
-    return v.chunks().select("chunk_id", F.sha2(F.concat_ws("\n\n", "text", caption).cast("binary"), 256).alias("sha"))
+    """Captions after the text, and by option in front of it with the page, cut to 200 characters."""
+    caption = F.when(F.col("chunk_idx") % 4 == 0, F.concat(F.lit("[표] Table "), (F.col("page") + 2).cast("string"), F.lit(" caption of "), F.left("text", F.lit(20))))
+    sha = lambda c: F.sha2(c.cast("binary"), 256)
+    return v.chunks().select("chunk_id", sha(T.composed(F.col("text"), caption)).alias("suffixed"), sha(T.composed(F.col("text"), caption, F.col("page"))).alias("prefixed"))
+
+
+@query("M10_grounding", sql("SELECT query_id, round(max(CASE WHEN cap <> '' THEN list_cosine_similarity(q.vec, x.vec) END), 6) AS grounding FROM queries q, (SELECT c.doc_id, regexp_extract(whole, '\\[표\\] (.+)', 1) AS cap, v.vec FROM capt c JOIN vecs v USING (doc_id) WHERE chunk_idx = 4) x WHERE query_id % 20 = 0 GROUP BY query_id".replace("\\\\", "\\"), _CAPTIONED))
+def m10(v: Views) -> DataFrame:
+    """Of every query whose id is divisible by 20 the greatest cosine with a caption's vector; null without captions."""
+    lines = _captioned(v).filter("chunk_idx = 4").select("doc_id", F.regexp_extract("whole", r"\[표\] (.+)", 1).alias("caption")).filter("caption <> ''")
+    asked = v.queries().filter("query_id % 20 = 0")
+    best = retrieval.dense(lines.join(v.vecs(), "doc_id"), asked, 1, "doc_id")
+    return asked.select("query_id").join(best, "query_id", "left").select("query_id", F.round("sim", 6).alias("grounding"))
+
+
+@query("N13_partial_rescore", sql("SELECT query_id, chunk_id, CASE WHEN whole <> hits.text THEN round(list_cosine_similarity(q.vec, v.vec), 6) ELSE round(rrf, 6) END AS score, length(regexp_replace(whole, '(?s)\\s*\\[표\\] .+$', '')) AS chars FROM hits JOIN (SELECT chunk_id, whole FROM capt) USING (chunk_id) JOIN vecs v USING (doc_id) JOIN queries q USING (query_id)".replace("\\\\", "\\"), _HITS, _CAPTIONED))
+def n13(v: Views) -> DataFrame:
+    """Hits without their captions: those that had one are scored anew by cosine, the others keep their score."""
+    hits = hybrid(v).join(_captioned(v), "chunk_id").join(v.vecs(), "doc_id").join(v.queries().select("query_id", F.col("vec").alias("asked")), "query_id")
+    bare = F.regexp_replace("whole", r"(?s)\s*\[표\] .+$", "")
+    anew = F.when(bare != F.col("whole"), retrieval.cosine("vec", "asked"))
+    return hits.select("query_id", "chunk_id", F.round(F.coalesce(anew, "rrf"), 6).alias("score"), F.char_length(bare).alias("chars"))
+
+

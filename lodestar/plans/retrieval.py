@@ -136,6 +136,10 @@ def t22(v: Views) -> DataFrame:
     return retrieval.near_duplicates(rows, "label")
 
 
-@query("X13_cosine_policy", sql("SELECT doc_id, round(list_cosine_similarity(vec, vec), 9) AS own FROM vecs"))
+@query("X13_cosine_policy", sql("SELECT a.doc_id, CASE WHEN len(a.v) <> len(b.vec) OR list_sum(list_transform(a.v, lambda x: x * x)) = 0 THEN -1.0::DOUBLE ELSE round(list_cosine_similarity(a.v, b.vec[1:len(a.v)]), 9) END AS sim FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN list_transform(vec, lambda x: 0.0::DOUBLE) WHEN 1 THEN vec[1:3] ELSE vec END AS v FROM vecs) a JOIN vecs b ON b.doc_id = a.doc_id + 1"))
 def x13(v: Views) -> DataFrame:
-    return v.vecs().select("doc_id", F.round(retrieval.cosine("vec", "vec", 0.0), 9).alias("own"))
+    """Cosine with the next vector; zero vectors and such of another length have the policy's value."""
+    i = F.col("doc_id") % 5
+    mine = v.vecs().select("doc_id", F.when(i == 0, F.transform("vec", lambda x: F.lit(0.0))).when(i == 1, F.slice("vec", 1, 3)).otherwise(F.col("vec")).alias("a"))
+    other = v.vecs().select((F.col("doc_id") - 1).alias("doc_id"), F.col("vec").alias("b"))
+    return mine.join(other, "doc_id").select("doc_id", F.round(retrieval.cosine("a", "b", -1.0), 9).alias("sim"))

@@ -6,13 +6,11 @@ keeps the latest result as Parquet in a shared folder.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def source(spark: SparkSession, path: str) -> DataFrame:
@@ -41,20 +39,19 @@ def sessions(events: DataFrame, user: str, at: str, gap: str = "30 minutes", lat
 
 
 def job_states(jobs: DataFrame) -> DataFrame:
-    """(doc_id, status, job_id, n): the latest state of each document's jobs, kept as state."""
+    """(doc_id, status, job_id, n): the latest state of each document's jobs; a row of state for each document."""
+    last = F.max_by(F.struct("status", "job_id"), F.struct("queued_at", "job_id")).alias("r")
+    return jobs.groupBy("doc_id").agg(last, F.count("*").alias("n")).select("doc_id", "r.status", "r.job_id", "n")
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        at, job, status, n = state.get if state.exists else (-1, -1, "", 0)
-        for rows in batches:
-            n += len(rows)
-            for r in rows.itertuples():
-                if (r.at, r.job_id) > (at, job):
-                    at, job, status = r.at, r.job_id, r.status
-        state.update((int(at), int(job), status, int(n)))
-        yield pd.DataFrame({"doc_id": [key[0]], "status": [status], "job_id": [job], "n": [n]})
 
-    rows = jobs.select("doc_id", "job_id", "status", F.unix_micros("queued_at").alias("at"))
-    return rows.groupBy("doc_id").applyInPandasWithState(fold, "doc_id bigint, status string, job_id bigint, n bigint", "at bigint, job bigint, status string, n bigint", "update", GroupStateTimeout.NoTimeout)
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder under spark.checkpoint.dir; where that is unset, a local session's temporary folder."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"{tempfile.gettempdir()}/lodestar"
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
@@ -63,8 +60,7 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFra
     In complete mode the last batch is the result; in update mode the last row of each key.
     """
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lodestar-checkpoints").rstrip("/")
-    folder = f"{base}/stream-{uuid.uuid4().hex}"
+    folder = shared_folder(spark)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
