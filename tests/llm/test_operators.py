@@ -398,6 +398,43 @@ def test_paragraph_spans(spark):
     assert paragraph_dedup.spans(d.filter("doc_id < 0")).count() == 0
 
 
+def test_near_paragraphs_against_all_pairs(spark):
+    """Components of MinHash candidates against all pairs of paragraphs: no wrong link, and nearly all right ones."""
+    from lodestar.llm import words as W
+    from lodestar.llm.sieve import Sieve
+    from lodestar.llm.storage import keyed
+
+    rng = random.Random(41)
+    bases = [[f"b{i}x{j}" for j in range(rng.randint(24, 46))] for i in range(60)]
+    texts = []
+    for i in range(150):
+        parts = []
+        for b in rng.sample(bases, 3):
+            c = b[:]
+            for _ in range(rng.choice([0, 0, 1, 1, 2])):
+                c[rng.choice([0, 1, 2, -3, -2, -1])] = f"n{rng.randrange(10**6)}"
+            parts.append(" ".join(c) + ".")
+        texts.append(" ".join([*parts, " ".join(f"o{i}x{j}" for j in range(9)) + "."]))
+    d = keyed(docs(spark, texts), "doc_id", "text")
+    shared = jaccard_join.shared_keys(paragraph_dedup._keyed(d, "_text"))
+    signed = paragraph_dedup._signed(d, spark.sparkContext.broadcast(Sieve(shared)), "_doc", "_text")
+    roots = {r["sig"]: r["root"] for r in paragraph_dedup.clusters(d, signed, shared, "_doc", "_text").collect()}
+    sets = {}
+    for t in texts:
+        w = W.words([t.encode()], W.LOWER)
+        starts, ends = paragraph_dedup.paragraphs(w)
+        own = lower(t).split()
+        for x, y, sig in zip(starts, ends, paragraph_dedup._names(w, starts, ends).tolist()):
+            sets[sig] = shingled(" ".join(own[x:y]), 5)
+    sigs = list(sets)
+    want = dict(zip(sigs, linked([sets[k] for k in sigs], 80)))
+    together = lambda of, x, y: of.get(x, x) == of.get(y, y)
+    pairs = [(x, y) for i, x in enumerate(sigs) for y in sigs[:i] if together(want, x, y)]
+    found = [(x, y) for i, x in enumerate(sigs) for y in sigs[:i] if together(roots, x, y)]
+    assert len(pairs) > 200 and set(found) <= set(pairs)
+    assert len(found) >= 0.97 * len(pairs), (len(found), len(pairs))
+
+
 def test_long_paragraphs_are_cut_by_their_words_alone():
     from lodestar.llm import words as W
 
