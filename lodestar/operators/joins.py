@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,18 +56,31 @@ def split_titles(rows: DataFrame, column: str, name: str) -> DataFrame:
     return rows.select(F.explode(F.split(column, r"\|")).alias(name))
 
 
+#: Plain characters that a title needs to be found inside another one.
+LEAST = 8
+
+
 def fuzzy_titles(asked: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The best document of each title: equal, else equal without decoration, else holding
-    it (8 plain characters or more); ties by id.  The first two tiers are equi-joins; only
-    titles that are still open meet all documents, as a broadcast of the few titles asked."""
-    q = asked.withColumn("_plain", _plain(F.col(name)))
-    d = docs.withColumn("_key", _plain(F.col("title")))
+    """The best document of each title: equal, else equal without decoration, else one inside the
+    other (LEAST plain characters or more); ties by id.
+
+    All tiers are equi-joins.  A title inside a document's shares its first LEAST characters with
+    a window of that title; a document's title inside an asked one equals one of its parts.
+    """
+    q = asked.select(name, _plain(F.col(name)).alias("_plain")).distinct()
+    d = docs.select("doc_id", "title", _plain(F.col("title")).alias("_key"))
     equal = q.join(d, q["_plain"] == d["_key"]).withColumn("_tier", F.when(F.lower(F.col(name)) == F.lower("title"), 1).otherwise(2))
-    open_ = q.filter(F.length("_plain") >= 8).join(equal.select(name), name, "left_anti")
-    part = d.join(F.broadcast(open_), F.contains(d["_key"], open_["_plain"])).withColumn("_tier", F.lit(3))
-    both = equal.select(name, "doc_id", "_tier").unionByName(part.select(name, "doc_id", "_tier"))
-    first = F.row_number().over(Window.partitionBy(name).orderBy("_tier", "doc_id"))
-    return both.withColumn("_k", first).filter("_k = 1").drop("_k", "_tier")
+    size = F.char_length("_key")
+    windows = F.transform(F.sequence(F.lit(1), size - LEAST + 1), lambda i: F.substring(F.col("_key"), i, F.lit(LEAST)))
+    cut = d.filter(size >= LEAST).withColumn("_on", F.explode(F.array_distinct(windows)))
+    open_ = q.filter(F.char_length("_plain") >= LEAST)
+    outer = cut.join(open_.withColumn("_on", F.left("_plain", F.lit(LEAST))), "_on").filter(F.contains("_key", "_plain"))
+    n = F.char_length("_plain")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n - LEAST + 1), lambda i: F.transform(F.sequence(F.lit(LEAST), n - i + 1), lambda k: F.substring(F.col("_plain"), i, k))))
+    inner = open_.withColumn("_part", F.explode(F.array_distinct(parts))).join(d, F.col("_part") == F.col("_key"))
+    part = outer.select(name, "doc_id").unionByName(inner.select(name, "doc_id")).withColumn("_tier", F.lit(3))
+    both = equal.select(name, "doc_id", "_tier").unionByName(part)
+    return both.groupBy(name).agg(F.min(F.struct("_tier", "doc_id")).alias("_x")).select(name, F.col("_x.doc_id").alias("doc_id"))
 
 
 def blob_path(user: str, text: str, ext: str) -> Column:

@@ -145,10 +145,10 @@ def j9(v: Views) -> DataFrame:
 
 
 @query("J12_J13_fuzzy_titles", sql("""SELECT q, doc_id FROM (SELECT q, doc_id, row_number() OVER (PARTITION BY q ORDER BY tier, doc_id) AS k FROM (
-  SELECT q, doc_id, CASE WHEN lower(title) = lower(q) THEN 1 WHEN regexp_replace(lower(title), '[^a-z0-9]', '', 'g') = regexp_replace(lower(q), '[^a-z0-9]', '', 'g') THEN 2 WHEN length(regexp_replace(lower(q), '[^a-z0-9]', '', 'g')) >= 8 AND contains(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(q), '[^a-z0-9]', '', 'g')) THEN 3 END AS tier
-  FROM docs, (SELECT unnest(['EN_src1_1', 'en-src2-2', 'frsrc4_4', 'n_src1_10']) AS q)) WHERE tier IS NOT NULL) WHERE k = 1"""))
+  SELECT q, doc_id, CASE WHEN lower(title) = lower(q) THEN 1 WHEN regexp_replace(lower(title), '[^a-z0-9]', '', 'g') = regexp_replace(lower(q), '[^a-z0-9]', '', 'g') THEN 2 WHEN length(regexp_replace(lower(q), '[^a-z0-9]', '', 'g')) >= 8 AND (contains(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), regexp_replace(lower(q), '[^a-z0-9]', '', 'g')) OR (length(regexp_replace(lower(title), '[^a-z0-9]', '', 'g')) >= 8 AND contains(regexp_replace(lower(q), '[^a-z0-9]', '', 'g'), regexp_replace(lower(title), '[^a-z0-9]', '', 'g')))) THEN 3 END AS tier
+  FROM docs, (SELECT unnest(['EN_src1_1', 'fr-src2-2', 'frsrc4_4', 'n_src10_10', '(final) es_src17_17 v2', 'src1', 'en_src3_3 de_src5_5', 'src16_16']) AS q)) WHERE tier IS NOT NULL) WHERE k = 1"""))
 def j12(v: Views) -> DataFrame:
-    asked = v.spark.createDataFrame([("EN_src1_1|en-src2-2",), ("frsrc4_4|n_src1_10",)], "titles string")
+    asked = v.spark.createDataFrame([("EN_src1_1|fr-src2-2",), ("frsrc4_4|n_src10_10",), ("(final) es_src17_17 v2|src1",), ("en_src3_3 de_src5_5|src16_16",)], "titles string")
     return joins.fuzzy_titles(joins.split_titles(asked, "titles", "q"), v.docs().select("doc_id", "title"), "q").select("q", "doc_id")
 
 
