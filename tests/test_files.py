@@ -42,3 +42,23 @@ def test_urls(spark):
     urls = ["https://example.com/a", "http://127.0.0.1/x", "ftp://example.com", "http://192.168.1.1", "http://user@10.0.0.1/", "http://[::1]/", "https://8.8.8.8"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select(files.is_safe_url(F.col("u")).alias("ok")).collect()
     assert [r["ok"] for r in got] == [True, False, False, False, False, False, True]
+
+
+def test_evaluation_tables_and_reports(spark, tmp_path):
+    from lodestar.sources import evaluation
+
+    (tmp_path / "g.csv").write_text('﻿id,query,relevant_chunks\n1, "a, ""b""",3\n ,none,4\n2,c,a:3|b:4\n3,d,\n', encoding="utf-8")
+    (tmp_path / "g.tsv").write_text("id\tquery\trelevant_chunks\n1\tx\t1,2\n", encoding="utf-8")
+    (tmp_path / "g.json").write_text('[{"id": 7, "query": " q ", "relevant_chunks": "5"}, {"id": null, "query": "z", "relevant_chunks": ""}]', encoding="utf-8")
+    rows = {}
+    for kind in ("csv", "tsv", "json"):
+        found = evaluation.table(spark, str(tmp_path / f"g.{kind}")).withColumn("labels", evaluation.chunk_labels("relevant_chunks"))
+        rows |= {(kind, r["id"]): (r["query"], [(x["alias"], x["idx"]) for x in r["labels"]]) for r in found.collect()}
+    assert rows[("csv", "2")] == ("c", [("a", 3), ("b", 4)]) and rows[("csv", "3")] == ("d", [])
+    assert rows[("tsv", "1")] == ("x", [(None, 1), (None, 2)]) and rows[("json", "7")] == ("q", [(None, 5)])
+    assert set(rows) == {("csv", "1"), ("csv", "2"), ("csv", "3"), ("tsv", "1"), ("json", "7")}
+    report = spark.createDataFrame([("b|c", 2.5, None), ("a", 1.0, 3)], "name string, ms double, n int")
+    assert [r["line"] for r in evaluation.markdown(report, "name").collect()] == ["| name | ms | n |", "|---|---|---|", "| a | 1.0 | 3 |", "| b\\|c | 2.5 | - |"]
+    evaluation.write_json(report, str(tmp_path / "out"))
+    evaluation.write_markdown(report, "name", str(tmp_path / "md"))
+    assert spark.read.json(str(tmp_path / "out")).count() == 2 and spark.read.text(str(tmp_path / "md")).count() == 4
