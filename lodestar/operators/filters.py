@@ -46,6 +46,17 @@ def title_prefixed(column: str, prefixes: list[str]) -> Column:
     return out
 
 
+def is_public(title: Column, prefixes: list[str], keywords: list[str]) -> Column:
+    """A composed title that starts with a prefix or holds a keyword, blanks and underscores alike."""
+    plain = F.replace(title, F.lit("_"), F.lit(" "))
+    out = F.lit(False)
+    for p in prefixes:
+        out |= F.startswith(plain, F.lit(p))
+    for k in keywords:
+        out |= F.contains(plain, F.lit(k))
+    return out
+
+
 def _is_stale(as_of: str, hours: int) -> Column:
     return (F.col("status") == "running") & (F.col("started_at") < F.lit(as_of).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours)))
 

@@ -6,7 +6,7 @@ Predictions are rows (query_id, rank, item) with ranks from 1; labels are rows
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -40,9 +40,14 @@ def per_query(queries: DataFrame, predictions: DataFrame, labels: DataFrame, k:
 
 
 def summary(rows: DataFrame, groups: list[str], metrics: list[str]) -> DataFrame:
-    """Means by each group alone, by the first two together and overall, in one pass (grouping sets)."""
+    """Count and, of each metric, mean, least, greatest and deviation, and how many are none or whole: by each
+    group alone, by the first two together and overall, in one pass (grouping sets)."""
     sets = [[g] for g in groups] + [groups[:2], []]
-    aggs = [F.count("*").alias("n")] + [F.round(F.avg(m), 6).alias(m) for m in metrics]
+    aggs = [F.count("*").alias("n")]
+    for m in metrics:
+        aggs += [F.round(F.avg(m), 6).alias(m), F.round(F.min(m), 6).alias(f"{m}_low"), F.round(F.max(m), 6).alias(f"{m}_high"), F.round(F.stddev_pop(m), 6).alias(f"{m}_spread")]
+    first = F.col(metrics[0])
+    aggs += [F.count_if(first == 0).alias("missed"), F.count_if(first >= 1).alias("whole")]
     return rows.groupingSets(sets, *groups).agg(F.grouping_id().cast("int").alias("level"), *aggs)
 
 
@@ -73,3 +78,34 @@ def selected(scored: DataFrame, by: str, item: str, score: str, least: float, ca
     """(by, items): items at `least` or more, the best `cap` of them, in order of the item."""
     best = scored.filter(F.col(score) >= least).groupBy(by).agg(F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), F.col(item).alias("i")))).alias("x"))
     return best.select(by, F.array_sort(F.transform(F.slice("x", 1, cap), lambda x: x.i)).alias("items"))
+
+
+def golden(near: DataFrame, docs: DataFrame, wanted: list[str], k: int, least: float) -> DataFrame:
+    """(query_id, doc_id, label) over ranked neighbours (query_id, doc_id, sim, rank): relevant are those of the
+    first k that hold a wanted word, or the first where none does; acceptable are others of `least` similarity."""
+    hits = docs.select("doc_id", F.exists(F.array(*map(F.lit, wanted)), lambda w: F.contains("text", w)).alias("_hit"))
+    rows = near.join(hits, "doc_id").withColumn("_hit", F.col("_hit") & (F.col("rank") <= k))
+    some = F.bool_or("_hit").over(Window.partitionBy("query_id"))
+    label = F.when(F.col("_hit") | ((F.col("rank") == 1) & ~some), "relevant").when(F.col("sim") >= least, "acceptable")
+    return rows.withColumn("label", label).filter("label IS NOT NULL").drop("_hit")
+
+
+def candidates(forced: DataFrame, near: DataFrame) -> DataFrame:
+    """(query_id, doc_id, place): forced documents first, by id, then ranked neighbours that are none of them."""
+    f = forced.select("query_id", "doc_id", F.lit(0).alias("_kind"), F.col("doc_id").alias("_at"))
+    n = near.select("query_id", "doc_id", F.lit(1).alias("_kind"), F.col("rank").cast("bigint").alias("_at"))
+    first = f.unionByName(n).groupBy("query_id", "doc_id").agg(F.min(F.struct("_kind", "_at")).alias("_x"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("_x", "doc_id"))
+    return first.select("query_id", "doc_id", place.alias("place"))
+
+
+def cost_guard(costs: DataFrame, by: str, order: list[str], cap: float, unit: float) -> DataFrame:
+    """Rows with what is decided before each: `break` where one more unit would pass the cap, `alert` the first
+    time that 80 % are spent, else `proceed`; negative costs count nothing."""
+    w = Window.partitionBy(by).orderBy(*order)
+    spent = F.coalesce(F.sum(F.greatest(F.col("cost"), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = costs.withColumn("_spent", spent).withColumn("_break", F.col("_spent") + unit > cap + 1e-9)
+    high = ~F.col("_break") & (F.col("_spent") + 1e-9 >= 0.8 * cap)
+    seen = F.count_if(high).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    action = F.when(F.col("_break"), "break").when(high & (seen == 1), "alert").otherwise("proceed")
+    return rows.withColumn("action", action).drop("_spent", "_break")

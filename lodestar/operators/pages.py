@@ -125,3 +125,22 @@ def gate(numbers: DataFrame, drift_pct: float, baseline: float, most_drop: float
     drift = F.abs(F.col("after") - F.col("before")) / F.greatest(F.col("before"), F.lit(1)) * 100
     reason = F.when(drift > drift_pct, "chunks").when(F.col("null_vectors") > 0, "null_vectors").when(baseline - F.col("recall") > most_drop, "recall")
     return numbers.withColumn("failed", reason)
+
+
+def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r): Pearson's coefficient of every pair of columns, in one pass."""
+    both = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = rows.agg(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.corr(a, b), 6).alias("r")) for a, b in both]).alias("x"))
+    return one.select(F.explode("x").alias("x")).select("x.*")
+
+
+def ablated(rows: DataFrame, triggers: dict[str, float], thresholds: list[float]) -> DataFrame:
+    """(signal, threshold, needed): rows that the OR rule picks with one trigger moved, in one pass."""
+    picked = []
+    for moved in triggers:
+        for t in thresholds:
+            rule = F.lit(False)
+            for signal, own in triggers.items():
+                rule |= F.col(signal) >= (t if signal == moved else own)
+            picked.append(F.struct(F.lit(moved).alias("signal"), F.lit(t).alias("threshold"), F.count_if(rule).alias("needed")))
+    return rows.agg(F.array(*picked).alias("x")).select(F.explode("x").alias("x")).select("x.*")

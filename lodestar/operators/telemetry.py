@@ -53,17 +53,22 @@ def recent(log: DataFrame, at: str, key: str, n: int = 500) -> DataFrame:
 
 
 def by_mode(log: DataFrame) -> DataFrame:
-    """Counts, averages and rates overall and for each mode; a mode without rows stays, with zeros."""
+    """Counts, percentiles by rank, averages, rates and fallbacks by reason, overall and for each mode; a mode without rows stays, with zeros."""
+    rows = log.withColumn("mode", F.explode(F.array("mode", F.lit("overall"))))
+    reason = F.coalesce("fallback_reason", F.lit("none"))
     agg = [
         F.count("*").alias("n"),
         F.round(F.avg("took_ms"), 2).alias("avg_ms"),
         F.round(F.avg("fused"), 2).alias("avg_fused"),
         F.round(F.avg(F.col("cache_hit").cast("double")), 4).alias("cache_hit_rate"),
         F.count("fallback_reason").alias("fallbacks"),
+        *[F.count_if(reason == k).alias(k) for k in FALLBACKS],
     ]
-    sums = log.groupingSets([["mode"], []], "mode").agg(*agg).withColumn("mode", F.coalesce("mode", F.lit("overall")))
+    sums = rows.groupBy("mode").agg(*agg)
+    tails = percentiles.nearest(rows, ["mode"], "took_ms", p50_ms=0.5, p95_ms=0.95).drop("n")
     spine = log.sparkSession.createDataFrame([(m,) for m in [*MODES, "overall"]], "mode string")
-    return spine.join(sums, "mode", "left").select("mode", F.coalesce("n", F.lit(0)).alias("n"), "avg_ms", "avg_fused", "cache_hit_rate", F.coalesce("fallbacks", F.lit(0)).alias("fallbacks"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return spine.join(sums, "mode", "left").join(tails, "mode", "left").select("mode", zero("n"), "p50_ms", "p95_ms", *map(zero, FALLBACKS), "avg_ms", "avg_fused", "cache_hit_rate", zero("fallbacks"))
 
 
 def trend(log: DataFrame, at: str, value: str, flag: Column, as_of: str, span: str) -> DataFrame:

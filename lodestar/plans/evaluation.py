@@ -43,10 +43,10 @@ def a31(v: Views) -> DataFrame:
     return measured(v).agg(F.count("*").alias("n"), *[F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c) for c in ("recall", "mrr", "ndcg")])
 
 
-@query("A32_grouping_sets", sql("SELECT qtype, kind, GROUPING_ID(qtype, kind)::INT AS level, count(*) AS n, round(avg(recall), 6) AS recall, round(avg(ndcg), 6) AS ndcg FROM (SELECT *, query_id % 4 AS qtype, query_id % 3 AS kind FROM m) GROUP BY GROUPING SETS ((qtype), (kind), (qtype, kind), ())", _EVAL))
+@query("A32_grouping_sets", sql("SELECT qtype, kind, GROUPING_ID(qtype, kind)::INT AS level, count(*) AS n, round(avg(recall), 6) AS recall, round(min(recall), 6) AS recall_low, round(max(recall), 6) AS recall_high, round(stddev_pop(recall), 6) AS recall_spread, round(avg(mrr), 6) AS mrr, round(min(mrr), 6) AS mrr_low, round(max(mrr), 6) AS mrr_high, round(stddev_pop(mrr), 6) AS mrr_spread, round(avg(ndcg), 6) AS ndcg, round(min(ndcg), 6) AS ndcg_low, round(max(ndcg), 6) AS ndcg_high, round(stddev_pop(ndcg), 6) AS ndcg_spread, count(*) FILTER (recall = 0) AS missed, count(*) FILTER (recall >= 1) AS whole FROM (SELECT *, query_id % 4 AS qtype, query_id % 3 AS kind FROM m) GROUP BY GROUPING SETS ((qtype), (kind), (qtype, kind), ())", _EVAL))
 def a32(v: Views) -> DataFrame:
     rows = measured(v).withColumn("qtype", F.col("query_id") % 4).withColumn("kind", F.col("query_id") % 3)
-    return metrics.summary(rows, ["qtype", "kind"], ["recall", "ndcg"]).select("qtype", "kind", "level", "n", "recall", "ndcg")
+    return metrics.summary(rows, ["qtype", "kind"], ["recall", "mrr", "ndcg"])
 
 
 @query("A33_A34_A35_spread_and_threshold", sql("SELECT qtype, mean, pstdev, low, high, round(greatest(0.1, greatest(0, mean - 2 * pstdev)), 6) AS threshold, mean < greatest(0.1, greatest(0, mean - 2 * pstdev)) AS below FROM (SELECT query_id % 4 AS qtype, round(avg(ndcg), 6) AS mean, round(stddev_pop(ndcg), 6) AS pstdev, round(min(ndcg), 6) AS low, round(max(ndcg), 6) AS high FROM m GROUP BY 1)", _EVAL))
@@ -84,10 +84,10 @@ def m13(v: Views) -> DataFrame:
     return v.docs().select("doc_id", F.size(F.filter(F.split(F.lit("the;and;ing"), ";"), lambda t: F.contains(F.col("text"), t))).alias("hits"))
 
 
-@query("M16_cost_guard", sql("SELECT event_id, running > 0.5 AS stop, running > 0.4 AS alert FROM (SELECT event_id, sum(cost) OVER (PARTITION BY user_key ORDER BY called_at, event_id) AS running FROM usage)"))
+@query("M16_cost_guard", sql("""SELECT event_id, CASE WHEN brk THEN 'break' WHEN high AND sum(high::INT) OVER (PARTITION BY user_key ORDER BY called_at, event_id) = 1 THEN 'alert' ELSE 'proceed' END AS action FROM (
+  SELECT *, spent + 0.002 > 0.05 + 1e-9 AS brk, NOT (spent + 0.002 > 0.05 + 1e-9) AND spent + 1e-9 >= 0.04 AS high FROM (SELECT event_id, user_key, called_at, coalesce(sum(greatest(cost, 0)) OVER (PARTITION BY user_key ORDER BY called_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent FROM usage))"""))
 def m16(v: Views) -> DataFrame:
-    running = F.sum("cost").over(Window.partitionBy("user_key").orderBy("called_at", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    return v.usage().select("event_id", (running > 0.5).alias("stop"), (running > 0.4).alias("alert"))
+    return metrics.cost_guard(v.usage(), "user_key", ["called_at", "event_id"], 0.05, 0.002).select("event_id", "action")
 
 
 @query("M17_ablation_by_mode", sql("SELECT mode, count(*) AS n, round(avg(CASE WHEN top1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top1, round(avg(CASE WHEN top3 THEN 1.0::DOUBLE ELSE 0 END), 6) AS top3, round(avg(took_ms), 6) AS avg_ms FROM (SELECT mode, query_id, any_value(took_ms) AS took_ms, bool_or(rank = 1 AND hit) AS top1, bool_or(rank <= 3 AND hit) AS top3 FROM (SELECT p.*, ['hybrid', 'dense', 'sparse'][m + 1] AS mode, query_id % 50 + 10.0::DOUBLE * m AS took_ms, EXISTS (SELECT 1 FROM lab WHERE lab.query_id = p.query_id AND lab.item = (p.item + 13 * m) % 200) AS hit FROM preds p, (SELECT unnest([0, 1, 2]) AS m)) GROUP BY 1, 2) GROUP BY mode", _EVAL))

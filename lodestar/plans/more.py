@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import queries as Q
 from lodestar.functions import text as T
-from lodestar.operators import filters, pages, retrieval, telemetry
+from lodestar.operators import filters, metrics, pages, retrieval, telemetry
 from lodestar.plans.catalog import query
 from lodestar.plans.retrieval import _HITS, hybrid, hydrated
 from lodestar.sources.views import Views, sql
@@ -105,6 +105,31 @@ def n22(v: Views) -> DataFrame:
     return _page_signals(v).select("chunk_id", F.round((three[0] + three[1] + three[2]) / 3, 6).alias("score"))
 
 
+_SIGNALS = ["density", "table_like", "image", "bad", "caption"]
+
+
+@query("A37_signal_percentiles", sql("SELECT doc_id, signal, round(quantile_cont(x, 0.1), 9) AS p10, round(quantile_cont(x, 0.5), 9) AS p50, round(quantile_cont(x, 0.9), 9) AS p90, round(max(x), 9) AS top FROM (SELECT chunk_id // 1000000 AS doc_id, unnest(['density', 'table_like', 'image', 'bad', 'caption', 'weighted', 'equal']) AS signal, unnest([density, tab, image, bad, cap, 0.3 * density + 0.25 * tab + 0.2 * image + 0.1 * bad + 0.15 * cap, (density + tab + image) / 3]) AS x FROM sig) GROUP BY 1, 2", _PAGES))
+def a37(v: Views) -> DataFrame:
+    score, _ = pages.need_score(*map(F.col, _SIGNALS))
+    rows = _page_signals(v).select(F.floor(F.col("chunk_id") / 1_000_000).alias("doc_id"), *_SIGNALS, score.alias("weighted"), ((F.col("density") + F.col("table_like") + F.col("image")) / 3).alias("equal"))
+    each = rows.unpivot("doc_id", [*_SIGNALS, "weighted", "equal"], "signal", "x")
+    at = F.percentile("x", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
+    out = each.groupBy("doc_id", "signal").agg(at.alias("p"), F.round(F.max("x"), 9).alias("top"))
+    return out.select("doc_id", "signal", *[F.round(F.get("p", F.lit(i)), 9).alias(n) for i, n in enumerate(("p10", "p50", "p90"))], "top")
+
+
+@query("A38_correlation_matrix", sql("SELECT a, b, r FROM (SELECT unnest(['density', 'density', 'density', 'density', 'table_like', 'table_like', 'table_like', 'image', 'image', 'bad']) AS a, unnest(['table_like', 'image', 'bad', 'caption', 'image', 'bad', 'caption', 'bad', 'caption', 'caption']) AS b, unnest([corr(d, tab), corr(d, image), corr(d, bad), corr(d, cap), corr(tab, image), corr(tab, bad), corr(tab, cap), corr(image, bad), corr(image, cap), corr(bad, cap)]) AS x, round(x, 6) AS r FROM (SELECT *, -density AS d FROM sig))", _PAGES))
+def a38(v: Views) -> DataFrame:
+    """Every pair of signals in one pass; the density counts with its sign turned."""
+    return pages.correlations(_page_signals(v).withColumn("density", -F.col("density")), _SIGNALS)
+
+
+@query("M18_threshold_ablation", sql("SELECT signal, t AS threshold, count(*) FILTER (CASE WHEN signal = 'density' THEN density >= t ELSE density >= 0.5 END OR CASE WHEN signal = 'table_like' THEN tab >= t ELSE tab >= 0.5 END OR CASE WHEN signal = 'image' THEN image >= t ELSE image >= 0.3 END OR CASE WHEN signal = 'bad' THEN bad >= t ELSE bad >= 0.6 END OR CASE WHEN signal = 'caption' THEN cap >= t ELSE cap >= 0.2 END) AS needed FROM sig, (SELECT unnest(['density', 'table_like', 'image', 'bad', 'caption']) AS signal), (SELECT unnest([0.15, 0.35, 0.55, 0.75]::DOUBLE[]) AS t) GROUP BY 1, 2", _PAGES))
+def m18(v: Views) -> DataFrame:
+    """How many pages the OR rule picks as one trigger moves and the others stay."""
+    return pages.ablated(_page_signals(v), dict(zip(_SIGNALS, pages.TRIGGERS.values())), [0.15, 0.35, 0.55, 0.75])
+
+
 @query("T30_line_tests", sql(r"SELECT chunk_id, count(*) FILTER (len(string_split_regex(trim(line), '\s{2,}|\t')) >= 3) AS columns, count(*) FILTER (length(line) <= 80 AND regexp_matches(line, '(?i)^\s*(그림|표|figure|fig\.|table)\s*\d+')) AS captions FROM lines GROUP BY chunk_id", _PAGES))
 def t30(v: Views) -> DataFrame:
     i = F.col("chunk_idx")
@@ -154,9 +179,23 @@ def m9(v: Views) -> DataFrame:
     return top.groupBy("query_id").agg(F.round(F.sum(F.greatest(F.lit(0.0), F.col("sim")) * w) / F.sum(w), 6).alias("precision"))
 
 
-@query("M12_N4_golden_labels", sql("SELECT query_id, doc_id, sim >= 0.25 OR rank = 1 AS relevant FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM dsim) WHERE rank <= 5", _HITS))
+_GOLD = "ranked AS (SELECT query_id, doc_id, sim, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM dsim), top AS (SELECT r.*, len(list_filter(['heit', 'tion', 'ciónue'], lambda w: contains(d.text, w))) >= 1 AS hit FROM ranked r JOIN docs d USING (doc_id) WHERE rank <= 5)"
+
+
+@query("M12_golden_labels", sql("SELECT r.query_id, r.doc_id, CASE WHEN t.relevant THEN 'relevant' ELSE 'acceptable' END AS label FROM ranked r LEFT JOIN (SELECT *, hit OR (rank = 1 AND NOT bool_or(hit) OVER (PARTITION BY query_id)) AS relevant FROM top) t ON t.query_id = r.query_id AND t.doc_id = r.doc_id WHERE (t.relevant OR (r.sim >= 0.25 AND r.rank <= 50)) AND r.doc_id IN (SELECT doc_id FROM docs)", _HITS, _GOLD))
 def m12(v: Views) -> DataFrame:
-    return retrieval.dense(v.vecs(), v.queries(), 5, "doc_id").select("query_id", "doc_id", ((F.col("sim") >= 0.25) | (F.col("rank") == 1)).alias("relevant"))
+    """Of the five nearest documents those with a wanted word, else the first; acceptable are others near enough."""
+    near = retrieval.dense(v.vecs(), v.queries(), 50, "doc_id")
+    return metrics.golden(near, v.docs().select("doc_id", "text"), ["heit", "tion", "ciónue"], 5, 0.25).select("query_id", "doc_id", "label")
+
+
+@query("N4_candidates", sql("SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY NOT forced, CASE WHEN forced THEN doc_id ELSE rank END) AS place FROM (SELECT coalesce(f.query_id, r.query_id) AS query_id, coalesce(f.doc_id, r.doc_id) AS doc_id, f.doc_id IS NOT NULL AS forced, r.rank FROM (SELECT DISTINCT f.* FROM (SELECT query_id, unnest([query_id % 90, (query_id + 7) % 90, -1]) AS doc_id FROM queries) f JOIN docs d USING (doc_id)) f FULL JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.query_id = f.query_id AND r.doc_id = f.doc_id)", _HITS, _GOLD))
+def n4(v: Views) -> DataFrame:
+    """Relevant documents that exist come first, by id, then the nearest ones; each once."""
+    q = F.col("query_id")
+    relevant = v.queries().select("query_id", F.explode(F.array(q % 90, (q + 7) % 90, F.lit(-1))).alias("doc_id"))
+    known = relevant.join(v.docs().select("doc_id"), "doc_id", "left_semi").distinct()
+    return metrics.candidates(known, retrieval.dense(v.vecs(), v.queries(), 5, "doc_id"))
 
 
 _CAPTIONED = r"""capt AS (SELECT c.*, CASE WHEN chunk_idx % 4 = 0 THEN text || chr(10) || chr(10) || '[표] Table ' || (page + 2) || ' caption of ' || left(text, 20) ELSE text END AS whole FROM chunks c)"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.functions import text as T
 from lodestar.operators import filters, joins, sets, windows
 from lodestar.plans.catalog import query
 from lodestar.sources.views import AS_OF, Views, sql
@@ -64,9 +65,11 @@ def f14(v: Views) -> DataFrame:
     return filters.owned(v.stage_logs(), jobs, "job_id").select("log_id")
 
 
-@query("F15_F16_title_and_type", sql("SELECT doc_id, title FROM docs WHERE (title LIKE 'en%' OR title LIKE 'fr%') AND doc_type = 'docx'"))
+@query("F15_F16_title_and_type", sql("SELECT doc_id, title FROM docs WHERE (replace(title, '_', ' ') LIKE 'en src1%' OR replace(title, '_', ' ') LIKE 'fr src%' OR contains(replace(title, '_', ' '), 'src7 ')) AND doc_type IN ('docx', 'pdf')"))
 def f16(v: Views) -> DataFrame:
-    return v.docs().filter(filters.title_prefixed("title", ["en", "fr"]) & (F.col("doc_type") == "docx")).select("doc_id", "title")
+    """Public titles, which come decomposed: by prefix or keyword once composed, with blanks for underscores."""
+    public = filters.is_public(T.nfc(T.nfd(F.col("title"))), ["en src1", "fr src"], ["src7 "])
+    return v.docs().filter(public & F.col("doc_type").isin("docx", "pdf")).select("doc_id", "title")
 
 
 @query("F17_B14_stale_jobs", sql(f"SELECT job_id FROM jobs WHERE status = 'running' AND started_at < TIMESTAMP '{AS_OF}' - INTERVAL 100 HOUR"))

@@ -57,8 +57,8 @@ def a18(v: Views) -> DataFrame:
     return v.usage().agg(F.count("*").alias("n"), F.count_if("success").alias("ok"), F.count_if(~F.col("success")).alias("bad"), F.count("page").alias("paged"))
 
 
-_MODE_AGG = "count(*) AS n, round(avg(took_ms), 2) AS avg_ms, round(avg(fused), 2) AS avg_fused, round(avg(CASE WHEN cache_hit THEN 1.0::DOUBLE ELSE 0 END), 4) AS cache_hit_rate, count(fallback_reason) AS fallbacks"
-_MODES = "SELECT mode, coalesce(n, 0) AS n, avg_ms, avg_fused, cache_hit_rate, coalesce(fallbacks, 0) AS fallbacks FROM (SELECT unnest(['hybrid', 'dense', 'sparse', 'overall']) AS mode) LEFT JOIN (SELECT coalesce(mode, 'overall') AS mode, {agg} FROM {log} GROUP BY GROUPING SETS ((mode), ())) USING (mode)"
+_MODE_AGG = "count(*) AS n, list_sort(list(took_ms))[(floor(0.5 * (count(*) - 1)) + 1)::INT] AS p50_ms, list_sort(list(took_ms))[(floor(0.95 * (count(*) - 1)) + 1)::INT] AS p95_ms, count(*) FILTER (fallback_reason = 'transient_5xx') AS transient_5xx, count(*) FILTER (fallback_reason = 'permanent_4xx') AS permanent_4xx, count(*) FILTER (fallback_reason IS NULL) AS none, round(avg(took_ms), 2) AS avg_ms, round(avg(fused), 2) AS avg_fused, round(avg(CASE WHEN cache_hit THEN 1.0::DOUBLE ELSE 0 END), 4) AS cache_hit_rate, count(fallback_reason) AS fallbacks"
+_MODES = "SELECT mode, coalesce(n, 0) AS n, p50_ms, p95_ms, coalesce(transient_5xx, 0) AS transient_5xx, coalesce(permanent_4xx, 0) AS permanent_4xx, coalesce(none, 0) AS none, avg_ms, avg_fused, cache_hit_rate, coalesce(fallbacks, 0) AS fallbacks FROM (SELECT unnest(['hybrid', 'dense', 'sparse', 'overall']) AS mode) LEFT JOIN (SELECT coalesce(mode, 'overall') AS mode, {agg} FROM {log} GROUP BY GROUPING SETS ((mode), ())) USING (mode)"
 
 
 @query("A19_ring_buffer", sql(_MODES.format(agg=_MODE_AGG, log="(SELECT * FROM search_log ORDER BY recorded_at DESC, event_id DESC LIMIT 500)")))
@@ -132,18 +132,7 @@ def a36(v: Views) -> DataFrame:
     return v.usage().rollup("user_key").agg(F.round(F.avg((~F.col("success")).cast("double")), 6).alias("skip_rate"), F.count("*").alias("n"))
 
 
-@query("A37_signal_percentiles", sql("SELECT doc_id, round(quantile_cont(n, 0.1), 6) AS p10, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.9), 6) AS p90, max(n) AS top FROM (SELECT doc_id, length(text) AS n FROM chunks) GROUP BY doc_id"))
-def a37(v: Views) -> DataFrame:
-    c = v.chunks().select("doc_id", F.char_length("text").alias("n"))
-    return c.groupBy("doc_id").agg(*[F.round(percentiles.linear("n", q), 6).alias(k) for k, q in (("p10", 0.1), ("p50", 0.5), ("p90", 0.9))], F.max("n").alias("top"))
-
-
-@query("A38_correlation", sql("SELECT round(corr(took_ms, fused), 6) AS ms_fused, round(corr(took_ms, -fused), 6) AS ms_density FROM search_log"))
-def a38(v: Views) -> DataFrame:
-    return v.search_log().agg(F.round(F.corr("took_ms", "fused"), 6).alias("ms_fused"), F.round(F.corr("took_ms", -F.col("fused")), 6).alias("ms_density"))
-
-
-@query("A39_M18_threshold_grid", sql("SELECT t, count(*) FILTER (took_ms > t) AS over FROM search_log, (SELECT unnest([10, 50, 100, 200]) AS t) GROUP BY t"))
+@query("A39_threshold_grid", sql("SELECT t, count(*) FILTER (took_ms > t) AS over FROM search_log, (SELECT unnest([10, 50, 100, 200]) AS t) GROUP BY t"))
 def a39(v: Views) -> DataFrame:
     over = v.search_log().agg(*[F.count_if(F.col("took_ms") > t).alias(str(t)) for t in (10, 50, 100, 200)])  # one pass, no cross join
     return over.unpivot([], ["10", "50", "100", "200"], "t", "over").select(F.col("t").cast("int").alias("t"), "over")
