@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def latest(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
@@ -39,15 +40,19 @@ RANGES = 256
 
 
 def _ranged(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with `_b`, the range of a numeric key that they are in.  The bounds are one row of
-    approximate quantiles, computed once and the same wherever they are used."""
+    """Rows with `_b`, the range of a key that they are in; strings are ranged by their first
+    seven bytes.  The bounds are one row of approximate quantiles, computed once and the same
+    wherever they are used."""
+    key = F.col(order)
+    if isinstance(rows.schema[order].dataType, StringType):
+        key = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
     at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = rows.agg(F.percentile_approx(order, at).alias("_bounds"))
-    return rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < F.col(order)))).drop("_bounds")
+    bounds = rows.agg(F.percentile_approx(key, at).alias("_bounds"))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < key))).drop("_bounds")
 
 
 def numbered(rows: DataFrame, order: str, name: str, first: str | None = None) -> DataFrame:
-    """Rows numbered from 0 by `first` and a numeric key, with `_total`, without a sort in one task:
+    """Rows numbered from 0 by `first` and a number or string, with `_total`, without a sort in one task:
     a range's number of rows gives the next one its offset, and rows are sorted within a range."""
     own = [c for c in (first, "_b") if c]
     parts = _ranged(rows, order)
@@ -59,13 +64,13 @@ def numbered(rows: DataFrame, order: str, name: str, first: str | None = None) -
 
 
 def round_robin(rows: DataFrame, by: str, order: list[Column], place: str = "place") -> DataFrame:
-    """Groups (of a numeric key) interleaved: all first rows, then all second rows; within a round by group."""
+    """Groups interleaved: all first rows, then all second rows; within a round by group."""
     ranked = rows.withColumn("_round", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
     return numbered(ranked, by, place, "_round").withColumn(place, F.col(place) + 1).drop("_round", "_total")
 
 
 def even_stride(rows: DataFrame, order: str, n: int) -> DataFrame:
-    """n rows at even steps in order of a numeric key."""
+    """n rows at even steps in order of a key."""
     steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda g: F.floor(F.col("_total") / n * g + F.col("_total") / (2 * n)))
     return numbered(rows, order, "_i").filter(F.array_contains(steps, F.col("_i"))).select(rows.columns)
 
