@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.llm import words as W
-from lodestar.llm.storage import saved
+from lodestar.llm.storage import finished, saved
 
 #: Wrappers are broadcast up to this many hosts and bytes.
 MAX_HOSTS, MAX_BYTES = 20_000, 16 << 20
@@ -460,8 +460,9 @@ def wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     return now.withColumn("expression", readable("wrapper"))
 
 
+@finished("main-text")
 def extract(pages: DataFrame, found: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, text, n_chars) of every page, by the wrappers of `wrappers`."""
+    """(id, url, text, n_chars) of every page, by the wrappers of `wrappers`; written to the shared folder."""
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), F.col(html_col).alias("_html"), host(F.col(url_col)).alias("host"))
     schema = f"_id {rows.schema['_id'].dataType.simpleString()}, _url string, text string, n_chars bigint"
     size = found.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("wrapper") + F.length("host")), F.lit(0)).alias("bytes")).first()

@@ -5,12 +5,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of whole texts or pages that a Python worker gets at once.
+BATCH_ROWS = 1000
 #: The folders written so far by the operator that is at work.
 _written: ContextVar[list[str] | None] = ContextVar("_written", default=None)
 
@@ -27,12 +30,25 @@ def folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of BATCH_ROWS rows at most while a table is written; then what was set before."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet and read again: computed once, and its lineage ends here."""
     path = folder(df.sparkSession, label)
     if (written := _written.get()) is not None:
         written.append(path)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
