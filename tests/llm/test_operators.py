@@ -648,3 +648,16 @@ def test_words_tell_texts_of_one_style_apart(spark):
 def test_empty_tables(spark):
     d = docs(spark, ["x"]).limit(0)
     assert quality_rules.judge(d).count() == bpe.token_counts(d).count() == bpe.encode(d).count() == pii.find(d).count() == jaccard_join.classes(d).count() == 0
+
+
+def test_operators_leave_one_table_and_no_setting(spark):
+    import os
+
+    base = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    tables = lambda: set(os.listdir(base)) if os.path.isdir(base) else set()
+    before, rows = tables(), spark.conf.get(key)
+    d = docs(spark, ["a b c d e f g h"] * 3 + ["other words stand in here now"])
+    out = jaccard_join.classes(d)
+    assert {r["component_id"] for r in out.collect()} == {0, 3}
+    assert len(tables() - before) == 1 and spark.conf.get(key) == rows
