@@ -1,20 +1,23 @@
-"""The queries of the ten operators, and their SQL where SQL can express them."""
+"""The queries of the training-data operators, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, decontaminate, html_wrappers, jaccard_join, knn_quality, line_dedup, oracles, paragraph_dedup, pii, quality_rules
-
-from lodestar.llm.storage import saved
+from lodestar.llm import bpe, decontaminate, fill_middle, hard_negatives, html_wrappers, jaccard_join, knn_quality, line_dedup, oracles, paragraph_dedup, pii, quality_rules, warc
+from lodestar.llm.storage import folder, removed, saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {
     "op3_near_line_dedup": oracles.LINE_DEDUP,
     "op4_repetition_rules": oracles.REPETITION,
     "op10_benchmark_windows": oracles.DECONTAMINATION,
+    "op11_fill_in_middle": oracles.FILL_IN_MIDDLE,
+    "op12_warc_salvage": oracles.WARC,
+    "op13_dual_tree_negatives": oracles.HARD_NEGATIVES,
 }
 
 
@@ -78,3 +81,27 @@ def op1_paragraph_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return html_wrappers.extract(pages, saved(html_wrappers.wrappers(pages), "wrappers"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("text")).alias("output_sha256"), digest(fill_middle.restored("text", "form")).alias("restored_sha256"))
+
+
+@query
+def op12_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = folder(spark, "archives")
+    try:
+        warc.write(warc.with_revisits(table(spark, sf_dir, "pages")), archives)
+        return saved(warc.keys(warc.read(spark, archives)).withColumnRenamed("key", "page_id"), "warc")
+    finally:
+        removed(spark, archives)
+
+
+@query
+def op13_dual_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    relabelled = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(relabelled, F.col("vec_id") % 100 == 0)
