@@ -248,7 +248,7 @@ def _scaled(batches: Iterator[pa.RecordBatch], width: int, scale: int) -> Iterat
 
 def _usable(vectors: DataFrame, id_col: str, label_col: str, vec_col: str, scale: int) -> DataFrame:
     """(id, label, vec) of the rows that take part."""
-    fits = F.forall(F.col(vec_col), lambda x: F.floor(F.abs(x.cast("double")) * scale) < LIMIT - 1)
+    fits = F.forall(F.col(vec_col), lambda x: F.abs(x.cast("double")) * scale < LIMIT - 1)
     label = F.col(label_col) if vectors.schema[label_col].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(label_col)
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & F.col(vec_col).isNotNull() & fits)
     return rows.select(F.col(id_col).cast("bigint").alias("id"), label.cast("bigint").alias("label"), F.col(vec_col).alias("vec"))

@@ -182,6 +182,8 @@ def _manifest(store: pa.fs.FileSystem, path: str) -> list[dict] | None:
 
 
 Get = Callable[[int, int], bytes]
+_NAME = re.compile(rb"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
+_NEEDED = ("warc-type", "warc-record-id", "warc-date", "content-length")
 
 
 def _fields(head: bytes) -> dict[str, str]:
@@ -194,7 +196,11 @@ def _fields(head: bytes) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Fault("a header line without a colon")
-        last = name.strip().decode("utf-8", "replace").lower()
+        if not _NAME.fullmatch(name):
+            raise Fault("a header that is no name")
+        last = name.decode().lower()
+        if last in out and last != "warc-concurrent-to":
+            raise Fault("a header that occurs twice")
         out[last] = value.strip().decode("utf-8", "replace")
     return out
 
@@ -216,8 +222,12 @@ def parsed(get: Get, at: int) -> tuple[Record, int]:
             raise Fault("headers without an end")
         head, size = more, size * 4
     head = head[: head.index(END)]
+    if b"\r\nWARC/1." in head or head.startswith(b"WARC/1."):
+        raise Fault("headers that run into another version line")
     fields = _fields(head)
-    if not re.fullmatch(r"[0-9]{1,18}", length := fields.get("content-length", "")):
+    if missing := [k for k in _NEEDED if k not in fields]:
+        raise Fault(f"no header {missing[0]}")
+    if not re.fullmatch(r"[0-9]{1,18}", length := fields["content-length"]):
         raise Fault("no content length")
     if int(length) > MAX_RECORD:
         raise Fault("a record over the longest size")
@@ -270,16 +280,16 @@ def unit(get: Get, at: int) -> tuple[list[Record], int]:
     return records, end
 
 
-_CANDIDATE = re.compile(rb"\x1f\x8b\x08|(?<=\n)WARC/1\.[01]\r\n")
+#: A version line counts wherever it stands: the byte before it may be the one that is damaged.
+_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
 def following(get: Get, at: int, end: int) -> int:
     """The first place from `at` on, before `end`, where a valid member or record begins; else `end`."""
     while at < end:
-        # One byte before the piece tells whether a version line begins a line; the tail is read again.
-        piece = get(at - 1, PIECE + 1)
-        for m in _CANDIDATE.finditer(piece, 1):
-            spot = at - 1 + m.start()
+        piece = get(at, PIECE)
+        for m in _CANDIDATE.finditer(piece):
+            spot = at + m.start()
             if spot >= end:
                 return end
             try:
@@ -287,9 +297,9 @@ def following(get: Get, at: int, end: int) -> int:
                 return spot
             except Fault:
                 pass
-        if len(piece) <= PIECE:
+        if len(piece) < PIECE:
             return end
-        at += PIECE - 16
+        at += PIECE - 16  # a version line may lie across the pieces' edge
     return end
 
 
