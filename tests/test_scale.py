@@ -11,19 +11,49 @@ from lodestar.functions import text as T
 from lodestar.operators import filters, pages, percentiles, retrieval, windows
 
 
-@pytest.mark.parametrize("bins", [1, 3, 1024])
-def test_percentiles_by_ranges(spark, monkeypatch, bins):
+@pytest.mark.parametrize(("bins", "enough", "state"), [(4096, 100_000, 10_000), (2, 1, 10_000), (7, 3, 10_000), (4096, 100_000, 2), (3, 5, 1)])
+def test_percentiles_by_narrowing(spark, monkeypatch, bins, enough, state):
     monkeypatch.setattr(percentiles, "BINS", bins)
+    monkeypatch.setattr(percentiles, "ENOUGH", enough)
+    monkeypatch.setattr(percentiles, "MAX_STATE", state)
     rng = random.Random(2)
-    rows = [(g, rng.choice([rng.random() * 1000, 5.0, -3.0, None])) for g in ["a", "b", None] for _ in range(rng.randint(1, 90))] + [("one", 7.0), ("none", None)]
+    rows = [(g, rng.choice([rng.random() * 1000, 5.0, -3.0, 1e12, -1e300, 0.0, 5e-324, None])) for g in ["a", "b", None] for _ in range(rng.randint(1, 90))] + [("one", 7.0), ("none", None)]
     d = spark.createDataFrame(rows, "g string, x double")
     got = {r["g"]: (r["n"], r["low"], r["mid"], r["high"]) for r in percentiles.nearest(d, ["g"], "x", low=0.0, mid=0.5, high=0.95).collect()}
+    between = {r["g"]: r["p"] for r in percentiles.linear(d, ["g"], "x", p=0.4).collect()}
     for g in {g for g, x in rows if x is not None}:
         xs = sorted(x for k, x in rows if k == g and x is not None)
         assert got[g] == (len(xs), xs[0], xs[int(0.5 * (len(xs) - 1))], xs[int(0.95 * (len(xs) - 1))])
+        assert between[g] == pytest.approx(np.percentile(xs, 40))
     assert "none" not in got
     whole = sorted(x for _, x in rows if x is not None)
     assert percentiles.rounded(d, [], "x", p=0.3).first()["p"] == whole[round(0.3 * (len(whole) - 1))]
+    ints = sorted(rng.randint(-5, 1 << 62) for _ in range(99))
+    assert percentiles.nearest(spark.createDataFrame([(x,) for x in ints], "x bigint"), [], "x", p=0.25, q=1.0).first().asDict() == {"n": 99, "p": ints[24], "q": ints[98]}
+
+
+def test_keys_are_in_order(spark):
+    """The key is the bits of a double, mirrored below zero."""
+    rng = np.random.default_rng(1)
+    xs = rng.integers(0, 1 << 64, 4000, dtype=np.uint64).view(np.float64)
+    edges = [s * f * 2.0**e for e in range(-1074, 1024, 7) for f in (1.0, 1 + 2**-52, 2 - 2**-52) for s in (1, -1)]
+    xs = [float(x) for x in [*xs[~np.isnan(xs)], *edges, 0.0, -0.0, float("inf"), float("-inf"), 1.7976931348623157e308, 2.2250738585072014e-308, 5e-324]]
+    kind = spark.createDataFrame([], "x double").schema["x"].dataType
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", percentiles.order_key(F.col("x"), kind).alias("k")).collect()
+    for r in got:
+        bits = int(np.float64(abs(r["x"])).view(np.int64))
+        assert r["k"] == (-bits if r["x"] < 0 else bits)
+
+
+@pytest.mark.parametrize("far", [1e12, 1e300])
+def test_an_outlier_leaves_no_full_range(spark, far):
+    """However far one value is, the rows that are put in order are few, and a range is never the whole group."""
+    d = spark.range(20_000).select((1_700_000_000 + F.rand(3) * 86_400).alias("x")).union(spark.createDataFrame([(far,), (-far,)], "x double"))
+    base = d.select("x", F.lit("").alias("_"), percentiles.order_key(F.col("x"), d.schema["x"].dataType).alias("_k"))
+    counts = base.groupBy("_", F.shiftright("_k", 49).alias("_bin")).agg(F.count("*").alias("_in"), F.min("_k").alias("_low"), F.max("_k").alias("_high"))
+    state = percentiles._held(counts, ["_"], {"p": lambda n: F.floor(0.5 * (n - 1))})
+    once = percentiles._narrowed(base, state, ["_"], 1).first()
+    assert once["_in"] < 20_000 / 100
 
 
 @pytest.mark.parametrize("ranges", [2, 7, 256])
