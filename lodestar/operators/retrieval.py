@@ -300,38 +300,6 @@ def context(hits: DataFrame, k: int = 5, chars: int = 1200) -> DataFrame:
     return packed.select("query_id", F.array_join(F.transform("x", lambda x: x.line), "\n\n").alias("context"))
 
 
-def near_duplicates(rows: DataFrame, tenant: str, id_col: str = "doc_id") -> DataFrame:
-    """(id, of, sim): each row's most similar other row of its tenant, by exact cosine.
-
-    Every tenant's vectors meet in blocks: rows are dealt to (tenant, block of the other
-    side), so a large tenant is spread over tasks and no task holds it whole.
-    """
-    base = rows.filter(F.col("vec").isNotNull()).select(F.col(tenant).alias("t"), F.col(id_col).alias("id"), F.col("vec").cast("array<double>").alias("vec"))
-    sizes = base.groupBy("t").agg(F.ceil(F.count("*") / 2000).cast("int").alias("blocks"))
-    dealt = base.join(sizes, "t").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = dealt.select("t", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"), "id", "vec")
-    right = dealt.select("t", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(1).alias("side"), "id", "vec")
-
-    def best(block: pa.Table) -> pa.Table:
-        side, ids = block.column("side").to_numpy(), block.column("id").to_numpy()
-        x = np.array(block.column("vec").to_pylist(), dtype=float)
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        x = x / np.where(norm > 0, norm, 1)
-        a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        b = b[np.argsort(ids[b])]
-        out = []
-        for i in range(0, len(a), 500):
-            part = a[i : i + 500]
-            sim = np.round(x[part] @ x[b].T, 9)
-            sim[ids[part][:, None] == ids[b][None, :]] = -9
-            top = sim.argmax(axis=1)
-            out += [(int(p), int(ids[b[j]]), float(s)) for p, j, s in zip(ids[part], top, sim[np.arange(len(part)), top]) if s > -9]
-        return pa.table({"id": pa.array([o[0] for o in out], pa.int64()), "of": pa.array([o[1] for o in out], pa.int64()), "sim": pa.array([o[2] for o in out], pa.float64())})
-
-    each = left.unionByName(right).groupBy("t", "a", "b").applyInArrow(best, "id bigint, of bigint, sim double")
-    return each.groupBy("id").agg(F.max_by(F.struct("of", "sim"), F.struct("sim", (-F.col("of")).alias("o"))).alias("x")).select("id", "x.of", "x.sim")
-
-
 def dedup_tier(sim: Column, name_ratio: Column) -> Column:
     """2 from similarity 0.95 on, 3 from 0.85 with like names, else null."""
     return F.when(sim >= 0.95, 2).when((sim >= 0.85) & (name_ratio >= 0.6), 3)

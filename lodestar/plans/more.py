@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import queries as Q
 from lodestar.functions import text as T
-from lodestar.operators import filters, metrics, pages, retrieval, telemetry
+from lodestar.operators import filters, metrics, pages, retrieval, similarity, telemetry
 from lodestar.plans.catalog import query
 from lodestar.plans.retrieval import _HITS, hybrid, hydrated
 from lodestar.sources.views import Views, sql
@@ -142,7 +142,7 @@ def t30(v: Views) -> DataFrame:
 def t22(v: Views) -> DataFrame:
     """The most similar other document of an owner, its tier by similarity and by likeness of names."""
     rows = v.vecs().join(v.docs().select("doc_id", "user_id", "title"), "doc_id")
-    near = retrieval.near_duplicates(rows, "user_id")
+    near = similarity.nearest(rows, "user_id", at_least=0.85)
     names = v.docs().select("doc_id", "title")
     both = near.join(names.withColumnsRenamed({"doc_id": "id", "title": "a"}), "id").join(names.withColumnsRenamed({"doc_id": "of", "title": "b"}), "of")
     return both.select("id", "of", "sim", retrieval.dedup_tier(F.col("sim"), T.name_ratio(F.col("a"), F.col("b"))).alias("tier"))

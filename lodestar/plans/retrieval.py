@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestar.operators import filters, retrieval
+from lodestar.operators import filters, retrieval, similarity
 from lodestar.plans.catalog import query
 from lodestar.sources.views import Views, sql
 
@@ -133,7 +133,20 @@ def r25(v: Views) -> DataFrame:
 @query("T22_J10_near_duplicates", sql("SELECT id, of, sim FROM (SELECT a.doc_id AS id, b.doc_id AS of, round(list_cosine_similarity(a.vec, b.vec), 9) AS sim, row_number() OVER (PARTITION BY a.doc_id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.doc_id) AS k FROM vecs a JOIN embeddings ea ON ea.vec_id = a.doc_id JOIN embeddings eb ON eb.label = ea.label JOIN vecs b ON b.doc_id = eb.vec_id WHERE a.doc_id <> b.doc_id) WHERE k = 1"))
 def t22(v: Views) -> DataFrame:
     rows = v.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label")
-    return retrieval.near_duplicates(rows, "label")
+    return similarity.nearest(rows, "label")
+
+
+_BLENDED = """r AS (SELECT vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),
+twice AS (SELECT id, vec FROM r UNION ALL SELECT a.id + 1000000, list_transform(range(1, len(a.vec) + 1), lambda i: a.vec[i] + 0.3::DOUBLE * b.vec[i]) FROM r a JOIN r b ON b.id = a.id + 1)"""
+
+
+@query("J10_threshold_join", sql("SELECT id, of, sim FROM (SELECT a.id, b.id AS of, round(list_cosine_similarity(a.vec, b.vec), 9) AS sim, row_number() OVER (PARTITION BY a.id ORDER BY round(list_cosine_similarity(a.vec, b.vec), 9) DESC, b.id) AS k FROM twice a JOIN twice b ON a.id <> b.id WHERE round(list_cosine_similarity(a.vec, b.vec), 9) >= 0.85) WHERE k = 1", _BLENDED))
+def j10(v: Views) -> DataFrame:
+    """All vectors, and each blended with the one after it, as one tenant: the nearest at 0.85 or more."""
+    own = v.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec"))
+    after = own.select((F.col("id") - 1).alias("id"), F.col("vec").alias("next"))
+    blended = own.join(after, "id").select((F.col("id") + 1_000_000).alias("id"), F.zip_with("vec", "next", lambda a, b: a + 0.3 * b).alias("vec"))
+    return similarity.nearest(own.unionByName(blended).withColumn("all", F.lit("all")), "all", "id", at_least=0.85)
 
 
 @query("X13_cosine_policy", sql("SELECT a.doc_id, CASE WHEN len(a.v) <> len(b.vec) OR list_sum(list_transform(a.v, lambda x: x * x)) = 0 THEN -1.0::DOUBLE ELSE round(list_cosine_similarity(a.v, b.vec[1:len(a.v)]), 9) END AS sim FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN list_transform(vec, lambda x: 0.0::DOUBLE) WHEN 1 THEN vec[1:3] ELSE vec END AS v FROM vecs) a JOIN vecs b ON b.doc_id = a.doc_id + 1"))

@@ -6,12 +6,11 @@ keeps the latest result as Parquet in a shared folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestar.sources.shared import folder as shared_folder
+
 
 def source(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table as a stream of its files."""
@@ -44,23 +43,13 @@ def job_states(jobs: DataFrame) -> DataFrame:
     return jobs.groupBy("doc_id").agg(last, F.count("*").alias("n")).select("doc_id", "r.status", "r.job_id", "n")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that is unset, a local session's temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"{tempfile.gettempdir()}/lodestar"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
     """Runs the stream over all that is there and returns its result as a table.
 
     In complete mode the last batch is the result; in update mode the last row of each key.
     """
     spark = stream.sparkSession
-    folder = shared_folder(spark)
+    folder = shared_folder(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")

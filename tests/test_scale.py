@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import queries as Q
 from lodestar.functions import text as T
-from lodestar.operators import filters, pages, percentiles, retrieval, windows
+from lodestar.operators import filters, pages, percentiles, retrieval, similarity, windows
 
 
 @pytest.mark.parametrize(("bins", "enough", "state"), [(4096, 100_000, 10_000), (2, 1, 10_000), (7, 3, 10_000), (4096, 100_000, 2), (3, 5, 1)])
@@ -90,7 +90,7 @@ def test_tiers_of_near_duplicates(spark):
     v = lambda *x: list(map(float, x))
     rows = [(1, "u", "annual report.pdf", v(1, 0, 0)), (2, "u", "scan.pdf", v(1, 0.05, 0)), (3, "u", "plan v1.docx", v(0, 1, 0)), (4, "u", "plan v2.docx", v(0, 1, 0.45)), (5, "u", "other name", v(0, 0.3, -1)), (6, "w", "annual report.pdf", v(1, 0, 0))]
     d = spark.createDataFrame(rows, "doc_id bigint, user_id string, title string, vec array<double>")
-    near = retrieval.near_duplicates(d, "user_id")
+    near = similarity.nearest(d, "user_id")
     names = d.select("doc_id", "title")
     both = near.join(names.withColumnsRenamed({"doc_id": "id", "title": "a"}), "id").join(names.withColumnsRenamed({"doc_id": "of", "title": "b"}), "of")
     got = {r["id"]: (r["of"], r["tier"]) for r in both.select("id", "of", retrieval.dedup_tier(F.col("sim"), T.name_ratio(F.col("a"), F.col("b"))).alias("tier")).collect()}
@@ -134,3 +134,54 @@ def test_diversity_by_trying_all(spark):
         value = lambda i: 0.7 * rel[i] - 0.3 * max([0.0, *(float(unit[i] @ unit[j]) for j in picked)])  # noqa: B023, E731
         picked.append(max((i for i in range(12) if i not in picked), key=lambda i: (value(i), -i)))
     assert got == picked
+
+
+def vectors_in_groups(rng, n, dims=8, groups=12):
+    centers = rng.standard_normal((groups, dims))
+    return [(centers[rng.integers(groups)] + 0.25 * rng.standard_normal(dims)).tolist() for _ in range(n)]
+
+
+@pytest.mark.parametrize(("cell", "visitors", "busy", "kind"), [(2000, 50_000, 200_000, "bigint"), (20, 50_000, 200_000, "string"), (10, 7, 200_000, "bigint"), (10, 7, 0, "bigint")])
+@pytest.mark.parametrize("at_least", [-1.0, 0.9])
+def test_nearest_by_all_pairs(spark, monkeypatch, cell, visitors, busy, kind, at_least):
+    """Cells, blocks, visits, copies and ties against every pair."""
+    monkeypatch.setattr(similarity, "CELL", cell)
+    monkeypatch.setattr(similarity, "VISITORS", visitors)
+    monkeypatch.setattr(similarity, "MAX_BUSY", busy)
+    rng = np.random.default_rng(cell)
+    vecs = vectors_in_groups(rng, 260)
+    rows = [(i, "big", v) for i, v in enumerate(vecs)]
+    rows += [(1000 + i, "big", vecs[3]) for i in range(90)]  # a third are copies of one vector
+    rows += [(2000 + i, "big", [2 * x for x in vecs[3]]) for i in range(3)]  # the same direction
+    rows += [(3000 + i, "small", v) for i, v in enumerate(vecs[:7])] + [(3100, "one", vecs[0])]
+    rows += [(4000, "big", [0.0] * 8), (4001, "big", None), (4002, None, vecs[0]), (None, "big", vecs[1]), (4003, "big", [1.0, 2.0]), (4004, "big", [2.0, 1.0])]
+    name = (lambda i: None if i is None else f"{i:05d}") if kind == "string" else (lambda i: i)
+    rows = [(name(i), t, v) for i, t, v in rows]
+    d = spark.createDataFrame(rows, f"doc_id {kind}, t string, vec array<double>").repartition(3)
+    got = {r["id"]: (r["of"], r["sim"]) for r in similarity.nearest(d, "t", at_least=at_least).collect()}
+    want = {}
+    usable = [(i, t, np.array(v) / np.linalg.norm(v)) for i, t, v in rows if None not in (i, t) and v and np.linalg.norm(v) > 0]
+    for i, t, v in usable:
+        found = [(-round(float(v @ w), 9), j) for j, u, w in usable if j != i and u == t and len(w) == len(v)]
+        if found and -min(found)[0] >= at_least:
+            want[i] = (min(found)[1], -min(found)[0])
+    assert {i: of for i, (of, _) in got.items()} == {i: of for i, (of, _) in want.items()}
+    assert all(abs(got[i][1] - want[i][1]) < 2e-9 for i in want)
+
+
+def test_visits_are_few_and_enough():
+    """Everything within a row's radius lies in a cell that it visits, and on rows in groups it visits few."""
+    rng = np.random.default_rng(3)
+    x = np.array(vectors_in_groups(rng, 3000, 16, 40))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pivots = x[::50]
+    dot = x @ pivots.T
+    home = dot.argmax(axis=1)
+    away = np.sqrt(np.maximum(0, 2 - 2 * dot.max(axis=1)))
+    reach = np.array([away[home == c].max(initial=0) for c in range(len(pivots))])
+    radius = similarity._radius(np.full(len(x), -1.0), 0.85)
+    row, cell = similarity.visits(x, home, radius, pivots, reach)
+    seen = set(zip(row.tolist(), cell.tolist()))
+    a, b = np.nonzero(x @ x.T >= 0.85)
+    assert all((i, home[j]) in seen for i, j in zip(a.tolist(), b.tolist()))
+    assert len(seen) < 0.35 * len(x) * len(pivots)
