@@ -42,13 +42,13 @@ class _Top:
         self.k, self.floor = k, np.full(n, -np.inf)
         self.query, self.score, self.id = np.zeros(0, np.int64), np.zeros(0), None
 
-    def add(self, scores: np.ndarray, ids: np.ndarray, above: float = -np.inf) -> None:
-        """scores: a row for each id, a column for each query; only those greater than `above` count."""
-        floor = self.floor
+    def add(self, scores: np.ndarray, ids: np.ndarray, above: float = -np.inf, of: np.ndarray | None = None) -> None:
+        """scores: a row for each id, a column for each query, or for each of `of`; only those greater than `above` count."""
+        floor = self.floor if of is None else self.floor[of]
         if len(ids) > self.k:
             floor = np.maximum(floor, np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k])
-        row, query = np.nonzero((scores >= floor) & (scores > above))
-        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[row, query]])
+        row, column = np.nonzero((scores >= floor) & (scores > above))
+        query, score = np.concatenate([self.query, column if of is None else of[column]]), np.concatenate([self.score, scores[row, column]])
         every = ids[row] if self.id is None else np.concatenate([self.id, ids[row]])
         order = np.lexsort((every, -score, query))
         query = query[order]
@@ -120,14 +120,18 @@ def or_terms(query: str | Column) -> Column:
     return F.filter(cut, lambda t: t != "")
 
 
-def sparse(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", mode: str = "or") -> DataFrame:
+def sparse(chunks: DataFrame, queries: DataFrame, k: int | None, id_col: str = "chunk_id", mode: str = "or") -> DataFrame:
     """(query_id, id, score, rank): chunks by occurrences of the query's terms; `and` asks for all of them.
 
+    Without k all hits are given, without ranks, by a join of terms: (query_id, id, score).
+
     Up to MAX_ASKED query terms are broadcast, and every task counts them in its chunks and
     keeps its own k best for each query, so k rows for each query and task are shuffled,
     however common a term is.  More are joined by term.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
+    if k is None:
+        return _joined(chunks, asked, id_col, mode == "and")
     few = asked.limit(MAX_ASKED + 1).toArrow()
     hits = _scored(chunks, few, queries.schema["query_id"].dataType.simpleString(), k, id_col, mode == "and") if few.num_rows <= MAX_ASKED else _joined(chunks, asked, id_col, mode == "and")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
