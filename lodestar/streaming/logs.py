@@ -12,9 +12,21 @@ from pyspark.sql import functions as F
 from lodestar.sources.shared import folder as shared_folder
 
 
-def source(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a stream takes folders or patterns
+def source(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet table as a stream of its files, `files` of them in a batch."""
+    reader = spark.readStream.schema(spark.read.parquet(f"{path}*").schema)
+    reader = reader.option("maxFilesPerTrigger", files) if files else reader
+    return reader.parquet(f"{path}*")  # a stream takes folders or patterns
+
+
+def in_turns(rows: DataFrame, at: str, bounds: list[str], folder: str) -> str:
+    """`rows` as a folder of files that a stream reads one after the other: those before each bound, then the rest."""
+    instant = lambda x: F.lit(x).cast("timestamp")
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        part = rows if low is None else rows.filter(F.col(at) >= instant(low))
+        part = part if high is None else part.filter(F.col(at) < instant(high))
+        part.coalesce(1).write.parquet(f"{folder}/{i}")
+    return f"{folder}/"
 
 
 def trend(log: DataFrame, at: str, value: str, width: str = "6 hours", late: str = "1 hour") -> DataFrame:
@@ -46,7 +58,8 @@ def job_states(jobs: DataFrame) -> DataFrame:
 def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFrame:
     """Runs the stream over all that is there and returns its result as a table.
 
-    In complete mode the last batch is the result; in update mode the last row of each key.
+    In complete mode the last batch is the result, in update mode the last row of each key,
+    in append mode all that came.
     """
     spark = stream.sparkSession
     folder = shared_folder(spark, "stream")
@@ -57,6 +70,8 @@ def drain(stream: DataFrame, mode: str, key: list[str] | None = None) -> DataFra
     run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     rows = spark.read.parquet(f"{folder}/rows").drop("batch")
+    if mode == "append":
+        return rows.drop("_batch")
     if key is None:
         return rows.join(F.broadcast(rows.agg(F.max("_batch").alias("_batch"))), "_batch").drop("_batch")
     rest = [c for c in rows.columns if c not in (*key, "_batch")]
