@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestar.operators import patterns
+
 
 def tenant(docs: DataFrame, user_id: str | None, user_col: str = "user_id", deleted_col: str = "deleted_at") -> DataFrame:
     """Rows of one tenant (None: of all) that are not deleted."""
@@ -71,22 +73,45 @@ def fail_stale(jobs: DataFrame, as_of: str, hours: int) -> DataFrame:
     return jobs.withColumn("status", F.when(_is_stale(as_of, hours), "failed").otherwise(F.col("status")))
 
 
+def _newest(rows: DataFrame, by: list[str], k: int) -> DataFrame:
+    """The newest k rows of each group, ties by id: cut in each task before the shuffle."""
+    w = Window.partitionBy(*by).orderBy(F.desc("created_at"), "doc_id")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
+
+
+def newest_by_facet(docs: DataFrame, facets: DataFrame, k: int) -> DataFrame:
+    """(_tags, _title, day, doc_id, created_at): of each facet and day the newest k documents that have all its tags and hold its title.
+
+    A facet is a sorted set of tags and a lower-cased title, either of which may be empty.
+    Facets with a title find theirs in one scan of the titles, others meet documents by a tag.
+    """
+    d = docs.select("doc_id", "created_at", F.to_date("created_at").alias("day"), F.col("tags").alias("_have"), F.lower("title").alias("_named"))
+    titled, tagged = facets.filter("_title <> ''"), facets.filter("_title = '' AND size(_tags) > 0")
+    hits = patterns.contained(d, titled.select(F.col("_title").alias("key")), "doc_id", F.col("_named"))
+    by_title = hits.join(titled, hits["key"] == titled["_title"]).join(d, "doc_id")
+    by_tag = d.withColumn("_on", F.explode(F.array_distinct("_have"))).join(tagged.withColumn("_on", F.get("_tags", F.lit(0))), "_on")
+    plain = facets.filter("_title = '' AND size(_tags) = 0").limit(1)  # one facet at most: every document
+    columns = ["_tags", "_title", "day", "doc_id", "created_at", "_have"]
+    rows = by_title.select(columns).unionByName(by_tag.select(columns)).unionByName(d.crossJoin(F.broadcast(plain)).select(columns))
+    return _newest(rows.filter(F.size(F.array_except("_tags", "_have")) == 0), ["_tags", "_title", "day"], k).drop("place", "_have")
+
+
 def by_plan(docs: DataFrame, plans: DataFrame, k: int) -> DataFrame:
     """(ask_id, doc_id, place): of each plan (ask_id, start, end, tags, title) the newest k documents
     that have all its tags, a date in its range and its title in their title.
 
-    Plans with a tag meet documents by it, those with a date by the day; only plans that name
-    nothing but a title, which are a table of queries, are held against all documents.
+    Plans are few facets, asked many times over: the newest k of each facet and day are found
+    once, and a plan takes the best of its days.  So a plan with a common tag meets k documents
+    a day, and never all that have the tag.
     """
-    d = docs.select("doc_id", "created_at", F.col("tags").alias("_tags"), F.lower("title").alias("_title"))
-    tagged, dated = F.size("tags") > 0, F.col("start").isNotNull()
-    by_tag = plans.filter(tagged).withColumn("_on", F.get("tags", F.lit(0))).join(d.withColumn("_on", F.explode(F.array_distinct("_tags"))), "_on")
-    days = F.sequence("start", F.date_sub("end", 1))
-    by_day = plans.filter(~tagged & dated).withColumn("_on", F.explode(days)).join(d.withColumn("_on", F.to_date("created_at")), "_on")
-    rest = plans.filter(~tagged & ~dated)
-    by_title = d.join(rest, F.contains(d["_title"], F.lower(rest["title"])))
-    fits = (F.size(F.array_except("tags", "_tags")) == 0) & (~dated | ((F.col("created_at") >= F.col("start").cast("timestamp")) & (F.col("created_at") < F.col("end").cast("timestamp")))) & (F.col("title").isNull() | F.contains(F.col("_title"), F.lower("title")))
-    columns = [*plans.columns, *d.columns]
-    both = by_tag.select(columns).unionByName(by_day.select(columns)).unionByName(by_title.select(columns)).filter(fits)
-    w = Window.partitionBy("ask_id").orderBy(F.desc("created_at"), "doc_id")
-    return both.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("ask_id", "doc_id", "place")
+    tags = F.array_sort(F.array_distinct(F.coalesce("tags", F.array().cast("array<string>"))))
+    p = plans.select("ask_id", "start", "end", tags.alias("_tags"), F.coalesce(F.lower("title"), F.lit("")).alias("_title"))
+    shapes = p.drop("ask_id").distinct()
+    facet = ["_tags", "_title"]
+    daily = newest_by_facet(docs, shapes.select(facet).distinct(), k)
+    dated = shapes.filter("start IS NOT NULL AND end > start").withColumn("day", F.explode(F.sequence("start", F.date_sub("end", 1))))
+    columns = ["start", "end", *facet, "doc_id", "created_at"]
+    found = dated.join(daily, [*facet, "day"]).select(columns).unionByName(shapes.filter("start IS NULL").join(_newest(daily, facet, k), facet).select(columns))
+    best = _newest(found, ["start", "end", *facet], k)
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("start", "end", *facet)]
+    return p.alias("p").join(best.alias("b"), same).select("ask_id", "doc_id", "place")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestar.functions import queries as Q
 from lodestar.functions import text as T
-from lodestar.operators import filters, metrics, pages, retrieval, similarity, telemetry
+from lodestar.operators import filters, metrics, pages, patterns, retrieval, similarity, telemetry
 from lodestar.plans.catalog import query
 from lodestar.plans.retrieval import _HITS, hybrid, hydrated
 from lodestar.sources.views import Views, sql
@@ -383,8 +383,34 @@ _SYN = "syn AS (SELECT unnest(['ing', 'ou', 'the', 'schen', 'zz', 'er', 'an', 'i
 def t20(v: Views) -> DataFrame:
     """Words whose dictionary key a chunk has and that it lacks itself, at most five, as a marker at its end."""
     pairs = [("ing", "gerund"), ("ou", "vowel"), ("the", "le"), ("schen", "diminutive"), ("zz", "none"), ("er", "ar"), ("an", "on"), ("in", "en")]
-    added = T.synonym_words(F.col("text"), pairs)
-    return v.chunks().select("chunk_id", F.sha2(T.with_synonym_marker(F.col("text"), added).cast("binary"), 256).alias("sha"), F.size(added).alias("n"))
+    rows = patterns.synonyms(v.chunks(), v.spark.createDataFrame(pairs, "key string, word string"), "text", "added")
+    return rows.select("chunk_id", F.sha2(T.with_synonym_marker(F.col("text"), F.col("added")).cast("binary"), 256).alias("sha"), F.size("added").alias("n"))
+
+
+@query("T20_phrases_in_documents", sql("SELECT doc_id, count(*) AS n, min(key) AS first, max(key) AS last FROM documents JOIN (SELECT DISTINCT w[i] || ' ' || w[i + 1] AS key FROM (SELECT w, unnest(range(1, len(w))) AS i FROM (SELECT string_split(text, ' ') AS w FROM benchmark))) ON contains(text, key) GROUP BY doc_id"))
+def t20_phrases(v: Views) -> DataFrame:
+    """All two-word phrases of all benchmark items in all documents: thousands of keys, one scan of each text."""
+    w = F.split("text", " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
+    keys = v.table("benchmark").filter(F.size(w) > 1).select(F.explode(pairs).alias("key"))
+    found = patterns.contained(v.table("documents"), keys, "doc_id", F.col("text"))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("key").alias("first"), F.max("key").alias("last"))
+
+
+_HINTS = "hints AS (SELECT doc_id AS hint_id, 'see ' || CASE doc_id % 4 WHEN 3 THEN 'nothing' ELSE title END || ' and p.' || (doc_id % 7 + 1) AS text, doc_id % 7 + 1 AS page FROM docs)"
+
+
+@query("J15_titles_in_hints", sql("SELECT h.hint_id, h.doc_id, CASE WHEN h.doc_id IS NULL THEN 'no_title' WHEN n IS NULL THEN 'page_absent' ELSE 'ok' END AS reason FROM (SELECT h.hint_id, h.page, arg_min(d.doc_id, (-length(d.title), d.title)) AS doc_id FROM hints h LEFT JOIN docs d ON contains(h.text, d.title) GROUP BY 1, 2) h LEFT JOIN (SELECT doc_id, page, count(*) AS n FROM chunks GROUP BY 1, 2) p ON p.doc_id = h.doc_id AND p.page = h.page", _HINTS))
+def j15_titles(v: Views) -> DataFrame:
+    """The document whose title a hint names, by the longest title in it, and whether the page it names exists."""
+    i = F.col("doc_id")
+    named = F.when(i % 4 == 3, "nothing").otherwise(F.col("title"))
+    hints = v.docs().select(i.alias("hint_id"), F.concat(F.lit("see "), named, F.lit(" and p."), (i % 7 + 1).cast("string")).alias("text"))
+    titles = v.docs().select("doc_id", F.col("title").alias("key"))
+    found = patterns.longest(hints, titles, "hint_id", F.col("text")).join(titles, "key").select("hint_id", "doc_id")
+    known = v.chunks().select("doc_id", "page").distinct().withColumn("known", F.lit(True))
+    rows = hints.select("hint_id", F.regexp_extract("text", r"p\.(\d+)", 1).cast("int").alias("page")).join(found, "hint_id", "left").join(known, ["doc_id", "page"], "left")
+    return rows.select("hint_id", "doc_id", F.when(F.col("doc_id").isNull(), "no_title").when(F.col("known").isNull(), "page_absent").otherwise("ok").alias("reason"))
 
 
 @query("Q14_parsed_entities", sql("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'a,' || lang WHEN 1 THEN lang ELSE '' END AS entities FROM documents"))
