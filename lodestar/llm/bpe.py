@@ -5,7 +5,9 @@ trained.  Texts are normalised and cut into pre-tokens as the file says; texts w
 characters outside the plain ranges below are cut by the library itself, so that its
 Unicode tables hold.  Special strings inside a text become special tokens.
 
-Null and empty texts have no tokens.  Repeated rows and ids are encoded row by row.
+Null and empty texts have no tokens.  Texts are taken whole, however long: a block of texts
+ends after a megabyte or one text.  Repeated rows and ids are encoded row by row, ties in rank
+go from left to right, an empty table gives no rows, and other columns are not read.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import json
 import os
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
@@ -30,6 +33,8 @@ from lodestar.llm import words as W
 MODEL = "word_bpe_49k.json"
 #: Entries of the broadcast table of frequent pre-tokens: a few MB.
 TABLE_SIZE = 65_536
+#: Rows of each input split that the table is made from.
+SPLIT_ROWS = 200
 #: Entries that a cache holds before it starts anew.
 CACHE_SIZE = 150_000
 #: Tokens whose pieces a task remembers.
@@ -105,30 +110,50 @@ class Cutter:
 
 
 class _Lengths(dict):
-    """Token counts: the broadcast table, and over it a task's cache of what it misses."""
+    """Token counts of pre-tokens: the broadcast table, and over it what this worker has met besides.
+
+    What is missing in a block of texts is counted at once, by the merges alone: a pre-token
+    is normalised already, and normalising it again may change it."""
 
     def __init__(self, table: dict[str, int], name: str):
         super().__init__(table)
-        self.table, self.tok = table, library(name)
+        self.table, self.bpe = table, Merges(name)
 
-    def __missing__(self, piece):
-        if isinstance(piece, int):
-            return 1
-        if len(self) > CACHE_SIZE + len(self.table):
+    def counts(self, pieces: list[list[str | int]]) -> list[int]:
+        """Tokens of each text, given its pre-tokens."""
+        new = set(chain.from_iterable(pieces)).difference(self)
+        if len(self) + len(new) > CACHE_SIZE + len(self.table):
             self.clear()
             self.update(self.table)
-        n = self[piece] = len(self.tok.encode(piece, add_special_tokens=False).ids)
-        return n
+            new = set(chain.from_iterable(pieces)).difference(self)
+        if new:
+            self.update((p, len(ids)) for p, ids in self.bpe.encode(p for p in new if isinstance(p, str)).items())
+            self.update((p, 1) for p in new if isinstance(p, int))  # special tokens
+        return [sum(map(self.__getitem__, p)) for p in pieces]
+
+
+#: This worker's counts, by the token of the table under them: kept from task to task, for one table at a time.
+_lengths: dict[str, _Lengths] = {}
+
+
+def _lengths_of(token: str, table: dict[str, int], name: str) -> _Lengths:
+    if token not in _lengths:
+        _lengths.clear()
+        _lengths[token] = _Lengths(table, name)
+    return _lengths[token]
 
 
 def frequent(docs: DataFrame, text_col: str = "text", name: str = MODEL, size: int = TABLE_SIZE) -> dict[str, int]:
     """Token counts of frequent pre-tokens: `size` of them at most.
 
-    They come from the first input splits that give `size` rows between them: a task
-    hands on the pre-tokens of its split, most frequent first, and no further split is
-    read once there are enough.  Nothing is shuffled.  The table only saves time: what it
-    lacks is encoded where it occurs, so no count depends on which splits it saw.
+    They come from the first SPLIT_ROWS rows of every input split, so from all over the
+    corpus; a task hands on its share of the table, most frequent first, and nothing is
+    shuffled.  The table only saves time: what it lacks is counted where it occurs, so no
+    count depends on which rows it saw.
     """
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    rows = docs.select(F.col(text_col).alias("_text"), place.alias("_place")).filter(F.col("_place") < SPLIT_ROWS).select("_text")
+    share = max(1, size // max(1, rows.rdd.getNumPartitions()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seen = Cutter(name), Counter()
@@ -136,29 +161,23 @@ def frequent(docs: DataFrame, text_col: str = "text", name: str = MODEL, size: i
             for _, _, texts in W.chunks(batch, "_text"):
                 for t in texts:
                     if t:
-                        seen.update(cut.pieces(t.decode()))
-            if len(seen) > 4 * size:
-                seen = Counter(dict(seen.most_common(size)))
-        top = [(k, v) for k, v in seen.most_common(size) if isinstance(k, str)]
-        yield pa.RecordBatch.from_pydict({"piece": pa.array([k for k, _ in top], pa.string()), "n": pa.array([v for _, v in top], pa.int64())})
+                        seen.update(p for p in cut.pieces(t.decode()) if isinstance(p, str))
+        yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in seen.most_common(share)], pa.string())})
 
-    found: Counter = Counter()
-    for r in docs.select(F.col(text_col).alias("_text")).mapInArrow(count, "piece string, n bigint").limit(size).collect():
-        found[r["piece"]] += r["n"]
-    tok = library(name)
-    return {piece: len(tok.encode(piece, add_special_tokens=False).ids) for piece in found}
+    found = {r["piece"] for r in rows.mapInArrow(count, "piece string").limit(size).collect()}
+    return {piece: len(ids) for piece, ids in Merges(name).encode(found).items()}
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = MODEL, limit: int = 2048) -> DataFrame:
     """For every row: id, n_bytes, n_tokens and whether there are more than `limit` tokens."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, name))
+    shared, token = docs.sparkSession.sparkContext.broadcast(frequent(docs, text_col, name)), uuid.uuid4().hex
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, lengths = Cutter(name), _Lengths(shared.value, name)
+        cut, lengths = Cutter(name), _lengths_of(token, shared.value, name)
         for batch in batches:
-            for at, end, texts in W.chunks(batch, "_text"):
-                n = [sum(map(lengths.__getitem__, cut.pieces(t.decode()))) if t else 0 for t in texts]
+            for at, end, texts in W.chunks(batch, "_text", 1 << 20):
+                n = lengths.counts([cut.pieces(t.decode()) if t else [] for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column("_id").slice(at, end - at), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array(n, pa.int64())], names=["_id", "n_bytes", "n_tokens"])
 
     kind = rows.schema["_id"].dataType.simpleString()

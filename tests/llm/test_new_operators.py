@@ -12,7 +12,7 @@ from conftest import SF
 from oracle import answer, rows
 from pyspark.sql import functions as F
 
-from lodestar.llm import fill_middle, hard_negatives, warc
+from lodestar.llm import bpe, fill_middle, hard_negatives, warc
 from lodestar.llm.queries import ORACLES, QUERIES
 
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
@@ -316,3 +316,27 @@ def test_intervals_hold_and_prune():
 
     scored = sum(len(a.rows(i)) * len(b.rows(j)) for u, v in hard_negatives.leaf_pairs(a, b, keep) for i, j in zip(u, v))
     assert 0 < scored < 0.35 * 800 * 3200
+
+
+# Token counts
+
+
+def test_token_counts_of_random_texts(spark):
+    """Counts against the library on texts of letters that normalising and lower-casing change, whole corpus tables or none."""
+    rng = random.Random(5)
+    pool = list("abcIİıÅéß ,.'̧᳖̇́ͅΣςǅŉﬁK") + ["İ̧", "İ᳖", "<|endoftext|>", "北", "\U0001f600", "‍", "각"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 20))) for _ in range(4000)] + ["İ̧", "İ᳖", "x" * 50_000]
+    tok = bpe.library()
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(7)
+    assert [r["n_tokens"] for r in bpe.token_counts(got).orderBy("doc_id").collect()] == want
+    table = bpe.frequent(got, size=20)
+    assert 0 < len(table) <= 20
+    cut = bpe.Cutter()
+    for size in (150_000, 5):
+        lengths = bpe._Lengths(table, bpe.MODEL)
+        bpe_size, bpe.CACHE_SIZE = bpe.CACHE_SIZE, size
+        try:
+            assert [n for at in range(0, len(texts), 50) for n in lengths.counts([cut.pieces(t) for t in texts[at : at + 50]])] == want
+        finally:
+            bpe.CACHE_SIZE = bpe_size
