@@ -12,9 +12,10 @@ was made from.
 With every slot of the wrapper go the pages that have it, the characters of text and of
 links in it, and whether its text is the same on all of them.  A page is matched against
 its host's wrapper, and of the slots that it has those of the article are chosen from what
-the wrapper knows (`main_slots`): not those inside menus, notices and the like, nor texts
-that do not change from page to page while others do; then those in article or main
-elements, else in the smallest element around nine tenths of the text.  So a host may have
+the wrapper knows (`main_slots`): not those inside menus, notices and the like, unless such
+an element holds most of the page; then those in article or main elements; else, without
+texts that stay the same from page to page where a good part of the page changes, those in
+the smallest element around nine tenths of the text.  So a host may have
 several templates, and each page gets the slots of its own.
 
 Pages of one tree fold within a task, and a host's trees are merged in rounds of groups of
@@ -53,8 +54,8 @@ GROUP = 64
 MAX_DEPTH = 100
 #: Next places of an element among its siblings that are tried as the start of a repeat.
 TRIES = 4
-#: A slot whose text is the same on so many pages or more is a part of the template.
-FIXED_PAGES = 8
+#: Text that stays the same is left out where the text that changes is one part in so many or more.
+LEAST_MOVING = 6
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:"[^"<]*"|'[^'<]*'|[^'">])*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)|(?P<text>[^<]+|<)""",
@@ -69,8 +70,10 @@ _INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd la
 _FLOW = _INLINE | frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li ul ol dl dt dd figure figcaption table tbody thead tr td th".split())
 _HEADS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BLOCKS = _FLOW - _INLINE | frozenset("div section article main nav aside footer header form hr address fieldset details".split())
-#: Elements, and words of class, id and role, that never hold the article.
-_AWAY = frozenset("head title nav footer aside form button menu dialog".split())
+#: Elements that never hold the article; and those, beside the words of class, id and role below, that
+#: only speak against an element unless it holds most of the page.
+_AWAY = frozenset("head title nav footer aside button menu dialog".split())
+_DOUBTFUL = frozenset(["form"])
 _AWAY_WORDS = frozenset("ad ads advert advertisement adverts sponsor sponsored promo promoted banner nav navbar navigation menu breadcrumb breadcrumbs footer sidebar side aside widget cookie cookies consent gdpr notice notices alert popup modal newsletter subscribe signup login form comment comments disqus replies reply respond share sharing social related recommended masthead toolbar pagination pager skip".split())
 _MAIN = frozenset("article main".split())
 
@@ -89,21 +92,23 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "open", name, ".".join(named)
 
 
-def _away(name: str, words: str, inside: bool) -> bool:
-    return name in _AWAY or (name == "header" and not inside) or (name not in ("html", "body") and any(w in _AWAY_WORDS for w in words.split(".")))
-
-
 def is_away(path: tuple[str, ...]) -> bool:
-    """Whether an element around a slot rules the article out."""
+    """Whether an element around a slot rules the article out by its name."""
     inside = False
     for part in path:
-        name, _, words = part.partition(".")
-        if _away(name, words, inside):
+        name = part.partition(".")[0]
+        if name in _AWAY or (name == "header" and not inside):
             return True
         inside |= name in _MAIN
     return False
 
 
+def is_doubtful(label: str) -> bool:
+    """Whether an element's name or words speak against it."""
+    name, _, words = label.partition(".")
+    return name in _DOUBTFUL or (name not in ("html", "body") and any(w in _AWAY_WORDS for w in words.split(".")))
+
+
 #: A node is [label, optional, repeated, children]; repeated is the number of siblings from it on
 #: that repeat together.  A slot has the label "#" and instead of children
 #: [pages, least hash, greatest hash, characters outside links, characters in links].
@@ -161,7 +166,7 @@ class Page:
         if name in _VOID:
             return
         node, depth = (self._open[-1][1:] if self._open else (self.root, 0))
-        if depth < MAX_DEPTH and (name not in _FLOW or _away(name, words, False)):
+        if depth < MAX_DEPTH and (name not in _FLOW or is_away((name,)) or is_doubtful(f"{name}.{words}")):
             node[3].append(kid := [f"{name}.{words}" if words else name, 0, 0, []])
             node, depth = kid, depth + 1
         self._open.append((name, node, depth))
@@ -358,21 +363,52 @@ def matched(wrapper: Node, page: Node) -> dict[int, Node]:
     return out
 
 
-def main_slots(known: list[tuple[tuple[str, ...], tuple[int, ...], Node]]) -> set[int]:
-    """Which of a page's slots hold the article, by what the wrapper knows of them."""
-    left = [x for x in known if not is_away(x[0])]
-    size = lambda x: max(0, x[2][3][3] - x[2][3][4]) / x[2][3][0]  # noqa: E731  a page's characters outside links
-    fixed = [x[2][3][0] >= FIXED_PAGES and x[2][3][1] == x[2][3][2] for x in left]
-    moving = [x for x, f in zip(left, fixed) if not f]
-    if sum(map(size, moving)) > 0 and any(x[2][3][3] + x[2][3][4] for x in moving):
-        left = moving
+Known = tuple[tuple[str, ...], tuple[int, ...], Node]
+
+
+def _size(x: Known) -> float:
+    """A page's characters in a slot, outside links."""
+    return max(0, x[2][3][3] - x[2][3][4]) / x[2][3][0]
+
+
+def _without_doubtful(known: list[Known]) -> list[Known]:
+    """Slots outside of doubtful elements.
+
+    An element that holds half of the text or more is not doubtful if it holds an article,
+    main or h1 element too, or if nothing would be left without it."""
+    total, weight, holds = sum(map(_size, known)), defaultdict(float), set()
+    for x in known:
+        for n, label in enumerate(x[0]):
+            if is_doubtful(label):
+                weight[x[1][: n + 1]] += _size(x)
+                if any(p.partition(".")[0] in _MAIN or p.partition(".")[0] == "h1" for p in x[0][n:]):
+                    holds.add(x[1][: n + 1])
+    most = {p for p, w in weight.items() if 2 * w >= total}
+    for fine in (most & holds, most):
+        left = [x for x in known if not any(is_doubtful(label) and x[1][: n + 1] not in fine for n, label in enumerate(x[0]))]
+        if any(_size(x) for x in left):
+            break
+    return left
+
+
+def main_slots(known: list[Known]) -> set[int]:
+    """Which of a page's slots hold the article, by what the wrapper knows of them.
+
+    Article and main elements count first.  Without them, text that is the same on every
+    page of the host that has it, on two or more, is left out where what changes is a part
+    of one in LEAST_MOVING or more, so not a date beside an article that many pages share;
+    then the smallest element around nine tenths of the text counts."""
+    left = _without_doubtful([x for x in known if not is_away(x[0])])
     marked = [x for x in left if any(p.partition(".")[0] in _MAIN or p.partition(".")[2] == "main" for p in x[0])]
     if marked:
         return {id(x[2]) for x in marked}
+    moving = [x for x in left if x[2][3][0] < 2 or x[2][3][1] != x[2][3][2]]
+    if LEAST_MOVING * sum(map(_size, moving)) >= sum(map(_size, left)) > 0:
+        left = moving
     weight: dict[tuple[int, ...], float] = defaultdict(float)
     for x in left:
         for n in range(len(x[1]) + 1):
-            weight[x[1][:n]] += size(x)
+            weight[x[1][:n]] += _size(x)
     total = weight.get((), 0)
     best = max((p for p, w in weight.items() if 10 * w >= 9 * total), key=lambda p: (len(p), p), default=())
     return {id(x[2]) for x in left if x[1][: len(best)] == best}

@@ -12,7 +12,7 @@ from conftest import SF
 from oracle import answer, rows
 from pyspark.sql import functions as F
 
-from lodestar.llm import bpe, fill_middle, hard_negatives, warc
+from lodestar.llm import bpe, fill_middle, hard_negatives, html_wrappers, warc
 from lodestar.llm.queries import ORACLES, QUERIES
 
 UNIT = re.compile(r"[A-Za-z]+|[^A-Za-z]")
@@ -340,3 +340,52 @@ def test_token_counts_of_random_texts(spark):
             assert [n for at in range(0, len(texts), 50) for n in lengths.counts([cut.pieces(t) for t in texts[at : at + 50]])] == want
         finally:
             bpe.CACHE_SIZE = bpe_size
+
+
+# Main text
+
+
+BODY = "<h1>Title here</h1><p>" + "A sentence of the article stands here. " * 8 + "</p><p>Its second part ends it.</p>"
+TEXT = "Title here " + ("A sentence of the article stands here. " * 8).strip() + " Its second part ends it."
+OUTER = {
+    "sidebar": f'<div class="layout has-sidebar"><article>{BODY}</article><div class="sidebar">Other things to see</div></div>',
+    "menu": f'<div id="page" class="menu-closed"><nav>a b c</nav><main>{BODY}</main></div>',
+    "comments": f'<div class="post comments-closed">{BODY}</div><footer>the end</footer>',
+    "form": f'<form id="aspnetForm"><div class="nav">x y</div><div id="content">{BODY}</div></form>',
+}
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 8, 30])
+@pytest.mark.parametrize("kind", sorted(OUTER))
+def test_outer_words_do_not_empty_a_page(kind, n):
+    """An everyday class or form around the page takes nothing away, however many pages a host has."""
+    pages = [f"<html><body>{OUTER[kind]}</body></html>"] * n
+    wrapper = html_wrappers.merged([html_wrappers.Page(p).folded().root for p in pages])
+    assert {html_wrappers.Reader(wrapper).text(p) for p in pages} == {TEXT}
+
+
+@pytest.mark.parametrize("n", [2, 7, 8, 30])
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_an_article_that_repeats_stays(n, around):
+    """Pages of one host with one article and a varying line: the article is kept at any count."""
+    pages = [f"<html><body><p class='date'>Seen {i} of March at {i} hours</p><{around}>{BODY}</{around}></body></html>" for i in range(n)]
+    wrapper = html_wrappers.merged([html_wrappers.Page(p).folded().root for p in pages])
+    assert all(html_wrappers.Reader(wrapper).text(p).endswith(TEXT) for p in pages)
+
+
+@pytest.mark.parametrize("n", [2, 9])
+def test_parts_that_are_the_same_everywhere_go(n):
+    """Without article elements the host's wrapper tells a standing text from what changes; a page alone cannot."""
+    pages = [f"<html><body><div id='about'>{'About this house we say the same. ' * 4}</div><div id='text'><p>{f'Story number {i} goes its own way. ' * 9}</p></div></body></html>" for i in range(n)]
+    roots = [html_wrappers.Page(p).folded().root for p in pages]
+    alone = html_wrappers.Reader(html_wrappers.Page(pages[0]).folded().root).text(pages[0])
+    shared = html_wrappers.Reader(html_wrappers.merged(roots))
+    assert "About this house" in alone
+    assert [shared.text(p) for p in pages] == [(f"Story number {i} goes its own way. " * 9).strip() for i in range(n)]
+
+
+def test_small_parts_with_such_words_go():
+    """Comments, related articles and forms that are a minor part stay out."""
+    page = f"<html><body><article>{BODY}</article><div class='comments'><p>I say this</p></div><div class='related'><article>Teaser</article></div><form><p>Your mail</p></form></body></html>"
+    wrapper = html_wrappers.Page(page).folded().root
+    assert html_wrappers.Reader(wrapper).text(page) == TEXT
