@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +51,49 @@ def packed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(T.packed(F.col("text"))).alias("idx", "text"))
 
 
+def _is_cell(text: str) -> bool:
+    """Whether a section reads like a table's cell: a bar between blanks, or short and half of it signs and digits."""
+    return " | " in text or (len(text) < 30 and 2 * sum(not (c.isalpha() or c.isspace()) for c in text) >= max(1, len(text)))
+
+
 def merged(sections: DataFrame, least: int = 200, most: int = 1000) -> DataFrame:
     """(doc_id, idx, page, title, text): short sections of one page joined to the next while both fit.
 
-    Table cells stay apart.  A fold with state, so a document's sections meet in one call.
+    Table cells stay apart, and so do sections without a page.  Null texts count as empty ones.
+    A fold in reading order: documents are dealt by range and sorted within their partition
+    (Spark sorts on disk where it must), and a task folds them batch by batch.  It holds the
+    open section, `most` characters, and a batch, however long a document is.
     """
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for r in rows.sort_values("idx").itertuples():
-            cell = " | " in r.text or (len(r.text) < 30 and 2 * sum(not (c.isalpha() or c.isspace()) for c in r.text) >= max(1, len(r.text)))
-            last = out[-1] if out else None
-            if last and not cell and not last[4] and last[1] == r.page and len(last[3]) < least and len(last[3]) + 1 + len(r.text) <= most:
-                last[3] = f"{last[3]}\n{r.text}"
-                last[2] = r.title or last[2]
-            else:
-                out.append([rows["doc_id"].iloc[0], r.page, r.title, r.text, cell])
-        return pd.DataFrame([(d, i, p, t, x) for i, (d, p, t, x, _) in enumerate(out)], columns=["doc_id", "idx", "page", "title", "text"])
-
-    return sections.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, idx int, page int, title string, text string")
+    rows = sections.select(F.col("doc_id").cast("bigint"), F.col("idx").cast("int"), F.col("page").cast("int"), "title", F.coalesce("text", F.lit("")).alias("text"))
+    names = ["doc_id", "idx", "page", "title", "text"]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, n, last = object(), 0, None
+        for batch in batches:
+            out: list[tuple] = []
+            for d, page, title, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page", "title", "text"))):
+                if d != doc:
+                    if last:
+                        out.append((doc, n, *last[:3]))
+                    doc, n, last = d, 0, None
+                cell = _is_cell(text)
+                if last and not cell and not last[3] and page is not None and last[0] == page and len(last[2]) < least and len(last[2]) + 1 + len(text) <= most:
+                    last = (page, title or last[1], f"{last[2]}\n{text}", False)
+                    continue
+                if last:
+                    out.append((doc, n, *last[:3]))
+                    n += 1
+                last = (page, title, text, cell)
+            yield _batch(out)
+        if last:
+            yield _batch([(doc, n, *last[:3])])
+
+    def _batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)], names=names)
+
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "idx")
+    return ordered.mapInArrow(fold, "doc_id bigint, idx int, page int, title string, text string")
 
 
 def sticky_headings(lines: DataFrame) -> DataFrame:

@@ -96,13 +96,37 @@ def quotas(counts: DataFrame, stratum: str, size: int) -> DataFrame:
     return q.select(stratum, (F.col("q") - step).alias("quota"))
 
 
-def stratified(rows: DataFrame, stratum: str, order: Column, size: int) -> DataFrame:
-    """`size` rows by the quotas of their strata, in a fixed order within each; all rows where there are no more."""
-    counts = rows.groupBy(stratum).agg(F.count("*").alias("n"))
-    every = counts.agg((F.sum("n") <= size).alias("_all"))
-    k = F.row_number().over(Window.partitionBy(stratum).orderBy(order))
-    dealt = rows.withColumn("_k", k).join(quotas(counts, stratum, size), stratum).crossJoin(F.broadcast(every))
-    return dealt.filter("_all OR _k <= quota").select(rows.columns)
+#: Ranges of a draw that are counted for each stratum.
+BINS = 65_536
+#: Most strata whose cuts are broadcast: a few MB.  Each of more is joined in SALTS parts.
+MAX_STRATA = 100_000
+SALTS = 16
+
+
+def stratified(rows: DataFrame, stratum: str, draw: Column, span: int, tie: str, size: int) -> DataFrame:
+    """`size` rows by the quotas of their strata, those of the smallest `draw`, ties by `tie`; all rows where there are no more.
+
+    `draw` is a whole number from 0 to `span` - 1, as a hash gives it.  Draws are counted in BINS
+    ranges for each stratum, combined before the shuffle; the counts tell the range in which
+    a quota ends, and only rows up to that range are put in order: the sample and a
+    BINS-th of the stratum, about, and never the stratum.
+    """
+    bin_ = F.floor(draw.cast("double") * BINS / span).cast("int").alias("_bin")
+    drawn = rows.select("*", draw.alias("_draw"), bin_)
+    bins = drawn.groupBy(stratum, "_bin").agg(F.count("*").alias("_in"))
+    counts = bins.groupBy(stratum).agg(F.sum("_in").alias("n"))
+    upto = F.sum("_in").over(Window.partitionBy(stratum).orderBy("_bin"))
+    cuts = bins.withColumn("_upto", upto).join(quotas(counts, stratum, size), stratum).groupBy(stratum).agg(F.min(F.when(F.col("_upto") >= F.col("quota"), F.col("_bin"))).alias("_cut"), F.first("quota").alias("quota"))
+    few = counts.limit(MAX_STRATA + 1).agg(F.count("*").alias("strata"), F.sum("n").alias("n")).first()
+    if (few["n"] or 0) <= size and few["strata"] <= MAX_STRATA:
+        return rows
+    if few["strata"] <= MAX_STRATA:
+        near = drawn.join(F.broadcast(cuts), stratum)
+    else:
+        near = drawn.withColumn("_salt", F.pmod(F.xxhash64("_draw", tie), F.lit(SALTS)).cast("int")).join(cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [stratum, "_salt"])
+    near = near.filter((F.col("_bin") <= F.col("_cut")) | F.col("_cut").isNull())
+    k = F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", tie))
+    return near.withColumn("_k", k).filter("_k <= quota").select(rows.columns)
 
 
 def signals(lines: DataFrame) -> DataFrame:

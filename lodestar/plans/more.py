@@ -220,8 +220,8 @@ def m14(v: Views) -> DataFrame:
   SELECT lang, q - CASE WHEN can AND place <= abs(over) THEN sign(over) ELSE 0 END AS quota FROM (SELECT *, sum(can::INT) OVER (ORDER BY n DESC, lang) AS place FROM (SELECT *, CASE WHEN over > 0 THEN q > 1 ELSE q < n END AS can FROM (
     SELECT *, (sum(q) OVER () - 50)::INT AS over FROM (SELECT lang, count(*) AS n, greatest(1, round_even(50 * count(*) / (SELECT count(*) FROM documents)::DOUBLE, 0)::INT) AS q FROM documents GROUP BY lang))))) USING (lang) WHERE k <= quota"""))
 def m15(v: Views) -> DataFrame:
-    order = F.struct(F.col("doc_id") * 7919 % 10007, F.col("doc_id"))
-    return pages.stratified(v.table("documents").select("doc_id", "lang"), "lang", order, 50).select("doc_id")
+    draw = F.col("doc_id") * 7919 % 10007
+    return pages.stratified(v.table("documents").select("doc_id", "lang"), "lang", draw, 10007, "doc_id", 50).select("doc_id")
 
 
 @query("N24_last_evaluation", sql("""SELECT a.doc_id AS ask, c.score FROM (SELECT doc_id, lang AS query, CASE WHEN doc_id % 3 > 0 THEN source END AS doc FROM documents) a

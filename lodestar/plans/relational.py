@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestar.functions import text as T
 from lodestar.operators import filters, joins, sets, windows
 from lodestar.plans.catalog import query
+from lodestar.sources import keyed, shared
 from lodestar.sources.views import AS_OF, Views, sql
 
 _LIVE = "deleted_at IS NULL"
@@ -305,6 +306,68 @@ def c21(v: Views) -> DataFrame:
     return sets.prefer(d.filter("doc_id % 2 = 0").withColumn("origin", F.lit("old")), d.withColumn("origin", F.lit("new")), "doc_id")
 
 
+def _written(v: Views, rows: DataFrame, keys: list[str], work) -> DataFrame:
+    """What a keyed table holds after `work` has written to it."""
+    path = shared.folder(v.spark, "keyed")
+    try:
+        work(table := keyed.KeyedTable(v.spark, path, rows.schema, keys, buckets=8))
+        return shared.saved(table.read(), "rows")
+    finally:
+        shared.removed(v.spark, path)
+
+
+@query("C19_upsert_written", sql("SELECT doc_id, chunk_idx, max(version) AS version FROM (SELECT doc_id, chunk_idx, 1 AS version FROM chunks UNION ALL SELECT doc_id, chunk_idx, 2 FROM chunks WHERE doc_id % 2 = 0) GROUP BY 1, 2"))
+def c19_written(v: Views) -> DataFrame:
+    """Chunks written, half of them again, and the first batch replayed, late."""
+    one = v.chunks().select("doc_id", "chunk_idx", F.lit(1).alias("version"))
+    two = one.filter("doc_id % 2 = 0").withColumn("version", F.lit(2))
+
+    def work(table: keyed.KeyedTable) -> None:
+        for batch, rows in ((1, one), (2, two), (2, two), (1, one)):
+            table.upsert(rows, batch)
+
+    return _written(v, one, ["doc_id", "chunk_idx"], work)
+
+
+@query("C21_insert_ignore_written", sql("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS origin FROM docs"))
+def c21_written(v: Views) -> DataFrame:
+    every = v.docs().select("doc_id", F.lit("new").alias("origin"))
+
+    def work(table: keyed.KeyedTable) -> None:
+        table.insert_ignore(every.filter("doc_id % 2 = 0").withColumn("origin", F.lit("old")), 1)
+        table.insert_ignore(every, 2)
+
+    return _written(v, every, ["doc_id"], work)
+
+
+@query("C22_cascade_written", sql("SELECT chunk_id, doc_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE deleted_at IS NOT NULL)"))
+def c22_written(v: Views) -> DataFrame:
+    """Chunks of deleted documents go, and a late replay of the first batch does not bring them back."""
+    rows = v.chunks().select("doc_id", "chunk_id")
+
+    def work(table: keyed.KeyedTable) -> None:
+        table.upsert(rows, 1)
+        table.delete(v.docs().filter("deleted_at IS NOT NULL").select("doc_id"), 2)
+        table.upsert(rows, 1)
+
+    return _written(v, rows, ["doc_id", "chunk_id"], work)
+
+
+@query("F18_update_written", sql(f"SELECT job_id, started_at, CASE WHEN status = 'running' AND started_at < TIMESTAMP '{AS_OF}' - INTERVAL 100 HOUR THEN 'failed' ELSE status END AS status FROM jobs"))
+def f18_written(v: Views) -> DataFrame:
+    """Stale jobs marked failed where they stand, twice: the second time none fits."""
+    rows = v.jobs().select("job_id", "started_at", "status")
+
+    def work(table: keyed.KeyedTable) -> None:
+        table.upsert(rows, 1)
+        stale = (F.col("status") == "running") & (F.col("started_at") < F.lit(AS_OF).cast("timestamp") - F.make_dt_interval(hours=F.lit(100)))
+        table.update(stale, {"status": F.lit("failed")}, 2)
+        if table.update(stale, {"status": F.lit("failed")}, 3):
+            raise AssertionError("an update that was repeated found rows")
+
+    return _written(v, rows, ["job_id"], work)
+
+
 @query("C22_cascade_delete", sql("SELECT chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM docs WHERE deleted_at IS NOT NULL)"))
 def c22(v: Views) -> DataFrame:
     return v.chunks().join(v.docs().filter("deleted_at IS NOT NULL").select("doc_id"), "doc_id", "left_anti").select("chunk_id")

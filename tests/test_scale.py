@@ -83,7 +83,22 @@ def test_quotas_add_up(spark):
         got = pages.quotas(spark.createDataFrame(list(counts.items()), "s string, n bigint"), "s", size)
         assert {r["s"]: r["quota"] for r in got.collect()} == want
     rows = spark.range(5).withColumn("s", F.lit("x"))
-    assert pages.stratified(rows, "s", F.col("id"), 10).count() == 5
+    assert pages.stratified(rows, "s", F.col("id"), 5, "id", 10).count() == 5
+
+
+@pytest.mark.parametrize(("bins", "strata"), [(65_536, 100_000), (7, 100_000), (7, 1), (1, 100_000)])
+def test_samples_without_a_sort(spark, monkeypatch, bins, strata):
+    """The quota's smallest draws of every stratum, whatever their spread; few rows are put in order."""
+    monkeypatch.setattr(pages, "BINS", bins)
+    monkeypatch.setattr(pages, "MAX_STRATA", strata)
+    rng = random.Random(bins)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a", "b"]), rng.choice([rng.randint(0, 999), 5, 999])) for i in range(600)] + [(1000, "lone", 999)]
+    d = spark.createDataFrame(rows, "id bigint, s string, x int").repartition(3)
+    got = {(r["s"], r["id"]) for r in pages.stratified(d, "s", F.col("x"), 1000, "id", 60).collect()}
+    counts = d.groupBy("s").agg(F.count("*").alias("n"))
+    quota = {r["s"]: r["quota"] for r in pages.quotas(counts, "s", 60).collect()}
+    assert sum(quota.values()) == 60
+    assert got == {(s, i) for s, q in quota.items() for _, i in sorted((x, i) for i, t, x in rows if t == s)[:q]}
 
 
 def test_tiers_of_near_duplicates(spark):
