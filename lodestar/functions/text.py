@@ -163,6 +163,21 @@ def article_blocks(html: Column) -> Column:
     return F.filter(F.transform(bare, lambda x: F.trim(F.regexp_replace(plain(x), r"\s+", " "))), lambda x: x != "")
 
 
+def main_paragraphs(html: Column) -> Column:
+    """The paragraphs of a page's main text: of its article, else its main element, else its body without
+    what frames it.  Blocks are parted by blank lines; where that gives one paragraph at most, lines count."""
+    part = lambda name: F.regexp_extract(html, rf"(?is)<{name}(?:\s[^>]*)?>(.*?)</{name}\s*>", 1)
+    framed = F.regexp_replace(part("body"), r"(?is)<nav(?:\s[^>]*)?>.*?</nav\s*>|<header(?:\s[^>]*)?>.*?</header\s*>|<footer(?:\s[^>]*)?>.*?</footer\s*>|<aside(?:\s[^>]*)?>.*?</aside\s*>|<form(?:\s[^>]*)?>.*?</form\s*>", "\n\n")
+    body = F.coalesce(F.when(part("article") != "", part("article")), F.when(part("main") != "", part("main")), framed)
+    body = F.regexp_replace(body, r"(?is)<script(?:\s[^>]*)?>.*?</script\s*>|<style(?:\s[^>]*)?>.*?</style\s*>|<!--.*?-->", "")
+    body = F.regexp_replace(F.regexp_replace(body, r"[ \t\r\n]+", " "), r"(?i)<br\s*/?>", "\n")
+    body = F.regexp_replace(body, r"(?i)</?(?:p|h[1-6]|li|ul|ol|blockquote|div|table|tr|section)(?:\s[^>]*)?>", "\n\n")
+    body = F.regexp_replace(body, r"<[^>]*>", "")
+    plain = F.replace(F.replace(F.replace(body, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    cut = lambda by: F.filter(F.transform(F.split(plain, by, -1), lambda x: F.trim(x, F.lit(" \n"))), lambda x: x != "")
+    return F.when(F.size(cut(r"\n *\n")) <= 1, cut(r"\n")).otherwise(cut(r"\n *\n"))
+
+
 def without_synonym_marker(text: Column) -> Column:
     """Without the search-word marker at the end."""
     return F.regexp_replace(text, r"\n*\[검색어:[^\]]*\]\s*$", "")

@@ -110,3 +110,19 @@ def eta(jobs: DataFrame, medians: DataFrame, stages: list[str], page_ms: float |
 def source_type(value: Column, known: list[str], other: str) -> Column:
     """The value if it is known, else the other."""
     return F.when(value.isin(*known), value).otherwise(other)
+
+
+def search_mode(mode: Column, known: list[str], default: str = "hybrid") -> Column:
+    """A mode that is known, else the default."""
+    return F.when(mode.isin(known), mode).otherwise(F.lit(default))
+
+
+# Names of errors, the code and the words that tell a quota that is used up.
+QUOTA_ERRORS = ["ResourceExhausted", "TooManyRequests"]
+
+
+def is_quota_error(name: Column, code: Column, message: Column) -> Column:
+    """Whether an error tells of a used-up quota: by its name, its code, or words in its message."""
+    said = F.coalesce(message, F.lit(""))
+    words = F.contains(F.upper(said), F.lit("RESOURCE_EXHAUSTED")) | F.contains(said, F.lit("429")) | F.contains(F.upper(said), F.lit("QUOTA"))
+    return F.coalesce(name.isin(QUOTA_ERRORS), F.lit(False)) | F.coalesce(code == 429, F.lit(False)) | words

@@ -82,6 +82,49 @@ def parsed_judgement(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(last, ["query_id", "idx"], "left").withColumn("score", clamped(F.coalesce("score", F.lit(0.0))))
 
 
+def judged(answers: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, idx, score, reason) of every expected index, over answers (query_id, answer).
+
+    A JSON list of {chunk_idx, score}, fenced or not; the last of an index counts, entries
+    without a whole number are left out, scores that are no numbers count 0, others are kept
+    within 0 and 1.  An answer that is no list is `unparsable`, an index without one `missing`; both score 0.
+    """
+    body = F.regexp_replace(F.trim("answer"), r"^```(?:json)?\s*|\s*```$", "")
+    items = F.from_json(body, "array<struct<chunk_idx:string,score:string>>")
+    whole = body.rlike(r"(?s)^\s*\[.*\]\s*$") & items.isNotNull()
+    told = answers.select("query_id", F.when(whole, items).alias("items"))
+    rows = told.select("query_id", F.posexplode("items").alias("at", "x")).select("query_id", "at", F.col("x.chunk_idx").try_cast("int").alias("idx"), clamped(F.coalesce(F.col("x.score").try_cast("double"), F.lit(0.0))).alias("score"))
+    last = rows.filter("idx IS NOT NULL").groupBy("query_id", "idx").agg(F.max_by("score", "at").alias("score"))
+    state = told.groupBy("query_id").agg(F.bool_or(F.col("items").isNotNull()).alias("_parsed"))
+    both = expected.join(last, ["query_id", "idx"], "left").join(state, "query_id", "left")
+    reason = F.when(F.col("score").isNotNull(), F.lit(None)).when(F.col("_parsed") == F.lit(False), "unparsable").otherwise("missing")
+    return both.select("query_id", "idx", F.coalesce("score", F.lit(0.0)).alias("score"), reason.alias("reason"))
+
+
+def skip_reason(acceptable: Column, negative: Column, doc: Column, relevant: Column) -> Column:
+    """Why a golden row is not judged, the first that holds; null for one that is."""
+    bare = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    whole = F.filter(F.split(F.coalesce(relevant, F.lit("")), ","), lambda x: F.trim(x).rlike(r"^[+-]?[0-9]+$"))
+    return F.when(bare(acceptable) != "", "already_filled").when(F.lower(bare(negative)) == "true", "negative").when(bare(doc) == "", "no_doc_id").when(F.size(whole) == 0, "no_relevant")
+
+
+def reset(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Documents, those of `ids` as before their ingest: no tags, summary or vector, and of their flags the mode alone."""
+    hit = F.col("_hit").isNotNull()
+    rows = docs.join(ids.select("doc_id").distinct().withColumn("_hit", F.lit(True)), "doc_id", "left")
+    values = {"tags": F.array().cast("array<string>"), "summary": F.lit(None), "vec": F.lit(None), "flags": F.map_filter(F.coalesce("flags", F.create_map().cast("map<string,string>")), lambda k, _: k == "ingest_mode")}
+    return rows.withColumns({c: F.when(hit, v.cast(docs.schema[c].dataType)).otherwise(F.col(c)) for c, v in values.items()}).select(docs.columns)
+
+
+def failed(docs: DataFrame, errors: DataFrame, at: str, chars: int = 500) -> DataFrame:
+    """Documents, those of `errors` (doc_id, error) without a vector and with failed, failed_at and error_msg added to their flags."""
+    rows = docs.join(errors.select("doc_id", F.left("error", F.lit(chars)).alias("_error")), "doc_id", "left")
+    new = F.create_map(F.lit("failed"), F.lit("true"), F.lit("failed_at"), F.lit(at), F.lit("error_msg"), F.col("_error"))
+    old = F.map_filter(F.coalesce("flags", F.create_map().cast("map<string,string>")), lambda k, _: ~k.isin("failed", "failed_at", "error_msg"))
+    hit = F.col("_error").isNotNull()
+    return rows.withColumn("flags", F.when(hit, F.map_concat(old, new)).otherwise(F.col("flags"))).withColumn("vec", F.when(~hit, F.col("vec"))).select(docs.columns)
+
+
 def quotas(counts: DataFrame, stratum: str, size: int) -> DataFrame:
     """(stratum, quota) over (stratum, n): each stratum's share of `size`, rounded half to even, at least one.
 

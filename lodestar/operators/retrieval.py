@@ -203,6 +203,57 @@ def merge_pools(pools: DataFrame, id_col: str = "chunk_id") -> DataFrame:
     return pools.groupBy("query_id", id_col).agg(F.sum(F.lit(1.0) / (RRF_K + F.col("rank"))).alias("score"), F.min_by("pool", F.struct("pool", "rank")).alias("first_pool"))
 
 
+def decomposed(hits: DataFrame, sub_hits: DataFrame, split: DataFrame, original: int = 20, per_sub: int = 10, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score): queries in `split` (query_id) take the sum of 1 / (60 + rank) over the first
+    `original` of their own hits and the first `per_sub` of each sub-query's (query_id, sub_id, id, rank); others keep their rrf."""
+    asked = split.select("query_id").distinct()
+    pools = hits.join(asked, "query_id", "left_semi").filter(F.col("rank") <= original).select("query_id", F.lit(0).cast("bigint").alias("pool"), "rank", id_col)
+    subs = sub_hits.join(asked, "query_id", "left_semi").filter(F.col("rank") <= per_sub).select("query_id", (F.col("sub_id") + 1).cast("bigint").alias("pool"), "rank", id_col)
+    rest = hits.join(asked, "query_id", "left_anti").select("query_id", id_col, F.col("rrf").alias("score"))
+    return merge_pools(pools.unionByName(subs), id_col).select("query_id", id_col, "score").unionByName(rest)
+
+
+def with_fallback(fused: DataFrame, sparse_hits: DataFrame, failures: DataFrame, id_col: str = "chunk_id") -> DataFrame:
+    """(query_id, id, score, fallback): the fused list; where the query's vector could not be had for the time being
+    (failures: query_id, transient) the sparse list, scored 1 / (60 + rank); where it never can, nothing."""
+    f = failures.select("query_id", "transient")
+    fine = fused.join(f, "query_id", "left_anti").select("query_id", id_col, F.col("rrf").alias("score"), F.lit(False).alias("fallback"))
+    sparse_only = sparse_hits.join(f.filter("transient"), "query_id", "left_semi").select("query_id", id_col, (F.lit(1.0) / (RRF_K + F.col("rank"))).alias("score"), F.lit(True).alias("fallback"))
+    return fine.unionByName(sparse_only)
+
+
+def unless_reranked(guarded: Column, score: Column, path: Column) -> Column:
+    """The guarded score, but the plain one where a reranker's score, fresh or cached, stands already."""
+    return F.when(path.isin("invoked", "cached"), score).otherwise(guarded)
+
+
+def rerank_key(text: Column, ids: Column) -> Column:
+    """What a reranker's answer is kept under: the query without case and outer blanks, and a hash of the sorted ids."""
+    names = F.array_sort(F.transform(ids, lambda x: x.cast("string")))
+    return F.struct(F.trim(F.lower(text)).alias("query"), F.left(F.sha1(F.array_join(names, "\n").cast("binary")), F.lit(16)).alias("digest"))
+
+
+def reranked(hits: DataFrame, queries: DataFrame, cache: DataFrame, scores: DataFrame, degraded: DataFrame, cap: int = 20, id_col: str = "chunk_id") -> DataFrame:
+    """Hits with `path` and the scores of the path that their query takes.
+
+    cache: (key, id, score) under `rerank_key` of the first `cap` ids; scores: what the reranker
+    would give (query_id, id, score).  A whole cached answer comes first; a query in `degraded`
+    keeps its own scores; one that the reranker fails to answer does so too.
+    """
+    first = hits.filter(F.col("rank") <= cap).groupBy("query_id").agg(F.collect_list(id_col).alias("_ids"))
+    keyed = first.join(queries.select("query_id", "text"), "query_id").select("query_id", rerank_key(F.col("text"), F.col("_ids")).alias("key"), F.size("_ids").alias("_n"))
+    kept = keyed.join(cache.select("key", F.col(id_col), "score"), "key").select("query_id", "_n", id_col, F.col("score").alias("_cached"))
+    whole = kept.groupBy("query_id").agg((F.count("*") >= F.max("_n")).alias("_hit")).filter("_hit")
+    kept = kept.join(whole, "query_id", "left_semi").drop("_n")
+    answered = scores.select("query_id").distinct().withColumn("_answered", F.lit(True))
+    rows = hits.join(whole, "query_id", "left").join(degraded.select("query_id").distinct().withColumn("_degraded", F.lit(True)), "query_id", "left").join(answered, "query_id", "left")
+    path = F.when(F.col("_hit"), "cached").when(F.col("_degraded"), "degraded").when(F.col("_answered"), "invoked").otherwise("failed")
+    rows = rows.withColumn("path", path).join(kept, ["query_id", id_col], "left").join(scores.select("query_id", id_col, F.col("score").alias("_fresh")), ["query_id", id_col], "left")
+    near = F.col("rank") <= cap
+    score = F.when(near & (F.col("path") == "cached"), F.coalesce("_cached", "rrf")).when(near & (F.col("path") == "invoked"), F.coalesce("_fresh", "rrf")).otherwise(F.col("rrf"))
+    return rows.withColumn("rrf", score).drop("_hit", "_degraded", "_answered", "_cached", "_fresh")
+
+
 def cover_guard(score: Column) -> Column:
     """Short texts at the very start count three tenths."""
     cover = (F.char_length("text") <= 30) & ((F.col("chunk_idx") == 0) | (F.col("page") == 1))

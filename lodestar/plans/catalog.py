@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from lodestar.plans import evaluation, metering, more, relational, retrieval, streams, telemetry, text, understanding  # noqa: E402, F401
+from lodestar.plans import branches, evaluation, metering, more, relational, retrieval, streams, telemetry, text, understanding  # noqa: E402, F401

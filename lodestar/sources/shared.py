@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +31,14 @@ def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder, in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def held(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """`df` as a table while the block runs; what is made from it must be written before the block ends."""
+    path = folder(df.sparkSession, label)
+    df.write.parquet(path)
+    try:
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        removed(df.sparkSession, path)
