@@ -62,7 +62,7 @@ def _reranked(v: Views, hits: DataFrame) -> DataFrame:
     near = hits.filter("rank <= 20")
     ids = near.groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id"), asc=False).alias("ids")).join(asked, "query_id")
     other = F.when(F.col("query_id") % 6 == 3, F.slice("ids", 1, F.size("ids") - 1)).otherwise(F.col("ids"))
-    keys = ids.filter("query_id % 3 = 0").select("query_id", retrieval.rerank_key(F.concat(F.lit(" "), F.initcap("text")), other).alias("key"))
+    keys = ids.filter("query_id % 3 = 0").select("query_id", retrieval.rerank_key(F.concat(F.lit(" "), F.translate("text", "abcdefgh", "ABCDEFGH")), other).alias("key"))
     cache = near.join(keys, "query_id").select("key", "chunk_id", (1 - F.col("rank") / 100.0).alias("score"))
     scores = near.filter("query_id % 7 <> 2").select("query_id", "chunk_id", (F.col("rank") / 100.0).alias("score"))
     return retrieval.reranked(hits, asked, cache, scores, asked.filter("query_id % 3 = 1")).select("query_id", "chunk_id", "path", F.round("rrf", 9).alias("rrf"))
