@@ -39,15 +39,25 @@ def adjacent_boost(rows: DataFrame, by: str, index: str, score: str, factor: flo
 RANGES = 256
 
 
+#: Rows that the bounds of string ranges are taken from, those of the smallest hash.
+SAMPLE = 16_384
+
+
 def _ranged(rows: DataFrame, order: str) -> DataFrame:
-    """Rows with `_b`, the range of a key that they are in; strings are ranged by their first
-    seven bytes.  The bounds are one row of approximate quantiles, computed once and the same
-    wherever they are used."""
+    """Rows with `_b`, the range of a key that they are in.
+
+    The bounds are one row: approximate quantiles of numbers, and of strings those of a bounded
+    sample of rows, whole strings, so that keys with a common beginning are parted too.  They
+    hang on the rows alone and are the same wherever they are used."""
     key = F.col(order)
     if isinstance(rows.schema[order].dataType, StringType):
-        key = F.conv(F.rpad(F.hex(F.substring(F.encode(key, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
-    at = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    bounds = rows.agg(F.percentile_approx(key, at).alias("_bounds"))
+        plain = [f.name for f in rows.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+        drawn = rows.filter(key.isNotNull()).select(key.alias("_key"), F.xxhash64(*plain).alias("_hash")).orderBy("_hash", "_key").limit(SAMPLE)
+        known = F.array_sort(F.collect_list("_key"))
+        at = F.transform(F.sequence(F.lit(1), F.lit(RANGES - 1)), lambda i: F.get("_known", F.floor(i * F.size("_known") / RANGES).cast("int")))
+        bounds = drawn.agg(known.alias("_known")).select(F.filter(at, lambda x: x.isNotNull()).alias("_bounds"))
+    else:
+        bounds = rows.agg(F.percentile_approx(key, F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])).alias("_bounds"))
     return rows.crossJoin(F.broadcast(bounds)).withColumn("_b", F.size(F.filter("_bounds", lambda x: x < key))).drop("_bounds")
 
 

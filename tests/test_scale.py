@@ -68,6 +68,17 @@ def test_numbers_without_one_sort(spark, monkeypatch, ranges):
     assert got == {x: k for k, x in enumerate(sorted(ids, key=lambda x: (x % 3, x)))}
 
 
+def test_strings_with_a_common_beginning_are_parted(spark, monkeypatch):
+    """Titles that differ only behind a long common beginning fall into many ranges of like size."""
+    monkeypatch.setattr(windows, "RANGES", 16)
+    d = spark.range(2000).select(F.concat(F.lit("the same beginning of every title "), F.sha2(F.col("id").cast("string"), 256)).alias("title"))
+    sizes = [r["n"] for r in windows._ranged(d, "title").groupBy("_b").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 16 and max(sizes) < 200
+    got = [r["title"] for r in windows.numbered(d, "title", "n").orderBy("n").collect()]
+    assert got == sorted(got) and len(got) == 2000
+    assert windows.numbered(d.limit(0), "title", "n").count() == 0
+
+
 def test_quotas_add_up(spark):
     rng = random.Random(4)
     for size in (7, 20, 50):
