@@ -106,6 +106,46 @@ def dense(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumnRenamed("id", id_col)
 
 
+def above(rows: DataFrame, anchors: DataFrame, at_least: float, by: str, id_col: str = "doc_id", vec_col: str = "vec") -> DataFrame:
+    """(query_id, id, sim): of every anchor (query_id, vec, `by`) the other rows of its group with a cosine of `at_least` or more.
+
+    The anchors are broadcast in blocks of QUERY_BYTES and held against every row as it is
+    scanned, so no group meets in one task however large it is.  Groups are compared as
+    text; null groups and vectors, and zero vectors, have no neighbours.
+    """
+    spark = rows.sparkSession
+    named = lambda d, key: d.filter(F.col(by).isNotNull()).select(F.col(key).alias("id"), F.col(by).cast("string").alias("g"), F.col("vec" if key == "query_id" else vec_col).cast("array<double>").alias("vec")).filter("vec IS NOT NULL")
+    base, asked = named(rows, id_col), named(anchors, "query_id")
+    sizes = asked.agg(F.count("*").alias("n"), F.max(F.size("vec")).alias("d")).first()
+    blocks = max(1, -(-(sizes["n"] or 0) * (sizes["d"] or 1) * 8 // QUERY_BYTES))
+    kinds = f"query_id {asked.schema['id'].dataType.simpleString()}, id {base.schema['id'].dataType.simpleString()}, sim double"
+    out = spark.createDataFrame([], kinds)
+    for b in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if not part.num_rows:
+            continue
+        vecs = np.stack(part.column("vec").to_numpy())
+        shared = spark.sparkContext.broadcast((part.column("id").combine_chunks(), part.column("g").to_numpy(), vecs / np.maximum(np.linalg.norm(vecs, axis=1, keepdims=True), 1e-300)))
+
+        def near(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, groups, q = shared.value
+            own = names.to_numpy(zero_copy_only=False)
+            for batch in batches:
+                g = batch.column("g").to_numpy(zero_copy_only=False)
+                for group in np.unique(g):
+                    to = np.flatnonzero(groups == group)
+                    at = np.flatnonzero(g == group)
+                    for part in (at[i : i + ROWS] for i in range(0, len(at), ROWS) if len(to)):
+                        block = batch.take(pa.array(part))
+                        x = np.stack(block.column("vec").to_numpy(zero_copy_only=False))
+                        sim = np.round((x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)) @ q[to].T, 9)
+                        row, column = np.nonzero((sim >= at_least) & (block.column("id").to_numpy(zero_copy_only=False)[:, None] != own[to][None, :]))
+                        yield pa.RecordBatch.from_arrays([names.take(pa.array(to[column])), block.column("id").take(pa.array(row)), pa.array(sim[row, column])], names=["query_id", "id", "sim"])
+
+        out = out.unionByName(base.mapInArrow(near, kinds))
+    return out
+
+
 def terms(text: str | Column) -> Column:
     """Lower-cased words of letters, digits and underscores."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -261,9 +261,8 @@ def n1(v: Views) -> DataFrame:
 def n6(v: Views) -> DataFrame:
     """Anchors are every row whose id is divisible by 20: a stated query set against all rows."""
     rows = v.table("embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("vec"), "label")
-    anchors = rows.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("anchor"), F.col("vec").alias("avec"), "label")
-    both = rows.join(anchors, "label").filter("anchor <> doc_id")
-    return both.filter(F.round(retrieval.cosine("vec", "avec"), 9) >= 0.2).select(F.col("anchor").alias("doc_id"), F.col("doc_id").alias("near"))
+    anchors = rows.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
+    return retrieval.above(rows, anchors, 0.2, "label").select(F.col("query_id").alias("doc_id"), F.col("id").alias("near"))
 
 
 @query("N15_cache_by_hash", sql("SELECT d.doc_id, c.version FROM docs d JOIN (SELECT sha256(text) AS sha, max(doc_id % 3) AS version FROM documents WHERE doc_id % 2 = 0 GROUP BY 1) c ON c.sha = sha256(d.text)"))

@@ -211,3 +211,19 @@ def test_visits_are_few_and_enough():
     a, b = np.nonzero(x @ x.T >= 0.85)
     assert all((i, home[j]) in seen for i, j in zip(a.tolist(), b.tolist()))
     assert len(seen) < 0.35 * len(x) * len(pivots)
+
+
+@pytest.mark.parametrize("bytes_", [32 << 20, 300])
+def test_neighbours_of_anchors(spark, monkeypatch, bytes_):
+    """Every pair of an anchor and a row of its group against all pairs, in one block of anchors and in many."""
+    monkeypatch.setattr(retrieval, "QUERY_BYTES", bytes_)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.choice(["hot", "hot", "hot", "b", None]), v) for i, v in enumerate(vectors_in_groups(rng, 120))] + [(500, "hot", None), (501, "hot", [0.0] * 8)]
+    rows = [(i, None if g is None else str(g), v) for i, g, v in rows]
+    d = spark.createDataFrame(rows, "doc_id bigint, g string, vec array<double>").repartition(3)
+    asked = d.filter("doc_id % 10 = 0").withColumnRenamed("doc_id", "query_id")
+    got = {(r["query_id"], r["id"]) for r in retrieval.above(d, asked, 0.7, "g").collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, _, v in rows if v and np.linalg.norm(v)}
+    group = {i: g for i, g, _ in rows}
+    assert got == {(a, b) for a in unit if a % 10 == 0 and group[a] for b in unit if a != b and group[a] == group[b] and round(float(unit[a] @ unit[b]), 9) >= 0.7}
+    assert retrieval.above(d, asked.limit(0), 0.7, "g").count() == 0
