@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
@@ -96,6 +96,18 @@ def merged(sections: DataFrame, least: int = 200, most: int = 1000) -> DataFrame
     return ordered.mapInArrow(fold, "doc_id bigint, idx int, page int, title string, text string")
 
 
+def routed(items: DataFrame, readers: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(doc_id, doc_type, idx, text, skipped): each item (doc_id, doc_type, content) through the reader of its type,
+    a column function that gives its sections; one of another type gives a row that says why it was skipped.
+
+    One plan for each reader over its own items alone, and their union."""
+    out = items.filter(~F.coalesce(F.col("doc_type").isin(list(readers)), F.lit(False))).select("doc_id", "doc_type", F.lit(0).alias("idx"), F.lit(None).cast("string").alias("text"), F.concat(F.lit("no reader for "), F.coalesce("doc_type", F.lit("null"))).alias("skipped"))
+    for kind, reader in readers.items():
+        rows = items.filter(F.col("doc_type") == kind).select("doc_id", "doc_type", F.posexplode(reader(F.col("content"))).alias("idx", "text"))
+        out = out.unionByName(rows.withColumn("skipped", F.lit(None).cast("string")))
+    return out
+
+
 def sticky_headings(lines: DataFrame) -> DataFrame:
     """Lines with the last heading before or at them, in reading order."""
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

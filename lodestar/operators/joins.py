@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,3 +88,21 @@ def fuzzy_titles(asked: DataFrame, docs: DataFrame, name: str) -> DataFrame:
 def blob_path(user: str, text: str, ext: str) -> Column:
     """user/<id>/<sha256>.<extension>"""
     return F.concat(F.lit("user/"), F.col(user), F.lit("/"), F.sha2(F.col(text).cast("binary"), 256), F.lit("."), F.col(ext))
+
+
+def mailed(mails: DataFrame, addresses: DataFrame, kind: Callable[[Column], Column]) -> DataFrame:
+    """(mail_id, idx, owner, status, path) of every attachment, over mails (mail_id, token, attachments array<struct<name, content>>).
+
+    A token that no address (token, owner) has is refused, a name whose `kind` is null is not
+    taken, and of equal contents of one owner the first by (mail_id, idx) is ingested, the
+    others are duplicates.  First ones are an aggregate that combines before the shuffle.
+    """
+    files = mails.select("mail_id", "token", F.posexplode("attachments").alias("idx", "file")).select("mail_id", "token", "idx", "file.name", F.sha2(F.col("file.content").cast("binary"), 256).alias("sha"))
+    files = files.join(addresses.select("token", "owner"), "token", "left").withColumn("_taken", F.col("owner").isNotNull() & kind(F.col("name")).isNotNull())
+    first = files.filter("_taken").groupBy("owner", "sha").agg(F.min(F.struct("mail_id", "idx")).alias("_first"))
+    rows = files.join(first, ["owner", "sha"], "left")
+    again = F.struct("mail_id", "idx") != F.col("_first")
+    status = F.when(F.col("owner").isNull(), "unknown_token").when(~F.col("_taken"), "not_allowed").when(again, "duplicate").otherwise("ingested")
+    ext = F.lower(F.regexp_extract("name", r"(\.[A-Za-z0-9]+)$", 1))
+    path = F.when(status == "ingested", F.concat(F.lit("user/"), "owner", F.lit("/"), "sha", ext))
+    return rows.select("mail_id", "idx", "owner", status.alias("status"), path.alias("path"))

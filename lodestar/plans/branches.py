@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestar.functions import text as T
-from lodestar.operators import metering, metrics, pages, patterns, retrieval
+from lodestar.operators import chunks, joins, metering, metrics, pages, patterns, retrieval
 from lodestar.plans.catalog import query
 from lodestar.plans.evaluation import _EVAL, measured
 from lodestar.plans.retrieval import _HITS, _live_chunks, hybrid, hydrated, sparse_hits
@@ -222,3 +222,37 @@ def m10(v: Views) -> DataFrame:
     captions = v.chunks().select("doc_id", F.regexp_extract(whole, r"\[표\] (.+)", 1).alias("caption")).filter("caption <> ''").select("doc_id").distinct()
     best = retrieval.dense(captions.join(v.vecs(), "doc_id"), v.queries(), 1, "doc_id")
     return v.queries().select("query_id").join(best, "query_id", "left").select("query_id", F.round("sim", 6).alias("grounding"))
+
+
+@query("C14_routed_to_readers", sql("""SELECT doc_id, doc_type, i AS idx, sha256(x) AS sha, NULL AS skipped FROM (SELECT doc_id, doc_type, unnest(q) AS x, unnest(range(0, len(q)))::INT AS i FROM (SELECT doc_id, doc_type, CASE doc_type
+  WHEN 'txt' THEN list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') WHEN 'md' THEN list_filter(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: trim(x) <> '')
+  ELSE list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \\t\\r\\n]+', ' ', 'g'))), lambda x: x <> '') END AS q FROM docs WHERE doc_type IN ('txt', 'md') OR (doc_type = 'url' AND NOT regexp_matches(text, '[<>&]'))))
+UNION ALL SELECT doc_id, doc_type, 0, NULL, 'no reader for ' || doc_type FROM docs WHERE doc_type NOT IN ('txt', 'md', 'url')""".replace("\\\\", "\\")))
+def c14(v: Views) -> DataFrame:
+    """Plain texts by lines, marked-up ones by blank lines, pages by their paragraphs; other types are skipped with a reason."""
+    kind, text = F.col("doc_type"), F.col("text")
+    page = F.concat(F.lit("<html><body><nav>menu</nav><article><p>"), F.replace(text, F.lit("\n"), F.lit("</p><p>")), F.lit("</p></article></body></html>"))
+    content = F.when(kind == "url", page).when(kind == "md", F.replace(text, F.lit(". "), F.lit(".\n\n"))).otherwise(text)
+    items = v.docs().filter((kind != "url") | ~text.rlike("[<>&]")).select("doc_id", "doc_type", content.alias("content"))
+    readers = {
+        "txt": lambda c: F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""),
+        "md": lambda c: F.filter(F.split(c, "\n\n", -1), lambda x: F.trim(x) != ""),
+        "url": T.main_paragraphs,
+    }
+    return chunks.routed(items, readers).select("doc_id", "doc_type", "idx", F.sha2(F.col("text").cast("binary"), 256).alias("sha"), "skipped")
+
+
+@query("C25_mail_attachments", sql(f"""SELECT mail_id, idx, owner, CASE WHEN owner IS NULL THEN 'unknown_token' WHEN ext NOT IN ({', '.join(repr(x) for x in files.EXTENSIONS)}) THEN 'not_allowed' WHEN k > 1 THEN 'duplicate' ELSE 'ingested' END AS status,
+  CASE WHEN owner IS NOT NULL AND ext IN ({', '.join(repr(x) for x in files.EXTENSIONS)}) AND k = 1 THEN 'user/' || owner || '/' || sha || ext END AS path
+FROM (SELECT *, row_number() OVER (PARTITION BY owner, sha, ext IN ({', '.join(repr(x) for x in files.EXTENSIONS)}) ORDER BY mail_id, idx) AS k FROM (
+  SELECT event_id AS mail_id, idx::INT AS idx, c_name AS owner, sha256(props || (idx % 2)) AS sha, ['.pdf', '.exe', '.md'][((event_id + idx) % 3 + 1)::INT] AS ext
+  FROM (SELECT *, unnest(range(0, event_id % 4)) AS idx FROM events) LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 7 <> 0) ON c_custkey = user_id))"""))
+def c25(v: Views) -> DataFrame:
+    """Mails with none to three attachments: unknown tokens, names that are not taken, contents seen before, and the rest."""
+    i = F.col("event_id")
+    ext = F.array(F.lit(".pdf"), F.lit(".exe"), F.lit(".MD"))
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(2)), lambda k: k < i % 4)
+    parts = F.transform(numbers, lambda k: F.struct(F.concat(F.lit("a"), F.get(ext, ((i + k) % 3).cast("int"))).alias("name"), F.concat("props", (k % 2).cast("string")).alias("content")))
+    mails = v.table("events").select(i.alias("mail_id"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("token"), parts.alias("attachments"))
+    addresses = v.table("customer").filter("c_custkey % 7 <> 0").select(F.concat(F.lit("t"), F.col("c_custkey").cast("string")).alias("token"), F.col("c_name").alias("owner"))
+    return joins.mailed(mails, addresses, files.doc_type)
