@@ -37,6 +37,8 @@ TABLE_SIZE = 65_536
 SPLIT_ROWS = 200
 #: Entries that a cache holds before it starts anew.
 CACHE_SIZE = 150_000
+#: Counts that a worker keeps besides the table: some 50 MB.
+COUNTS = 400_000
 #: Tokens whose pieces a task remembers.
 SPINES = 16_384
 
@@ -112,24 +114,32 @@ class Cutter:
 class _Lengths(dict):
     """Token counts of pre-tokens: the broadcast table, and over it what this worker has met besides.
 
-    What is missing in a block of texts is counted at once, by the merges alone: a pre-token
-    is normalised already, and normalising it again may change it."""
+    What is missing goes to the file's model alone, past its normaliser and cutter: a
+    pre-token is normalised already, and normalising it again may change it."""
 
     def __init__(self, table: dict[str, int], name: str):
         super().__init__(table)
-        self.table, self.bpe = table, Merges(name)
+        self.table, self.model = table, library(name).model
+        self.letter = {b: c for c, b in _bytes_of().items()}
+
+    def count(self, piece: str) -> int:
+        """Tokens of one pre-token."""
+        if not (piece.isascii() and piece.isprintable()):
+            piece = "".join([self.letter[b] for b in piece.encode("utf-8", "surrogateescape")])
+        return len(self.model.tokenize(piece))
 
     def counts(self, pieces: list[list[str | int]]) -> list[int]:
         """Tokens of each text, given its pre-tokens."""
-        new = set(chain.from_iterable(pieces)).difference(self)
-        if len(self) + len(new) > CACHE_SIZE + len(self.table):
+        found = [list(map(self.get, p)) for p in pieces]
+        new = {x for p, n in zip(pieces, found) if None in n for x, k in zip(p, n) if k is None}
+        if not new:
+            return list(map(sum, found))
+        if len(self) + len(new) > COUNTS + len(self.table):
             self.clear()
             self.update(self.table)
             new = set(chain.from_iterable(pieces)).difference(self)
-        if new:
-            self.update((p, len(ids)) for p, ids in self.bpe.encode(p for p in new if isinstance(p, str)).items())
-            self.update((p, 1) for p in new if isinstance(p, int))  # special tokens
-        return [sum(map(self.__getitem__, p)) for p in pieces]
+        self.update((p, self.count(p) if isinstance(p, str) else 1) for p in new)  # a number is a special token
+        return [sum(map(self.__getitem__, p)) if None in n else sum(n) for p, n in zip(pieces, found)]
 
 
 #: This worker's counts, by the token of the table under them: kept from task to task, for one table at a time.
@@ -165,7 +175,8 @@ def frequent(docs: DataFrame, text_col: str = "text", name: str = MODEL, size: i
         yield pa.RecordBatch.from_pydict({"piece": pa.array([p for p, _ in seen.most_common(share)], pa.string())})
 
     found = {r["piece"] for r in rows.mapInArrow(count, "piece string").limit(size).collect()}
-    return {piece: len(ids) for piece, ids in Merges(name).encode(found).items()}
+    counts = _Lengths({}, name)
+    return {piece: counts.count(piece) for piece in found}
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = MODEL, limit: int = 2048) -> DataFrame:

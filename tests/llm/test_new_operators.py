@@ -324,7 +324,7 @@ def test_intervals_hold_and_prune():
 def test_token_counts_of_random_texts(spark):
     """Counts against the library on texts of letters that normalising and lower-casing change, whole corpus tables or none."""
     rng = random.Random(5)
-    pool = list("abcIİıÅéß ,.'̧᳖̇́ͅΣςǅŉﬁK") + ["İ̧", "İ᳖", "<|endoftext|>", "北", "\U0001f600", "‍", "각"]
+    pool = list("abcIİıÅéß ,.'̧᳖̇́ͅΣςǅŉﬁK") + ["İ̧", "İ᳖", "<|endoftext|>", "北", "\U0001f600", "‍", "각", "\x00", "\x1b", "\x7f", "\x85"]
     texts = ["".join(rng.choice(pool) for _ in range(rng.randint(1, 20))) for _ in range(4000)] + ["İ̧", "İ᳖", "x" * 50_000]
     tok = bpe.library()
     want = [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
@@ -335,11 +335,11 @@ def test_token_counts_of_random_texts(spark):
     cut = bpe.Cutter()
     for size in (150_000, 5):
         lengths = bpe._Lengths(table, bpe.MODEL)
-        bpe_size, bpe.CACHE_SIZE = bpe.CACHE_SIZE, size
+        bpe_size, bpe.COUNTS = bpe.COUNTS, size
         try:
             assert [n for at in range(0, len(texts), 50) for n in lengths.counts([cut.pieces(t) for t in texts[at : at + 50]])] == want
         finally:
-            bpe.CACHE_SIZE = bpe_size
+            bpe.COUNTS = bpe_size
 
 
 # Main text
