@@ -7,8 +7,9 @@ and greatest key of the range that holds the place, cut into BINS; so a range na
 the counts reached, whatever the spread, until it holds ENOUGH rows or one key.  Only those
 rows are put in order.  Each pass is one scan whose counts are combined before the shuffle.
 
-`nearest` and `rounded` take an element, `linear` interpolates between two, `continuous_int`
-is the same rule as a whole number.
+`nearest` and `rounded` take an element, `interpolated` lies between two, `interpolated_int` is
+the same rule as a whole number.  `linear` and `continuous_int` are aggregates of the same
+rules, for groups that are small: they hold a group's values.
 """
 
 from __future__ import annotations
@@ -111,7 +112,7 @@ def rounded(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> D
     return _element(rows, by, value, {k: lambda n, q=q: F.bround(F.lit(q) * (n - 1)) for k, q in quantiles.items()})
 
 
-def linear(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> DataFrame:
+def interpolated(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> DataFrame:
     """Linear interpolation at q * (n - 1), as a double, for each named q; groups without values give no row."""
     place = lambda n, q: F.lit(q) * (n - 1)
     places = {f"{k}_{side}": (lambda n, q=q, f=f: f(place(n, q))) for k, q in quantiles.items() for side, f in (("low", F.floor), ("high", F.ceil))}
@@ -121,7 +122,17 @@ def linear(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> Da
     return found.select(*by, "n", *[F.when(low(k) == high(k), low(k)).otherwise(low(k) * (1 - share(q)) + high(k) * share(q)).alias(k) for k, q in quantiles.items()])
 
 
-def continuous_int(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> DataFrame:
+def interpolated_int(rows: DataFrame, by: list[str], value: str, **quantiles: float) -> DataFrame:
     """percentile_cont as whole numbers, halves to even."""
-    found = linear(rows, by, value, **quantiles)
+    found = interpolated(rows, by, value, **quantiles)
     return found.select(*by, "n", *[F.rint(k).cast("int").alias(k) for k in quantiles])
+
+
+def linear(value: str, q: float) -> Column:
+    """Linear interpolation at q * (n - 1)."""
+    return F.percentile(F.col(value), q)
+
+
+def continuous_int(value: str, q: float) -> Column:
+    """percentile_cont as a whole number, halves to even, 0 without values."""
+    return F.coalesce(F.rint(F.percentile(F.col(value), q)), F.lit(0)).cast("int")

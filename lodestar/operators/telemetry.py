@@ -80,7 +80,7 @@ def trend(log: DataFrame, at: str, value: str, flag: Column, as_of: str, span: s
     first = F.timestamp_seconds(F.floor(F.unix_timestamp(start) / seconds) * seconds)
     rows = log.filter((F.col(at) >= first) & (F.col(at) <= end)).withColumn("bucket_start", bucket)
     counts = rows.groupBy("bucket_start").agg(F.count("*").alias("sample_count"), F.count_if(flag).alias("flagged"))
-    counts = counts.join(percentiles.continuous_int(rows, ["bucket_start"], value, p50_ms=0.5, p95_ms=0.95).drop("n"), "bucket_start", "left")
+    counts = counts.join(percentiles.interpolated_int(rows, ["bucket_start"], value, p50_ms=0.5, p95_ms=0.95).drop("n"), "bucket_start", "left")
     spark: SparkSession = log.sparkSession
     begin = spark.range(1).select(start.cast("string").alias("x")).first()["x"]
     return joins.zero_fill(joins.buckets(spark, begin, as_of, seconds), counts, "bucket_start", ["sample_count", "p50_ms", "p95_ms", "flagged"])

@@ -119,7 +119,7 @@ def n9(v: Views) -> DataFrame:
 
 @query("N10_best_configuration", sql("SELECT arg_max(mode, (round(hit, 2), -ms)) AS best FROM (SELECT mode, avg(CASE WHEN fused > 0 THEN 1.0 ELSE 0 END) AS hit, quantile_cont(took_ms, 0.95) AS ms FROM search_log GROUP BY mode)"))
 def n10(v: Views) -> DataFrame:
-    rows = v.search_log().groupBy("mode").agg(F.avg((F.col("fused") > 0).cast("double")).alias("hit")).join(percentiles.linear(v.search_log(), ["mode"], "took_ms", ms=0.95), "mode")
+    rows = v.search_log().groupBy("mode").agg(F.avg((F.col("fused") > 0).cast("double")).alias("hit")).join(percentiles.interpolated(v.search_log(), ["mode"], "took_ms", ms=0.95), "mode")
     return rows.agg(F.max_by("mode", F.struct(F.round("hit", 2), -F.col("ms"))).alias("best"))
 
 

@@ -39,12 +39,12 @@ def a14(v: Views) -> DataFrame:
 
 @query("A15_linear", sql("SELECT mode, round(quantile_cont(took_ms, 0.95), 6) AS p95 FROM search_log GROUP BY mode"))
 def a15(v: Views) -> DataFrame:
-    return percentiles.linear(v.search_log(), ["mode"], "took_ms", p95=0.95).select("mode", F.round("p95", 6).alias("p95"))
+    return percentiles.interpolated(v.search_log(), ["mode"], "took_ms", p95=0.95).select("mode", F.round("p95", 6).alias("p95"))
 
 
 @query("A16_continuous_int", sql("SELECT mode, coalesce(round_even(quantile_cont(took_ms, 0.5), 0), 0)::INT AS p50, coalesce(round_even(quantile_cont(took_ms, 0.95), 0), 0)::INT AS p95 FROM search_log GROUP BY mode"))
 def a16(v: Views) -> DataFrame:
-    found = percentiles.continuous_int(v.search_log(), ["mode"], "took_ms", p50=0.5, p95=0.95)
+    found = percentiles.interpolated_int(v.search_log(), ["mode"], "took_ms", p50=0.5, p95=0.95)
     return v.search_log().select("mode").distinct().join(found, "mode", "left").select("mode", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("p50", "p95")])
 
 

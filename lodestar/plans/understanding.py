@@ -158,14 +158,17 @@ def q1(v: Views) -> DataFrame:
 @query("C23_C24_evaluation_tables", sql(r"SELECT item_id::VARCHAR AS id, md5(trim(regexp_replace(left(text, 60), '\s+', ' ', 'g'))) AS query, CASE WHEN item_id % 3 = 0 THEN 'a:' || item_id % 7 || ',b:' || item_id % 5 WHEN item_id % 3 = 1 THEN (item_id % 7)::VARCHAR ELSE '' END AS labels FROM benchmark"))
 def c23(v: Views) -> DataFrame:
     """A golden set that goes out as CSV with a byte order mark in its header, and comes back."""
-    from lodestar.sources import evaluation
-    from lodestar.streaming.logs import shared_folder
+    from lodestar.sources import evaluation, shared
 
     i = F.col("item_id")
     labels = F.when(i % 3 == 0, F.concat(F.lit("a:"), (i % 7).cast("string"), F.lit(" | b:"), (i % 5).cast("string"))).when(i % 3 == 1, (i % 7).cast("string")).otherwise("")
     out = v.table("benchmark").select(i.alias("﻿id"), F.left("text", F.lit(60)).alias("query"), labels.alias("relevant_chunks"))
-    path = f"{shared_folder(v.spark)}.csv"
+    path = f"{shared.folder(v.spark, 'evaluation')}.csv"
     out.write.option("header", True).option("escape", '"').csv(path)
     rows = evaluation.table(v.spark, path)
     found = F.transform(evaluation.chunk_labels("relevant_chunks"), lambda x: F.concat(F.coalesce(F.concat(x["alias"], F.lit(":")), F.lit("")), x["idx"].cast("string")))
-    return rows.select("id", F.md5(F.trim(F.regexp_replace("query", r"\s+", " ")).cast("binary")).alias("query"), F.array_join(found, ",").alias("labels"))
+    told = rows.select("id", F.md5(F.trim(F.regexp_replace("query", r"\s+", " ")).cast("binary")).alias("query"), F.array_join(found, ",").alias("labels"))
+    try:
+        return shared.saved(told, "evaluation")
+    finally:
+        shared.removed(v.spark, path)

@@ -20,7 +20,7 @@ def test_percentiles_by_narrowing(spark, monkeypatch, bins, enough, state):
     rows = [(g, rng.choice([rng.random() * 1000, 5.0, -3.0, 1e12, -1e300, 0.0, 5e-324, None])) for g in ["a", "b", None] for _ in range(rng.randint(1, 90))] + [("one", 7.0), ("none", None)]
     d = spark.createDataFrame(rows, "g string, x double")
     got = {r["g"]: (r["n"], r["low"], r["mid"], r["high"]) for r in percentiles.nearest(d, ["g"], "x", low=0.0, mid=0.5, high=0.95).collect()}
-    between = {r["g"]: r["p"] for r in percentiles.linear(d, ["g"], "x", p=0.4).collect()}
+    between = {r["g"]: r["p"] for r in percentiles.interpolated(d, ["g"], "x", p=0.4).collect()}
     for g in {g for g, x in rows if x is not None}:
         xs = sorted(x for k, x in rows if k == g and x is not None)
         assert got[g] == (len(xs), xs[0], xs[int(0.5 * (len(xs) - 1))], xs[int(0.95 * (len(xs) - 1))])
