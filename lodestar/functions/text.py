@@ -105,10 +105,10 @@ def cards(text: Column) -> Column:
 
 
 # Entity patterns, in order of kind.
-DATES = [r"\d{4}\s*년\s*\d{1,2}\s*월(?:\s*\d{1,2}\s*일)?", r"(?<!\d)\d{4}[.\-/]\s*\d{1,2}[.\-/]\s*\d{1,2}(?!\d)", r"(?<!\d)\d{4}[.\-]\s*\d{1,2}(?!\d)"]
+DATES = [r"(\d{4})\s*년\s*(\d{1,2})\s*월(?:\s*(\d{1,2})\s*일)?", r"(?<!\d)(\d{4})[.\-/]\s*(\d{1,2})[.\-/]\s*(\d{1,2})(?!\d)", r"(?<!\d)(\d{4})[.\-]\s*(\d{1,2})(?!\d)"]
 AMOUNTS = [r"\b\d{1,3}(?:,\d{3})+(?:\.\d+)?\s*원\b", r"\b\d{1,4}(?:\.\d+)?\s*(?:만|억|조|천)\s*원\b", r"\$\d{1,3}(?:,\d{3})*(?:\.\d+)?\b", r"₩\d{1,3}(?:,\d{3})*(?:\.\d+)?\b"]
 PERCENTS = [r"\b\d{1,3}(?:\.\d+)?\s*%"]
-IDENTIFIERS = [r"\bISSN\s+\d{4}-\d{3}[\dXx]\b", r"\bISBN\s+[\d\-Xx]{10,17}\b", r"제\s*\d+\s*호"]
+IDENTIFIERS = [r"\bISSN\s+(\d{4}-\d{3}[\dXx])\b", r"\bISBN\s+([\d\-Xx]{10,17})\b", r"제\s*\d+\s*호"]
 
 
 def _entities(text: Column, patterns: list[str]) -> Column:
