@@ -34,15 +34,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
 from lodestar.llm.jaccard_join import fetch, links, members_of, shared_keys
 from lodestar.llm.sieve import Sieve
-from lodestar.llm.storage import finished, free, keyed, saved
+from lodestar.llm.storage import dropped, finished, free, keyed, saved, swept
 
 SHINGLE = 5
 PERCENT = 80
@@ -54,6 +53,8 @@ GRAM = 8
 NEAR_GRAMS = MIN_SPAN - GRAM + 1
 #: Words beside an anchor that it may grow by.
 REACH = NEAR_GRAMS - 1
+#: Bytes of text that a task works on at once.
+BUDGET = 1 << 20
 
 _SEEDS = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOPS = np.isin(np.arange(256), list(b".!?"))
@@ -134,22 +135,26 @@ def anchors(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at].view(np.int64)
 
 
-def _keyed(docs: DataFrame, text_col: str) -> DataFrame:
-    """(key, sig) of every paragraph's bands, and of every anchor with a number of its own."""
+def _keyed(docs: DataFrame, text_col: str, id_col: str = "_doc") -> DataFrame:
+    """(key, sig) of every paragraph's bands, and of every anchor with a number of its own: a hash of
+    its row and place, so that a task that is run again gives the same rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rng = np.random.default_rng()
         for batch in batches:
-            for _, _, texts in W.chunks(batch, "_text"):
+            row = batch.column("_row").to_numpy().view(np.uint64)
+            for begin, _, texts in W.chunks(batch, "_text", BUDGET):
                 w = W.words(texts, W.LOWER)
                 starts, ends = paragraphs(w)
                 if len(starts):
                     yield pa.RecordBatch.from_pydict({"key": pa.array(_bands(w, starts, ends).reshape(-1)), "sig": pa.array(np.repeat(_names(w, starts, ends), BANDS))})
-                _, key = anchors(w)
+                at, key = anchors(w)
                 if len(key):
-                    yield pa.RecordBatch.from_pydict({"key": pa.array(key), "sig": pa.array(rng.integers(-(1 << 63), 1 << 63, len(key)))})
+                    doc = np.searchsorted(w.first, at, side="right") - 1
+                    sig = W.mix(row[begin + doc] ^ W.mix((at - w.first[doc]).astype(np.uint64)))
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key), "sig": pa.array(sig.view(np.int64))})
+        pa.default_memory_pool().release_unused()  # the worker waits beside the sorts that follow
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key bigint, sig bigint")
+    return docs.select(F.xxhash64(id_col).alias("_row"), F.col(text_col).alias("_text")).mapInArrow(run, "key bigint, sig bigint")
 
 
 def _fixed(x: np.ndarray) -> pa.Array:
@@ -175,7 +180,7 @@ def _placed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for begin, end, texts in W.chunks(batch, "_text"):
+            for begin, end, texts in W.chunks(batch, "_text", BUDGET):
                 w = W.words(texts, W.LOWER)
                 at, key = anchors(w)
                 keep = sieve.value.passes(key)
@@ -185,16 +190,18 @@ def _placed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
                 doc = np.searchsorted(w.first, at, side="right") - 1
                 ids = batch.column("id").slice(begin, end - begin).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at - w.first[doc], pa.int32()), pa.array(key), _fixed(_beside(w, at, -1)), _fixed(_beside(w, at, 1))], names=["id", "at", "key", "before", "after"])
+        pa.default_memory_pool().release_unused()
 
     return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at int, key bigint, before binary, after binary"), "anchors")
 
 
-@F.arrow_udf(IntegerType())
-def _equal(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many words are equal from the anchor on."""
-    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint32).reshape(-1, REACH) for v in (a, b))
-    same = (x == y) & (x != 0)
-    return pa.array(np.where(same.all(axis=1), REACH, same.argmin(axis=1)), pa.int32())
+def _equal(a: str, b: str) -> Column:
+    """How many words are equal from the anchor on: the place of the first that differs or is missing."""
+    out = F.when(F.lit(False), 0)
+    for i in range(REACH):
+        x, y = (F.substring(c, 4 * i + 1, 4) for c in (a, b))
+        out = out.when((x != y) | (x == F.lit(b"\0\0\0\0")), i)
+    return out.otherwise(REACH)
 
 
 def _later(rows: DataFrame) -> DataFrame:
@@ -209,6 +216,7 @@ def equal_runs(placed: DataFrame) -> DataFrame:
     apart = f"NOT (id <=> of_doc AND at - of_at < {MIN_SPAN})"  # a copy does not overlap its source
     seen = _later(placed).select("id", "at", "key", "before", "after", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("before", "home.before").alias("left"), _equal("after", "home.after").alias("right"))
     seen = saved(seen, "grown")
+    swept(placed.sparkSession)
     out = [seen.filter(apart).selectExpr("id", "at - left AS start", f"at + {GRAM} + right AS end", "of_doc")]
     side = [seen.select("id", "at", F.xxhash64("key", F.lit(i)).alias("key"), F.col(words).alias("words"), F.col(n).alias("n")) for i, (words, n) in enumerate((("before", "left"), ("after", "right")))]
     # Each side by itself; the key tells the side and the words so far.
@@ -218,6 +226,7 @@ def equal_runs(placed: DataFrame) -> DataFrame:
         rest = rest.filter((F.col("n") < REACH) & (word != F.lit(b"\0\0\0\0"))).select("id", "at", F.xxhash64("key", "n", word).alias("key"), "words", "side")
         found = _later(rest).select("id", "at", "key", "words", "side", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("words", "home.words").alias("n"))
         found = saved(found, "grown")
+        swept(placed.sparkSession)
         if not found.head(1):
             break
         out.append(found.filter(apart).selectExpr("id", "IF(side < 0, at - n, at) AS start", f"at + {GRAM} + IF(side > 0, n, 0) AS end", "of_doc"))
@@ -234,7 +243,7 @@ def _signed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, end, texts in W.chunks(batch, "_text"):
+            for at, end, texts in W.chunks(batch, "_text", BUDGET):
                 w = W.words(texts, W.LOWER)
                 starts, ends = paragraphs(w)
                 if not len(starts):
@@ -248,6 +257,7 @@ def _signed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[keep]))
                 ids = batch.column("id").slice(at, end - at).take(pa.array(doc))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(no, pa.int32()), pa.array(starts - base, pa.int32()), pa.array(ends - base, pa.int32()), pa.array(_names(w, starts, ends)), keys], names=["id", "no", "start", "end", "sig", "keys"])
+        pa.default_memory_pool().release_unused()
 
     return saved(rows.mapInArrow(run, f"id {kind}, no int, start int, end int, sig bigint, keys array<bigint>"), "paragraphs")
 
@@ -264,11 +274,15 @@ def clusters(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: str
 def _spans(docs: DataFrame, min_span: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, start, end, n_words, of_docs) as in `spans`, with the rows' keys instead of ids."""
     docs, id_col, text_col = keyed(docs, id_col, text_col), "_doc", "_text"
-    shared = shared_keys(_keyed(docs, text_col))
+    shared = shared_keys(_keyed(docs, text_col, id_col))
     sieve = docs.sparkSession.sparkContext.broadcast(Sieve(shared))
+    swept(docs.sparkSession)
     signed = _signed(docs, sieve, id_col, text_col)
-    equal = equal_runs(_placed(docs, sieve, id_col, text_col))
+    placed = _placed(docs, sieve, id_col, text_col)
+    equal = equal_runs(placed)
+    dropped(placed)  # the largest table; what comes of it is written
     roots = clusters(docs, signed, shared, id_col, text_col)
+    swept(docs.sparkSession)
     where = signed.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rooted = where.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = rooted.groupBy("root").agg(F.min("id").alias("of_doc"), F.sum("n").alias("n")).filter("n > 1")

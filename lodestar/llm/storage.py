@@ -52,6 +52,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that `saved` wrote, before the operator that wrote it ends."""
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        removed(table.sparkSession, path)
+
+
+def swept(spark: SparkSession) -> None:
+    """After a table is written, the shuffle files of what made it are of no use.  Spark removes them
+    once the driver's collector has found that nothing refers to them, so that is run here."""
+    spark._jvm.System.gc()
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a folder that `saved` wrote, in whatever store it is."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
