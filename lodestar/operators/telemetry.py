@@ -108,10 +108,12 @@ def stage_medians(logs: DataFrame, last: int = 500, least: int = 3) -> DataFrame
 
 
 def stage_durations(log: DataFrame) -> DataFrame:
-    """(job_id, stage, status, duration_ms) of rows (job_id, stage, status, at): from the start of a stage to its end; open ones are running."""
+    """(log_id, job_id, stage, status, duration_ms) of rows (log_id, job_id, stage, status, at): from the start of a run to its end; open ones are running.
+
+    The start and the end of a run share its log id: a job can run a stage again, also before the first run has ended."""
     started, ended = F.col("status") == "started", F.col("status") != "started"
-    pairs = log.groupBy("job_id", "stage").agg(F.min(F.when(started, F.col("at"))).alias("a"), F.max_by(F.when(ended, F.col("status")), F.when(ended, F.col("at"))).alias("s"), F.max(F.when(ended, F.col("at"))).alias("b"))
-    return pairs.select("job_id", "stage", F.coalesce("s", F.lit("running")).alias("status"), (F.col("b") - F.col("a")).alias("duration_ms"))
+    pairs = log.groupBy("log_id", "job_id", "stage").agg(F.min(F.when(started, F.col("at"))).alias("a"), F.max_by(F.when(ended, F.col("status")), F.when(ended, F.col("at"))).alias("s"), F.max(F.when(ended, F.col("at"))).alias("b"))
+    return pairs.select("log_id", "job_id", "stage", F.coalesce("s", F.lit("running")).alias("status"), (F.col("b") - F.col("a")).alias("duration_ms"))
 
 
 def budget_sample(usage: DataFrame) -> DataFrame:

@@ -279,12 +279,13 @@ def n19(v: Views) -> DataFrame:
 
 @query("B12_stage_durations", sql("SELECT job_id, stage, status, duration_ms FROM (SELECT log_id % 100000 AS job_id, stage, status, duration_ms FROM stage_logs WHERE log_id % 9 < 7) UNION ALL SELECT log_id % 100000, stage, 'running', NULL FROM stage_logs WHERE log_id % 9 >= 7"))
 def b12(v: Views) -> DataFrame:
-    """A row as a stage starts and one as it ends, paired by job and stage; some stages have not ended."""
+    """A row as a stage starts and one as it ends, paired by the run's log id; some stages have not ended."""
     logs = v.stage_logs()
     at = F.unix_millis(F.col("started_at").cast("timestamp"))
-    started = logs.select((F.col("log_id") % 100_000).alias("job_id"), "stage", F.lit("started").alias("status"), at.alias("at"))
-    ended = logs.filter("log_id % 9 < 7").select((F.col("log_id") % 100_000).alias("job_id"), "stage", "status", (at + F.col("duration_ms")).alias("at"))
-    return telemetry.stage_durations(started.unionByName(ended))
+    run = ["log_id", (F.col("log_id") % 100_000).alias("job_id"), "stage"]
+    started = logs.select(*run, F.lit("started").alias("status"), at.alias("at"))
+    ended = logs.filter("log_id % 9 < 7").select(*run, "status", (at + F.col("duration_ms")).alias("at"))
+    return telemetry.stage_durations(started.unionByName(ended)).drop("log_id")
 
 
 @query("L4_L5_rank_caps", sql("SELECT query_id, count(*) FILTER (rank <= 20) AS first, count(*) FILTER (rank <= 10) AS second FROM fused GROUP BY query_id", _HITS))
