@@ -163,17 +163,17 @@ def or_terms(query: str | Column) -> Column:
 def sparse(chunks: DataFrame, queries: DataFrame, k: int | None, id_col: str = "chunk_id", mode: str = "or") -> DataFrame:
     """(query_id, id, score, rank): chunks by occurrences of the query's terms; `and` asks for all of them.
 
-    Without k all hits are given, without ranks, by a join of terms: (query_id, id, score).
+    Without k all hits are given, without ranks: (query_id, id, score).
 
     Up to MAX_ASKED query terms are broadcast, and every task counts them in its chunks and
     keeps its own k best for each query, so k rows for each query and task are shuffled,
-    however common a term is.  More are joined by term.
+    however common a term is; without k nothing is.  More are joined by term.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms("text"))).alias("term"))
-    if k is None:
-        return _joined(chunks, asked, id_col, mode == "and")
     few = asked.limit(MAX_ASKED + 1).toArrow()
     hits = _scored(chunks, few, queries.schema["query_id"].dataType.simpleString(), k, id_col, mode == "and") if few.num_rows <= MAX_ASKED else _joined(chunks, asked, id_col, mode == "and")
+    if k is None:
+        return hits
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -187,18 +187,22 @@ def _joined(chunks: DataFrame, asked: DataFrame, id_col: str, every: bool) -> Da
     return hits.select("query_id", id_col, "score")
 
 
-def _scored(chunks: DataFrame, asked: pa.Table, kind: str, k: int, id_col: str, every: bool) -> DataFrame:
-    """(query_id, id, score): each task's k best of every query."""
+def by_term(asked: pa.Table) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """The queries' ids and the terms of rows (query_id, term), and the places of the queries that ask for term t: query[first[t] : first[t + 1]]."""
     names, terms_of = asked.column("query_id").combine_chunks().dictionary_encode(), asked.column("term").combine_chunks().dictionary_encode()
     order = np.argsort(terms_of.indices.to_numpy(), kind="stable")
     query, term = names.indices.to_numpy()[order].astype(np.int64), terms_of.indices.to_numpy()[order]
-    first = np.searchsorted(term, np.arange(len(terms_of.dictionary) + 1))
-    shared = chunks.sparkSession.sparkContext.broadcast((names.dictionary, terms_of.dictionary, query, first))
+    return names.dictionary, terms_of.dictionary, query, np.searchsorted(term, np.arange(len(terms_of.dictionary) + 1))
+
+
+def _scored(chunks: DataFrame, asked: pa.Table, kind: str, k: int | None, id_col: str, every: bool) -> DataFrame:
+    """(query_id, id, score): each task's k best of every query, or all."""
+    shared = chunks.sparkSession.sparkContext.broadcast(by_term(asked))
     rows = chunks.select(F.col(id_col).alias("id"), terms("text").alias("terms"))
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, known, query, first = shared.value
-        top, kind, n, wanted = _Top(len(names), k), None, len(names), np.bincount(query, minlength=len(names))
+        top, kind, n, wanted = _Top(len(names), k or 0), None, len(names), np.bincount(query, minlength=len(names))
         for batch in batches:
             kind = batch.column("id").type
             for at in range(0, batch.num_rows, max(1, ROWS * 200 // max(n, 1))):
@@ -214,8 +218,12 @@ def _scored(chunks: DataFrame, asked: pa.Table, kind: str, k: int, id_col: str,
                 score = np.bincount(to, weights=np.repeat(tf, each), minlength=size * n).reshape(size, n)
                 if every:
                     score[np.bincount(to, minlength=size * n).reshape(size, n) < wanted] = 0
+                if k is None:
+                    row, to = np.nonzero(score)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(to)), block.column("id").take(pa.array(row)), pa.array(score[row, to].astype(np.int64))], names=["query_id", "id", "score"])
+                    continue
                 top.add(score, block.column("id").to_numpy(zero_copy_only=False), above=0)
-        if kind is not None:
+        if kind is not None and k is not None:
             yield top.batch(names, kind, pa.int64(), "score")
 
     kinds = f"query_id {kind}, id {rows.schema['id'].dataType.simpleString()}, score bigint"

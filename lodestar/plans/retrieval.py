@@ -5,6 +5,8 @@ All benchmark items are the queries; all chunks, or all vectors, are searched.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,32 +63,31 @@ def r5(v: Views) -> DataFrame:
     return retrieval.sparse(_live_chunks(v), v.queries().select("query_id", "text"), None, mode="and").select("query_id", "chunk_id")
 
 
-def _indexed(v: Views, k: int, mode: str = "or", report: bool = False) -> DataFrame:
-    """Sparse search in an index of all live chunks, written in two appends."""
-    path, chunks, queries = shared.folder(v.spark, "postings"), _live_chunks(v), v.queries().select("query_id", "text")
+def _indexed(v: Views, found: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
+    """What is found for the queries in an index of all live chunks, written in two appends."""
+    path, chunks = shared.folder(v.spark, "postings"), _live_chunks(v)
     try:
         for half in (0, 1):
             postings.append(chunks.filter(F.col("doc_id") % 2 == half), path, buckets=16, parts=2)
-        found = postings.blocks(path, queries, k, mode, 16) if report else postings.search(path, queries, k, mode=mode, buckets=16)
-        return shared.saved(found, "hits")
+        return shared.saved(found(path, v.queries().select("query_id", "text")), "hits")
     finally:
         shared.removed(v.spark, path)
 
 
 @query("R2_posting_index", sql("SELECT query_id, chunk_id, score, rank FROM sparse", _HITS))
 def r2_index(v: Views) -> DataFrame:
-    return _indexed(v, 50)
+    return _indexed(v, lambda path, queries: postings.search(path, queries, 50, buckets=16))
 
 
 @query("R5_posting_index_all_terms", sql("SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id, chunk_id, count(*) AS score, count(DISTINCT term) AS n FROM tok JOIN ask USING (term) GROUP BY 1, 2) JOIN (SELECT query_id, count(*) AS wanted FROM ask GROUP BY 1) USING (query_id) WHERE n = wanted QUALIFY rank <= 50", _HITS))
 def r5_index(v: Views) -> DataFrame:
-    return _indexed(v, 50, "and")
+    return _indexed(v, lambda path, queries: postings.search(path, queries, 50, mode="and", buckets=16))
 
 
 @query("R2_posting_blocks", sql("SELECT query_id, sum(b)::BIGINT AS blocks FROM (SELECT query_id, count(DISTINCT chunk_id // 256) AS b FROM tok JOIN ask USING (term) GROUP BY query_id) GROUP BY query_id", _HITS))
 def r2_blocks(v: Views) -> DataFrame:
     """How many blocks hold a term of each query; those opened are told by `opened`."""
-    return _indexed(v, 50, report=True).groupBy("query_id").agg(F.count("*").alias("blocks"))
+    return _indexed(v, lambda path, queries: postings.blocks(path, queries, 50, buckets=16).groupBy("query_id").agg(F.count("*").alias("blocks")))
 
 
 @query("R1_cell_index", sql("SELECT query_id, doc_id, sim, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, doc_id) AS rank FROM dsim) WHERE rank <= 50", _HITS))

@@ -4,6 +4,7 @@ from conftest import SF
 from oracle import answer, rows
 from pyspark.sql import functions as F
 
+from lodestar.operators import postings, retrieval
 from lodestar.plans import catalog
 
 
@@ -21,3 +22,29 @@ def test_a_job_runs_a_stage_again(spark, tmp_path):
     folder = repeated(spark, tmp_path, "events", "event_id", 2, 900_000)
     got, want = catalog.QUERIES["B12_stage_durations"](spark, folder).toPandas(), answer(catalog.ORACLES["B12_stage_durations"], folder)
     assert rows(got) == rows(want)
+
+
+def planned(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_hits_are_told_in_the_scan(spark):
+    """All hits of AND queries: nothing is shuffled by chunk and term, or by query."""
+    chunks = spark.createDataFrame([(1, "a b"), (2, "a a"), (3, None)], "chunk_id bigint, text string")
+    queries = spark.createDataFrame([(7, "a b"), (8, "a"), (9, "")], "query_id bigint, text string")
+    hits = retrieval.sparse(chunks, queries, None, mode="and")
+    assert "Exchange" not in planned(hits)
+    assert sorted(map(tuple, hits.collect())) == [(7, 1, 2), (8, 1, 1), (8, 2, 2)]
+
+
+def test_the_index_shuffles_rows_of_terms_only(spark, tmp_path):
+    """A task writes what it has read; a search deals rows of asked terms by block, and no (query, id, term)."""
+    chunks = spark.range(2000).select(F.col("id").alias("chunk_id"), F.concat(F.lit("a b "), F.col("id") % 7).alias("text")).repartition(1)
+    postings.append(chunks, str(tmp_path), buckets=4, parts=8)
+    assert all(len(list(bucket.glob("*.parquet"))) == 1 for bucket in tmp_path.glob("bucket=*"))
+    queries = spark.createDataFrame([(7, "a 3"), (8, "b 1 2")], "query_id bigint, text string")
+    for mode in ("or", "and"):
+        hits = postings.search(str(tmp_path), queries, 3, mode=mode, buckets=4)
+        assert "Expand" not in planned(hits) and "hashpartitioning(block" in planned(hits)
+    assert "hashpartitioning(query_id#" not in planned(postings._per_block(str(tmp_path), postings._asked(queries), "bigint", 4))
+    assert [r["chunk_id"] for r in postings.search(str(tmp_path), queries, 3, buckets=4).filter("query_id = 7").orderBy("rank").collect()] == [3, 10, 17]
