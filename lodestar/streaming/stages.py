@@ -31,32 +31,42 @@ class Stages(StatefulProcessor):
         self.handle = handle
         self.open = handle.getValueState("open", "log_id bigint, at bigint")
 
-    def _close(self, key, status: str, took: int) -> Row:
-        log_id, at = self.open.get()
-        self.open.clear()
-        self.handle.deleteTimer(at + self.limit)
-        return Row(job_id=key[0], stage=key[1], log_id=log_id, status=status, duration_ms=took)
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        """A batch's rows of one stage of one job, in order of time and id."""
-        for row in sorted(rows, key=lambda r: (r["ms"], r["log_id"])):
-            now = row["ms"]
-            if self.open.exists():
-                took = now - self.open.get()[1]
+        """A batch's rows of one stage of one job, in order of time and id.
+
+        The state is read before them and written after them, and has a timer only for what is then open."""
+        before = self.open.get() if self.open.exists() else None
+        start = before
+        done = lambda status, took: Row(job_id=key[0], stage=key[1], log_id=start[0], status=status, duration_ms=took)
+        for now, log_id, status in sorted((r["ms"], r["log_id"], r["status"]) for r in rows):
+            if start is not None:
+                took = now - start[1]
                 if took > self.limit:
-                    yield self._close(key, "failed", self.limit)
-                elif row["status"] == "started":
-                    yield self._close(key, "restarted", took)
+                    yield done("failed", self.limit)
+                elif status == "started":
+                    yield done("restarted", took)
                 else:
-                    yield self._close(key, row["status"], took)
+                    yield done(status, took)
+                    start = None
                     continue
-            if row["status"] == "started":
-                self.open.update((row["log_id"], now))
-                self.handle.registerTimer(now + self.limit)
+                start = None
+            if status == "started":
+                start = (log_id, now)
+        if start is before:
+            return
+        if before is not None:
+            self.handle.deleteTimer(before[1] + self.limit)
+        if start is None:
+            self.open.clear()
+        else:
+            self.open.update(start)
+            self.handle.registerTimer(start[1] + self.limit)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         if self.open.exists() and self.open.get()[1] + self.limit <= expiredTimerInfo.getExpiryTimeInMs():
-            yield self._close(key, "failed", self.limit)
+            log_id, _ = self.open.get()
+            self.open.clear()
+            yield Row(job_id=key[0], stage=key[1], log_id=log_id, status="failed", duration_ms=self.limit)
 
     def close(self) -> None:
         pass

@@ -1,11 +1,15 @@
 """What shows only on tables larger than the given ones: ids that come round again, and work that must grow as its input does."""
 
+from datetime import timedelta
+
 from conftest import SF
 from oracle import answer, rows
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from lodestar.operators import postings, retrieval
 from lodestar.plans import catalog
+from lodestar.streaming import stages
 
 
 def repeated(spark, folder, table, key, times, shift):
@@ -48,3 +52,47 @@ def test_the_index_shuffles_rows_of_terms_only(spark, tmp_path):
         assert "Expand" not in planned(hits) and "hashpartitioning(block" in planned(hits)
     assert "hashpartitioning(query_id#" not in planned(postings._per_block(str(tmp_path), postings._asked(queries), "bigint", 4))
     assert [r["chunk_id"] for r in postings.search(str(tmp_path), queries, 3, buckets=4).filter("query_id = 7").orderBy("rank").collect()] == [3, 10, 17]
+
+
+class _State:
+    """A state and its timers that count their calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):  # noqa: N802
+        return self
+
+    def _called(self, value=None):
+        self.calls += 1
+        return value
+
+    def exists(self):
+        return self._called(self.value is not None)
+
+    def get(self):
+        return self._called(self.value)
+
+    def update(self, value):
+        self.value = self._called(value)
+
+    def clear(self):
+        self.value = self._called()
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.add(self._called(at))
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.timers.remove(self._called(at))
+
+
+def test_a_batch_reads_and_writes_the_state_once():
+    state, stage = _State(), stages.Stages(timedelta(milliseconds=100))
+    stage.init(state)
+    row = lambda i, ms, status: Row(log_id=i, ms=ms, status=status)
+    done = lambda batch: [tuple(r)[2:] for r in stage.handleInputRows((1, "load"), iter(batch), None)]
+    assert done([row(i, 10 * i, "succeeded" if i % 2 else "started") for i in range(1001)]) == [(i, "succeeded", 10) for i in range(0, 1000, 2)]
+    assert state.calls <= 5 and state.value == (1000, 10_000) and state.timers == {10_100}
+    assert done([row(2001, 10_050, "started")]) == [(1000, "restarted", 50)] and state.timers == {10_150}
+    assert done([row(2003, 10_300, "failed"), row(2002, 10_250, "started")]) == [(2001, "failed", 100), (2002, "failed", 50)]
+    assert state.value is None and not state.timers and done([row(2004, 10_400, "failed")]) == []
