@@ -5,8 +5,9 @@ dealt to the cell of their nearest pivot, pivots being a sample of the tenant's
 so that dense places have many cells and a cell holds CELL rows or so.  A row first meets
 the rows of its own block.  What it found there, or the least cosine that counts, is a
 radius, and it then visits only cells that can hold something nearer: those whose border
-with its own cell lies within the radius, and whose own radius reaches that far.  What is
-shuffled is a row for each visit, not for each block of the tenant.
+with its own cell lies within the radius, and whose own radius reaches that far.  Cells
+lie together in groups that a task can hold, and a row is shuffled once for each group
+in which it visits any cell, so the shuffle hardly grows with the number of visits.
 
 Equal vectors are one row until the end, so any number of copies costs one search.
 """
@@ -27,9 +28,13 @@ from lodestar.sources.shared import saved
 CELL = 2000
 #: Bytes of all pivots, which are broadcast; with more rows than they give cells for, cells grow and are cut in blocks.
 PIVOT_BYTES = 32 << 20
-#: Visitors that a task scores against one block; more are dealt to further tasks.
-VISITORS = 50_000
-#: Most blocks with more visitors that are told to every task.
+#: Bytes of the vectors of a group of blocks, at most; SPREAD groups or more where a tenant has as many blocks.
+GROUP_BYTES = 128 << 20
+SPREAD = 8
+#: Visitors that a task scores against one group; more are dealt to further tasks, as are those of
+#: tenants of over 8 * CELL rows, to SPREAD.
+VISITORS = 200_000
+#: Kept for callers: how many tasks a group needs follows from the tenant's rows.
 MAX_BUSY = 200_000
 #: Parts that the copies of one vector are dealt to.
 SALTS = 64
@@ -158,75 +163,100 @@ def visits(x: np.ndarray, home: np.ndarray, radius: np.ndarray, pivots: np.ndarr
     return np.nonzero(near)
 
 
+def _dealt(pivots: np.ndarray, reach: np.ndarray, blocks: np.ndarray, rows: int) -> tuple:
+    """A tenant's pivots, reach and blocks of cells, and: the first slot of each cell, a slot being a block; slots of a group; parts of a group's visitors."""
+    base = np.cumsum(blocks) - blocks
+    size = min(max(1, GROUP_BYTES // (2 * CELL * 8 * pivots.shape[1])), max(1, -(-int(blocks.sum()) // SPREAD)))
+    return pivots, reach, blocks, base, size, max(-(-rows // VISITORS), min(SPREAD, -(-rows // (8 * CELL))), 1)
+
+
 def _visited(met: DataFrame, pivots: dict, kind: str, at_least: float) -> DataFrame:
     """(key, id, n, of, sim): what rows find in the blocks that they visit."""
-    spark = met.sparkSession
-    shared = spark.sparkContext.broadcast(pivots)
-    kinds = f"t string, cell int, block int, side int, h1 bigint, h2 bigint, id {kind}, n bigint, vec array<double>"
+    counts = {r["t"]: r["rows"] for r in met.groupBy("t").agg(F.count("*").alias("rows")).filter(F.col("rows") > CELL).collect()}
+    shared = met.sparkSession.sparkContext.broadcast({t: _dealt(*p, counts.get(t, 1)) for t, p in pivots.items()})
     names = ["h1", "h2", "id", "n", "vec"]
+    place = ["t", "grp", "part", "side"]
+
+    def rows_of(rows: pa.RecordBatch, row: np.ndarray, grp: np.ndarray, part: np.ndarray, side: int, first: np.ndarray, slots: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(row), 10_000):
+            at, some = slice(i, i + 10_000), rows.take(pa.array(row[i : i + 10_000]))
+            bounds = np.r_[first[at], first[i + some.num_rows] if i + some.num_rows < len(first) else len(slots)]
+            lists = pa.ListArray.from_arrays(pa.array(bounds - bounds[0], pa.int32()), pa.array(slots[bounds[0] : bounds[-1]], pa.int32()))
+            yield pa.RecordBatch.from_arrays([some.column("t"), pa.array(grp[at], pa.int32()), pa.array(part[at], pa.int32()), pa.array(np.full(some.num_rows, side, np.int32)), lists, *(some.column(c) for c in names)], names=[*place, "slots", *names])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tenants = batch.column("t").dictionary_encode()
             code = tenants.indices.to_numpy()
             for k, t in enumerate(tenants.dictionary.to_pylist()):
-                if t not in shared.value:
+                if t not in shared.value or shared.value[t][2].sum() < 2:
                     continue
-                p, reach, blocks = shared.value[t]
+                p, reach, blocks, base, size, parts = shared.value[t]
                 at = np.flatnonzero(code == k)
                 step = max(1, (1 << 20) // len(p))
-                for part in (at[i : i + step] for i in range(0, len(at), step)):
-                    rows = batch.take(pa.array(part))
+                for some in (at[i : i + step] for i in range(0, len(at), step)):
+                    rows = batch.take(pa.array(some))
                     home, own = rows.column("cell").to_numpy(), rows.column("block").to_numpy()
+                    mine = base[home] + own
+                    host = np.repeat(np.arange(len(mine)), parts)
+                    yield from rows_of(rows, host, mine[host] // size, np.tile(np.arange(parts), len(mine)), 0, np.arange(len(host)), mine[host])
                     row, cell = visits(_unit(rows.column("vec")), home, _radius(rows.column("sim").to_numpy(), at_least), p, reach)
                     each = blocks[cell]
-                    row, cell = np.repeat(row, each), np.repeat(cell, each)
-                    block = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-                    away = (cell != home[row]) | (block != own[row])
-                    row, cell, block = row[away], cell[away], block[away]
-                    for i in range(0, len(row), 10_000):
-                        some = rows.take(pa.array(row[i : i + 10_000]))
-                        n = some.num_rows
-                        yield pa.RecordBatch.from_arrays([some.column("t"), pa.array(cell[i : i + n], pa.int32()), pa.array(block[i : i + n], pa.int32()), pa.array(np.ones(n, np.int32)), *(some.column(c) for c in names)], names=["t", "cell", "block", "side", *names])
-
-    guests = saved(met.select("t", "cell", "block", *names, "sim").mapInArrow(go, kinds), "visits")
-    place = ["t", "cell", "block"]
-    load = guests.groupBy(*place).agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("parts"))
-    busy = load.filter("parts > 1")
-    hosts = met.join(guests.select(*place).distinct(), place, "left_semi").select(*place, F.lit(0).alias("side"), *names)
-    if busy.limit(MAX_BUSY + 1).count() <= MAX_BUSY:
-        split = lambda d, part: d.join(F.broadcast(busy), place, "left").withColumn("part", part).drop("parts")
-        n = F.coalesce("parts", F.lit(1))
-        both = split(hosts, F.explode(F.sequence(F.lit(0), n - 1))).unionByName(split(guests, F.pmod("h1", n).cast("int")))
-    else:
-        both = hosts.withColumn("part", F.lit(0)).unionByName(guests.withColumn("part", F.lit(0)))
-    place.append("part")
-    return both.repartition(*place).sortWithinPartitions(*place, "side").mapInArrow(_score, f"t string, h1 bigint, h2 bigint, id {kind}, n bigint, of {kind}, sim double").filter(F.col("sim") >= at_least)
+                    row, slot = np.repeat(row, each), np.repeat(base[cell] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                    away = slot != mine[row]
+                    row, slot = row[away], slot[away]
+                    first = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(slot // size) != 0)][: len(row)])
+                    yield from rows_of(rows, row[first], slot[first] // size, rows.column("h1").to_numpy()[row[first]] % parts, 1, first, slot)
+
+    both = met.select("t", "cell", "block", *names, "sim").mapInArrow(go, f"t string, grp int, part int, side int, slots array<int>, h1 bigint, h2 bigint, id {kind}, n bigint, vec array<double>")
+    return both.repartition(*place[:3]).sortWithinPartitions(*place).mapInArrow(_score, f"t string, h1 bigint, h2 bigint, id {kind}, n bigint, of {kind}, sim double").filter(F.col("sim") >= at_least)
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of their block, hosts before visitors: hosts are held, visitors pass by."""
+    """Rows in order of their group, hosts before visitors: hosts are held, visitors pass by the blocks that they visit."""
     key, held, hosts = None, [], None
     for batch in batches:
         if not batch.num_rows:
             continue
-        at = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("t", "cell", "block", "part", "side")]
+        at = [batch.column(c).dictionary_encode().indices.to_numpy() for c in ("t", "grp", "part", "side")]
         edge = np.flatnonzero(np.any([np.diff(c) != 0 for c in at], axis=0)) + 1
         for a, b in zip([0, *edge], [*edge, batch.num_rows]):
             run = batch.slice(a, b - a)
-            now = tuple(run.column(c)[0].as_py() for c in ("t", "cell", "block", "part"))
+            now = tuple(run.column(c)[0].as_py() for c in ("t", "grp", "part"))
             if now != key:
                 key, held, hosts = now, [], None
             if run.column("side")[0].as_py() == 0:
-                held.append(run)
+                held.append(run.select(["id", "vec", "slots"]))
                 continue
             if hosts is None:
-                table = pa.Table.from_batches(held)
-                table = table.take(pa.compute.sort_indices(table.column("id")))
-                hosts = _unit(table.column("vec").combine_chunks()), table.column("id").to_numpy(), table.column("id")
-            place, sim = _best(_unit(run.column("vec")), run.column("id").to_numpy(zero_copy_only=False), hosts[0], hosts[1])
-            of = hosts[2].take(pa.array(place)).combine_chunks()
-            yield pa.RecordBatch.from_arrays([*(run.column(c) for c in ("t", "h1", "h2", "id", "n")), of.chunk(0) if isinstance(of, pa.ChunkedArray) else of, pa.array(sim)], names=["t", "h1", "h2", "id", "n", "of", "sim"])
+                hosts, held = _held(held) if held else ({}, []), []  # a block of a cell can be empty
+            blocks, ids = hosts
+            x, own = _unit(run.column("vec")), run.column("id").to_numpy(zero_copy_only=False)
+            lists = run.column("slots")
+            row, slot = np.repeat(np.arange(len(x)), pa.compute.list_value_length(lists).to_numpy()), lists.flatten().to_numpy()
+            place, best = np.full(len(x), len(ids)), np.full(len(x), -np.inf)
+            for s in np.unique(slot):
+                if s not in blocks:
+                    continue
+                some, (spots, others, other_ids) = row[slot == s], blocks[s]
+                where, sim = _best(x[some], own[some], others, other_ids)
+                where = spots[where]
+                better = np.isfinite(sim) & ((sim > best[some]) | ((sim == best[some]) & (where < place[some])))
+                place[some[better]], best[some[better]] = where[better], sim[better]
+            found = np.flatnonzero(np.isfinite(best))
+            if len(found):
+                some = run.take(pa.array(found))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("t", "h1", "h2", "id", "n")), ids.take(pa.array(place[found])), pa.array(best[found])], names=["t", "h1", "h2", "id", "n", "of", "sim"])
+
+
+def _held(batches: list[pa.RecordBatch]) -> tuple[dict, pa.Array]:
+    """By slot: the places in order of the id, unit vectors and ids of a group's rows; and all ids in their order."""
+    table = pa.Table.from_batches(batches)
+    table = table.take(pa.compute.sort_indices(table.column("id"))).combine_chunks()
+    x, ids, slot = _unit(table.column("vec").combine_chunks()), table.column("id").to_numpy(), table.column("slots").combine_chunks().flatten().to_numpy()
+    spots = {s: np.flatnonzero(slot == s) for s in np.unique(slot)}
+    column = table.column("id").combine_chunks()
+    return {s: (at, x[at], ids[at]) for s, at in spots.items()}, column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
 def _copies(base: DataFrame, distinct: DataFrame, best: DataFrame, at_least: float) -> DataFrame:

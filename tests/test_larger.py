@@ -2,12 +2,13 @@
 
 from datetime import timedelta
 
+import numpy as np
 from conftest import SF
 from oracle import answer, rows
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from lodestar.operators import postings, retrieval
+from lodestar.operators import postings, retrieval, similarity
 from lodestar.plans import catalog
 from lodestar.streaming import stages
 
@@ -96,3 +97,28 @@ def test_a_batch_reads_and_writes_the_state_once():
     assert done([row(2001, 10_050, "started")]) == [(1000, "restarted", 50)] and state.timers == {10_150}
     assert done([row(2003, 10_300, "failed"), row(2002, 10_250, "started")]) == [(2001, "failed", 100), (2002, "failed", 50)]
     assert state.value is None and not state.timers and done([row(2004, 10_400, "failed")]) == []
+
+
+def test_a_row_travels_once_to_each_group_of_cells(spark, monkeypatch):
+    """More visits, as with more cells, are not more rows to shuffle: at most one for each of the groups, and the parts of the hosts."""
+    monkeypatch.setattr(similarity, "CELL", 10)
+    rng = np.random.default_rng(4)
+    rows = [(i, "t", rng.standard_normal(8).tolist()) for i in range(400)]
+    d = spark.createDataFrame(rows, "doc_id bigint, t string, vec array<double>")
+    seen, scored = [], similarity._visited
+
+    def counted(met, pivots, kind, at_least):
+        (p, reach, blocks), n = pivots["8/t"], len(rows)
+        base, size, parts = similarity._dealt(p, reach, blocks, n)[3:] if hasattr(similarity, "_dealt") else (None, 1, 1)
+        groups = -(-int(blocks.sum()) // size)
+        seen.append((groups, parts, len(p)))
+        return scored(met, pivots, kind, at_least)
+
+    monkeypatch.setattr(similarity, "_visited", counted)
+    got = {r["id"]: r["of"] for r in similarity.nearest(d, "t").collect()}
+    groups, parts, cells = seen[0]
+    assert groups <= similarity.SPREAD < cells / 2 and parts <= similarity.SPREAD
+    x = np.array([v for _, _, v in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    sim = np.round(x @ x.T, 9) - 2 * np.eye(len(x))
+    assert got == dict(enumerate(sim.argmax(axis=1).tolist()))
