@@ -305,16 +305,34 @@ def forest(sets: list[np.ndarray], roots: list, percent: int) -> list[tuple[int,
 
 
 def _forest(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b): links found in each block of (block, sig, root, elements)."""
+    """(a, b): links found in each block of (b1, b2, b3, sig, root, elements).
 
-    def join(block: pa.Table) -> pa.Table:
-        sigs, roots = block.column("sig").to_pylist(), block.column("root").to_pylist()
-        data = block.column("elements").to_pylist()
-        order = sorted(range(len(sigs)), key=lambda i: (roots[i], len(data[i]), sigs[i]))
-        edges = forest([np.frombuffer(data[i], np.uint64) for i in order], [roots[i] for i in order], percent)
-        return pa.table({"a": pa.array([sigs[order[i]] for i, _ in edges], pa.int64()), "b": pa.array([sigs[order[j]] for _, j in edges], pa.int64())})
+    The blocks of a partition follow one another in batches, so a small one costs no call of its own."""
 
-    return blocks.groupBy("b1", "b2", "b3").applyInArrow(join, "a bigint, b bigint")
+    def join(block: list[tuple]) -> list[tuple[int, int]]:
+        block.sort(key=lambda r: (r[1], len(r[2]), r[0]))
+        edges = forest([np.frombuffer(x, np.uint64) for _, _, x in block], [root for _, root, _ in block], percent)
+        return [(block[i][0], block[j][0]) for i, j in edges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, found = None, [], []
+        for batch in batches:
+            for *at, sig, root, elements in zip(*(batch.column(c).to_pylist() for c in ("b1", "b2", "b3", "sig", "root", "elements"))):
+                if at != name:
+                    found += join(held) if len(held) > 1 else []
+                    name, held = at, []
+                held.append((sig, root, elements))
+            if found:
+                yield _edges(found)
+                found = []
+        yield _edges(join(held) if len(held) > 1 else [])
+
+    place = ("b1", "b2", "b3")
+    return blocks.repartition(*place).sortWithinPartitions(*place).mapInArrow(run, "a bigint, b bigint")
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
 
 def members_of(signed: DataFrame, shared: DataFrame) -> DataFrame:

@@ -17,7 +17,9 @@ and lines they stand in.  An anchor found before, by (id, place), is a copy that
 by word to both sides against the earliest place; where it differs from that, it goes on
 against the earliest of the places that have the next word too, until no place is left.
 So it ends at the edge of the longest equal run: within an equal run the next anchor or
-the edge is at most `REACH` words away.
+the edge is at most `REACH` words away.  The places of an anchor are shuffled once and grow
+together in one block (`grown`); those of an anchor with more than `HOT` places grow in
+rounds of an aggregate and a join instead (`equal_runs`), with the same result.
 
 Copies that overlap or touch make a span, and no other word is in it; spans of `min_span`
 words or more are removed, shorter ones are common phrases and stay.
@@ -34,12 +36,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestar.llm import words as W
 from lodestar.llm.components import components
-from lodestar.llm.jaccard_join import fetch, links, members_of, shared_keys
+from lodestar.llm.jaccard_join import fetch, links, members_of
 from lodestar.llm.sieve import Sieve
 from lodestar.llm.storage import dropped, finished, free, keyed, saved, swept
 
@@ -51,15 +55,27 @@ MIN_SPAN = 24
 GRAM = 8
 #: Equal runs of GRAM + NEAR_GRAMS - 1 = MIN_SPAN words share an anchor.
 NEAR_GRAMS = MIN_SPAN - GRAM + 1
-#: Words beside an anchor that it may grow by.
+#: Words beside an anchor that it may grow by; `grow` takes them in pairs.
 REACH = NEAR_GRAMS - 1
 #: Bytes of text that a task works on at once.
 BUDGET = 1 << 20
+#: Places of an anchor that grow in one block, and rows of a block besides those of its last anchor.
+HOT, BLOCK_ROWS = 20_000, 40_000
 
 _SEEDS = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOPS = np.isin(np.arange(256), list(b".!?"))
 
 
+def _least(h: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of any `width` values in a row, and where the first such one stands; by doubling."""
+    low, at, have = h, np.arange(len(h)), 1
+    while have < width:
+        step = min(have, width - have)
+        at = np.where(low[step:] < low[:-step], at[step:], at[:-step])
+        low, have = np.minimum(low[:-step], low[step:]), have + step
+    return low, at
+
+
 def paragraphs(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     """First and last + 1 word of every paragraph of MIN_WORDS words or more."""
     n = len(w.hashes)
@@ -75,7 +91,7 @@ def paragraphs(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         long = np.repeat((ends - starts) > MAX_WORDS, ends - starts)
         h = W.mix(w.hashes + np.uint64(1))
         low = np.pad(h, NEAR, constant_values=np.iinfo(np.uint64).max)
-        least = h == np.lib.stride_tricks.sliding_window_view(low, 2 * NEAR + 1).min(axis=1)
+        least = h == _least(low, 2 * NEAR + 1)[0]
         last |= least & long
         ends = np.flatnonzero(last) + 1
         starts = np.concatenate([[0], ends[:-1]])
@@ -130,8 +146,7 @@ def anchors(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = W.window_hash([w.hashes[j : len(w.hashes) - GRAM + 1 + j] for j in range(GRAM)])
     whole = np.arange(n) + MIN_SPAN <= np.repeat(w.first[1:], w.count)[:n]
-    least = np.arange(n) + np.lib.stride_tricks.sliding_window_view(h, NEAR_GRAMS).argmin(axis=1)
-    at = np.unique(least[whole])
+    at = np.unique(_least(h, NEAR_GRAMS)[1][whole])
     return at, h[at].view(np.int64)
 
 
@@ -174,8 +189,9 @@ def _beside(w: W.Words, at: np.ndarray, step: int) -> np.ndarray:
     return short[np.where(inside, place, 0)] * inside.astype(np.uint32)
 
 
-def _placed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
-    """(id, at, key, before, after) of every anchor that may be shared, with the words beside it."""
+def _placed(docs: DataFrame, sieve, id_col: str, text_col: str, hot: np.ndarray, only_hot: bool = False) -> DataFrame:
+    """(id, at, key, before, after) of every anchor that may be shared, with the words beside it;
+    without the keys `hot`, or those alone."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,6 +200,8 @@ def _placed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
                 w = W.words(texts, W.LOWER)
                 at, key = anchors(w)
                 keep = sieve.value.passes(key)
+                if len(hot):
+                    keep &= np.isin(key, hot) == only_hot
                 at, key = at[keep], key[keep]
                 if not len(at):
                     continue
@@ -192,7 +210,91 @@ def _placed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([ids, pa.array(at - w.first[doc], pa.int32()), pa.array(key), _fixed(_beside(w, at, -1)), _fixed(_beside(w, at, 1))], names=["id", "at", "key", "before", "after"])
         pa.default_memory_pool().release_unused()
 
-    return saved(rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at int, key bigint, before binary, after binary"), "anchors")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at int, key bigint, before binary, after binary")
+
+
+def _words_of(column: pa.Array) -> np.ndarray:
+    """The word hashes of binary values of REACH words each, a row for each value."""
+    fixed = column.cast(pa.binary(4 * REACH))
+    return np.frombuffer(fixed.buffers()[1], np.uint32).reshape(-1, REACH)[fixed.offset : fixed.offset + len(fixed)]
+
+
+def _codes(*columns: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where all columns are, in the order of the first, then the second, ..."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
+def grow(block: pa.RecordBatch) -> pa.RecordBatch:
+    """(id, start, end, of_doc): of a block that has all places of its anchors, the words that an earlier
+    place has too, around every anchor, once for each document that is the earliest with some of them."""
+    ids, at = block.column("id"), block.column("at").to_numpy().astype(np.int64)
+    id_rank = pa.compute.rank(ids.field("id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    doc = _codes(id_rank, ids.field("h").to_numpy())
+    place = _codes(doc, at)
+    row_of = np.empty(int(place.max()) + 1, np.int64)
+    row_of[place] = np.arange(len(place))  # equal places are of one document
+    key = block.column("key").to_numpy()
+    reach, of_row, of_doc = [], [], []
+    for side in ("before", "after"):
+        words = _words_of(block.column(side))
+        pairs = (words[:, ::2].astype(np.uint64) << np.uint64(32)) | words[:, 1::2]
+        rows = np.lexsort([*pairs.T[::-1], key])
+        # How far the sorted rows go on as the row before (1: the anchor alone), and before the text ends.
+        alike = np.column_stack([key[rows][1:] == key[rows][:-1], words[rows[1:]] == words[rows[:-1]]])
+        alike = np.concatenate([[0], np.logical_and.accumulate(alike, axis=1).sum(axis=1)])
+        size = np.logical_and.accumulate(words[rows] != 0, axis=1).sum(axis=1)
+        far, last = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
+        for depth in range(REACH + 1):
+            new = alike <= depth
+            count = np.diff(np.append(np.flatnonzero(new), len(rows)))
+            shared = np.repeat(count > 1, count)
+            rows, alike, size, new, count = rows[shared], alike[shared], size[shared], new[shared], count[count > 1]
+            if not len(rows):
+                break
+            home = row_of[np.repeat(np.minimum.reduceat(place[rows], np.flatnonzero(new)), count)]
+            copy = (size >= depth) & (place[home] != place[rows]) & ((doc[home] != doc[rows]) | (at[rows] - at[home] >= MIN_SPAN))  # a copy does not overlap its source
+            far[rows[copy]] = depth
+            fresh = copy & (last[rows] != home)
+            of_row.append(rows[fresh])
+            of_doc.append(home[fresh])
+            last[rows] = home
+        reach.append(far)
+    none = np.zeros(0, np.int64)
+    at_row, home = np.concatenate([none, *of_row]), np.concatenate([none, *of_doc])
+    _, one = np.unique(at_row * (int(doc.max()) + 1) + doc[home], return_index=True)
+    at_row, home = at_row[one], home[one]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(at_row)), pa.array(at[at_row] - reach[0][at_row], pa.int32()), pa.array(at[at_row] + GRAM + reach[1][at_row], pa.int32()), ids.take(pa.array(home))], names=["id", "start", "end", "of_doc"])
+
+
+def grown(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """`equal_runs` of anchors with HOT places at most, in one shuffle: blocks of whole anchors."""
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            if sum(b.num_rows for b in held) < block_rows:
+                continue
+            block = pa.concat_batches(held)
+            key = block.column("key").to_numpy()
+            whole = int(np.searchsorted(key, key[-1]))  # the last anchor may go on
+            if whole:
+                yield grow(block.slice(0, whole))
+            held = [block.slice(whole)]
+        if held:
+            yield grow(pa.concat_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {kind}, start int, end int, of_doc {kind}")
 
 
 def _equal(a: str, b: str) -> Column:
@@ -212,10 +314,11 @@ def _later(rows: DataFrame) -> DataFrame:
 
 
 def equal_runs(placed: DataFrame) -> DataFrame:
-    """(id, start, end, of_doc): the words that an earlier place has too, around every anchor."""
+    """(id, start, end, of_doc): the words that an earlier place has too, around every anchor,
+    however many places it has."""
     apart = f"NOT (id <=> of_doc AND at - of_at < {MIN_SPAN})"  # a copy does not overlap its source
     seen = _later(placed).select("id", "at", "key", "before", "after", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("before", "home.before").alias("left"), _equal("after", "home.after").alias("right"))
-    seen = saved(seen, "grown")
+    seen = saved(seen, "rounds")
     swept(placed.sparkSession)
     out = [seen.filter(apart).selectExpr("id", "at - left AS start", f"at + {GRAM} + right AS end", "of_doc")]
     side = [seen.select("id", "at", F.xxhash64("key", F.lit(i)).alias("key"), F.col(words).alias("words"), F.col(n).alias("n")) for i, (words, n) in enumerate((("before", "left"), ("after", "right")))]
@@ -225,7 +328,7 @@ def equal_runs(placed: DataFrame) -> DataFrame:
         word = F.expr("substring(words, 4 * n + 1, 4)")
         rest = rest.filter((F.col("n") < REACH) & (word != F.lit(b"\0\0\0\0"))).select("id", "at", F.xxhash64("key", "n", word).alias("key"), "words", "side")
         found = _later(rest).select("id", "at", "key", "words", "side", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("words", "home.words").alias("n"))
-        found = saved(found, "grown")
+        found = saved(found, "rounds")
         swept(placed.sparkSession)
         if not found.head(1):
             break
@@ -270,28 +373,51 @@ def clusters(docs: DataFrame, signed: DataFrame, shared: DataFrame, id_col: str
     return components(links(members, sets, PERCENT)).withColumnRenamed("node", "sig")
 
 
+def _shared(keyed: DataFrame) -> DataFrame:
+    """`shared_keys`, with the number of rows that have each."""
+    counted = keyed.groupBy("key").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.count("*").alias("n"))
+    return saved(counted.filter("lo < hi").select("key", "lo", "n"), "shared")
+
+
+def _ordered(kind: T.DataType) -> bool:
+    """Whether Arrow puts ids of this type in Spark's order."""
+    return isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)) or kind == T.StringType()
+
+
 @finished("spans")
 def _spans(docs: DataFrame, min_span: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, start, end, n_words, of_docs) as in `spans`, with the rows' keys instead of ids."""
     docs, id_col, text_col = keyed(docs, id_col, text_col), "_doc", "_text"
-    shared = shared_keys(_keyed(docs, text_col, id_col))
+    shared = _shared(_keyed(docs, text_col, id_col))
     sieve = docs.sparkSession.sparkContext.broadcast(Sieve(shared))
     swept(docs.sparkSession)
+    hot = np.array([r["key"] for r in shared.filter(F.col("n") > HOT).select("key").collect()], np.int64)
+    equal = []
+    if _ordered(docs.schema[id_col].dataType["id"].dataType):
+        equal.append(saved(grown(_placed(docs, sieve, id_col, text_col, hot)), "equal"))
+        swept(docs.sparkSession)
+    if len(hot) or not equal:
+        placed = saved(_placed(docs, sieve, id_col, text_col, hot if equal else hot[:0], only_hot=True), "anchors")
+        equal.append(equal_runs(placed))
+        dropped(placed)  # what comes of it is written
     signed = _signed(docs, sieve, id_col, text_col)
-    placed = _placed(docs, sieve, id_col, text_col)
-    equal = equal_runs(placed)
-    dropped(placed)  # the largest table; what comes of it is written
+    shared = shared.select("key", "lo")
     roots = clusters(docs, signed, shared, id_col, text_col)
     swept(docs.sparkSession)
+    # Of a paragraph that stands once and has no near copy nothing goes.
+    often = signed.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig").union(roots.select("sig")).distinct()
+    signed = saved(signed.select("id", "no", "start", "end", "sig").join(often, "sig", "left_semi"), "copies")
     where = signed.groupBy("sig").agg(F.min("id").alias("id"), F.count("*").alias("n"))
     rooted = where.join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     first = rooted.groupBy("root").agg(F.min("id").alias("of_doc"), F.sum("n").alias("n")).filter("n > 1")
     known = rooted.select("sig", "root").join(first, "root").select("sig", "root", "of_doc")
-    copies = signed.select("id", "no", "start", "end", "sig").join(known, "sig")
+    copies = signed.join(known, "sig")
     # The earliest paragraph of the earliest document stays.
     home = copies.filter("id = of_doc").groupBy("root").agg(F.min("no").alias("home"))
     copies = copies.join(home, "root").filter("NOT (id = of_doc AND no = home)")
-    every = copies.select("id", "start", "end", "of_doc").union(equal)
+    every = copies.select("id", "start", "end", "of_doc")
+    for more in equal:
+        every = every.union(more)
     place = Window.partitionBy("id").orderBy("start", "end")
     reach = F.max("end").over(place.rowsBetween(Window.unboundedPreceding, -1))
     run = F.sum(F.when(F.col("start") <= F.col("reach"), 0).otherwise(1)).over(place.rowsBetween(Window.unboundedPreceding, 0))

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from conftest import SF
 from oracle import answer, rows
@@ -480,6 +481,55 @@ def test_equal_runs_are_found_wherever_they_stand(spark):
     assert sum((r["start"], r["end"]) == at[i][:2] for i, r in got.items()) >= len(at) - 2
 
 
+def _repeating(rng, n):
+    """Texts of passages that share beginnings, ends and middles, some within one text."""
+    pool = [words(rng, 90).split() for _ in range(6)]
+    texts = []
+    for _ in range(n):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            p, a = rng.choice(pool), rng.randint(0, 50)
+            parts += [*p[a : a + rng.randint(8, 60)], *words(rng, rng.randint(0, 9)).split()]
+        texts.append(" ".join(parts))
+    return texts + ["round and " * 40, texts[0], texts[0]]
+
+
+def test_places_of_an_anchor_grow_in_one_shuffle(spark, monkeypatch):
+    """One shuffle gives what the rounds give, and no round is run unless an anchor has more than HOT places."""
+    texts = _repeating(random.Random(33), 30)
+    d = docs(spark, texts, [*range(len(texts) - 3), None, 0, 5]).withColumn("doc_id", F.col("doc_id").cast("string"))
+    tables, save = [], paragraph_dedup.saved
+    monkeypatch.setattr(paragraph_dedup, "saved", lambda df, label: tables.append(label) or save(df, label))
+    found = {}
+    for hot in (4, 20_000):
+        monkeypatch.setattr(paragraph_dedup, "HOT", hot)
+        tables.clear()
+        found[hot] = sorted(map(repr, paragraph_dedup.spans(d).collect()))
+        assert ("rounds" in tables) == (hot < 20_000)
+    assert len(found[4]) > 20 and found[4] == found[20_000]
+
+
+def test_blocks_of_anchors_end_between_anchors(spark):
+    from lodestar.llm.sieve import Sieve
+    from lodestar.llm.storage import keyed
+
+    d = keyed(docs(spark, _repeating(random.Random(34), 60)), "doc_id", "text")
+    sieve = spark.sparkContext.broadcast(Sieve(jaccard_join.shared_keys(paragraph_dedup._keyed(d, "_text", "_doc"))))
+    placed = paragraph_dedup._placed(d, sieve, "_doc", "_text", np.zeros(0, np.int64)).cache()
+    every = [sorted(map(repr, paragraph_dedup.grown(placed, n).collect())) for n in (1, 7, 40_000)]
+    assert len(every[0]) > 200 and every[0] == every[1] == every[2]
+
+
+def test_least_of_windows():
+    rng = np.random.default_rng(3)
+    for width in (1, 2, 5, 16, 17, 25):
+        h = rng.integers(0, 9, 200).astype(np.uint64)
+        low, at = paragraph_dedup._least(h, width)
+        view = np.lib.stride_tricks.sliding_window_view(h, width)
+        assert (low == view.min(axis=1)).all() and (at == np.arange(len(view)) + view.argmin(axis=1)).all()
+    assert [len(x) for x in paragraph_dedup._least(h[:3], 5)] == [0, 0]
+
+
 def test_words_between_copies_stay(spark):
     rng = random.Random(22)
     lines = ["the first line that both of them have here", "the last line that both of them have too"]
