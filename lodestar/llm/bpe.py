@@ -325,6 +325,17 @@ class Encodings:
     def clear(self) -> None:
         self.place: dict[str | int, int] = {}
         self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.used = np.zeros(0, np.int64)
+
+    def _thin(self, most: int) -> None:
+        """Keeps the pre-tokens met twice or more since the last time, the `most` most frequent of them."""
+        kept = np.flatnonzero(self.used > 1)
+        kept = np.sort(kept[np.argsort(-self.used[kept], kind="stable")[:most]])
+        names, sizes = list(self.place), np.diff(self.start)[kept]
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        self.ids = self.ids[np.arange(upto[-1]) + np.repeat(self.start[kept] - upto[:-1], sizes)]
+        self.start, self.place = upto, {names[k]: i for i, k in enumerate(kept.tolist())}
+        self.used = np.zeros(len(kept), np.int64)
 
     def _learn(self, pieces: set[str | int]) -> None:
         found = self.bpe.encode(p for p in pieces if isinstance(p, str))
@@ -339,11 +350,15 @@ class Encodings:
         """The ids of each text, given its pre-tokens."""
         new = set(chain.from_iterable(pieces)).difference(self.place)
         if len(self.place) + len(new) > CACHE_SIZE:
-            self.clear()
-            new = set(chain.from_iterable(pieces))
+            self._thin(CACHE_SIZE // 2)
+            new = set(chain.from_iterable(pieces)).difference(self.place)
+            if len(self.place) + len(new) > CACHE_SIZE:
+                self.clear()
+                new = set(chain.from_iterable(pieces))
         if new:
             self._learn(new)
         at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(pieces)), np.int64)
+        self.used = np.bincount(at, minlength=len(self.place)) + np.pad(self.used, (0, len(self.place) - len(self.used)))
         sizes = self.start[at + 1] - self.start[at]
         upto = np.concatenate([[0], np.cumsum(sizes)])
         flat = self.ids[np.arange(upto[-1]) + np.repeat(self.start[at] - upto[:-1], sizes)]

@@ -311,6 +311,20 @@ def test_trie_traversal_is_plain_merging():
         assert got[p] == tuple(m.vocab[t] for t in parts)
 
 
+def test_frequent_encodings_outlast_a_full_cache(monkeypatch):
+    """A full cache keeps the pre-tokens that come again, and the ids stay the library's."""
+    monkeypatch.setattr(bpe, "CACHE_SIZE", 40)
+    tok, cut, e, learned = bpe.library(), bpe.Cutter(), bpe.Encodings(), []
+    learn = e._learn
+    monkeypatch.setattr(e, "_learn", lambda new: learned.extend(new) or learn(new))
+    for i in range(60):
+        texts = [f"the same words again and the same end <|endoftext|> rare{chr(97 + i % 26)}{chr(97 + i // 26)}word", "", "the end"]
+        texts += [" ".join(f"{chr(97 + k)}x{chr(97 + i % 26)}" for k in range(26)) * 2] * (i == 30)
+        got = e.encode([cut.pieces(t) for t in texts]).to_pylist()
+        assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert learned.count("the") <= 2 and len(e.place) <= 60
+
+
 def test_personal_data(spark):
     texts = [*AWKWARD, "mail a.b+c@d.example.org, x@y ip 10.0.0.256 10.0.0.25 card 4111 1111 1111 1111 or 4111111111111112 call +1 (555) 555-1234 now", "account IBAN DE89 3704 0044 0532 0130 00 and SSN 123-45-6789; 123-45-6789", "a@b.c@d.e @x.y z@@q.r 1.2.3.4.5"]
     patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
