@@ -17,9 +17,12 @@ and lines they stand in.  An anchor found before, by (id, place), is a copy that
 by word to both sides against the earliest place; where it differs from that, it goes on
 against the earliest of the places that have the next word too, until no place is left.
 So it ends at the edge of the longest equal run: within an equal run the next anchor or
-the edge is at most `REACH` words away.  The places of an anchor are shuffled once and grow
-together in one block (`grown`); those of an anchor with more than `HOT` places grow in
-rounds of an aggregate and a join instead (`equal_runs`), with the same result.
+the edge is at most `REACH` words away.  The places of an anchor in one text that have the
+same words beside them are one row from the start, however often a text repeats itself.
+The rows of an anchor are shuffled once and grow together in one block (`grown`).  An
+anchor with more than `HOT` rows is cut into parts in the order of the words beside it
+(`equal_runs`): what begins and ends in a part is settled there, and of what goes on beyond
+it a part hands on the earliest place, so no task gets a whole one.
 
 Copies that overlap or touch make a span, and no other word is in it; spans of `min_span`
 words or more are removed, shorter ones are common phrases and stay.
@@ -59,8 +62,10 @@ NEAR_GRAMS = MIN_SPAN - GRAM + 1
 REACH = NEAR_GRAMS - 1
 #: Bytes of text that a task works on at once.
 BUDGET = 1 << 20
-#: Places of an anchor that grow in one block, and rows of a block besides those of its last anchor.
+#: Rows of an anchor that grow in one block, and rows of a block besides those of its last anchor.
 HOT, BLOCK_ROWS = 20_000, 40_000
+#: Places whose spans are made at once.
+CUT_PLACES = 200_000
 
 _SEEDS = W.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOPS = np.isin(np.arange(256), list(b".!?"))
@@ -190,8 +195,8 @@ def _beside(w: W.Words, at: np.ndarray, step: int) -> np.ndarray:
 
 
 def _placed(docs: DataFrame, sieve, id_col: str, text_col: str, hot: np.ndarray, only_hot: bool = False) -> DataFrame:
-    """(id, at, key, before, after) of every anchor that may be shared, with the words beside it;
-    without the keys `hot`, or those alone."""
+    """(id, ats, key, before, after) of every anchor that may be shared, with the words beside it and all
+    places where it has them in a text; without the keys `hot`, or those alone."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,11 +211,17 @@ def _placed(docs: DataFrame, sieve, id_col: str, text_col: str, hot: np.ndarray,
                 if not len(at):
                     continue
                 doc = np.searchsorted(w.first, at, side="right") - 1
-                ids = batch.column("id").slice(begin, end - begin).take(pa.array(doc))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(at - w.first[doc], pa.int32()), pa.array(key), _fixed(_beside(w, at, -1)), _fixed(_beside(w, at, 1))], names=["id", "at", "key", "before", "after"])
+                before, after = _beside(w, at, -1), _beside(w, at, 1)
+                same = W.window_hash([doc.astype(np.uint64), key.view(np.uint64), *before.T.astype(np.uint64), *after.T.astype(np.uint64)])
+                order = np.argsort(same, kind="stable")
+                first = np.flatnonzero(np.append(True, same[order][1:] != same[order][:-1]))
+                one = order[first]
+                ats = pa.ListArray.from_arrays(pa.array(np.append(first, len(order)), pa.int32()), pa.array((at - w.first[doc])[order], pa.int32()))
+                ids = batch.column("id").slice(begin, end - begin).take(pa.array(doc[one]))
+                yield pa.RecordBatch.from_arrays([ids, ats, pa.array(key[one]), _fixed(before[one]), _fixed(after[one])], names=["id", "ats", "key", "before", "after"])
         pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, at int, key bigint, before binary, after binary")
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ats array<int>, key bigint, before binary, after binary")
 
 
 def _words_of(column: pa.Array) -> np.ndarray:
@@ -230,50 +241,101 @@ def _codes(*columns: np.ndarray) -> np.ndarray:
     return out
 
 
-def grow(block: pa.RecordBatch) -> pa.RecordBatch:
-    """(id, start, end, of_doc): of a block that has all places of its anchors, the words that an earlier
+class _Places:
+    """Where the rows of a block stand: `doc` and `place` are in the order of (id, h) and of (id, h, first of ats)."""
+
+    def __init__(self, block: pa.RecordBatch):
+        self.ids, ats = block.column("id"), block.column("ats")
+        self.flat = ats.flatten().to_numpy().astype(np.int64)
+        self.count = pa.compute.list_value_length(ats).to_numpy().astype(np.int64)
+        self.first = np.cumsum(self.count) - self.count
+        self.at, self.last = self.flat[self.first], self.flat[self.first + self.count - 1]
+        id_rank = pa.compute.rank(self.ids.field("id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+        self.doc = _codes(id_rank, self.ids.field("h").to_numpy())
+        self.place = _codes(self.doc, self.at)
+        self.row_of = np.empty(int(self.place.max()) + 1, np.int64)
+        self.row_of[self.place] = np.arange(len(self.place))  # equal places are of one document
+
+
+def _alike(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """How far sorted rows go on as the row before: 1 with the anchor alone, 0 with another anchor."""
+    alike = np.column_stack([key[1:] == key[:-1], words[1:] == words[:-1]])
+    return np.concatenate([[0], np.logical_and.accumulate(alike, axis=1).sum(axis=1)])
+
+
+def _homes(p: _Places, rows: np.ndarray, alike: np.ndarray, size: np.ndarray, settled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, home, depth): the rows of the earliest places that the sorted rows are copies of, and up to how many
+    words; size: the words before the text ends; settled: so many words (-1: none) are not looked at."""
+    home_of, far, out = np.full(len(p.at), -1, np.int64), np.zeros(len(p.at), np.int64), []
+    for depth in range(REACH + 1):
+        new = np.flatnonzero(alike <= depth)
+        shared = np.repeat(np.add.reduceat(p.count[rows], new) > 1, np.diff(np.append(new, len(rows))))
+        rows, alike, size = rows[shared], alike[shared], size[shared]
+        if not len(rows):
+            break
+        new = np.flatnonzero(alike <= depth)
+        home = p.row_of[np.repeat(np.minimum.reduceat(p.place[rows], new), np.diff(np.append(new, len(rows))))]
+        copy = (size >= depth) & ((p.doc[home] != p.doc[rows]) | (p.last[rows] - p.at[home] >= MIN_SPAN))  # a copy does not overlap its source
+        if settled is not None:
+            copy &= settled[rows] < depth
+        row, home = rows[copy], home[copy]
+        left = row[(home_of[row] >= 0) & (home_of[row] != home)]
+        out.append((left, home_of[left], far[left]))
+        home_of[row], far[row] = home, depth
+    left = np.flatnonzero(home_of >= 0)
+    out.append((left, home_of[left], far[left]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _cut(ids: pa.Array, of_doc: pa.Array, flat: np.ndarray, first: np.ndarray, count: np.ndarray, own: np.ndarray, of_at: np.ndarray, left: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(id, start, end, of_doc): the spans of places flat[first] .. flat[first + count - 1], those that touch as one;
+    own: without places that overlap their source `of_at`."""
+    part = np.cumsum(count) // CUT_PLACES
+    edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(count)]
+    for a, b in zip(edges, edges[1:]):
+        at = flat[_spread(first[a:b], count[a:b])[0]]
+        row = np.repeat(np.arange(a, b), count[a:b])
+        keep = ~own[row] | (at - of_at[row] >= MIN_SPAN)
+        at, row = at[keep], row[keep]
+        if not len(at):
+            continue
+        start, end = at - left[row], at + GRAM + right[row]
+        new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] > end[:-1])))
+        end = end[np.append(new[1:], len(row)) - 1]
+        row, start = pa.array(row[new]), start[new]
+        yield pa.RecordBatch.from_arrays([ids.take(row), pa.array(start, pa.int32()), pa.array(end, pa.int32()), of_doc.take(row)], names=["id", "start", "end", "of_doc"])
+
+
+def grow(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(id, start, end, of_doc): of a block that has all rows of its anchors, the words that an earlier
     place has too, around every anchor, once for each document that is the earliest with some of them."""
-    ids, at = block.column("id"), block.column("at").to_numpy().astype(np.int64)
-    id_rank = pa.compute.rank(ids.field("id"), sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
-    doc = _codes(id_rank, ids.field("h").to_numpy())
-    place = _codes(doc, at)
-    row_of = np.empty(int(place.max()) + 1, np.int64)
-    row_of[place] = np.arange(len(place))  # equal places are of one document
-    key = block.column("key").to_numpy()
-    reach, of_row, of_doc = [], [], []
+    p, key = _Places(block), block.column("key").to_numpy()
+    found = []
     for side in ("before", "after"):
         words = _words_of(block.column(side))
         pairs = (words[:, ::2].astype(np.uint64) << np.uint64(32)) | words[:, 1::2]
         rows = np.lexsort([*pairs.T[::-1], key])
-        # How far the sorted rows go on as the row before (1: the anchor alone), and before the text ends.
-        alike = np.column_stack([key[rows][1:] == key[rows][:-1], words[rows[1:]] == words[rows[:-1]]])
-        alike = np.concatenate([[0], np.logical_and.accumulate(alike, axis=1).sum(axis=1)])
-        size = np.logical_and.accumulate(words[rows] != 0, axis=1).sum(axis=1)
-        far, last = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
-        for depth in range(REACH + 1):
-            new = alike <= depth
-            count = np.diff(np.append(np.flatnonzero(new), len(rows)))
-            shared = np.repeat(count > 1, count)
-            rows, alike, size, new, count = rows[shared], alike[shared], size[shared], new[shared], count[count > 1]
-            if not len(rows):
-                break
-            home = row_of[np.repeat(np.minimum.reduceat(place[rows], np.flatnonzero(new)), count)]
-            copy = (size >= depth) & (place[home] != place[rows]) & ((doc[home] != doc[rows]) | (at[rows] - at[home] >= MIN_SPAN))  # a copy does not overlap its source
-            far[rows[copy]] = depth
-            fresh = copy & (last[rows] != home)
-            of_row.append(rows[fresh])
-            of_doc.append(home[fresh])
-            last[rows] = home
+        found.append(_homes(p, rows, _alike(key[rows], words[rows]), np.logical_and.accumulate(words[rows] != 0, axis=1).sum(axis=1)))
+    # Where all places of a row are copies, one span of each goes to both sides.
+    reach, every = [], []
+    for row, home, depth in found:
+        whole = (p.doc[home] != p.doc[row]) | (p.at[row] - p.at[home] >= MIN_SPAN)
+        far = np.zeros(len(p.at), np.int64)
+        np.maximum.at(far, row[whole], depth[whole])
         reach.append(far)
-    none = np.zeros(0, np.int64)
-    at_row, home = np.concatenate([none, *of_row]), np.concatenate([none, *of_doc])
-    _, one = np.unique(at_row * (int(doc.max()) + 1) + doc[home], return_index=True)
-    at_row, home = at_row[one], home[one]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array(at_row)), pa.array(at[at_row] - reach[0][at_row], pa.int32()), pa.array(at[at_row] + GRAM + reach[1][at_row], pa.int32()), ids.take(pa.array(home))], names=["id", "start", "end", "of_doc"])
+        every.append(whole)
+    row, home = (np.concatenate([x[i][whole] for x, whole in zip(found, every)]) for i in (0, 1))
+    _, one = np.unique(row * (int(p.doc.max()) + 1) + p.doc[home], return_index=True)
+    parts = [(row[one], home[one], reach[0][row[one]], reach[1][row[one]])]
+    for i, ((row, home, depth), whole) in enumerate(zip(found, every)):
+        none = np.zeros(len(depth), np.int64)
+        parts.append(tuple(x[~whole] for x in (row, home, *((depth, none) if i == 0 else (none, depth)))))
+    row, home, left, right = (np.concatenate(x) for x in zip(*parts))
+    yield from _cut(p.ids.take(pa.array(row)), p.ids.take(pa.array(home)), p.flat, p.first[row], p.count[row], p.doc[home] == p.doc[row], p.at[home], left, right)
 
 
 def grown(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """`equal_runs` of anchors with HOT places at most, in one shuffle: blocks of whole anchors."""
+    """`equal_runs` of anchors with HOT rows at most, in one shuffle: blocks of whole anchors."""
     kind = placed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,55 +350,95 @@ def grown(placed: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
             key = block.column("key").to_numpy()
             whole = int(np.searchsorted(key, key[-1]))  # the last anchor may go on
             if whole:
-                yield grow(block.slice(0, whole))
+                yield from grow(block.slice(0, whole))
             held = [block.slice(whole)]
         if held:
-            yield grow(pa.concat_batches(held))
+            yield from grow(pa.concat_batches(held))
         pa.default_memory_pool().release_unused()
 
     return placed.repartition("key").sortWithinPartitions("key").mapInArrow(run, f"id {kind}, start int, end int, of_doc {kind}")
 
 
-def _equal(a: str, b: str) -> Column:
-    """How many words are equal from the anchor on: the place of the first that differs or is missing."""
-    out = F.when(F.lit(False), 0)
-    for i in range(REACH):
-        x, y = (F.substring(c, 4 * i + 1, 4) for c in (a, b))
-        out = out.when((x != y) | (x == F.lit(b"\0\0\0\0")), i)
-    return out.otherwise(REACH)
-
-
-def _later(rows: DataFrame) -> DataFrame:
-    """Rows of a key that others have too, but the earliest, with that one as `home`."""
-    words = [c for c in ("before", "after", "words") if c in rows.columns]
-    home = rows.groupBy("key").agg(F.min(F.struct("id", "at", *words)).alias("home"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return rows.join(home, "key").filter("NOT (id <=> home.id AND at = home.at)")
-
-
-def equal_runs(placed: DataFrame) -> DataFrame:
-    """(id, start, end, of_doc): the words that an earlier place has too, around every anchor,
-    however many places it has."""
-    apart = f"NOT (id <=> of_doc AND at - of_at < {MIN_SPAN})"  # a copy does not overlap its source
-    seen = _later(placed).select("id", "at", "key", "before", "after", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("before", "home.before").alias("left"), _equal("after", "home.after").alias("right"))
-    seen = saved(seen, "rounds")
-    swept(placed.sparkSession)
-    out = [seen.filter(apart).selectExpr("id", "at - left AS start", f"at + {GRAM} + right AS end", "of_doc")]
-    side = [seen.select("id", "at", F.xxhash64("key", F.lit(i)).alias("key"), F.col(words).alias("words"), F.col(n).alias("n")) for i, (words, n) in enumerate((("before", "left"), ("after", "right")))]
-    # Each side by itself; the key tells the side and the words so far.
-    rest, step = side[0].withColumn("side", F.lit(-1)).union(side[1].withColumn("side", F.lit(1))), 0
-    while step < REACH:
-        word = F.expr("substring(words, 4 * n + 1, 4)")
-        rest = rest.filter((F.col("n") < REACH) & (word != F.lit(b"\0\0\0\0"))).select("id", "at", F.xxhash64("key", "n", word).alias("key"), "words", "side")
-        found = _later(rest).select("id", "at", "key", "words", "side", F.col("home.id").alias("of_doc"), F.col("home.at").alias("of_at"), _equal("words", "home.words").alias("n"))
-        found = saved(found, "rounds")
-        swept(placed.sparkSession)
-        if not found.head(1):
-            break
-        out.append(found.filter(apart).selectExpr("id", "IF(side < 0, at - n, at) AS start", f"at + {GRAM} + IF(side > 0, n, 0) AS end", "of_doc"))
-        rest, step = found.select("id", "at", "key", "words", "n", "side"), step + 1
-    for more in out[1:]:
-        out[0] = out[0].union(more)
-    return out[0]
+def _groups(key: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """A name of each row's anchor and its first 0, 1, .. REACH words."""
+    out = [W.mix(key)]
+    for column in words.T:
+        out.append(W.mix(out[-1] ^ W.mix(column.astype(np.uint64) + np.uint64(1))))
+    return np.stack(out, axis=1).view(np.int64)
+
+
+def _part(block: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Of a part of the sorted rows: what begins and ends in it, as (id, start, end, of_doc); the rows whose first words
+    go on beyond it, as (id, ats, side, names) with the longest such group; and those groups, as (id, ats, names) with
+    the earliest place here.  names: of the groups with fewer words, and the group's own; n: its places."""
+    p, side, words = _Places(block), block.column("side").to_numpy(), _words_of(block.column("words"))
+    key = block.column("key").to_numpy()
+    group = _codes(key, side)
+    size = np.logical_and.accumulate(words != 0, axis=1).sum(axis=1)
+    names = _groups(key.view(np.uint64) ^ W.mix(side.astype(np.uint64)), words)
+    ends = [0, len(key) - 1]
+    alike = np.stack([np.where(group == group[i], np.logical_and.accumulate(words == words[i], axis=1).sum(axis=1), -1) for i in ends])
+    beyond = np.minimum(alike.max(axis=0), size)
+    row, home, depth = _homes(p, np.arange(len(key)), _alike(group, words), size, beyond)
+    before = side[row] < 0
+    for b in _cut(p.ids.take(pa.array(row)), p.ids.take(pa.array(home)), p.flat, p.first[row], p.count[row], p.doc[home] == p.doc[row], p.at[home], np.where(before, depth, 0), np.where(before, 0, depth)):
+        yield _in_all(b, block.schema, len(b))
+    open_ = np.flatnonzero(beyond >= 0)
+    held = {"id": p.ids.take(pa.array(open_)), "ats": block.column("ats").take(pa.array(open_)), "side": pa.array(side[open_], pa.int32()), "names": pa.array(names[open_, beyond[open_]].reshape(-1, 1).tolist(), pa.list_(pa.int64()))}
+    yield _in_all(pa.RecordBatch.from_pydict(held), block.schema, len(open_))
+    seen = {}
+    for i, far in zip(ends, alike):
+        for d in range(int(size[i]) + 1):
+            inside = far >= d
+            seen[int(names[i, d])] = (int(p.row_of[p.place[inside].min()]), names[i, : d + 1].tolist(), int(p.count[inside].sum()))
+    rows = pa.array([r for r, _, _ in seen.values()], pa.int64())
+    held = {"id": p.ids.take(rows), "ats": block.column("ats").take(rows), "names": pa.array([x for _, x, _ in seen.values()], pa.list_(pa.int64())), "n": pa.array([n for _, _, n in seen.values()], pa.int64())}
+    yield _in_all(pa.RecordBatch.from_pydict(held), block.schema, len(rows))
+
+
+def _in_all(batch: pa.RecordBatch, like: pa.Schema, n: int) -> pa.RecordBatch:
+    """The batch with all columns that `_part` gives, null where it has none."""
+    kinds = {"id": like.field("id").type, "start": pa.int32(), "end": pa.int32(), "of_doc": like.field("id").type, "ats": pa.list_(pa.int32()), "side": pa.int32(), "names": pa.list_(pa.int64()), "n": pa.int64()}
+    return pa.RecordBatch.from_arrays([batch.column(c).cast(t) if c in batch.schema.names else pa.nulls(n, t) for c, t in kinds.items()], names=list(kinds))
+
+
+def equal_runs(placed: DataFrame, part_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(id, start, end, of_doc): the words that an earlier place has too, around every anchor, however many rows it has:
+    in parts of the rows in the order of their words, then for the groups that go on beyond a part, from its earliest places."""
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held += [batch] if batch.num_rows else []
+            if sum(b.num_rows for b in held) >= part_rows:
+                yield from _part(pa.concat_batches(held))
+                held = []
+        if held:
+            yield from _part(pa.concat_batches(held))
+        pa.default_memory_pool().release_unused()
+
+    sides = F.explode(F.array(*(F.struct(F.lit(i).alias("side"), F.col(c).alias("words")) for i, c in ((-1, "before"), (1, "after")))))
+    order = ["key", "side", "words", "id", "ats"]  # with the place, equal words may lie in several parts
+    rows = placed.select("id", "ats", "key", sides.alias("x")).select("id", "ats", "key", "x.side", "x.words").repartitionByRange(*order).sortWithinPartitions(*order)
+    first = saved(rows.mapInArrow(run, f"id {kind}, start int, end int, of_doc {kind}, ats array<int>, side int, names array<bigint>, n bigint"), "rounds")
+    # At most 2 (REACH + 1) groups of a part go on beyond it.
+    groups = first.filter("n IS NOT NULL").groupBy(F.element_at("names", -1).alias("name")).agg(F.min(F.struct("id", F.col("ats")[0].alias("at"))).alias("home"), F.sum("n").alias("n"), F.first("names").alias("names"))
+    groups = saved(groups, "rounds")
+    homes = groups.filter("n > 1").select(F.col("name").alias("one"), "home")
+    chain = groups.select("name", F.posexplode("names").alias("depth", "one")).join(F.broadcast(homes), "one").groupBy("name", "home").agg(F.max("depth").alias("depth"))
+    chain = chain.groupBy("name").agg(F.collect_list(F.struct("home", "depth")).alias("homes"))
+    rest = first.filter("side IS NOT NULL").withColumn("name", F.col("names")[0]).join(F.broadcast(chain), "name").select("id", "ats", "side", F.explode("homes").alias("x"))
+    rest = rest.select("id", "ats", F.col("x.home.id").alias("of_doc"), F.col("x.home.at").alias("of_at"), F.expr("id <=> x.home.id").alias("own"), F.expr("IF(side < 0, x.depth, 0)").alias("left"), F.expr("IF(side > 0, x.depth, 0)").alias("right"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                flat, count = batch.column("ats").flatten().to_numpy().astype(np.int64), pa.compute.list_value_length(batch.column("ats")).to_numpy().astype(np.int64)
+                own, *numbers = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("own", "of_at", "left", "right"))
+                yield from _cut(batch.column("id"), batch.column("of_doc"), flat, np.cumsum(count) - count, count, own, *numbers)
+
+    return saved(rest.mapInArrow(cut, f"id {kind}, start int, end int, of_doc {kind}"), "equal").union(first.filter("end IS NOT NULL").select("id", "start", "end", "of_doc"))
 
 
 def _signed(docs: DataFrame, sieve, id_col: str, text_col: str) -> DataFrame:
@@ -384,6 +486,21 @@ def _ordered(kind: T.DataType) -> bool:
     return isinstance(kind, (T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)) or kind == T.StringType()
 
 
+def _numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with numbers in the order of their ids instead of these, and (no, doc) of each."""
+    ids = docs.select(F.col(id_col).alias("doc")).distinct().orderBy("doc").select("doc", F.monotonically_increasing_id().alias("no"))
+    ids = saved(ids, "ids")
+    rows = docs.join(ids, docs[id_col] == ids["doc"]).select(F.struct(F.col("no").alias("id"), F.col("doc.h").alias("h")).alias(id_col), text_col)
+    return rows, ids.select("no", "doc")
+
+
+def _named(equal: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `grown` with the ids that the numbers stand for."""
+    for c in ("id", "of_doc"):
+        equal = equal.withColumn("no", F.col(f"{c}.id")).drop(c).join(ids.withColumnRenamed("doc", c), "no").drop("no")
+    return equal.select("id", "start", "end", "of_doc")
+
+
 @finished("spans")
 def _spans(docs: DataFrame, min_span: int, id_col: str, text_col: str) -> DataFrame:
     """(doc, start, end, n_words, of_docs) as in `spans`, with the rows' keys instead of ids."""
@@ -392,14 +509,19 @@ def _spans(docs: DataFrame, min_span: int, id_col: str, text_col: str) -> DataFr
     sieve = docs.sparkSession.sparkContext.broadcast(Sieve(shared))
     swept(docs.sparkSession)
     hot = np.array([r["key"] for r in shared.filter(F.col("n") > HOT).select("key").collect()], np.int64)
-    equal = []
-    if _ordered(docs.schema[id_col].dataType["id"].dataType):
-        equal.append(saved(grown(_placed(docs, sieve, id_col, text_col, hot)), "equal"))
-        swept(docs.sparkSession)
-    if len(hot) or not equal:
-        placed = saved(_placed(docs, sieve, id_col, text_col, hot if equal else hot[:0], only_hot=True), "anchors")
-        equal.append(equal_runs(placed))
+    order, ids = (docs, None) if _ordered(docs.schema[id_col].dataType["id"].dataType) else _numbered(docs, id_col, text_col)
+    equal = [saved(grown(_placed(order, sieve, id_col, text_col, hot)), "equal")]
+    swept(docs.sparkSession)
+    if len(hot):  # places that a text repeats are one row: most of these have few
+        placed = saved(_placed(order, sieve, id_col, text_col, hot, only_hot=True), "anchors")
+        large = F.broadcast(saved(placed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT).select("key"), "large"))
+        equal.append(saved(grown(placed.join(large, "key", "left_anti").select(placed.columns)), "equal"))
+        if large.head(1):
+            equal.append(equal_runs(placed.join(large, "key", "left_semi").select(placed.columns)))
         dropped(placed)  # what comes of it is written
+        swept(docs.sparkSession)
+    if ids is not None:
+        equal = [_named(x, ids) for x in equal]
     signed = _signed(docs, sieve, id_col, text_col)
     shared = shared.select("key", "lo")
     roots = clusters(docs, signed, shared, id_col, text_col)

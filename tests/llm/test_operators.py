@@ -534,6 +534,63 @@ def test_blocks_of_anchors_end_between_anchors(spark):
     assert len(every[0]) > 200 and every[0] == every[1] == every[2]
 
 
+def _runs(rows):
+    """(id, start, end, of_docs) of copies by text, those that touch as one."""
+    by_text, out = defaultdict(list), []
+    for r in rows:
+        by_text[r["id"]].append((r["start"], r["end"], r["of_doc"]))
+    for k, found in by_text.items():
+        run = None
+        for start, end, of in sorted(found):
+            if run is None or start > run[1]:
+                run = [start, end, set()]
+                out.append((k, run))
+            run[1] = max(run[1], end)
+            run[2].add(of)
+    return sorted(map(repr, ((k, a, b, sorted(map(repr, of))) for k, (a, b, of) in out)))
+
+
+def test_parts_of_an_anchor_give_what_whole_ones_do(spark):
+    from lodestar.llm.sieve import Sieve
+    from lodestar.llm.storage import keyed
+
+    d = keyed(docs(spark, _repeating(random.Random(35), 30)), "doc_id", "text")
+    sieve = spark.sparkContext.broadcast(Sieve(jaccard_join.shared_keys(paragraph_dedup._keyed(d, "_text", "_doc"))))
+    placed = paragraph_dedup._placed(d, sieve, "_doc", "_text", np.zeros(0, np.int64)).cache()
+    whole = _runs(paragraph_dedup.grown(placed).collect())
+    assert len(whole) > 30
+    for n in (1, 5, 40_000):
+        assert _runs(paragraph_dedup.equal_runs(placed, n).collect()) == whole
+
+
+def test_places_that_a_text_repeats_are_one_row(spark, monkeypatch):
+    """A line that stands hundreds of times in a text costs a row for each of the few contexts it has there."""
+    from lodestar.llm.sieve import Sieve
+    from lodestar.llm.storage import keyed
+
+    rng = random.Random(36)
+    line = words(rng, 9)
+    d = docs(spark, [" ".join([words(rng, 30), *[line] * 300, words(rng, 30)]) for _ in range(6)])
+    one = keyed(d, "doc_id", "text")
+    sieve = spark.sparkContext.broadcast(Sieve(jaccard_join.shared_keys(paragraph_dedup._keyed(one, "_text", "_doc"))))
+    placed = paragraph_dedup._placed(one, sieve, "_doc", "_text", np.zeros(0, np.int64))
+    assert placed.count() < 6 * 20 and placed.selectExpr("sum(size(ats))").first()[0] > 6 * 290
+    tables, save = [], paragraph_dedup.saved
+    monkeypatch.setattr(paragraph_dedup, "saved", lambda df, label: tables.append(label) or save(df, label))
+    monkeypatch.setattr(paragraph_dedup, "HOT", 400)  # over 1,700 places, but few rows
+    got = {r["doc_id"]: r for r in paragraph_dedup.spans(d).collect()}
+    assert "anchors" in tables and "rounds" not in tables
+    assert sorted(got) == list(range(6)) and all(got[i]["start"] == 30 and 2730 <= got[i]["end"] <= 2732 for i in range(1, 6))  # a word beside the lines may be equal by chance
+
+
+def test_ids_that_arrow_does_not_order(spark):
+    d = docs(spark, _repeating(random.Random(37), 20))
+    known = [tuple(r) for r in paragraph_dedup.spans(d).collect()]
+    for kind in ("double", "decimal(20,2)"):
+        found = paragraph_dedup.spans(d.withColumn("doc_id", F.col("doc_id").cast(kind))).collect()
+        assert sorted(known) == sorted((int(i), *rest, [int(x) for x in of]) for i, *rest, of in found)
+
+
 def test_least_of_windows():
     rng = np.random.default_rng(3)
     for width in (1, 2, 5, 16, 17, 25):
